@@ -7,8 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import decontaminate, packing, simhash, toxicity
-from gapline.llm.common import crc_bucket, table
+from gapline.llm import decontaminate, gif, packing, simhash, toxicity, urlfilter
+from gapline.llm.common import crc_bucket, materialize, table
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP1_SQL = """
+WITH rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                               ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT row_number() OVER () AS n, page_id,
+                 translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (SELECT n, h || p AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC) AS k
+         FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
+"""
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +44,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = gif.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return gif.read_back(materialize(stored, "gif"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
@@ -31,10 +56,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_gif_media": op9_gif_media,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL}
