@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import decontaminate, gif, linededup, lm, packing, simhash, toxicity, urlfilter, warc
+from gapline.llm import decontaminate, gif, linededup, lm, packing, pii, simhash, toxicity, urlfilter, warc
 from gapline.llm.common import crc_bucket, materialize, table
 
 
@@ -59,6 +59,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = gif.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return gif.read_back(materialize(stored, "gif"))
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_gif_media": op9_gif_media,
     "op10_toxicity": op10_toxicity,
 }

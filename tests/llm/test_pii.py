@@ -1,0 +1,129 @@
+import datetime
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from gapline.llm import pii
+
+KEY = "k1"
+
+
+def hashed(*parts):
+    return int(hashlib.sha256("|".join(map(str, (KEY, *parts))).encode()).hexdigest()[:15], 16)
+
+
+def pair(kind, v, a, b):
+    x, y = divmod(v, b)
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            x = (x + hashed(kind, i, y) % a) % a
+        else:
+            y = (y + hashed(kind, i, x) % b) % b
+    return x * b + y
+
+
+def luhn(d):
+    n = [int(c) for c in d][::-1]
+    return (sum(n[::2]) + sum(2 * c - 9 * (c > 4) for c in n[1::2])) % 10
+
+
+def refill(form, digits):
+    it = iter(digits)
+    return re.sub("[0-9]", lambda _: next(it), form)
+
+
+def brute_card(m):
+    d = re.sub("[^0-9]", "", m)
+    if luhn(d):
+        return m
+    w = len(d) - 1
+    head = str(pair("card", int(d[:-1]), 10 ** (w // 2), 10 ** (w - w // 2))).zfill(w)
+    return refill(m, head + str(-luhn(head + "0") % 10))
+
+
+def brute_ip(m):
+    o = [int(x) for x in m.split(".")]
+    if max(o) > 255:
+        return m
+    v = pair("ip", int.from_bytes(bytes(o), "big"), 65536, 65536)
+    return ".".join(map(str, v.to_bytes(4, "big")))
+
+
+def brute_iso(m):
+    try:
+        day = datetime.date.fromisoformat(m)
+    except ValueError:
+        return m
+    first = datetime.date(1900, 1, 1)
+    return str(first + datetime.timedelta(pair("date", (day - first).days, 17, 4297))) if 1900 <= day.year <= 2099 else m
+
+
+def brute_phone(m):
+    d = re.sub("[^0-9]", "", m)
+    t = int(d[-10:])
+    area, exchange, line = t // 10**7, t // 10**4 % 1000, t % 10**4
+    if area >= 200 and exchange >= 200:
+        v = pair("phone", ((area - 200) * 800 + exchange - 200) * 10000 + line, 80000, 80000)
+        t = (v // 8000000 + 200) * 10**7 + (v // 10000 % 800 + 200) * 10**4 + v % 10**4
+    else:
+        t = pair("phone any", t, 10**5, 10**5)
+    return refill(m, d[:-10] + str(t).zfill(10))
+
+
+MAKE = {
+    "card": (lambda r: "".join(str(r.randrange(10)) for _ in range(r.choice((13, 16, 19)))), brute_card),
+    "ip": (lambda r: ".".join(str(r.randrange(300)) for _ in range(4)), brute_ip),
+    "date": (lambda r: f"{r.randrange(1890, 2110)}-{r.randrange(1, 14):02}-{r.randrange(1, 32):02}", brute_iso),
+    "phone": (lambda r: f"+{r.randrange(1, 200)} ({r.randrange(1000):03}) {r.randrange(1000):03}-{r.randrange(10000):04}", brute_phone),
+}
+
+
+def with_check(digits):
+    return digits[:-1] + str(-luhn(digits[:-1] + "0") % 10)
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(120):
+        text, expected, count = "Öa ", "Öa ", dict.fromkeys(MAKE, 0)
+        for _ in range(rng.randrange(4)):
+            kind = rng.choice(list(MAKE))
+            value = MAKE[kind][0](rng)
+            if kind == "card" and rng.random() < 0.7:
+                value = with_check(value)
+            if kind == "card" and rng.random() < 0.3:
+                value = "-".join(value[j : j + 4] for j in range(0, len(value), 4))
+            new, between = MAKE[kind][1](value), rng.choice([", x\n", " ; ", ")ü "])
+            count[kind] += new != value
+            text, expected = text + value + between, expected + new + between
+        rows.append((i, text, "x"))
+        want[i] = (expected, *count.values())
+    docs = spark.createDataFrame(rows + [(500, None, "y"), (501, "", "y"), (None, "ip 1.2.3.4", "y"), (502, "w " * 20_000 + "ip 1.2.3.4", "y")], "doc_id long, text string, n_card string")
+    out = pii.pseudonymize(docs, KEY)
+    got = {r["doc_id"]: (r["text"], *(r[f"n_{k}"] for k in MAKE)) for r in out.collect()}
+    assert {k: got[k] for k in want} == want
+    assert got[500][0] is None and got[501][0] == "" and got[None][0] == "ip " + brute_ip("1.2.3.4") == got[502][0][-len(got[None][0]) :]
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymize(out.select("doc_id", "text"), KEY, undo=True).collect()}
+    assert all(back[i] == text for i, text, _ in rows)
+    assert pii.pseudonymize(docs.limit(0), KEY).count() == 0
+
+
+def test_formats_links_and_keys(spark):
+    text = 'Ann.Lee@mail.com ann.lee@mail.com token = "abcDEF0123456789" 123-45-6789 666-45-6789 28/02/1990 28.02.1990 1990-02-28 x@y 12345678901234567890'
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.pseudonymize(one, KEY).first()
+    mail, again, _, _, secret, ssn, kept, day, dotted, iso, *rest = row["text"].split(" ")
+    assert mail == again != "ann.lee@mail.com" and re.fullmatch(r"[a-z]{3}\.[a-z]{3}@mail\.com", mail)
+    assert re.fullmatch(r'"[a-z]{3}[A-Z]{3}\d{10}"', secret) and kept == "666-45-6789" and rest == ["x@y", "12345678901234567890"]
+    assert re.fullmatch(r"\d{3}-\d\d-\d{4}", ssn) and ssn != "123-45-6789"
+    assert day.replace("/", ".") == dotted and iso == "-".join(reversed(day.split("/")))
+    assert pii.pseudonymize(one, "other").first()["text"] != row["text"]
+
+
+def test_a_network_is_a_permutation(spark):
+    net = pii.Network(KEY)
+    got = spark.range(7 * 11).select(F.expr(net.pair("t", "id", "7", "11")).alias("v"), "id")
+    assert sorted(r["v"] for r in got.collect()) == list(range(77)) and got.filter("v = id").count() < 20
