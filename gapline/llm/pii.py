@@ -102,12 +102,14 @@ def pseudonym(net: Network) -> str:
     # cards: all digits but the last are permuted, the last one is worked out
     head = bind("h", "substring(g, 1, char_length(g) - 1)", bind("w", "char_length(h)", f"lpad(cast({net.pair('card', 'cast(h AS bigint)', 'power(10, w div 2)', 'power(10, w - w div 2)')} AS string), w, '0')"))
     card = bind("g", DIGITS, f"if({luhn('g', False)} % 10 = 0, {refill('m', bind('q', head, f'concat(q, cast(pmod(-({luhn('q', True)}), 10) AS string))'))}, null)")
-    # phones: 800 x 800 x 10000 numbers with valid area and exchange codes, else any ten digits
-    ten = "cast(substring(g, -10) AS bigint)"
-    valid = f"({ten} div 10000000 >= 200 AND {ten} div 10000 % 1000 >= 200)"
-    rank = f"(({ten} div 10000000 - 200) * 800 + ({ten} div 10000 % 1000 - 200)) * 10000 + {ten} % 10000"
+    # phones: 800 x 800 x 10000 numbers have valid area and exchange codes; the other 360000 x 10000 are permuted among themselves
+    ten, area, exchange = (f"cast(substring(g, {x}) AS bigint)" for x in ("-10", "-10, 3", "-7, 3"))
+    valid = f"({area} >= 200 AND {exchange} >= 200)"
+    rank = f"(({area} - 200) * 800 + {exchange} - 200) * 10000 + {ten} % 10000"
     back = "((v div 8000000) + 200) * 10000000 + ((v div 10000) % 800 + 200) * 10000 + v % 10000"
-    number = f"if({valid}, {bind('v', net.pair('phone', rank, '80000', '80000'), back)}, {net.pair('phone any', ten, '100000', '100000')})"
+    other = f"if({area} < 200, {area} * 1000 + {exchange}, 200000 + ({area} - 200) * 200 + {exchange}) * 10000 + {ten} % 10000"
+    other_back = "if(v < 2000000000, v, ((v - 2000000000) div 2000000 + 200) * 10000000 + (v - 2000000000) % 2000000)"
+    number = f"if({valid}, {bind('v', net.pair('phone', rank, '80000', '80000'), back)}, {bind('v', net.pair('phone other', other, '60000', '60000'), other_back)})"
     phone = bind("g", DIGITS, refill("m", f"concat(substring(g, 1, char_length(g) - 10), lpad(cast({number} AS string), 10, '0'))"))
     # identity numbers: 898 areas (no 666) x 99 groups x 9999 serials
     area, group, serial = ("cast(substring(m, %d, %d) AS bigint)" % x for x in ((1, 3), (5, 2), (8, 4)))

@@ -68,7 +68,9 @@ def brute_phone(m):
         v = pair("phone", ((area - 200) * 800 + exchange - 200) * 10000 + line, 80000, 80000)
         t = (v // 8000000 + 200) * 10**7 + (v // 10000 % 800 + 200) * 10**4 + v % 10**4
     else:
-        t = pair("phone any", t, 10**5, 10**5)
+        v = pair("phone other", (area * 1000 + exchange if area < 200 else 200000 + (area - 200) * 200 + exchange) * 10000 + line, 60000, 60000)
+        w = v - 2 * 10**9
+        t = v if w < 0 else (w // 2000000 + 200) * 10**7 + w % 2000000
     return refill(m, d[:-10] + str(t).zfill(10))
 
 
