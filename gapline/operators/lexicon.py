@@ -1,0 +1,97 @@
+"""The lexicon of known terms, and which of them a span or a document names.
+
+A scan takes, at each word not yet consumed, the longest window of words whose canonical key is known. In Spark: only
+words that can begin a term start windows, windows join the lexicon, the longest one of each start is kept, and a
+fold over the starts of a span drops those inside an earlier window. Each distinct span is scanned once.
+"""
+
+from __future__ import annotations
+
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gapline import constants as C
+from gapline.functions import text as T
+
+SKILL_SOURCES = C.TECHNICAL_SKILLS + C.TOOLS + C.SOFT_SKILLS + C.EXTRA_SKILLS
+QUALIFICATION_SOURCES = C.DEGREES + C.FIELDS + C.STANDALONE_DEGREES + C.QUALIFICATIONS
+
+
+def canonical_set(spark: SparkSession, terms: list[str]) -> DataFrame:
+    """(term): the distinct canonical keys of raw terms."""
+    return spark.createDataFrame([(t,) for t in terms], "raw string").select(T.canonical(F.col("raw")).alias("term")).filter("term <> ''").distinct()
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    """(term, is_skill, is_qualification): some 350 rows, from the constants alone."""
+    skills = canonical_set(spark, SKILL_SOURCES).withColumn("is_skill", F.lit(True))
+    return skills.join(canonical_set(spark, QUALIFICATION_SOURCES).withColumn("is_qualification", F.lit(True)), "term", "full").na.fill(False)
+
+
+@cache
+def known_terms(spark: SparkSession) -> tuple[tuple[str, bool, bool], ...]:
+    """The lexicon's rows on the driver; their number is that of the constants."""
+    return tuple(sorted((r["term"], r["is_skill"], r["is_qualification"]) for r in lexicon(spark).collect()))
+
+
+def known(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(known_terms(spark)), "term string, is_skill boolean, is_qualification boolean")
+
+
+@cache
+def most_words(spark: SparkSession) -> int:
+    """The longest term's words: no window need be longer."""
+    return max(len(t.split(" ")) for t, *_ in known_terms(spark))
+
+
+@cache
+def start_words(spark: SparkSession) -> tuple[str, ...]:
+    """First words of known terms and of aliases."""
+    return tuple(sorted({t.split(" ")[0] for t, *_ in known_terms(spark)} | {a.split(" ")[0] for a in T.ALIAS_NORMAL}))
+
+
+def readable_words(span: Column) -> Column:
+    return F.filter(T.chunks(span), lambda w: w.rlike(T.ALNUM))
+
+
+def can_start(word: Column, starts: tuple[str, ...]) -> Column:
+    """Can a known window begin here? Words that normalize to nothing take part in windows, too."""
+    first = F.get(F.split(T.normalize(word), " "), 0)
+    return (first == "") | T.is_in(first, starts) | T.is_in(T.fold_plural(first), starts)
+
+
+def named_windows(rows: DataFrame, key: str, words: Column) -> DataFrame:
+    """(key, hits): hits is the array of struct(i, k, term) of known windows that the scan consumes, in order.
+    i: place of the first word, k: how many. Only keys with hits."""
+    spark = rows.sparkSession
+    width, starts = most_words(spark), start_words(spark)
+    own = rows.select(F.col(key).alias("__key"), words.alias("w"))
+    places = F.filter(F.transform("w", lambda w, i: F.when(can_start(w, starts), i)), lambda i: i.isNotNull())
+    written = F.transform(F.filter("w", lambda w: w.rlike("^[A-Za-z0-9]$")), F.lower)
+    own = own.select("__key", "w", written.alias("single"), F.explode(places).alias("i"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(width), F.size("w") - F.col("i")))
+    windows = own.select("__key", "single", "i", F.slice("w", F.col("i") + 1, F.lit(width)).alias("w"), F.explode(sizes).alias("k"))
+    windows = windows.select("__key", "single", "i", "k", T.canonical(F.array_join(F.slice("w", F.lit(1), F.col("k")), " ")).alias("term"))
+    hits = windows.join(F.broadcast(known(spark).select("term")), "term")  # the lexicon: a constant
+    hits = hits.filter((F.char_length("term") > 1) | F.array_contains("single", F.col("term")))
+    longest = hits.groupBy("__key", "i").agg(F.max("k").alias("k"), F.max_by("term", "k").alias("term"))
+    found = longest.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("i", "k", "term"))).alias("hits"))  # of one span
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<i:int,k:int,term:string>>").alias("out"))
+    step = lambda s, h: F.when(h["i"] >= s["free"], F.struct((h["i"] + h["k"]).alias("free"), F.concat(s["out"], F.array(h)).alias("out"))).otherwise(s)
+    return found.select(F.col("__key").alias(key), F.aggregate("hits", start, step, lambda s: s["out"]).alias("hits"))
+
+
+def recognised(spans: DataFrame) -> DataFrame:
+    """(span, terms, best) for each distinct span that names a known term. terms: sorted; best: of most words, then
+    most characters, then the first by name."""
+    found = named_windows(spans.select("span").filter("span is not null").distinct(), "span", readable_words(F.col("span")))
+    terms = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["term"])))
+    rank = lambda t: F.struct((-F.size(F.split(t, " "))).alias("w"), (-F.char_length(t)).alias("c"), t.alias("t"))
+    return found.select("span", terms.alias("terms")).withColumn("best", F.array_min(F.transform("terms", rank))["t"])
+
+
+def span_terms(spans: DataFrame) -> DataFrame:
+    """Adds `terms` (empty where none is named) and `best` to spans."""
+    return spans.join(recognised(spans), "span", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
