@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from gapline import constants as C
 
 #: Inside brackets.
-SPACES = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE, ALNUM, HIDDEN = f"[{SPACES}]", r"[\p{L}\p{N}]", r"[\p{Cf}\p{Cc}]"
 TOKEN = rf"[A-Za-z0-9]+(?:[+#.\-][A-Za-z0-9]+)*[+#]*|[^{SPACES}A-Za-z0-9]"
 
 
+def bind(col: Column, use) -> Column:
+    """`use(col)` with the column worked out once, however often it occurs in it."""
+    return F.get(F.transform(F.array(col), use), 0)
+
+
 def is_in(col: Column, values) -> Column:
     """Membership in a fixed list; Spark tests it with a hash set."""
     return col.isin(*values)
@@ -64,9 +69,8 @@ def visible_text(col: Column) -> Column:
 
 def scan_invisible(col: Column) -> Column:
     """struct(trimmed, interior): without hidden characters at the ends, and the first one left inside, or null."""
-    trimmed = F.regexp_replace(col, f"^{HIDDEN}+|{HIDDEN}+$", "")
-    inner = F.regexp_extract(trimmed, f"({HIDDEN})", 1)
-    return F.struct(trimmed.alias("trimmed"), F.when(inner != "", inner).alias("interior"))
+    inner = lambda t: F.nullif(F.regexp_extract(t, f"({HIDDEN})", 1), F.lit(""))
+    return bind(F.regexp_replace(col, f"^{HIDDEN}+|{HIDDEN}+$", ""), lambda t: F.struct(t.alias("trimmed"), inner(t).alias("interior")))
 
 
 # --- canonical keys -------------------------------------------------------------------------------------------
@@ -78,8 +82,8 @@ def collapse_acronym(word: Column) -> Column:
 
 
 def _clean_word(word: Column) -> Column:
-    bare = F.regexp_replace(word, r"^\.+|\.+$", "")
-    return collapse_acronym(F.when(bare == "", word).otherwise(bare))
+    bare = F.nullif(F.regexp_replace(word, r"^\.+|\.+$", ""), F.lit(""))
+    return bind(F.coalesce(bare, word), collapse_acronym)
 
 
 def normalize(col: Column) -> Column:
@@ -123,7 +127,7 @@ ALIAS_FOLDED = {k: " ".join(map(_py_fold, v.split())) for k, v in ALIAS_NORMAL.i
 
 def _look_up(col: Column, table: dict[str, str]) -> Column:
     literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.when(is_in(col, table), F.try_element_at(literal, col)).otherwise(col)
+    return bind(col, lambda c: F.when(is_in(c, table), F.try_element_at(literal, c)).otherwise(c))
 
 
 def canonical(col: Column) -> Column:
@@ -141,17 +145,22 @@ def is_generic(canon: Column) -> Column:
 
 def trim_edge_punctuation(span: Column) -> Column:
     """Without words at either end that hold no letter or digit."""
-    words = chunks(span)
-    marks = F.transform(words, lambda w: w.rlike(ALNUM))
-    first = F.array_position(marks, True)
-    last = F.size(words) - F.array_position(F.reverse(marks), True) + 1
-    return F.when(first == 0, F.lit("")).otherwise(F.array_join(F.slice(words, F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0))), " "))
+
+    def cut(z: Column) -> Column:
+        first = F.array_position(z["marks"], True)
+        last = F.size(z["words"]) - F.array_position(F.reverse(z["marks"]), True) + 1
+        kept = F.slice(z["words"], F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0)))
+        return F.when(first == 0, F.lit("")).otherwise(F.array_join(kept, " "))
+
+    readable = lambda words: F.transform(words, lambda w: w.rlike(ALNUM))
+    both = bind(chunks(span), lambda words: F.struct(words.alias("words"), readable(words).alias("marks")))
+    return bind(both, cut)
 
 
 def is_word(chunk: Column) -> Column:
     """An ordinary written word: short, with an ASCII letter, of letters, digits and in-word marks."""
     core = F.regexp_replace(chunk, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return (F.char_length(core) <= C.MOST_WORD_CHARS) & core.rlike("[A-Za-z]") & core.rlike(r"^[\p{L}\p{N}+#.\-'&/]+$")
+    return bind(core, lambda c: (F.char_length(c) <= C.MOST_WORD_CHARS) & c.rlike("[A-Za-z]") & c.rlike(r"^[\p{L}\p{N}+#.\-'&/]+$"))
 
 
 def words(col: Column) -> Column:

@@ -46,12 +46,6 @@ def most_words(spark: SparkSession) -> int:
     return max(len(t.split(" ")) for t, *_ in known_terms(spark))
 
 
-@cache
-def start_words(spark: SparkSession) -> tuple[str, ...]:
-    """First words of known terms and of aliases."""
-    return tuple(sorted({t.split(" ")[0] for t, *_ in known_terms(spark)} | {a.split(" ")[0] for a in T.ALIAS_NORMAL}))
-
-
 def readable_words(span: Column) -> Column:
     return F.filter(T.chunks(span), lambda w: w.rlike(T.ALNUM))
 
@@ -62,11 +56,13 @@ def can_start(word: Column, starts: tuple[str, ...]) -> Column:
     return (first == "") | T.is_in(first, starts) | T.is_in(T.fold_plural(first), starts)
 
 
-def named_windows(rows: DataFrame, key: str, words: Column) -> DataFrame:
+def named_windows(rows: DataFrame, key: str, words: Column, terms: tuple[str, ...] | None = None) -> DataFrame:
     """(key, hits): hits is the array of struct(i, k, term) of known windows that the scan consumes, in order.
-    i: place of the first word, k: how many. Only keys with hits."""
+    i: place of the first word, k: how many. Only keys with hits. terms: canonical keys, if not the lexicon's."""
     spark = rows.sparkSession
-    width, starts = most_words(spark), start_words(spark)
+    terms = terms or tuple(t for t, *_ in known_terms(spark))
+    width = max(len(t.split(" ")) for t in terms)
+    starts = tuple({t.split(" ")[0] for t in terms} | {a.split(" ")[0] for a in T.ALIAS_NORMAL})
     own = rows.select(F.col(key).alias("__key"), words.alias("w"))
     places = F.filter(F.transform("w", lambda w, i: F.when(can_start(w, starts), i)), lambda i: i.isNotNull())
     written = F.transform(F.filter("w", lambda w: w.rlike("^[A-Za-z0-9]$")), F.lower)
@@ -74,7 +70,8 @@ def named_windows(rows: DataFrame, key: str, words: Column) -> DataFrame:
     sizes = F.sequence(F.lit(1), F.least(F.lit(width), F.size("w") - F.col("i")))
     windows = own.select("__key", "single", "i", F.slice("w", F.col("i") + 1, F.lit(width)).alias("w"), F.explode(sizes).alias("k"))
     windows = windows.select("__key", "single", "i", "k", T.canonical(F.array_join(F.slice("w", F.lit(1), F.col("k")), " ")).alias("term"))
-    hits = windows.join(F.broadcast(known(spark).select("term")), "term")  # the lexicon: a constant
+    vocabulary = spark.createDataFrame([(t,) for t in terms], "term string")
+    hits = windows.join(F.broadcast(vocabulary), "term")  # a constant
     hits = hits.filter((F.char_length("term") > 1) | F.array_contains("single", F.col("term")))
     longest = hits.groupBy("__key", "i").agg(F.max("k").alias("k"), F.max_by("term", "k").alias("term"))
     found = longest.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("i", "k", "term"))).alias("hits"))  # of one span
