@@ -15,6 +15,7 @@ from gapline.plans import analysis
 from gapline.plans import oracle as O
 from gapline.plans.inputs import Inputs, values
 from gapline.plans.labellers import lexicon_labeller, vocabulary
+from gapline.session import ship_package
 from gapline.sources import conll, datagen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,7 @@ def query(sql: str | None = None):
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, spread over the cluster's cores: a file of one row group is a single task otherwise."""
+    ship_package(spark)
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return found.repartition(spark.sparkContext.defaultParallelism) if found.rdd.getNumPartitions() == 1 else found
 
