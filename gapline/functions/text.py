@@ -22,9 +22,13 @@ def bind(col: Column, use) -> Column:
     return F.get(F.transform(F.array(col), use), 0)
 
 
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def is_in(col: Column, values) -> Column:
-    """Membership in a fixed list; Spark tests it with a hash set."""
-    return col.isin(*values)
+    """Membership in a short fixed list; the list is one parsed literal, as a call for each value is slow to build."""
+    return F.array_contains(F.expr(f"array({', '.join(map(sql_text, values))})"), col)
 
 
 def strip(col: Column) -> Column:
@@ -126,8 +130,8 @@ ALIAS_FOLDED = {k: " ".join(map(_py_fold, v.split())) for k, v in ALIAS_NORMAL.i
 
 
 def _look_up(col: Column, table: dict[str, str]) -> Column:
-    literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return bind(col, lambda c: F.when(is_in(c, table), F.try_element_at(literal, c)).otherwise(c))
+    literal = F.expr(f"map({', '.join(sql_text(x) for pair in table.items() for x in pair)})")
+    return bind(col, lambda c: F.coalesce(F.try_element_at(literal, c), c))
 
 
 def canonical(col: Column) -> Column:

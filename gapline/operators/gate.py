@@ -37,9 +37,9 @@ def unreadable(text: Column, side: str) -> Column:
     )
 
 
-def recognised_counts(spans: DataFrame) -> DataFrame:
+def recognised_counts(spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(doc_key, n_terms): distinct best terms of the spans that are compared."""
-    rows = span_terms(spans.filter(F.col("category").isin(*C.COMPARABLE)))
+    rows = span_terms(spans.filter(F.col("category").isin(*C.COMPARABLE)), terms)
     return rows.groupBy("doc_key").agg(F.countDistinct("best").alias("n_terms"))
 
 
@@ -63,9 +63,9 @@ def resume_problem(text: Column, n_terms: Column) -> Column:
     return F.coalesce(unreadable(text, "resume"), nothing)
 
 
-def problems(docs: DataFrame, spans: DataFrame, problem) -> DataFrame:
+def problems(docs: DataFrame, spans: DataFrame, problem, terms: DataFrame | None = None) -> DataFrame:
     """(doc_key, problem): each document's finding, once a document."""
-    joined = docs.select("doc_key", "text").join(recognised_counts(spans), "doc_key", "left")
+    joined = docs.select("doc_key", "text").join(recognised_counts(spans, terms), "doc_key", "left")
     return joined.select("doc_key", problem(F.col("text"), F.col("n_terms")).alias("problem"))
 
 
@@ -78,9 +78,9 @@ def verdict(jd: Column, resume: Column) -> Column:
     return F.when(F.size(both) > 0, reason)
 
 
-def gate(pairs: DataFrame, jd_docs: DataFrame, jd_spans: DataFrame, resume_docs: DataFrame, resume_spans: DataFrame) -> DataFrame:
+def gate(pairs: DataFrame, jd_docs: DataFrame, jd_spans: DataFrame, resume_docs: DataFrame, resume_spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(pair_id, jd_key, resume_key, problem)."""
-    left = problems(jd_docs, jd_spans, jd_problem).select(F.col("doc_key").alias("jd_key"), F.col("problem").alias("p"))
-    right = problems(resume_docs, resume_spans, resume_problem).select(F.col("doc_key").alias("resume_key"), F.col("problem").alias("q"))
+    left = problems(jd_docs, jd_spans, jd_problem, terms).select(F.col("doc_key").alias("jd_key"), F.col("problem").alias("p"))
+    right = problems(resume_docs, resume_spans, resume_problem, terms).select(F.col("doc_key").alias("resume_key"), F.col("problem").alias("q"))
     joined = pairs.join(left, "jd_key", "left").join(right, "resume_key", "left")
     return joined.select("pair_id", "jd_key", "resume_key", verdict(F.col("p"), F.col("q")).alias("problem"))

@@ -50,10 +50,10 @@ def readable_words(span: Column) -> Column:
     return F.filter(T.chunks(span), lambda w: w.rlike(T.ALNUM))
 
 
-def can_start(word: Column, starts: tuple[str, ...]) -> Column:
-    """Can a known window begin here? Words that normalize to nothing take part in windows, too."""
-    first = F.get(F.split(T.normalize(word), " "), 0)
-    return (first == "") | T.is_in(first, starts) | T.is_in(T.fold_plural(first), starts)
+def first_parts(words: Column) -> Column:
+    """For each word, its first normalized part as it is (f) and in the singular (g)."""
+    first = F.transform(words, lambda w: F.get(F.split(T.normalize(w), " "), 0))
+    return F.transform(first, lambda f: F.struct(f.alias("f"), T.fold_plural(f).alias("g")))
 
 
 def named_windows(rows: DataFrame, key: str, words: Column, terms: tuple[str, ...] | None = None) -> DataFrame:
@@ -63,8 +63,11 @@ def named_windows(rows: DataFrame, key: str, words: Column, terms: tuple[str, ..
     terms = terms or tuple(t for t, *_ in known_terms(spark))
     width = max(len(t.split(" ")) for t in terms)
     starts = tuple({t.split(" ")[0] for t in terms} | {a.split(" ")[0] for a in T.ALIAS_NORMAL})
-    own = rows.select(F.col(key).alias("__key"), words.alias("w"))
-    places = F.filter(F.transform("w", lambda w, i: F.when(can_start(w, starts), i)), lambda i: i.isNotNull())
+    own = rows.select(F.col(key).alias("__key"), words.alias("w")).withColumn("f", first_parts(F.col("w")))
+    # words that can begin a term, and those that normalize to nothing, which take part in windows; Spark tests the
+    # list with a hash set
+    listed = ", ".join(map(T.sql_text, starts))
+    places = F.expr(f"filter(transform(f, (z, i) -> if(z.f = '' OR z.f IN ({listed}) OR z.g IN ({listed}), i, null)), i -> i IS NOT NULL)")
     written = F.transform(F.filter("w", lambda w: w.rlike("^[A-Za-z0-9]$")), F.lower)
     own = own.select("__key", "w", written.alias("single"), F.explode(places).alias("i"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(width), F.size("w") - F.col("i")))
@@ -89,6 +92,7 @@ def recognised(spans: DataFrame) -> DataFrame:
     return found.select("span", terms.alias("terms")).withColumn("best", F.array_min(F.transform("terms", rank))["t"])
 
 
-def span_terms(spans: DataFrame) -> DataFrame:
-    """Adds `terms` (empty where none is named) and `best` to spans."""
-    return spans.join(recognised(spans), "span", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+def span_terms(spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Adds `terms` (empty where none is named) and `best` to spans. terms: what `recognised` gives, if at hand."""
+    found = recognised(spans) if terms is None else terms
+    return spans.join(found, "span", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))

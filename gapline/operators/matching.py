@@ -22,16 +22,16 @@ def of(spans: DataFrame, *categories: str) -> DataFrame:
     return spans.filter(F.col("category").isin(*categories))
 
 
-def document_terms(spans: DataFrame) -> DataFrame:
+def document_terms(spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(doc_key, term): what a document names, in whichever category."""
-    return span_terms(spans).select("doc_key", F.explode("terms").alias("term")).distinct()
+    return span_terms(spans, terms).select("doc_key", F.explode("terms").alias("term")).distinct()
 
 
-def skill_gaps(pairs: DataFrame, jd: DataFrame, resume: DataFrame) -> DataFrame:
+def skill_gaps(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """An item of a skill category is a gap if it is the first in its category to name a term that the candidate
     never names."""
-    wanted = span_terms(of(jd, *C.SKILL_CATEGORIES)).select(F.col("doc_key").alias("jd_key"), "category", "ord", "span", F.explode("terms").alias("term"))
-    held = document_terms(resume).withColumnRenamed("doc_key", "resume_key")
+    wanted = span_terms(of(jd, *C.SKILL_CATEGORIES), terms).select(F.col("doc_key").alias("jd_key"), "category", "ord", "span", F.explode("terms").alias("term"))
+    held = document_terms(resume, terms).withColumnRenamed("doc_key", "resume_key")
     missing = pairs.join(wanted, "jd_key").join(held, ["resume_key", "term"], "left_anti")
     first = missing.groupBy("pair_id", "category", "term").agg(F.min(F.struct("ord", "span")).alias("item"))
     return first.select("pair_id", "category", "item.ord", "item.span").distinct()
@@ -63,9 +63,9 @@ def experience_gaps(pairs: DataFrame, jd: DataFrame, resume: DataFrame) -> DataF
     return above.filter("years > held").select(*GAP)
 
 
-def find_missing(pairs: DataFrame, jd: DataFrame, resume: DataFrame) -> DataFrame:
+def find_missing(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """All gaps. Categories outside the label scheme and job titles are left out."""
-    found = skill_gaps(pairs, jd, resume).unionByName(degree_gaps(pairs, jd, resume))
+    found = skill_gaps(pairs, jd, resume, terms).unionByName(degree_gaps(pairs, jd, resume))
     return found.unionByName(experience_gaps(pairs, jd, resume))
 
 
@@ -84,10 +84,10 @@ def note(parts: tuple[str, str], spans: Column) -> Column:
     return F.concat(F.lit(parts[0]), T.quote_spans(spans), F.lit(parts[1]))
 
 
-def _facts(spans: DataFrame) -> DataFrame:
+def _facts(spans: DataFrame, terms: DataFrame | None) -> DataFrame:
     """One row a document, with the lists that its notes name."""
     years, level = parse_years(F.col("span")), degree_level(F.col("span"))
-    rows = span_terms(spans).withColumns({"years": years, "level": level, "generic": T.is_generic(T.canonical(F.col("span")))})
+    rows = span_terms(spans, terms).withColumns({"years": years, "level": level, "generic": T.is_generic(T.canonical(F.col("span")))})
     skill, qualification, experience = F.col("category").isin(*C.SKILL_CATEGORIES), F.col("category") == "qualification", F.col("category") == "yearofexperience"
     return rows.groupBy("doc_key").agg(
         _listed(skill & (F.size("terms") == 0) & ~F.col("generic")).alias("unverified"),
@@ -98,10 +98,10 @@ def _facts(spans: DataFrame) -> DataFrame:
     )
 
 
-def find_notes(pairs: DataFrame, jd: DataFrame, resume: DataFrame) -> DataFrame:
+def find_notes(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(pair_id, notes): what the comparison left out, in a fixed order; an empty array if nothing."""
-    left = _facts(jd).select(F.col("doc_key").alias("jd_key"), *[F.col(c).alias(f"j_{c}") for c in ("unverified", "unrankable", "ranked", "durations", "n_years")])
-    right = _facts(resume).select(F.col("doc_key").alias("resume_key"), *[F.col(c).alias(f"r_{c}") for c in ("ranked", "durations", "n_years")])
+    left = _facts(jd, terms).select(F.col("doc_key").alias("jd_key"), *[F.col(c).alias(f"j_{c}") for c in ("unverified", "unrankable", "ranked", "durations", "n_years")])
+    right = _facts(resume, terms).select(F.col("doc_key").alias("resume_key"), *[F.col(c).alias(f"r_{c}") for c in ("ranked", "durations", "n_years")])
     both = pairs.join(left, "jd_key", "left").join(right, "resume_key", "left")
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     number = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.functions import text as T
 from gapline.operators import compose
 from gapline.operators.gate import gate
+from gapline.operators.lexicon import recognised
 from gapline.operators.matching import find_missing, find_notes
 from gapline.operators.sequence import clean_spans, group_words
 from gapline.plans.labellers import lexicon_labeller
@@ -23,13 +26,20 @@ def extract_spans(docs: DataFrame, labeller: Labeller = lexicon_labeller) -> Dat
     return clean_spans(group_words(labeller(ready)))
 
 
+def all_terms(*spans: DataFrame) -> DataFrame:
+    """What the distinct spans of all sides name, kept so that gate, gaps and notes scan each span once in all."""
+    every = reduce(DataFrame.union, [s.select("span") for s in spans])
+    return recognised(every).persist(StorageLevel.DISK_ONLY)
+
+
 def analyze_spans(pairs: DataFrame, jd_docs: DataFrame, jd_spans: DataFrame, resume_docs: DataFrame, resume_spans: DataFrame) -> DataFrame:
     """(pair_id, problem, missing, notes). Pairs that the gate refuses are not compared: null missing and notes,
     where pairs without gaps have an empty array."""
-    judged = gate(pairs, jd_docs, jd_spans, resume_docs, resume_spans)
+    terms = all_terms(jd_spans, resume_spans)
+    judged = gate(pairs, jd_docs, jd_spans, resume_docs, resume_spans, terms)
     passed = judged.filter("problem is null").select("pair_id", "jd_key", "resume_key")
-    missing = compose.grouped(find_missing(passed, jd_spans, resume_spans), "pair_id").withColumnRenamed("items", "missing")
-    notes = find_notes(passed, jd_spans, resume_spans)
+    missing = compose.grouped(find_missing(passed, jd_spans, resume_spans, terms), "pair_id").withColumnRenamed("items", "missing")
+    notes = find_notes(passed, jd_spans, resume_spans, terms)
     joined = judged.join(missing, "pair_id", "left").join(notes, "pair_id", "left")
     none = F.array().cast("array<struct<ord:int,category:string,span:string>>")
     open_pair = F.col("problem").isNull()
