@@ -41,7 +41,10 @@ def lexicon_labeller(docs: DataFrame) -> DataFrame:
     hits = named_windows(docs, "doc_key", T.tokenize(F.col("text")), tuple(t for t, _ in known))
     types = docs.sparkSession.createDataFrame(list(known), "term string, type string")
     marks = hits.select("doc_key", F.explode("hits").alias("h")).select("doc_key", "h.*").join(F.broadcast(types), "term")  # a constant
-    places = F.explode(F.sequence(F.col("i"), F.col("i") + F.col("k") - 1))
+    # a dot written flush before the first word belongs to the entity: .NET
+    dots = tokens(docs).filter("glued").select("doc_key", (F.col("pos") + 1).alias("i"), F.lit(1).alias("dot"))
+    marks = marks.join(dots, ["doc_key", "i"], "left").withColumn("i", F.col("i") - F.coalesce("dot", F.lit(0)))
+    places = F.explode(F.sequence(F.col("i"), F.col("i") + F.col("k") + F.coalesce("dot", F.lit(0)) - 1))
     marks = marks.select("doc_key", "i", "type", places.alias("pos"))
     labels = marks.select("doc_key", "pos", F.concat(F.when(F.col("pos") == F.col("i"), F.lit("B-")).otherwise(F.lit("I-")), "type").alias("label"))
     return tokens(docs).join(labels, ["doc_key", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))

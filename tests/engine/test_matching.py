@@ -103,12 +103,14 @@ def test_whole_texts(spark):
             ("j", "We are hiring a Senior Software Engineer with 5 years of experience in Python, PyTorch and K8s.\nMaster of Science in Computer Science preferred."),
             ("r", "Data Scientist, 6 years, Python and Kubernetes, torch. PhD in Physics."),
             ("long", "nothing here " * 1300 + "Python and PyTorch"),
+            ("dot", "Knows .NET. Git too"),
             ("empty", None),
         ],
         "doc_key string, text string",
     )
     spans = analysis.extract_spans(docs)
     assert {r["span"] for r in spans.filter("doc_key = 'long'").collect()} == {"Python", "PyTorch"}
+    assert {r["span"] for r in spans.filter("doc_key = 'dot'").collect()} == {".NET", "Git"}
     pairs = spark.createDataFrame([(1, "j", "r"), (2, "r", "j"), (3, "j", "empty")], "pair_id long, jd_key string, resume_key string")
     result = {r["pair_id"]: r for r in analysis.write_feedback(analysis.analyze(pairs, docs)).collect()}
     assert result[1]["missing"] == [] and result[1]["problem"] is None
