@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapline.llm.common import LOWER_ASCII, chunks_by_bytes, encode, materialize
@@ -66,17 +66,17 @@ def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprint_column(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprint_column(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keys, fp): fp is the fingerprint as a signed long."""
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             texts = [encode(t) for t in rows["text"]]
             parts = [fingerprints(texts[p]) for p in chunks_by_bytes([len(t) for t in texts], 2_000_000)]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": np.concatenate(parts or [np.zeros(0, np.uint64)]).view(np.int64)})
+            yield rows[list(keys)].assign(fp=np.concatenate(parts or [np.zeros(0, np.uint64)]).view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select(*keys, "text").mapInPandas(run, f"{kinds}, fp long")
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,23 +147,31 @@ def near_pairs(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return by_anchor.mapInPandas(lambda batches: compare_sorted(batches, threshold), "a long, b long")
 
 
+def components_of(prints: DataFrame, first: Column, threshold: int) -> DataFrame:
+    """(fp, first, component) for each distinct fingerprint; first: an aggregate over its rows."""
+    distinct = prints.groupBy("fp").agg(first.alias("first"))
+    parts = connected_components(near_pairs(prints, threshold))
+    labelled = distinct.join(parts, distinct["fp"] == parts["node"], "left")
+    return materialize(labelled.select("fp", "first", F.coalesce("component", "fp").alias("component")), "components")
+
+
 def simhash_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of `docs`."""
     prints = materialize(fingerprint_column(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = connected_components(near_pairs(prints, threshold))
-    labelled = distinct.join(parts, distinct["fp"] == parts["node"], "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
-    )
-    labelled = materialize(labelled, "components")
-    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    labelled = components_of(prints, F.min("doc_id"), threshold)
+    least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     by_print = labelled.join(least, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each component: that of the smallest doc_id, with all its columns. Rows repeated under that
-    id leave one; components without any id leave one row."""
-    found = simhash_components(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = found.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component with all its columns: the first by (doc_id, text hash), a null doc_id after all
+    others. Rows that repeat its doc_id and text leave one; rows that share a doc_id only, or have none, are told
+    apart by their texts."""
+    keyed = docs.withColumn("__th", F.xxhash64("text"))
+    prints = materialize(fingerprint_column(keyed, ("doc_id", "__th")), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "__th")
+    heads = components_of(prints, F.min(place), threshold).groupBy("component").agg(F.min("first").alias("head"))
+    heads = heads.select(F.col("head.doc_id").alias("__id"), F.col("head.__th").alias("__head"))
+    chosen = keyed.join(heads, keyed["doc_id"].eqNullSafe(heads["__id"]) & (keyed["__th"] == heads["__head"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__th"]).drop("__th")

@@ -62,3 +62,13 @@ def test_large_group_links_without_all_pairs():
     fp = np.arange(2000, dtype=np.int64)
     links = simhash._forest(fp, np.ones(2000, bool), 3)
     assert len(links) == 1999
+
+
+def test_keep_first_keeps_a_row_of_each_component(spark):
+    """Different texts without an id, or under one id, are all kept; copies are not."""
+    rng = np.random.default_rng(6)
+    a, b, c, d, e, f = (" ".join(rng.choice(["k", "l", "m", "n", "o", "p", "q", "r"], 80)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, a), (None, c), (3, c), (5, d), (5, e), (5, e), (4, f), (6, f), (6, d)]
+    got = simhash.keep_first(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int"))
+    assert got.columns == ["doc_id", "text", "n"]
+    assert sorted(map(str, (tuple(r)[:2] for r in got.collect()))) == sorted(map(str, [(None, a), (None, b), (3, c), (5, d), (5, e), (4, f)]))
