@@ -19,9 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that repeat, exactly or but for an edit, the first stays. A document goes if lines were removed
+    """Of lines that repeat, exactly or, if long, but for an edit, the first stays. A document goes if lines were removed
     from it and nothing but white space is left: all it said is said before."""
-    kept = linededup.dedup_lines(docs).filter(r"n_removed = 0 or text rlike '[^\\s]'")
+    kept = linededup.dedup_lines(docs, short=True).filter(r"n_removed = 0 or text rlike '[^\\s]'")
     changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long"))
     return kept.withColumn("n_chars", F.coalesce(changed, "n_chars")).select(*docs.columns)
 

@@ -2,7 +2,8 @@
 
 Lines of at least ``LEAST_CHARS`` characters are compared across all documents; lines at most THRESHOLD = 1 edit
 (inserted, deleted or replaced character) apart are linked, and the classes are the connected components. Of each
-class the first line by (doc_id, text hash, line number) stays, the others go.
+class the first line by (doc_id, text hash, line number) stays, the others go. With ``short``, shorter lines that
+are not blank are classed too, by equality: of equal ones the first stays.
 
 A line is split into THRESHOLD + 1 = 2 segments. If two lines are one edit apart, one segment of the shorter
 line stands unchanged in the other one, at the same distance from its begin or from its end. Each line is listed
@@ -18,9 +19,10 @@ and are linked to one of them. Rows thus stay linear in the bucket, however larg
 Texts are not shuffled for the join: what is counted are hashes (two independent 64-bit hashes stand for a line);
 lines are fetched for buckets that hold at least two of them.
 
-Defined cases: a null text stays null, an empty one empty; shorter lines are neither compared nor removed; rows
-that repeat a doc_id and its text get the same result each; a null doc_id comes after all others; all columns are
-kept, those named like the added ones are replaced; an empty table gives no rows.
+Defined cases: a null text stays null, an empty one empty; without ``short``, shorter lines are neither compared
+nor removed, and shorter blank lines never are; rows that repeat a doc_id and its text get the same result each;
+a null doc_id comes after all others; all columns are kept, those named like the added ones are replaced; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -67,10 +69,12 @@ def banded_distance(x: str, y: str, threshold: int) -> Column:
                   z -> least({k + 1}, z.d - ({down}))) END), 1)""")
 
 
-def line_rows(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, th, line_no, line, a, b) for each line that is compared. th: hash of the text; a, b: of the line."""
+def line_rows(docs: DataFrame, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
+    """(doc_id, th, line_no, line, a, b) for each line that is compared, or with `short` each shorter one that is not
+    blank as well. th: hash of the text; a, b: of the line."""
+    compared = F.char_length("line") >= least
     lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.filter(F.char_length("line") >= least).select(
+    return lines.filter(compared | F.col("line").rlike(r"[^\s]") if short else compared).select(
         "*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")
     )
 
@@ -141,10 +145,10 @@ def links(lines: DataFrame, small: int = SMALL) -> DataFrame:
             return reduce(DataFrame.unionByName, found)
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, small: int = SMALL) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, small: int = SMALL, short: bool = False) -> DataFrame:
     """(doc_id, th, line_no) of each line that another one of its class precedes."""
-    lines = line_rows(docs.select("doc_id", "text"), least)
-    joined = links(lines, small)
+    lines = line_rows(docs.select("doc_id", "text"), least, short)
+    joined = links(line_rows(docs.select("doc_id", "text"), least), small)
     parts = connected_components(joined).select(F.col("node").alias("line_id"), "component")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "line_no")
     seen = lines.select("a", "b", place.alias("place"))
@@ -156,9 +160,9 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, small: int = SMALL
     return again.filter("place <> head").select("place.doc_id", "place.th", "place.line_no")
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, small: int = SMALL) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, small: int = SMALL, short: bool = False) -> DataFrame:
     """All columns of `docs`, `text` without repeated lines, with n_lines and n_removed."""
-    gone = materialize(repeated_lines(docs, least, small), "lines-gone")
+    gone = materialize(repeated_lines(docs, least, small, short), "lines-gone")
     gone = gone.groupBy("doc_id", "th").agg(F.collect_list("line_no").alias("__gone"))  # of one document, once each
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__gone")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

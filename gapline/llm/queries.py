@@ -56,7 +56,7 @@ FROM t
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return kept.select(
         "doc_id", "n_lines", "n_removed", F.char_length("text").alias("n_chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     )

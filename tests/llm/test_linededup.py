@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gapline.llm import linededup
 
 
@@ -85,3 +86,14 @@ def test_large_bucket_links_join_all(spark):
         label[find(a)] = find(b)
     assert len({find(x) for x in list(label)}) == 1 and len(label) == len(lines)
     assert len(found) < 40 * len(lines)
+
+
+def test_equal_short_lines_go(spark):
+    """By equality only; blank lines stay, and a copy of short lines leaves no husk in the pipeline."""
+    long = "a line that is long enough to be compared"
+    rows = [(1, f"Yes.\n\n{long}\nYes."), (2, f"Yes.\n\n{long}s"), (3, "Yes\n  \nYes.\nNo."), (4, "Les."), (None, "Les.\n "), (5, "\n")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(docs, short=True).collect()}
+    assert got == {1: (f"Yes.\n\n{long}", 1), 2: ("", 2), 3: ("Yes\n  \nNo.", 1), 4: ("Les.", 0), None: (" ", 1), 5: ("\n", 0)}
+    left = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4, 5]
