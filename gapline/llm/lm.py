@@ -1,19 +1,31 @@
 """LM scoring by online logistic context mixing.
 
-A text (A-Z lowered) is a sequence of units: words, and between them gaps (a run of white space, or the end).
-What a unit costs is the mixture of its share of the training units and of a spelling model. The spelling model
-codes a unit's bytes bit by bit: predictors over hashed contexts of the last 1, 2, 3, 4 and 6 bytes give counts
-of zeros and ones, their logits are mixed by weights that a gate picks (bit place, contexts known, kind of unit),
-the weights are learned online, and an adaptive probability map refines the result. While a text is read, a
-cache of its own words is mixed in, the more the longer the text.
-
-Tasks turn their rows into blocks of about ``BLOCK_BYTES``: word ids by row and a dictionary by block. Counts are
-summed over dictionaries; what a block needs comes back as a lookup by dictionary entry, so nothing that grows
-with the vocabulary is broadcast. The predictors' tables grow with the distinct units, up to 2 ** ``MOST_SLOT_BITS``
-slots for each context, one byte a count.
+A text (A-Z lowered) is a sequence of words and one end, with gaps between them. Two kinds of bits are predicted.
+
+*Which context codes the next word.* One bit a word says whether it has followed the word before it in any other
+training text. If so it costs its share of what follows that word, else it is coded without context. Predictors over
+hashed contexts (how often the word before was seen, the bits of up to twelve words before, how often the pairs before
+were seen) give counts of zeros and ones, their logits are mixed by weights that a gate picks, the weights are learned
+online, and an adaptive probability map refines the result.
+
+*The bits of a word without context.* Predictors over hashed contexts of its last 1, 2, 3, 4 and 6 bytes are mixed
+in the same way (the gate: bit place, contexts known, kind of unit). What they give is added to the word's share of the
+training words, in the proportion that suits the training text best, and to a cache of the text's own words. These bits
+end at the word's border, so they are worked out once for each distinct word, however often it occurs.
+
+Online means that a text is predicted before it is learned. Rows have no order, so a training row is scored against the
+counts of all *other* training rows: its own words and pairs are taken off. ``base_score`` counts all training rows.
+
+Tasks turn their rows into blocks of about ``BLOCK_BYTES``: word ids by row, a dictionary, and the block's pairs of
+words as sorted 64-bit hashes, cut by hash range into as many pieces as the corpus's size asks for (``PIECE_BYTES`` of
+text each). Counts are summed over dictionaries and pieces; what a block needs comes back by dictionary entry and by
+piece, so nothing that grows with the corpus is broadcast. Only the spelling predictors have tables of bounded size:
+they grow with the distinct units up to 2 ** ``MOST_SLOT_BITS`` slots for each order, one byte a count.
 
 Defined cases: null is the empty text, which is one end; a null doc_id counts as empty for the choice of training
-rows; repeated rows are scored alike and count each time; without training rows all counts are 0.
+rows; repeated rows are scored alike and count each time; a text of more than a block is a block of its own; without
+training rows all counts are 0 and words are spelled; an empty table gives no rows; columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +33,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +45,20 @@ from pyspark.sql import functions as F
 from gapline.llm.common import LOWER_ASCII, chunks_by_bytes, crc_bucket, encode, materialize
 
 ORDERS = (1, 2, 3, 4, 6)
-BLOCK_BYTES, LEAST_SLOT_BITS, MOST_SLOT_BITS, PIECE = 16_000_000, 12, 22, 1 << 16
+BLOCK_BYTES, PIECE_BYTES, LEAST_SLOT_BITS, MOST_SLOT_BITS, PIECE = 16_000_000, 32_000_000, 12, 23, 1 << 16
 END, EMPTY = b"", b" \x00"
 ODD_GAP = re.compile(rb"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
 BLANKS = b" \t\n\r\x0b\x0c"
-ADDED, RATE, STEPS, GATES = 0.3, 0.1, 24, 2 * 8 * (len(ORDERS) + 1)
+ADDED, RATE, STEPS, GATES, LEVELS = 0.1, 0.1, 24, 2 * 8, 12
 CACHE_SHARE, CACHE_WORDS = 0.5, 100
 MERGERS, WORDS_AT_ONCE = 64, 400_000
+END_ID = 1  # in every block's dictionary
 #: Counts from 0 to 255 as stored: exact up to 127, then in steps of some 9 per cent.
 STORED = np.concatenate([np.arange(128), np.round(128 * 1.09 ** np.arange(128))]).astype(np.float32)
 #: The logit of a pair of stored counts (zeros in the low byte, ones in the high byte).
 LOGITS = (np.log(STORED + np.float32(ADDED))[:, None] - np.log(STORED + np.float32(ADDED))[None, :]).ravel()
+#: The magnitude of its sum.
+LEVEL = np.minimum(np.frexp(STORED[:, None] + STORED[None, :])[1], LEVELS - 1).astype(np.uint8).ravel()
 
 
 def units_of(text: bytes) -> tuple[list[bytes], list[bytes], int]:
@@ -53,18 +70,47 @@ def units_of(text: bytes) -> tuple[list[bytes], list[bytes], int]:
     return words, [*odd, *[EMPTY] * empty, END], gaps - len(odd)
 
 
-def blocks(docs: DataFrame, held_out: str) -> DataFrame:
-    """Rows of two kinds, by block: a document as ids of the block's dictionary, or a dictionary entry."""
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers by byte place: the upper bytes, mostly zeros, lie together and are compressed away."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of two words from theirs."""
+    mixed = (before * np.uint64(0x9E3779B97F4A7C15) ^ word) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ mixed >> np.uint64(32)
+
+
+def with_ends(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts, ends included, and the token before each: an end before the first one."""
+    end = np.array([END_ID], np.int32)
+    tokens = np.concatenate([x for w in words for x in (w, end)]) if words else np.zeros(0, np.int32)
+    return tokens, np.concatenate([end, tokens[:-1]]) if len(tokens) else tokens
+
+
+def blocks(docs: DataFrame, held_out: str, piece_bits: int) -> DataFrame:
+    """Rows of three kinds, by block: a document as ids of the block's dictionary, a dictionary entry, or a piece of
+    the block's pairs with how often each occurs in training rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, doc_id {kind}, held boolean, n_words long, n_blank long, ids binary, entry int, unit binary, trained long"
+    schema = (
+        f"block long, doc_id {kind}, held boolean, n_bytes long, n_words long, n_blank long, ids binary, "
+        "entry int, unit binary, trained long, piece int, pairs binary, times binary"
+    )
+    names = [c.split()[0] for c in schema.split(", ")]
+    edges = np.arange(1, 1 << piece_bits, dtype=np.uint64) << np.uint64(64 - piece_bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
         for rows in batches:
             texts = [encode(t).translate(LOWER_ASCII) for t in rows["text"]]
             for part in chunks_by_bytes([len(t) for t in texts], BLOCK_BYTES):
-                known: dict[bytes, int] = {b" ": 0}
-                held, out = rows["held"].to_numpy()[part], []
+                known: dict[bytes, int] = {b" ": 0, END: END_ID}
+                held, out, all_words = rows["held"].to_numpy(bool)[part], [], []
                 pending: list[np.ndarray] = []
                 blank_in_training = 0
                 for text, is_held in zip(texts[part], held):
@@ -76,19 +122,41 @@ def blocks(docs: DataFrame, held_out: str) -> DataFrame:
                     if not is_held:
                         pending.append(ids)
                         blank_in_training += blank
-                    out.append((len(words), blank, ids.tobytes()))
+                    all_words.append(ids[: len(words)])
+                    out.append((len(text), len(words), blank, ids.tobytes()))
                 counted = np.bincount(np.concatenate(pending) if pending else np.zeros(0, np.int32), minlength=len(known))
                 counted[0] += blank_in_training
-                table = pd.DataFrame(out, columns=["n_words", "n_blank", "ids"])
-                yield table.assign(block=number, doc_id=rows["doc_id"].iloc[part].to_numpy(), held=held, entry=pd.NA, unit=None, trained=pd.NA)[names]
+                table = pd.DataFrame(out, columns=["n_bytes", "n_words", "n_blank", "ids"])
+                yield table.assign(block=number, doc_id=rows["doc_id"].iloc[part].to_numpy(), held=held).reindex(columns=names)
                 entries = pd.DataFrame({"entry": np.arange(len(known), dtype=np.int32), "unit": list(known), "trained": counted})
-                yield entries.assign(block=number, doc_id=pd.NA, held=None, n_words=pd.NA, n_blank=pd.NA, ids=None)[names]
+                yield entries.assign(block=number).reindex(columns=names)
+                hashes = np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in known), np.uint64, len(known))
+                tokens, before = with_ends(all_words)
+                pairs, which = np.unique(pair_hashes(hashes[before], hashes[tokens]), return_inverse=True)
+                learned = np.repeat(~held, [len(w) + 1 for w in all_words])
+                times = np.bincount(which[learned], minlength=len(pairs)).astype(np.uint32)
+                cuts = [0, *np.searchsorted(pairs, edges).tolist(), len(pairs)]
+                spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                found = {"piece": [k for k, _, _ in spans], "pairs": [planes(np.diff(pairs[a:b], prepend=np.uint64(0))) for _, a, b in spans], "times": [planes(times[a:b]) for _, a, b in spans]}
+                yield pd.DataFrame(found).assign(block=number).reindex(columns=names)
                 number += 1
 
-    names = [c.split()[0] for c in schema.split(", ")]
     return docs.select("doc_id", "text", F.expr(held_out).alias("held")).mapInPandas(run, schema)
 
 
+def sum_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """How often the pairs of a piece occur in all training rows: for each block, in the order of its pairs."""
+    hashes = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in rows["pairs"]]
+    flat = np.concatenate(hashes)
+    order = np.argsort(flat)
+    begin = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    sums = np.add.reduceat(np.concatenate([unplanes(x, np.uint32) for x in rows["times"]])[order].astype(np.int64), begin)
+    total = np.empty(len(flat), np.uint32)
+    total[order] = np.repeat(np.minimum(sums, 0xFFFFFFFF), np.diff(np.append(begin, len(flat))))
+    parts = np.split(total, np.cumsum([len(h) for h in hashes])[:-1])
+    return pd.DataFrame({"in_block": rows["block"], "piece": rows["piece"], "answers": [planes(x) for x in parts]})
+
+
 def _spelled(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Bytes of all units with their terminators, each one's unit, whether it is a gap's, and context hashes by order."""
     gap = np.array([not u or (u[0] in BLANKS and u != EMPTY) for u in units])
@@ -110,10 +178,16 @@ def _spelled(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
     return text, owner, is_gap, contexts
 
 
-def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+def tables(bits: int) -> list[tuple[int, int]]:
+    """(offset, bits) of each predictor's slots; up to three bytes make few contexts. Last: where they end."""
+    sizes = [min(bits, MOST_SLOT_BITS - 3) if order < 4 else bits for order in ORDERS]
+    return list(zip(np.cumsum([0, *(1 << b for b in sizes)]).tolist(), [*sizes, 0]))
+
+
+def _slots(context: np.ndarray, node: np.ndarray, table: tuple[int, int]) -> np.ndarray:
     mixed = (context + node.astype(np.uint64)) * np.uint64(0xA0761D6478BD642F)
     mixed ^= mixed >> np.uint64(29)
-    return ((mixed * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((mixed * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(64 - table[1])).astype(np.int64) + table[0]
 
 
 def weight_of(count: np.ndarray) -> np.ndarray:
@@ -126,7 +200,8 @@ def _parts(units: list[bytes], limit: int = 400_000):
 
 
 def count_bits(units: list[bytes], weights: np.ndarray, bits: int, into: np.ndarray) -> None:
-    """Adds the units' zeros and ones to into[order, slot, bit]."""
+    """Adds the units' zeros and ones to into[slot, bit]."""
+    order_tables = tables(bits)
     for part in _parts(units):
         text, owner, _, contexts = _spelled(units[part])
         weight = weights[part][owner].astype(into.dtype)  # one type: else numpy adds in slow steps
@@ -134,21 +209,24 @@ def count_bits(units: list[bytes], weights: np.ndarray, bits: int, into: np.ndar
             for place in range(7, -1, -1):
                 bit = (text >> place & 1).astype(np.int64)
                 node = (1 << (7 - place)) + (text.astype(np.int64) >> (place + 1))
-                np.add.at(into[k].reshape(-1), 2 * _slots(context, node, bits) + bit, weight)
+                np.add.at(into.reshape(-1), 2 * _slots(context, node, order_tables[k]) + bit, weight)
 
 
 class Model:
-    """Counts, mixing weights and probability map."""
+    """Counts, mixing weights and probability map. A predictor's weight depends on bit place and kind of unit, and on
+    how often its context was seen; the last weight is that of a constant."""
+
+    SHAPE = (GATES, len(ORDERS) * LEVELS + 1)
 
     def __init__(self, bits: int, stored: np.ndarray, weights: np.ndarray | None = None, map_ones=None, map_all=None):
-        self.bits, self.stored = bits, stored
-        self.weights = np.full((GATES, len(ORDERS) + 1), 0.35) if weights is None else weights
+        self.tables, self.stored = tables(bits), stored
+        self.weights = np.full(self.SHAPE, 0.35) if weights is None else weights
         if weights is None:
             self.weights[:, -1] = 0
         centre = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS / 2 + 0.5) / 2))
         self.map_ones = np.tile(centre * 4, (256, 1)) if map_ones is None else map_ones
         self.map_all = np.full((256, STEPS), 4.0) if map_all is None else map_all
-        self.squares = np.full(self.weights.shape, 1e-2)
+        self.squares = np.full(self.SHAPE, 1e-4)
 
     def pass_over(self, units: list[bytes], weights: np.ndarray, learn: bool) -> np.ndarray:
         """log10 probabilities of the units. When learning, a unit's own counts are left out of the predictors, and
@@ -164,35 +242,38 @@ class Model:
             for place in range(7, -1, -1):
                 bit = (text >> place & 1).astype(np.int64)
                 node = (1 << (7 - place)) + (text.astype(np.int64) >> (place + 1))
-                inputs = np.empty((len(ORDERS) + 1, len(text)), np.float32)
-                seen = np.zeros(len(text), np.int64)
+                gate = place * 2 + is_gap
+                used, inputs = [], []
+                flat = self.weights.astype(np.float32).ravel()
+                dot = flat[gate * self.SHAPE[1] + self.SHAPE[1] - 1]
                 for k, context in enumerate(contexts):
-                    pair = pairs[k][_slots(context, node, self.bits)]
+                    pair = pairs[_slots(context, node, self.tables[k])]
                     if learn:
                         zeros, ones = STORED[pair & 255], STORED[pair >> 8]
                         np.subtract(zeros, weight, out=zeros, where=bit == 0)
                         np.subtract(ones, weight, out=ones, where=bit == 1)
                         np.maximum(zeros, 0, out=zeros)
                         np.maximum(ones, 0, out=ones)
-                        inputs[k] = np.log(ones + np.float32(ADDED)) - np.log(zeros + np.float32(ADDED))
-                        seen += zeros + ones > 0
+                        logit = np.log(ones + np.float32(ADDED)) - np.log(zeros + np.float32(ADDED))
+                        level = np.minimum(np.frexp(zeros + ones)[1], LEVELS - 1)
                     else:
-                        inputs[k] = LOGITS[pair]
-                        seen += pair > 0
-                inputs[-1] = 1
-                gate = (seen * 8 + place) * 2 + is_gap
-                dot = np.einsum("kn,kn->n", inputs, self.weights.T.astype(np.float32)[:, gate])
+                        logit, level = LOGITS[pair], LEVEL[pair]
+                    at = gate * self.SHAPE[1] + k * LEVELS + level
+                    dot = dot + logit * flat[at]
+                    used.append(at)
+                    inputs.append(logit)
                 p = 1 / (1 + np.exp(-np.clip(dot, -18, 18)))
                 step = np.clip(np.round(2 * dot + STEPS / 2 - 0.5), 0, STEPS - 1).astype(np.int64)
                 mapped = self.map_ones[previous, step] / self.map_all[previous, step]
                 final = np.clip((p + mapped) / 2, 1e-7, 1 - 1e-7)
                 cost += np.log10(np.where(bit == 1, final, 1 - final))
                 if learn:
-                    error = (bit - p) * weight
-                    for k in range(len(ORDERS) + 1):
-                        g = np.bincount(gate, weights=error * inputs[k], minlength=GATES) / max(weight.sum(), 1)
-                        self.squares[:, k] += g * g
-                        self.weights[:, k] += RATE * g / np.sqrt(self.squares[:, k]) if g.any() else 0
+                    error = (bit - p) * weight / max(weight.sum(), 1)
+                    constant = gate * self.SHAPE[1] + self.SHAPE[1] - 1
+                    for at, x in ((constant, 1), *zip(used, inputs)):
+                        g = np.bincount(at, weights=error * x, minlength=flat.size).reshape(self.SHAPE)
+                        self.squares += g * g
+                        self.weights += RATE * g / np.sqrt(self.squares)
                     np.add.at(self.map_ones, (previous, step), bit * weight)
                     np.add.at(self.map_all, (previous, step), weight)
             out.append(np.bincount(owner, weights=cost, minlength=len(units[part])))
@@ -204,44 +285,65 @@ def quantize(counts: np.ndarray) -> np.ndarray:
 
 
 def fit_spelling(units: DataFrame, distinct: int) -> tuple[int, DataFrame]:
-    """Slot bits, and rows (k, piece, data): the summed bit counts of an order, in pieces of PIECE slots."""
-    bits = int(np.clip(int(max(distinct, 1)).bit_length() - 1, LEAST_SLOT_BITS, MOST_SLOT_BITS))
-    slots = 1 << bits
+    """Slot bits, and rows (piece, data): the summed bit counts of PIECE slots."""
+    bits = int(np.clip(int(max(distinct, 1)).bit_length() + 2, LEAST_SLOT_BITS, MOST_SLOT_BITS))
+    slots = tables(bits)[-1][0]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        into = np.zeros((len(ORDERS), slots, 2), np.int32)
+        into = np.zeros((slots, 2), np.int32)
         for rows in batches:
             count_bits(list(map(bytes, rows["unit"])), weight_of(rows["n"].to_numpy()), bits, into)
-        if into.any():
-            for k in range(len(ORDERS)):
-                for at in range(0, slots, PIECE):
-                    piece = into[k, at : at + PIECE]
-                    if piece.any():
-                        yield pd.DataFrame({"k": [k], "piece": [at // PIECE], "data": [zlib.compress(piece.tobytes(), 1)]})
+        for at in range(0, slots, PIECE):
+            piece = into[at : at + PIECE]
+            if piece.any():
+                yield pd.DataFrame({"piece": [at // PIECE], "data": [zlib.compress(piece.tobytes(), 1)]})
+
+    def summed(rows: pd.DataFrame) -> np.ndarray:
+        return sum(np.frombuffer(zlib.decompress(d), np.int32).reshape(-1, 2).astype(np.int64) for d in rows["data"])
+
+    def add_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"piece": [key[0]], "data": [zlib.compress(np.minimum(summed(rows), 2**31 - 1).astype(np.int32).tobytes(), 1)]})
 
     def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        counts = sum(np.frombuffer(zlib.decompress(d), np.int32).astype(np.int64) for d in rows["data"])
-        return pd.DataFrame({"k": [key[0]], "piece": [key[1]], "data": [zlib.compress(quantize(counts).tobytes(), 1)]})
+        return pd.DataFrame({"piece": [key[0]], "data": [zlib.compress(quantize(summed(rows)).tobytes(), 1)]})
 
-    trained = units.filter("n > 0")
-    partial = trained.mapInPandas(count, "k int, piece int, data binary")
-    return bits, materialize(partial.groupBy("k", "piece").applyInPandas(total, "k int, piece int, data binary"), "lm-counts")
+    kind = "piece int, data binary"
+    partial = units.filter("n > 0").mapInPandas(count, kind).withColumn("part", F.spark_partition_id() % MERGERS)
+    partial = partial.groupBy("piece", "part").applyInPandas(add_up, kind)  # a tree: no group grows with all tasks
+    return bits, materialize(partial.groupBy("piece").applyInPandas(total, kind), "lm-counts")
 
 
-def load_counts(bits: int, pieces: list[tuple[int, int, bytes]]) -> np.ndarray:
-    stored = np.zeros((len(ORDERS), 1 << bits, 2), np.uint8)
-    for k, piece, data in pieces:
+def load_counts(bits: int, pieces: list[tuple[int, bytes]]) -> np.ndarray:
+    stored = np.zeros((tables(bits)[-1][0], 2), np.uint8)
+    for piece, data in pieces:
         got = np.frombuffer(zlib.decompress(data), np.uint8).reshape(-1, 2)
-        stored[k, piece * PIECE : piece * PIECE + len(got)] = got
+        stored[piece * PIECE : piece * PIECE + len(got)] = got
     return stored
 
 
+def merge_learned(learned: DataFrame, size: int, maps: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """What tasks learned, rows (seen, data): mixing weights averaged by what each has seen, probability maps summed."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        seen, parts = rows["seen"].to_numpy(), np.stack([np.frombuffer(d) for d in rows["data"]])
+        both = np.concatenate([seen @ parts[:, :size] / max(seen.sum(), 1), parts[:, size:].sum(0)])
+        return pd.DataFrame({"seen": [int(seen.sum())], "data": [both.tobytes()]})
+
+    parts = learned.withColumn("part", F.spark_partition_id() % MERGERS).groupBy("part").applyInPandas(merge, "seen long, data binary")
+    rows = [r.asDict() for r in parts.collect()]  # MERGERS rows of fixed size at most
+    if not rows:
+        return 0, np.zeros(size), np.zeros(maps)
+    one = merge(pd.DataFrame(rows))
+    data = np.frombuffer(one["data"][0])
+    return int(one["seen"][0]), data[:size], data[size:]
+
+
 def spelling_scores(units: DataFrame, distinct: int) -> DataFrame:
     """(unit, n, spelled): each unit's log10 probability in the spelling model."""
     bits, counts = fit_spelling(units, distinct)
     context = units.sparkSession.sparkContext
-    # one byte for each of 2 * len(ORDERS) * 2 ** MOST_SLOT_BITS counts at most, compressed
-    pieces = context.broadcast([(r["k"], r["piece"], bytes(r["data"])) for r in counts.collect()])
+    # one byte for each of fewer than 5 * 2 ** MOST_SLOT_BITS counts, compressed
+    pieces = context.broadcast([(r["piece"], bytes(r["data"])) for r in counts.collect()])
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, seen = Model(bits, load_counts(bits, pieces.value)), 0
@@ -250,29 +352,15 @@ def spelling_scores(units: DataFrame, distinct: int) -> DataFrame:
             model.pass_over(list(map(bytes, rows["unit"])), weights, True)
             seen += int(weights.sum())
         if seen:
-            fresh = Model(0, model.stored)
+            fresh = Model(LEAST_SLOT_BITS, model.stored)
             parts = (model.weights, model.map_ones - fresh.map_ones, model.map_all - fresh.map_all)
             yield pd.DataFrame({"seen": [seen], "data": [np.concatenate([x.ravel() for x in parts]).tobytes()]})
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        """Mixing weights averaged by what each task has seen, probability maps summed."""
-        seen, size = rows["seen"].to_numpy(), GATES * (len(ORDERS) + 1)
-        parts = np.stack([np.frombuffer(d) for d in rows["data"]])
-        both = np.concatenate([seen @ parts[:, :size] / max(seen.sum(), 1), parts[:, size:].sum(0)])
-        return pd.DataFrame({"seen": [int(seen.sum())], "data": [both.tobytes()]})
-
-    size = GATES * (len(ORDERS) + 1)
-    learned = units.filter("n > 0").mapInPandas(learn, "seen long, data binary")
-    learned = learned.withColumn("part", F.spark_partition_id() % MERGERS).groupBy("part").applyInPandas(merge, "seen long, data binary")
-    rows = [r.asDict() for r in learned.collect()]  # MERGERS rows of fixed size at most
-    total, weights, maps = 0, np.zeros(size), np.zeros(2 * 256 * STEPS)
-    if rows:
-        one = merge(pd.DataFrame(rows))
-        total, data = int(one["seen"][0]), np.frombuffer(one["data"][0])
-        weights, maps = data[:size] * total, data[size:]
-    fresh = Model(0, np.zeros(0))
+    size = GATES * Model.SHAPE[1]
+    total, weights, maps = merge_learned(units.filter("n > 0").mapInPandas(learn, "seen long, data binary"), size, 2 * 256 * STEPS)
+    fresh = Model(LEAST_SLOT_BITS, np.zeros(0))
     ones, everything = maps.reshape(2, 256, STEPS)
-    mixing = (weights.reshape(fresh.weights.shape) / total if total else fresh.weights, fresh.map_ones + ones, fresh.map_all + everything)
+    mixing = (weights.reshape(fresh.weights.shape) if total else fresh.weights, fresh.map_ones + ones, fresh.map_all + everything)
     held = context.broadcast(mixing)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,80 +371,255 @@ def spelling_scores(units: DataFrame, distinct: int) -> DataFrame:
     return units.select("unit", "n").mapInPandas(score, "unit binary, n long, spelled double")
 
 
-def cached_scores(ids: np.ndarray, starts: np.ndarray, static: np.ndarray) -> np.ndarray:
-    """log10 costs of words whose texts start at `starts`, with each text's earlier words mixed in."""
-    counts = np.diff(np.append(starts, len(ids)))
-    text = np.repeat(np.arange(len(starts)), counts)
-    order = np.argsort(text * (int(ids.max(initial=0)) + 1) + ids, kind="stable")
-    same = (ids[order][1:] == ids[order][:-1]) & (text[order][1:] == text[order][:-1])
-    begin = np.concatenate([[True], ~same]) if len(ids) else np.zeros(0, bool)
-    run = np.arange(len(ids)) - np.maximum.accumulate(np.where(begin, np.arange(len(ids)), 0))
-    earlier = np.empty(len(ids), np.int64)
-    earlier[order] = run
-    before = np.arange(len(ids)) - np.repeat(starts, counts)
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, how often its key stands before it, and how often in all."""
+    order = np.argsort(keys, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begin, len(keys)))
+    earlier, total = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    earlier[order] = np.arange(len(keys)) - np.repeat(begin, sizes)
+    total[order] = np.repeat(sizes, sizes)
+    return earlier, total
+
+
+def log_sum(*terms: np.ndarray) -> np.ndarray:
+    """log10 of a sum of numbers given by their log10."""
+    return np.logaddexp.reduce([np.multiply(t, np.log(10)) for t in terms]) / np.log(10)
+
+
+def log_of(x) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log10(np.asarray(x, np.float64))
+
+
+def cached_scores(earlier: np.ndarray, before: np.ndarray, static: np.ndarray) -> np.ndarray:
+    """log10 costs of words with the text's own earlier words mixed in: `earlier` of the `before` words are the same."""
     share = CACHE_SHARE * before / (before + CACHE_WORDS)
-    return np.log10((1 - share) * 10.0**static + share * earlier / np.maximum(before, 1))
+    return log_sum(log_of(1 - share) + static, log_of(share * earlier / np.maximum(before, 1)))
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; learns from
-    the rows whose crc32(doc_id as text) modulo `modulus` is not `remainder`."""
+def magnitude(count: np.ndarray, most: int) -> np.ndarray:
+    return np.minimum(np.frexp(count.astype(np.float64))[1], most).astype(np.uint8)
+
+
+class Follower:
+    """Predicts the bit of each word that tells whether it was seen after the word before it.
+
+    marks: a byte a word; four bits: the magnitude of the count of the word before (0: unknown, no bit is coded),
+    one: the bit itself, three: the magnitude of the pair's count."""
+
+    SIZES = (16, 64, 128, 1024, 128, 4096)
+    OFFSETS = np.cumsum((0, *SIZES))
+    GATES, BATCH = 64, 50_000
+    SHAPE = (GATES, len(SIZES) + 1)
+
+    def __init__(self, counts: np.ndarray, weights: np.ndarray | None = None, maps: np.ndarray | None = None):
+        self.logits = (np.log(counts[1] + 0.4) - np.log(counts[0] + 0.4)).astype(np.float32)
+        self.weights = np.full(self.SHAPE, 0.25) if weights is None else weights
+        if weights is None:
+            self.weights[:, -1] = 0
+        centre = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS / 2 + 0.5) / 2))
+        self.maps = np.stack([np.tile(centre * 4, (16, 1)), np.full((16, STEPS), 4.0)]) if maps is None else maps
+        self.squares = np.full(self.SHAPE, 1e-2)
+
+    @classmethod
+    def contexts(cls, marks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words that have a bit: which they are, their slots by predictor, gates, places in the map, bits."""
+        place = np.arange(len(marks)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        seen, bit, pair = (marks & 15).astype(np.int64), (marks >> 4 & 1).astype(np.int64), (marks >> 5).astype(np.int64)
+        coded = np.flatnonzero(seen)
+        back = lambda x, k: np.where(place[coded] >= k, x[np.maximum(coded - k, 0)], 0)
+        last = [back(bit, k) << (k - 1) for k in range(1, 13)]
+        history = lambda k: np.add.reduce(last[:k])
+        one, two, own = back(pair, 1), back(pair, 2), seen[coded]
+        slots = [own, history(6), one * 16 + own, (one * 8 + two) * 16 + history(4), own * 8 + history(3), history(12)]
+        return coded, [s + o for s, o in zip(slots, cls.OFFSETS)], one * 8 + own // 2, history(4), bit[coded]
+
+    @classmethod
+    def count(cls, marks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Zeros and ones by slot."""
+        _, slots, _, _, bit = cls.contexts(marks, sizes)
+        ones = sum(np.bincount(s, weights=bit, minlength=cls.OFFSETS[-1]) for s in slots)
+        return np.stack([sum(np.bincount(s, minlength=cls.OFFSETS[-1]) for s in slots) - ones, ones]).astype(np.int64)
+
+    def pass_over(self, marks: np.ndarray, sizes: np.ndarray, learn: bool) -> np.ndarray:
+        """log10 probabilities of the bits by word, 0 where none is coded. When learning, weights and map move after
+        each prediction."""
+        out = np.zeros(len(marks))
+        coded, slots, gates, maps, bits = self.contexts(marks, sizes)
+        for at in range(0, len(coded), self.BATCH):
+            part = slice(at, at + self.BATCH)
+            gate, place, bit = gates[part], maps[part], bits[part]
+            inputs = np.stack([self.logits[s[part]] for s in slots] + [np.ones(len(bit), np.float32)])
+            dot = np.einsum("kn,kn->n", inputs, self.weights.T[:, gate])
+            p = 1 / (1 + np.exp(-np.clip(dot, -18, 18)))
+            step = np.clip(np.round(2 * dot + STEPS / 2 - 0.5), 0, STEPS - 1).astype(np.int64)
+            final = np.clip((p + self.maps[0, place, step] / self.maps[1, place, step]) / 2, 1e-7, 1 - 1e-7)
+            out[coded[part]] = np.log10(np.where(bit == 1, final, 1 - final))
+            if learn:
+                for k in range(len(slots) + 1):
+                    g = np.bincount(gate, weights=(bit - p) * inputs[k], minlength=self.GATES) / len(bit)
+                    self.squares[:, k] += g * g
+                    self.weights[:, k] += RATE * g / np.sqrt(self.squares[:, k])
+                np.add.at(self.maps, (0, place, step), bit)
+                np.add.at(self.maps, (1, place, step), 1)
+        return out
+
+
+def marked_parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows a few texts at a time, with their marks in one array and the size of each."""
+    for rows in batches:
+        for part in chunks_by_bytes(rows["n_tokens"].tolist(), WORDS_AT_ONCE):
+            few = rows.iloc[part]
+            yield few, np.concatenate([np.frombuffer(m, np.uint8) for m in few["marks"]]), few["n_tokens"].to_numpy(np.int64)
+
+
+def fit_follower(marked: DataFrame) -> Follower:
+    """The mixer of the words' bits, from all training rows: exact sums of zeros and ones, then weights and map."""
+    trained = marked.filter("not held_out").select("n_tokens", "marks")
+    context = marked.sparkSession.sparkContext
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((2, Follower.OFFSETS[-1]), np.int64)
+        for _, marks, sizes in marked_parts(batches):
+            counts += Follower.count(marks, sizes)
+        some = np.flatnonzero(counts.any(0))
+        yield pd.DataFrame({"slot": some, "zeros": counts[0, some], "ones": counts[1, some]})
+
+    counts = np.zeros((2, Follower.OFFSETS[-1]), np.int64)
+    sums = trained.mapInPandas(count, "slot long, zeros long, ones long").groupBy("slot").agg(F.sum("zeros"), F.sum("ones"))
+    for slot, zeros, ones in sums.collect():  # as many rows as slots at most
+        counts[:, slot] = zeros, ones
+    held = context.broadcast(counts)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, seen = Follower(held.value), 0
+        fresh = model.maps.copy()
+        for _, marks, sizes in marked_parts(batches):
+            model.pass_over(marks, sizes, True)
+            seen += len(marks)
+        if seen:
+            yield pd.DataFrame({"seen": [seen], "data": [np.concatenate([model.weights.ravel(), (model.maps - fresh).ravel()]).tobytes()]})
+
+    fresh = Follower(counts)
+    total, weights, maps = merge_learned(trained.mapInPandas(learn, "seen long, data binary"), fresh.weights.size, fresh.maps.size)
+    return Follower(counts, weights.reshape(Follower.SHAPE) if total else None, fresh.maps + maps.reshape(fresh.maps.shape))
+
+
+def best_share(units: DataFrame, tokens: int) -> float:
+    """How far a word's share of the training words counts beside its spelling: what makes them likeliest, each of
+    them left out of its own count."""
+    tried = [k / 20 for k in range(1, 20)]
+    each = F.greatest(F.col("n") - 1, F.lit(0)) / F.lit(max(tokens - 1, 1))
+    gain = [F.sum(F.col("n") * F.log10(F.lit(t) * each + F.lit(1 - t) * F.pow(F.lit(10.0), F.greatest("spelled", F.lit(-300.0))))) for t in tried]
+    found = units.filter("n > 0 and word").agg(*[g.alias(f"t{k}") for k, g in enumerate(gain)]).first()
+    return max(zip(found, tried))[1] if found[0] is not None else 0.5
+
+
+class Marked(NamedTuple):
+    """Texts with all that the corpus says of them: `marked`, rows (doc_id, held_out, n_bytes, n_tokens, n_known,
+    base_score, coded, marks); coded: log10 probability of words and gaps once the words' bits are known. Beside it
+    what it was worked out with: training tokens, units with their spelling scores, and a word's `share`."""
+
+    marked: DataFrame
+    tokens: int
+    gaps: int
+    units: DataFrame
+    share: float
+
+
+def mark(docs: DataFrame, modulus: int, remainder: int) -> Marked:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    piece_bits = max(1, (size // PIECE_BYTES).bit_length())
     cut = docs.select("doc_id", "text", (crc_bucket(F.col("doc_id"), modulus) == remainder).alias("__held"))
-    cut = materialize(blocks(cut, "__held"), "lm-blocks")
+    cut = materialize(blocks(cut, "__held", piece_bits), "lm-blocks")
     entries = cut.filter("entry is not null").select("block", "entry", "unit", "trained")
     units = materialize(entries.groupBy("unit").agg(F.sum("trained").alias("n")), "lm-units")
     first = F.substring("unit", 1, 1)
-    gap = (F.length("unit") > 0) & first.isin(*[F.lit(bytes([b])) for b in BLANKS])  # the end is a token, other gaps are not
-    known = F.col("n") > 0
+    # of words and gaps the end counts as a word
+    word = (F.length("unit") == 0) | ~first.isin(*[F.lit(bytes([b])) for b in BLANKS])
+    empty = F.col("unit") == F.lit(EMPTY)
     facts = units.agg(
         F.count("*").alias("distinct"),
-        F.sum(F.when(~gap, F.col("n"))).alias("tokens"),
-        F.sum((~gap & known).cast("long")).alias("vocabulary"),
-        F.sum((~gap & (F.col("n") == 1)).cast("long")).alias("once"),
-        F.sum(F.when(gap | (F.length("unit") == 0), F.col("n"))).alias("gaps"),
-        F.sum(F.when(~gap & (F.length("unit") > 0) | (F.col("unit") == F.lit(EMPTY)), F.col("n"))).alias("words"),
+        F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum((word & (F.col("n") > 0)).cast("long")), F.lit(0)).alias("vocabulary"),
+        F.coalesce(F.sum(F.when(~word & ~empty, F.col("n"))), F.lit(0)).alias("gaps"),
     ).first()
-    tokens, vocabulary = facts["tokens"] or 0, facts["vocabulary"] or 0
-    novel = min(0.5, max(1e-4, ((facts["once"] or 0) + 1) / (tokens + 2)))
-    empty = F.col("unit") == F.lit(EMPTY)
-    share = F.when((gap & ~empty) | (F.length("unit") == 0), F.col("n") / F.lit(max(1, (facts["gaps"] or 0)))).otherwise(F.col("n") / F.lit(max(1, facts["words"] or 0)))
-    scored = spelling_scores(units, facts["distinct"]).withColumn("cost", F.log10(F.lit(1 - novel) * share + F.lit(novel) * F.pow(F.lit(10.0), "spelled")))
-    lookup = entries.join(scored.select("unit", "n", "cost"), "unit").select(F.col("block").alias("in_block"), "entry", "n", "cost")
+    tokens, vocabulary, gaps = facts["tokens"], facts["vocabulary"], facts["gaps"]
+    scored = materialize(spelling_scores(units, facts["distinct"]).withColumn("word", word), "lm-spelled")
+    share = best_share(scored, tokens)
+    lookup = entries.join(scored, "unit").select(
+        F.col("block").alias("in_block"), "entry", "n", "spelled", F.xxhash64("unit").alias("hash"), F.lit(-1).alias("piece"), F.lit(None).cast("binary").alias("answers")
+    )
+    answers = cut.filter("piece is not null").select("block", "piece", "pairs", "times").groupBy("piece").applyInPandas(sum_pairs, "in_block long, piece int, answers binary")
+    # numbers, not nulls, for what the other kind of row lacks: pandas would make longs with nulls floating-point
+    answers = answers.withColumns({"entry": F.lit(-1), "n": F.lit(0).cast("long"), "spelled": F.lit(0.0), "hash": F.lit(0).cast("long")})
+    lookup = lookup.unionByName(answers)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def finish(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        size = len(table)
-        n, cost = np.zeros(size, np.int64), np.zeros(size)
-        at = table["entry"].to_numpy()
-        n[at], cost[at] = table["n"], table["cost"]
+    schema = f"doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, coded double, marks binary"
+
+    def look_up(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        """Of each text: its base score, what its words cost once their bits are known, gaps included, and marks."""
+        pairs, table = table[table["piece"] >= 0].sort_values("piece"), table[table["piece"] < 0]
+        n, spelled, hashes = np.zeros(len(table), np.int64), np.zeros(len(table)), np.zeros(len(table), np.uint64)
+        at = table["entry"].to_numpy(np.int64)
+        n[at], spelled[at], hashes[at] = table["n"].to_numpy(np.int64), table["spelled"].to_numpy(float), table["hash"].to_numpy(np.int64).view(np.uint64)
+        times = np.concatenate([unplanes(x, np.uint32) for x in pairs["answers"]]).astype(np.int64)
         base_cost = np.log10((n + 1) / (tokens + vocabulary + 1))
-        counts = rows["n_words"].to_numpy(np.int64)
-        known, base, score = np.zeros(len(rows), np.int64), np.zeros(len(rows)), np.zeros(len(rows))
-        sums = lambda x, c: np.bincount(np.repeat(np.arange(len(c)), c), weights=x, minlength=len(c))
-        all_ids = rows["ids"].tolist()
+        gap_cost = log_sum(log_of(0.999 * n / max(gaps, 1)), log_of(0.001) + spelled)
+        counts, held = rows["n_words"].to_numpy(np.int64), rows["held"].to_numpy(bool)
+        ids = [np.frombuffer(x, np.int32) for x in rows["ids"]]
+        known_pairs = np.unique(pair_hashes(*(hashes[x] for x in with_ends([x[:w] for x, w in zip(ids, counts)])[::-1])))
+        out = []
         for part in chunks_by_bytes(counts.tolist(), WORDS_AT_ONCE):  # few texts at a time bound the arrays
-            ids, size_of = [np.frombuffer(x, np.int32) for x in all_ids[part]], counts[part]
-            flat = np.concatenate([x[:w] for x, w in zip(ids, size_of)])
-            others = [x[w:] for x, w in zip(ids, size_of)]
-            other, end = np.concatenate(others), np.array([o[-1] for o in others], np.int64)
-            known[part] = sums(n[flat] > 0, size_of) + (n[end] > 0)
-            base[part] = sums(base_cost[flat], size_of) + base_cost[end]
-            cached = cached_scores(flat.astype(np.int64), np.cumsum(size_of) - size_of, cost[flat])
-            score[part] = sums(cached, size_of) + sums(cost[other], np.array([len(o) for o in others]))
-        score += rows["n_blank"].to_numpy(np.int64) * cost[0]
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"],
-                "held_out": rows["held"].astype(bool),
-                "n_tokens": counts + 1,
-                "n_known": known,
-                "train_tokens": tokens,
-                "base_score": base,
-                "score": score,
-            }
-        )
-
-    texts = cut.filter("entry is null").select("block", "doc_id", "held", "n_words", "n_blank", "ids")
-    return texts.groupBy("block").cogroup(lookup.groupBy("in_block")).applyInPandas(finish, schema)
+            sizes = counts[part] + 1
+            flat, before = with_ends([x[:w] for x, w in zip(ids[part], counts[part])])
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            sums = lambda x: np.bincount(text, weights=x, minlength=len(sizes))  # noqa: E731, B023
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            pair = np.searchsorted(known_pairs, pair_hashes(hashes[before], hashes[flat]))
+            earlier, own = runs(text * len(n) + flat)
+            _, own_pair = runs(text * len(times) + pair)
+            own_before = np.where(place > 0, own[np.arange(len(flat)) - 1], 1)  # the end stands once before a text
+            learned = ~held[part][text]  # their own counts are taken off
+            after, both = n[before] - own_before * learned, times[pair] - own_pair * learned
+            seen = both > 0
+            all_others = np.maximum(tokens - np.where(learned, sizes[text], 0), 1)
+            static = log_sum(log_of(share * (n[flat] - own * learned) / all_others), log_of(1 - share) + spelled[flat])
+            cost = np.where(seen, log_of(both / np.maximum(after, 1)), cached_scores(earlier, place, static))
+            others = [x[w:-1] for x, w in zip(ids[part], counts[part])]  # gaps; their last one is the end
+            gap = np.array([gap_cost[o].sum() for o in others]) + rows["n_blank"].to_numpy(np.int64)[part] * gap_cost[0]
+            marks = magnitude(after, 15) | seen.astype(np.uint8) << 4 | magnitude(both, 7) << 5
+            cuts = np.cumsum(sizes)
+            few = {"n_tokens": sizes, "n_known": sums(n[flat] > 0).astype(np.int64), "base_score": sums(base_cost[flat]), "coded": sums(cost) + gap}
+            out.append(pd.DataFrame(few | {"marks": [m.tobytes() for m in np.split(marks, cuts[:-1])]}))
+        table = pd.concat(out, ignore_index=True)
+        return table.assign(doc_id=rows["doc_id"].to_numpy(), held_out=held, n_bytes=rows["n_bytes"].to_numpy())[[c.split()[0] for c in schema.split(", ")]]
+
+    texts = cut.filter("ids is not null").select("block", "doc_id", "held", "n_bytes", "n_words", "n_blank", "ids")
+    marked = texts.groupBy("block").cogroup(lookup.groupBy("in_block")).applyInPandas(look_up, schema)
+    return Marked(materialize(marked, "lm-marks"), tokens, gaps, scored, share)
+
+
+def finish(marked: DataFrame, tokens: int, follower: Follower) -> DataFrame:
+    """Adds what the words' bits cost."""
+    model = marked.sparkSession.sparkContext.broadcast(follower)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, marks, sizes in marked_parts(batches):
+            bits = np.add.reduceat(model.value.pass_over(marks, sizes, False), np.cumsum(sizes) - sizes)
+            yield rows.drop(columns=["marks", "coded"]).assign(score=rows["coded"] + bits)
+
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    whole = marked.mapInPandas(run, f"doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double")
+    bits = F.when(F.col("n_bytes") > 0, -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).otherwise(F.lit(0.0))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", bits.alias("bits_per_byte"))
+
+
+def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for each row;
+    learns from the rows whose crc32(doc_id as text) modulo `modulus` is not `remainder`. bits_per_byte: the score in
+    bits over the bytes of the text, 0 for an empty one."""
+    found = mark(docs, modulus, remainder)
+    return finish(found.marked, found.tokens, fit_follower(found.marked))
