@@ -16,11 +16,12 @@ end at the word's border, so they are worked out once for each distinct word, ho
 Online means that a text is predicted before it is learned. Rows have no order, so a training row is scored against the
 counts of all *other* training rows: its own words and pairs are taken off. ``base_score`` counts all training rows.
 
-Tasks turn their rows into blocks of about ``BLOCK_BYTES``: word ids by row, a dictionary, and the block's pairs of
-words as sorted 64-bit hashes, cut by hash range into as many pieces as the corpus's size asks for (``PIECE_BYTES`` of
-text each). Counts are summed over dictionaries and pieces; what a block needs comes back by dictionary entry and by
-piece, so nothing that grows with the corpus is broadcast. Only the spelling predictors have tables of bounded size:
-they grow with the distinct units up to 2 ** ``MOST_SLOT_BITS`` slots for each order, one byte a count.
+Tasks turn their rows into blocks of about ``BLOCK_BYTES``, a row each: word ids of all its texts and a dictionary. Units
+and pairs of words are counted by hash range, in as many pieces as the corpus's size asks for (``PIECE_BYTES`` of text
+each): a block sends each piece its units or its pairs' hashes, packed and sorted, and gets counts back in the same order.
+Nothing that grows with the corpus is broadcast, and no more rows move than there are blocks and pieces to them. A pair's
+hash is so long that one in a million is taken for another. Only the spelling predictors have tables of bounded size: they
+grow with the distinct units up to 2 ** ``MOST_SLOT_BITS`` slots for each order, one byte a count.
 
 Defined cases: null is the empty text, which is one end; a null doc_id counts as empty for the choice of training
 rows; repeated rows are scored alike and count each time; a text of more than a block is a block of its own; without
@@ -38,6 +39,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ BLANKS = b" \t\n\r\x0b\x0c"
 ADDED, RATE, STEPS, GATES, LEVELS = 0.1, 0.1, 24, 2 * 8, 12
 CACHE_SHARE, CACHE_WORDS = 0.5, 100
 MERGERS, WORDS_AT_ONCE = 64, 400_000
-END_ID = 1  # in every block's dictionary
+BLANK_ID, END_ID = 0, 1  # in every block's dictionary
 #: Counts from 0 to 255 as stored: exact up to 127, then in steps of some 9 per cent.
 STORED = np.concatenate([np.arange(128), np.round(128 * 1.09 ** np.arange(128))]).astype(np.float32)
 #: The logit of a pair of stored counts (zeros in the low byte, ones in the high byte).
@@ -70,91 +72,169 @@ def units_of(text: bytes) -> tuple[list[bytes], list[bytes], int]:
     return words, [*odd, *[EMPTY] * empty, END], gaps - len(odd)
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """Numbers by byte place: the upper bytes, mostly zeros, lie together and are compressed away."""
-    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+def shrink(numbers: np.ndarray) -> bytes:
+    """Numbers by byte place, compressed: the upper bytes, mostly zeros, lie together."""
+    return zstandard.compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
 
 
-def unplanes(data: bytes, kind: type) -> np.ndarray:
+def grow(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A hash of two words from theirs."""
+def shrink_units(units: list[bytes]) -> tuple[bytes, bytes]:
+    return zstandard.compress(b"".join(units), 1), shrink(np.fromiter(map(len, units), np.uint32, len(units)))
+
+
+def grow_units(data: bytes, sizes: bytes) -> list[bytes]:
+    text, ends = zstandard.decompress(data), np.cumsum(grow(sizes, np.uint32), dtype=np.int64).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def hashes_of(units: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in units), np.uint64, len(units))
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of so many bits of two words from theirs."""
     mixed = (before * np.uint64(0x9E3779B97F4A7C15) ^ word) * np.uint64(0xD6E8FEB86659FD93)
-    return mixed ^ mixed >> np.uint64(32)
+    return (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xA0761D6478BD642F) >> np.uint64(64 - bits)
 
 
-def with_ends(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of all texts, ends included, and the token before each: an end before the first one."""
-    end = np.array([END_ID], np.int32)
-    tokens = np.concatenate([x for w in words for x in (w, end)]) if words else np.zeros(0, np.int32)
-    return tokens, np.concatenate([end, tokens[:-1]]) if len(tokens) else tokens
+def with_ends(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts from their words, ends included, and the token before each: an end before the first."""
+    tokens = np.insert(ids, np.cumsum(counts), END_ID)
+    return tokens, np.concatenate([[END_ID], tokens[:-1]]).astype(tokens.dtype)
+
+
+class Pieces(NamedTuple):
+    """How the corpus is cut: by so many upper bits of a hash; pairs have keys of so many bits."""
+
+    bits: int
+    key_bits: int
+
+    @classmethod
+    def of(cls, size: int) -> Pieces:
+        return cls(max(1, (size // PIECE_BYTES).bit_length()), min(60, size.bit_length() + 20))
 
 
-def blocks(docs: DataFrame, held_out: str, piece_bits: int) -> DataFrame:
-    """Rows of three kinds, by block: a document as ids of the block's dictionary, a dictionary entry, or a piece of
-    the block's pairs with how often each occurs in training rows."""
+def blocks(docs: DataFrame, held_out: str, pieces: Pieces) -> DataFrame:
+    """A row a block: its texts as ids of its dictionary (words, then gaps other than one blank and the end), and the
+    dictionary by piece, with counts in training rows. Its first two entries, in the first piece, are blank and end."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"block long, doc_id {kind}, held boolean, n_bytes long, n_words long, n_blank long, ids binary, "
-        "entry int, unit binary, trained long, piece int, pairs binary, times binary"
+        f"block long, doc_ids array<{kind}>, held binary, n_bytes binary, n_words binary, n_others binary, n_blank binary, "
+        "words binary, others binary, units binary, sizes binary, trained binary, by_piece binary"
     )
-    names = [c.split()[0] for c in schema.split(", ")]
-    edges = np.arange(1, 1 << piece_bits, dtype=np.uint64) << np.uint64(64 - piece_bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
         for rows in batches:
             texts = [encode(t).translate(LOWER_ASCII) for t in rows["text"]]
             for part in chunks_by_bytes([len(t) for t in texts], BLOCK_BYTES):
-                known: dict[bytes, int] = {b" ": 0, END: END_ID}
-                held, out, all_words = rows["held"].to_numpy(bool)[part], [], []
-                pending: list[np.ndarray] = []
-                blank_in_training = 0
-                for text, is_held in zip(texts[part], held):
-                    words, others, blank = units_of(text)
-                    for w in set(words).union(others):
+                known: dict[bytes, int] = {b" ": BLANK_ID, END: END_ID}
+                held = rows["held"].to_numpy(bool)[part]
+                words, others, facts = [], [], []
+                for text in texts[part]:
+                    own, other, blank = units_of(text)
+                    for w in set(own).union(other):
                         if w not in known:
                             known[w] = len(known)
-                    ids = np.fromiter(map(known.__getitem__, [*words, *others]), np.int32, len(words) + len(others))
-                    if not is_held:
-                        pending.append(ids)
-                        blank_in_training += blank
-                    all_words.append(ids[: len(words)])
-                    out.append((len(text), len(words), blank, ids.tobytes()))
-                counted = np.bincount(np.concatenate(pending) if pending else np.zeros(0, np.int32), minlength=len(known))
-                counted[0] += blank_in_training
-                table = pd.DataFrame(out, columns=["n_bytes", "n_words", "n_blank", "ids"])
-                yield table.assign(block=number, doc_id=rows["doc_id"].iloc[part].to_numpy(), held=held).reindex(columns=names)
-                entries = pd.DataFrame({"entry": np.arange(len(known), dtype=np.int32), "unit": list(known), "trained": counted})
-                yield entries.assign(block=number).reindex(columns=names)
-                hashes = np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in known), np.uint64, len(known))
-                tokens, before = with_ends(all_words)
-                pairs, which = np.unique(pair_hashes(hashes[before], hashes[tokens]), return_inverse=True)
-                learned = np.repeat(~held, [len(w) + 1 for w in all_words])
-                times = np.bincount(which[learned], minlength=len(pairs)).astype(np.uint32)
-                cuts = [0, *np.searchsorted(pairs, edges).tolist(), len(pairs)]
-                spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                found = {"piece": [k for k, _, _ in spans], "pairs": [planes(np.diff(pairs[a:b], prepend=np.uint64(0))) for _, a, b in spans], "times": [planes(times[a:b]) for _, a, b in spans]}
-                yield pd.DataFrame(found).assign(block=number).reindex(columns=names)
+                    words.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
+                    others.append(np.fromiter(map(known.__getitem__, other), np.int32, len(other)))
+                    facts.append((len(text), len(own), len(other), blank))
+                units = list(known)
+                piece = (hashes_of(units) >> np.uint64(64 - pieces.bits)).astype(np.int64)
+                piece[:2] = 0
+                order = np.argsort(piece, kind="stable")
+                place = np.empty(len(units), np.int32)
+                place[order] = np.arange(len(units), dtype=np.int32)
+                facts = np.array(facts, np.int64)
+                words, others = place[np.concatenate(words)], place[np.concatenate(others)]
+                trained = sum(np.bincount(x[np.repeat(~held, facts[:, k])], minlength=len(units)) for k, x in ((1, words), (2, others)))
+                trained[BLANK_ID] += facts[~held, 3].sum()
+                data, sizes = shrink_units([units[k] for k in order.tolist()])
+                row = [number, rows["doc_id"].iloc[part].tolist(), shrink(held), *(shrink(np.ascontiguousarray(facts[:, k])) for k in range(4))]
+                row += [shrink(words), shrink(others), data, sizes, shrink(trained.astype(np.uint32)), shrink(np.bincount(piece, minlength=1 << pieces.bits))]
+                yield pd.DataFrame([row], columns=[c.split()[0] for c in schema.split(", ")])
                 number += 1
 
     return docs.select("doc_id", "text", F.expr(held_out).alias("held")).mapInPandas(run, schema)
 
 
+def unit_requests(cut: DataFrame) -> DataFrame:
+    """(piece, block, units, sizes, trained): each block's dictionary by piece."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                units, trained = grow_units(r.units, r.sizes), grow(r.trained, np.uint32)
+                ends = np.cumsum(grow(r.by_piece, np.int64)).tolist()
+                out = [(k, r.block, *shrink_units(units[a:b]), shrink(trained[a:b])) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+                yield pd.DataFrame(out, columns=["piece", "block", "units", "sizes", "trained"])
+
+    return cut.select("block", "units", "sizes", "trained", "by_piece").mapInPandas(run, "piece int, block long, units binary, sizes binary, trained binary")
+
+
+def sum_units(rows: pd.DataFrame) -> pd.DataFrame:
+    """A piece's distinct units with their counts (block null), and for each block which of them its own are."""
+    known: dict[bytes, int] = {}
+    found = []
+    for r in rows.itertuples():
+        units = grow_units(r.units, r.sizes)
+        found.append(np.fromiter((known.setdefault(u, len(known)) for u in units), np.int32, len(units)))
+    n = np.zeros(len(known), np.int64)
+    for at, data in zip(found, rows["trained"]):
+        n[at] += grow(data, np.uint32)
+    units, piece = list(known), rows["piece"].iloc[0]
+    word = np.array([is_word(u) for u in units])
+    gap = ~word & np.array([u != EMPTY for u in units])
+    facts = {"distinct": len(units), "tokens": int(n[word].sum()), "vocabulary": int((n[word] > 0).sum()), "gaps": int(n[gap].sum())}
+    data, sizes = shrink_units(units)
+    whole = pd.DataFrame([{"piece": piece, "block": -1, "units": data, "sizes": sizes, "numbers": shrink(n), **facts}])
+    each = pd.DataFrame({"piece": piece, "block": rows["block"], "numbers": [shrink(x) for x in found]})
+    return pd.concat([whole, each.assign(units=None, sizes=None, **dict.fromkeys(facts, 0))], ignore_index=True)
+
+
+UNITS = "piece int, block long, units binary, sizes binary, numbers binary, distinct long, tokens long, vocabulary long, gaps long"
+
+
+def is_word(unit: bytes) -> bool:
+    """Words and the end, not gaps and the marks of empty words."""
+    return not unit or unit[0] not in BLANKS
+
+
+def pair_requests(cut: DataFrame, pieces: Pieces) -> DataFrame:
+    """(piece, block, keys, times): each block's pairs of words by piece, sorted, and how often they occur in training."""
+    edges = np.arange(1, 1 << pieces.bits, dtype=np.uint64) << np.uint64(pieces.key_bits - pieces.bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                hashes, counts = hashes_of(grow_units(r.units, r.sizes)), grow(r.n_words, np.int64)
+                tokens, before = with_ends(grow(r.words, np.int32), counts)
+                learned = np.repeat(~grow(r.held, bool), counts + 1)
+                both = np.sort(pair_keys(hashes[before], hashes[tokens], pieces.key_bits) << np.uint64(1) | learned)
+                keys = both >> np.uint64(1)
+                begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                keys, times = keys[begin], np.add.reduceat(both & np.uint64(1), begin).astype(np.uint32)
+                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                out = [(k, r.block, shrink(np.diff(keys[a:b], prepend=np.uint64(0))), shrink(times[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                yield pd.DataFrame(out, columns=["piece", "block", "keys", "times"])
+
+    columns = ["block", "held", "n_words", "words", "units", "sizes"]
+    return cut.select(*columns).mapInPandas(run, "piece int, block long, keys binary, times binary")
+
+
 def sum_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     """How often the pairs of a piece occur in all training rows: for each block, in the order of its pairs."""
-    hashes = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in rows["pairs"]]
-    flat = np.concatenate(hashes)
-    order = np.argsort(flat)
-    begin = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-    sums = np.add.reduceat(np.concatenate([unplanes(x, np.uint32) for x in rows["times"]])[order].astype(np.int64), begin)
-    total = np.empty(len(flat), np.uint32)
-    total[order] = np.repeat(np.minimum(sums, 0xFFFFFFFF), np.diff(np.append(begin, len(flat))))
-    parts = np.split(total, np.cumsum([len(h) for h in hashes])[:-1])
-    return pd.DataFrame({"in_block": rows["block"], "piece": rows["piece"], "answers": [planes(x) for x in parts]})
+    keys = [np.cumsum(grow(x, np.uint64), dtype=np.uint64) for x in rows["keys"]]
+    known = np.sort(np.concatenate(keys))
+    known = known[np.concatenate([[True], known[1:] != known[:-1]])]
+    total, places = np.zeros(len(known), np.uint32), [np.searchsorted(known, k).astype(np.int32) for k in keys]
+    for at, times in zip(places, rows["times"]):
+        total[at] += grow(times, np.uint32)
+    return pd.DataFrame({"in_block": rows["block"], "piece": rows["piece"], "pairs": [shrink(total[at]) for at in places]})
 
 
 def _spelled(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -233,50 +313,50 @@ class Model:
         weights and map move after each prediction."""
         out = []
         pairs = self.stored.view("<u2")[..., 0]  # both counts of a slot at once
-        for part in _parts(units, 40_000 if learn else 200_000):
+        last = self.SHAPE[1] - 1
+        for part in _parts(units, 40_000):
             text, owner, is_gap, contexts = _spelled(units[part])
-            weight = weights[part][owner].astype(np.float32)
-            previous = np.concatenate([[0], text[:-1]])
+            weight = weights[part][owner]
+            previous = np.concatenate([[0], text[:-1]]).astype(np.int32)
             previous[np.concatenate([[True], owner[1:] != owner[:-1]])] = 0
+            previous *= STEPS
             cost = np.zeros(len(text))
+            total = max(weight.sum(), 1)
             for place in range(7, -1, -1):
-                bit = (text >> place & 1).astype(np.int64)
+                bit = text >> place & 1
                 node = (1 << (7 - place)) + (text.astype(np.int64) >> (place + 1))
-                gate = place * 2 + is_gap
-                used, inputs = [], []
+                gate = (place * 2 + is_gap) * self.SHAPE[1]
                 flat = self.weights.astype(np.float32).ravel()
-                dot = flat[gate * self.SHAPE[1] + self.SHAPE[1] - 1]
+                used, inputs, dot = [], [], flat[gate + last]
+                if learn:
+                    zero, one = np.where(bit == 0, weight, 0).astype(np.int16), np.where(bit == 1, weight, 0).astype(np.int16)
                 for k, context in enumerate(contexts):
                     pair = pairs[_slots(context, node, self.tables[k])]
-                    if learn:
-                        zeros, ones = STORED[pair & 255], STORED[pair >> 8]
-                        np.subtract(zeros, weight, out=zeros, where=bit == 0)
-                        np.subtract(ones, weight, out=ones, where=bit == 1)
-                        np.maximum(zeros, 0, out=zeros)
-                        np.maximum(ones, 0, out=ones)
-                        logit = np.log(ones + np.float32(ADDED)) - np.log(zeros + np.float32(ADDED))
-                        level = np.minimum(np.frexp(zeros + ones)[1], LEVELS - 1)
-                    else:
-                        logit, level = LOGITS[pair], LEVEL[pair]
-                    at = gate * self.SHAPE[1] + k * LEVELS + level
+                    if learn:  # counts up to 127 are stored as they are; those of more hardly change by one unit
+                        zeros, ones = (pair & 255).astype(np.int16), (pair >> 8).astype(np.int16)
+                        zeros = np.where(zeros < 128, np.maximum(zeros - zero, 0), zeros)
+                        ones = np.where(ones < 128, np.maximum(ones - one, 0), ones)
+                        pair = ones.astype(np.int32) << 8 | zeros
+                    logit = LOGITS[pair]
+                    at = gate + k * LEVELS + LEVEL[pair]
                     dot = dot + logit * flat[at]
                     used.append(at)
                     inputs.append(logit)
                 p = 1 / (1 + np.exp(-np.clip(dot, -18, 18)))
-                step = np.clip(np.round(2 * dot + STEPS / 2 - 0.5), 0, STEPS - 1).astype(np.int64)
-                mapped = self.map_ones[previous, step] / self.map_all[previous, step]
-                final = np.clip((p + mapped) / 2, 1e-7, 1 - 1e-7)
-                cost += np.log10(np.where(bit == 1, final, 1 - final))
+                step = np.clip(np.round(2 * dot + STEPS / 2 - 0.5), 0, STEPS - 1).astype(np.int32)
+                at = previous + step
+                mapped = (self.map_ones.ravel() / self.map_all.ravel()).astype(np.float32)[at]
+                final = np.clip((p + mapped) / 2, 1e-6, 1 - 1e-6)
+                cost += np.log(np.where(bit == 1, final, 1 - final))
                 if learn:
-                    error = (bit - p) * weight / max(weight.sum(), 1)
-                    constant = gate * self.SHAPE[1] + self.SHAPE[1] - 1
-                    for at, x in ((constant, 1), *zip(used, inputs)):
-                        g = np.bincount(at, weights=error * x, minlength=flat.size).reshape(self.SHAPE)
+                    error = (bit - p) * (weight / total)
+                    for index, x in ((gate + last, 1), *zip(used, inputs)):
+                        g = np.bincount(index, weights=error * x, minlength=flat.size).reshape(self.SHAPE)
                         self.squares += g * g
                         self.weights += RATE * g / np.sqrt(self.squares)
-                    np.add.at(self.map_ones, (previous, step), bit * weight)
-                    np.add.at(self.map_all, (previous, step), weight)
-            out.append(np.bincount(owner, weights=cost, minlength=len(units[part])))
+                    self.map_ones += np.bincount(at, weights=bit * weight, minlength=256 * STEPS).reshape(256, STEPS)
+                    self.map_all += np.bincount(at, weights=weight, minlength=256 * STEPS).reshape(256, STEPS)
+            out.append(np.bincount(owner, weights=cost, minlength=len(units[part])) / np.log(10))
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -284,6 +364,15 @@ def quantize(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.searchsorted(STORED, counts, "right") - 1, 0, 255).astype(np.uint8)
 
 
+def unit_lists(rows: pd.DataFrame, trained: bool) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Units and counts of each piece; only those that occur in training, on demand."""
+    for r in rows.itertuples():
+        units, n = grow_units(r.units, r.sizes), grow(r.numbers, np.int64)
+        if trained:
+            units, n = [u for u, k in zip(units, n.tolist()) if k], n[n > 0]
+        yield units, n
+
+
 def fit_spelling(units: DataFrame, distinct: int) -> tuple[int, DataFrame]:
     """Slot bits, and rows (piece, data): the summed bit counts of PIECE slots."""
     bits = int(np.clip(int(max(distinct, 1)).bit_length() + 2, LEAST_SLOT_BITS, MOST_SLOT_BITS))
@@ -292,7 +381,8 @@ def fit_spelling(units: DataFrame, distinct: int) -> tuple[int, DataFrame]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         into = np.zeros((slots, 2), np.int32)
         for rows in batches:
-            count_bits(list(map(bytes, rows["unit"])), weight_of(rows["n"].to_numpy()), bits, into)
+            for units, n in unit_lists(rows, True):
+                count_bits(units, weight_of(n), bits, into)
         for at in range(0, slots, PIECE):
             piece = into[at : at + PIECE]
             if piece.any():
@@ -308,7 +398,7 @@ def fit_spelling(units: DataFrame, distinct: int) -> tuple[int, DataFrame]:
         return pd.DataFrame({"piece": [key[0]], "data": [zlib.compress(quantize(summed(rows)).tobytes(), 1)]})
 
     kind = "piece int, data binary"
-    partial = units.filter("n > 0").mapInPandas(count, kind).withColumn("part", F.spark_partition_id() % MERGERS)
+    partial = units.mapInPandas(count, kind).withColumn("part", F.spark_partition_id() % MERGERS)
     partial = partial.groupBy("piece", "part").applyInPandas(add_up, kind)  # a tree: no group grows with all tasks
     return bits, materialize(partial.groupBy("piece").applyInPandas(total, kind), "lm-counts")
 
@@ -339,7 +429,7 @@ def merge_learned(learned: DataFrame, size: int, maps: int) -> tuple[int, np.nda
 
 
 def spelling_scores(units: DataFrame, distinct: int) -> DataFrame:
-    """(unit, n, spelled): each unit's log10 probability in the spelling model."""
+    """(piece, units, sizes, numbers, spelled): each unit's log10 probability in the spelling model."""
     bits, counts = fit_spelling(units, distinct)
     context = units.sparkSession.sparkContext
     # one byte for each of fewer than 5 * 2 ** MOST_SLOT_BITS counts, compressed
@@ -348,16 +438,16 @@ def spelling_scores(units: DataFrame, distinct: int) -> DataFrame:
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, seen = Model(bits, load_counts(bits, pieces.value)), 0
         for rows in batches:
-            weights = weight_of(rows["n"].to_numpy())
-            model.pass_over(list(map(bytes, rows["unit"])), weights, True)
-            seen += int(weights.sum())
+            for units, n in unit_lists(rows, True):
+                model.pass_over(units, weight_of(n), True)
+                seen += int(weight_of(n).sum())
         if seen:
             fresh = Model(LEAST_SLOT_BITS, model.stored)
             parts = (model.weights, model.map_ones - fresh.map_ones, model.map_all - fresh.map_all)
             yield pd.DataFrame({"seen": [seen], "data": [np.concatenate([x.ravel() for x in parts]).tobytes()]})
 
     size = GATES * Model.SHAPE[1]
-    total, weights, maps = merge_learned(units.filter("n > 0").mapInPandas(learn, "seen long, data binary"), size, 2 * 256 * STEPS)
+    total, weights, maps = merge_learned(units.mapInPandas(learn, "seen long, data binary"), size, 2 * 256 * STEPS)
     fresh = Model(LEAST_SLOT_BITS, np.zeros(0))
     ones, everything = maps.reshape(2, 256, STEPS)
     mixing = (weights.reshape(fresh.weights.shape) if total else fresh.weights, fresh.map_ones + ones, fresh.map_all + everything)
@@ -366,22 +456,57 @@ def spelling_scores(units: DataFrame, distinct: int) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(bits, load_counts(bits, pieces.value), *held.value)
         for rows in batches:
-            yield rows.assign(spelled=model.pass_over(list(map(bytes, rows["unit"])), np.ones(len(rows)), False))
+            spelled = [shrink(model.pass_over(u, np.ones(len(u), np.int64), False).astype(np.float32)) for u, _ in unit_lists(rows, False)]
+            yield rows.assign(spelled=spelled)
+
+    columns = "piece int, units binary, sizes binary, numbers binary"
+    return units.select("piece", "units", "sizes", "numbers").mapInPandas(score, f"{columns}, spelled binary")
 
-    return units.select("unit", "n").mapInPandas(score, "unit binary, n long, spelled double")
 
+def unit_answers(rows: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
+    """For each block its units' counts and spelling scores, in the order of its dictionary."""
+    if not len(rows):
+        return pd.DataFrame(columns=["in_block", "piece", "n", "spelled"])
+    n, spelled = grow(scored["numbers"].iloc[0], np.int64), grow(scored["spelled"].iloc[0], np.float32)
+    at = [grow(x, np.int32) for x in rows["numbers"]]
+    return pd.DataFrame({"in_block": rows["block"], "piece": rows["piece"], "n": [shrink(n[x]) for x in at], "spelled": [shrink(spelled[x]) for x in at]})
 
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def grouped(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of keys below `most`, and where each distinct one begins in it."""
+    bits = len(keys).bit_length()
+    if int(most).bit_length() + bits < 63:  # sorted with their places, which is faster than sorting places by them
+        packed = np.sort(keys.astype(np.int64) << bits | np.arange(len(keys)))
+        order, sorted_keys = packed & ((1 << bits) - 1), packed >> bits
+    else:
+        order = np.argsort(keys, kind="stable")
+        sorted_keys = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def runs(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place, how often its key stands before it, and how often in all."""
-    order = np.argsort(keys, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
+    order, begin = grouped(keys, most)
     sizes = np.diff(np.append(begin, len(keys)))
-    earlier, total = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    earlier, total = np.empty(len(keys), np.int32), np.empty(len(keys), np.int32)
     earlier[order] = np.arange(len(keys)) - np.repeat(begin, sizes)
     total[order] = np.repeat(sizes, sizes)
     return earlier, total
 
 
+def pair_places(before: np.ndarray, tokens: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """For each token, the place of its pair among the block's sorted keys."""
+    order, begin = grouped(before.astype(np.int64) * len(hashes) + tokens, len(hashes) ** 2)
+    first = order[begin]
+    keys = pair_keys(hashes[before[first]], hashes[tokens[first]], bits)
+    by_key = np.argsort(keys)
+    rank = np.empty(len(keys), np.int32)
+    rank[by_key] = np.cumsum(np.concatenate([[0], keys[by_key][1:] != keys[by_key][:-1]]))
+    place = np.empty(len(tokens), np.int32)
+    place[order] = np.repeat(rank, np.diff(np.append(begin, len(tokens))))
+    return place
+
+
 def log_sum(*terms: np.ndarray) -> np.ndarray:
     """log10 of a sum of numbers given by their log10."""
     return np.logaddexp.reduce([np.multiply(t, np.log(10)) for t in terms]) / np.log(10)
@@ -506,14 +631,22 @@ def fit_follower(marked: DataFrame) -> Follower:
     return Follower(counts, weights.reshape(Follower.SHAPE) if total else None, fresh.maps + maps.reshape(fresh.maps.shape))
 
 
-def best_share(units: DataFrame, tokens: int) -> float:
+def best_share(scored: DataFrame, tokens: int) -> float:
     """How far a word's share of the training words counts beside its spelling: what makes them likeliest, each of
     them left out of its own count."""
-    tried = [k / 20 for k in range(1, 20)]
-    each = F.greatest(F.col("n") - 1, F.lit(0)) / F.lit(max(tokens - 1, 1))
-    gain = [F.sum(F.col("n") * F.log10(F.lit(t) * each + F.lit(1 - t) * F.pow(F.lit(10.0), F.greatest("spelled", F.lit(-300.0))))) for t in tried]
-    found = units.filter("n > 0 and word").agg(*[g.alias(f"t{k}") for k, g in enumerate(gain)]).first()
-    return max(zip(found, tried))[1] if found[0] is not None else 0.5
+    tried = np.arange(1, 20) / 20
+
+    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gain = np.zeros(len(tried))
+        for rows in batches:
+            for (units, n), data in zip(unit_lists(rows, False), rows["spelled"]):
+                kept = np.flatnonzero((n > 0) & np.array([is_word(u) for u in units]))
+                share, spelled = np.maximum(n[kept] - 1, 0) / max(tokens - 1, 1), 10.0 ** np.maximum(grow(data, np.float32)[kept].astype(float), -300)
+                gain += [n[kept] @ np.log10(t * share + (1 - t) * spelled) for t in tried]
+        yield pd.DataFrame({"k": np.arange(len(tried)), "gain": gain})
+
+    found = scored.mapInPandas(gains, "k int, gain double").groupBy("k").agg(F.sum("gain").alias("gain")).collect()  # as many rows as are tried
+    return float(tried[max((r["gain"], r["k"]) for r in found)[1]]) if found else 0.5
 
 
 class Marked(NamedTuple):
@@ -529,76 +662,63 @@ class Marked(NamedTuple):
 
 
 def mark(docs: DataFrame, modulus: int, remainder: int) -> Marked:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    piece_bits = max(1, (size // PIECE_BYTES).bit_length())
+    pieces = Pieces.of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     cut = docs.select("doc_id", "text", (crc_bucket(F.col("doc_id"), modulus) == remainder).alias("__held"))
-    cut = materialize(blocks(cut, "__held", piece_bits), "lm-blocks")
-    entries = cut.filter("entry is not null").select("block", "entry", "unit", "trained")
-    units = materialize(entries.groupBy("unit").agg(F.sum("trained").alias("n")), "lm-units")
-    first = F.substring("unit", 1, 1)
-    # of words and gaps the end counts as a word
-    word = (F.length("unit") == 0) | ~first.isin(*[F.lit(bytes([b])) for b in BLANKS])
-    empty = F.col("unit") == F.lit(EMPTY)
-    facts = units.agg(
-        F.count("*").alias("distinct"),
-        F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)).alias("tokens"),
-        F.coalesce(F.sum((word & (F.col("n") > 0)).cast("long")), F.lit(0)).alias("vocabulary"),
-        F.coalesce(F.sum(F.when(~word & ~empty, F.col("n"))), F.lit(0)).alias("gaps"),
-    ).first()
+    cut = materialize(blocks(cut, "__held", pieces), "lm-blocks")
+    units = materialize(unit_requests(cut).groupBy("piece").applyInPandas(sum_units, UNITS), "lm-units")
+    whole = units.filter("block < 0")
+    facts = whole.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "tokens", "vocabulary", "gaps")]).first()
     tokens, vocabulary, gaps = facts["tokens"], facts["vocabulary"], facts["gaps"]
-    scored = materialize(spelling_scores(units, facts["distinct"]).withColumn("word", word), "lm-spelled")
+    scored = materialize(spelling_scores(whole, facts["distinct"]), "lm-spelled")
     share = best_share(scored, tokens)
-    lookup = entries.join(scored, "unit").select(
-        F.col("block").alias("in_block"), "entry", "n", "spelled", F.xxhash64("unit").alias("hash"), F.lit(-1).alias("piece"), F.lit(None).cast("binary").alias("answers")
-    )
-    answers = cut.filter("piece is not null").select("block", "piece", "pairs", "times").groupBy("piece").applyInPandas(sum_pairs, "in_block long, piece int, answers binary")
-    # numbers, not nulls, for what the other kind of row lacks: pandas would make longs with nulls floating-point
-    answers = answers.withColumns({"entry": F.lit(-1), "n": F.lit(0).cast("long"), "spelled": F.lit(0.0), "hash": F.lit(0).cast("long")})
-    lookup = lookup.unionByName(answers)
+    by_unit = units.filter("block >= 0").select("piece", "block", "numbers").groupBy("piece")
+    answers = by_unit.cogroup(scored.select("piece", "numbers", "spelled").groupBy("piece")).applyInPandas(unit_answers, "in_block long, piece int, n binary, spelled binary")
+    pairs = pair_requests(cut, pieces).groupBy("piece").applyInPandas(sum_pairs, "in_block long, piece int, pairs binary")
+    answers = answers.unionByName(pairs, allowMissingColumns=True)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, coded double, marks binary"
 
     def look_up(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         """Of each text: its base score, what its words cost once their bits are known, gaps included, and marks."""
-        pairs, table = table[table["piece"] >= 0].sort_values("piece"), table[table["piece"] < 0]
-        n, spelled, hashes = np.zeros(len(table), np.int64), np.zeros(len(table)), np.zeros(len(table), np.uint64)
-        at = table["entry"].to_numpy(np.int64)
-        n[at], spelled[at], hashes[at] = table["n"].to_numpy(np.int64), table["spelled"].to_numpy(float), table["hash"].to_numpy(np.int64).view(np.uint64)
-        times = np.concatenate([unplanes(x, np.uint32) for x in pairs["answers"]]).astype(np.int64)
+        r, table = rows.iloc[0], table.sort_values("piece")
+        whole = lambda column, kind: np.concatenate([grow(x, kind) for x in table[column] if x is not None])
+        n, spelled, times = whole("n", np.int64), whole("spelled", np.float32).astype(float), whole("pairs", np.uint32).astype(np.int32)
         base_cost = np.log10((n + 1) / (tokens + vocabulary + 1))
         gap_cost = log_sum(log_of(0.999 * n / max(gaps, 1)), log_of(0.001) + spelled)
-        counts, held = rows["n_words"].to_numpy(np.int64), rows["held"].to_numpy(bool)
-        ids = [np.frombuffer(x, np.int32) for x in rows["ids"]]
-        known_pairs = np.unique(pair_hashes(*(hashes[x] for x in with_ends([x[:w] for x, w in zip(ids, counts)])[::-1])))
-        out = []
+        held, counts, n_others, n_blank = grow(r["held"], bool), *(grow(r[c], np.int64) for c in ("n_words", "n_others", "n_blank"))
+        tokens_of_all, before_all = with_ends(grow(r["words"], np.int32), counts)
+        places = pair_places(before_all, tokens_of_all, hashes_of(grow_units(r["units"], r["sizes"])), pieces.key_bits)
+        others = grow(r["others"], np.int32)
+        # the last of a text's other units is the end, which is a token
+        gap = np.bincount(np.repeat(np.arange(len(counts)), n_others), weights=gap_cost[others], minlength=len(counts)) - gap_cost[END_ID]
+        gap += n_blank * gap_cost[BLANK_ID]
+        ends, out = np.cumsum(counts + 1), []
         for part in chunks_by_bytes(counts.tolist(), WORDS_AT_ONCE):  # few texts at a time bound the arrays
             sizes = counts[part] + 1
-            flat, before = with_ends([x[:w] for x, w in zip(ids[part], counts[part])])
+            span = slice(ends[part.start] - sizes[0], ends[part.stop - 1])
+            flat, before, pair = tokens_of_all[span], before_all[span], places[span]
             text = np.repeat(np.arange(len(sizes)), sizes)
             sums = lambda x: np.bincount(text, weights=x, minlength=len(sizes))  # noqa: E731, B023
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            pair = np.searchsorted(known_pairs, pair_hashes(hashes[before], hashes[flat]))
-            earlier, own = runs(text * len(n) + flat)
-            _, own_pair = runs(text * len(times) + pair)
+            earlier, own = runs(text * len(n) + flat, len(sizes) * len(n))
+            _, own_pair = runs(text * len(times) + pair, len(sizes) * len(times))
             own_before = np.where(place > 0, own[np.arange(len(flat)) - 1], 1)  # the end stands once before a text
             learned = ~held[part][text]  # their own counts are taken off
             after, both = n[before] - own_before * learned, times[pair] - own_pair * learned
             seen = both > 0
-            all_others = np.maximum(tokens - np.where(learned, sizes[text], 0), 1)
-            static = log_sum(log_of(share * (n[flat] - own * learned) / all_others), log_of(1 - share) + spelled[flat])
-            cost = np.where(seen, log_of(both / np.maximum(after, 1)), cached_scores(earlier, place, static))
-            others = [x[w:-1] for x, w in zip(ids[part], counts[part])]  # gaps; their last one is the end
-            gap = np.array([gap_cost[o].sum() for o in others]) + rows["n_blank"].to_numpy(np.int64)[part] * gap_cost[0]
+            cost, missed = np.empty(len(flat)), np.flatnonzero(~seen)
+            cost[seen] = np.log10(both[seen] / np.maximum(after[seen], 1))
+            all_others = np.maximum(tokens - np.where(learned, sizes[text], 0), 1)[missed]
+            static = log_sum(log_of(share * (n[flat] - own * learned)[missed] / all_others), log_of(1 - share) + spelled[flat[missed]])
+            cost[missed] = cached_scores(earlier[missed], place[missed], static)
             marks = magnitude(after, 15) | seen.astype(np.uint8) << 4 | magnitude(both, 7) << 5
-            cuts = np.cumsum(sizes)
-            few = {"n_tokens": sizes, "n_known": sums(n[flat] > 0).astype(np.int64), "base_score": sums(base_cost[flat]), "coded": sums(cost) + gap}
-            out.append(pd.DataFrame(few | {"marks": [m.tobytes() for m in np.split(marks, cuts[:-1])]}))
+            few = {"n_tokens": sizes, "n_known": sums(n[flat] > 0).astype(np.int64), "base_score": sums(base_cost[flat]), "coded": sums(cost) + gap[part]}
+            out.append(pd.DataFrame(few | {"marks": [m.tobytes() for m in np.split(marks, np.cumsum(sizes)[:-1])]}))
         table = pd.concat(out, ignore_index=True)
-        return table.assign(doc_id=rows["doc_id"].to_numpy(), held_out=held, n_bytes=rows["n_bytes"].to_numpy())[[c.split()[0] for c in schema.split(", ")]]
+        return table.assign(doc_id=list(r["doc_ids"]), held_out=held, n_bytes=grow(r["n_bytes"], np.int64))[[c.split()[0] for c in schema.split(", ")]]
 
-    texts = cut.filter("ids is not null").select("block", "doc_id", "held", "n_bytes", "n_words", "n_blank", "ids")
-    marked = texts.groupBy("block").cogroup(lookup.groupBy("in_block")).applyInPandas(look_up, schema)
+    marked = cut.drop("trained", "by_piece").groupBy("block").cogroup(answers.groupBy("in_block")).applyInPandas(look_up, schema)
     return Marked(materialize(marked, "lm-marks"), tokens, gaps, scored, share)
 
 

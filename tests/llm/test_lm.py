@@ -167,7 +167,8 @@ def brute_scores(rows, spelled, share, tokens, gaps, follower):
 def test_score_against_brute_force(spark):
     rows = [r for r in corpus(60) if r[0] != 503]
     found = lm.mark(spark.createDataFrame(rows, "doc_id long, text string"), 7, 2)
-    spelled = {bytes(r["unit"]): r["spelled"] for r in found.units.collect()}
+    pieces = found.units.toPandas()
+    spelled = {u: float(x) for (units, _), data in zip(lm.unit_lists(pieces, False), pieces["spelled"]) for u, x in zip(units, lm.grow(data, np.float32))}
     follower = lm.fit_follower(found.marked)
     want = brute_scores(rows, spelled, found.share, found.tokens, found.gaps, follower)
     got = [(r["doc_id"], r["score"]) for r in lm.finish(found.marked, found.tokens, follower).collect()]
@@ -185,7 +186,7 @@ def test_score_rests_on_the_mixers(spark):
     found = lm.mark(spark.createDataFrame(rows, "doc_id long, text string"), 7, 2)
     follower = lm.fit_follower(found.marked)
     scores = lm.finish(found.marked, found.tokens, follower).collect()
-    units = {bytes(r["unit"]): -8 * (len(r["unit"]) + 1) * math.log10(2) for r in found.units.collect()}
+    units = {u: -8 * (len(u) + 1) * math.log10(2) for units, _ in lm.unit_lists(found.units.toPandas(), False) for u in units}
     idle = lm.Follower(np.ones((2, lm.Follower.OFFSETS[-1]), np.int64))
     random = sum(x for _, x in brute_scores(rows, units, found.share, found.tokens, found.gaps, idle))
     assert sum(r["score"] for r in scores) > 0.8 * random
