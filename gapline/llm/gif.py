@@ -1,12 +1,16 @@
 """Media columns: GIF.
 
-``encode_gif`` stores 8-bit samples as frames 64 pixels wide with a grey palette and LZW code streams;
-``decode_gif`` reads any GIF: global and local palettes, interlacing, transparency, disposal and frame times.
+``encode_gif`` stores 8-bit samples as timed frames 64 pixels wide with a grey palette and LZW code streams. A frame is
+cleared once shown, and zeros, such as padding, are left out as transparent where the samples leave a palette place
+free. ``decode_gif`` reads any GIF: global and local palettes, interlacing, transparency, disposal and frame times;
+``read_back`` takes the payload from the pictures that it composes.
 An LZW code stands for the text of an earlier code and one more byte, so a code stream is a list of copies from
 its own output: codes are unpacked at known widths and the copies resolved by following their sources in numpy.
 
-Defined cases: a null text is empty and is stored as 64 zero bytes; broken data raises ValueError in
-``decode_gif`` and gives null media columns in ``frames``; repeated rows give repeated results.
+Defined cases: a null text is empty and is stored as 64 zero bytes; broken data, cut off data included, raise
+ValueError in ``decode_gif`` and give a row with null media columns in ``frames`` and ``read_back``; a graphic control
+block holds for the one frame behind it; texts of any length are whole, one frame after the other; repeated rows give
+repeated results, a null id stays null, an empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from gapline.llm.common import encode
 
-WIDTH, UNIT, FRAME_ROWS, DELAY = 64, 64, 16_384, 10
+WIDTH, UNIT, FRAME_ROWS, DELAY, CLEAR = 64, 64, 256, 10, 255
 MOST_CODES = 4096
 
 
@@ -162,14 +166,19 @@ def _blocks(data: bytes) -> bytes:
 
 
 def encode_gif(samples: bytes, delay: int = DELAY) -> bytes:
-    """Samples, a multiple of WIDTH bytes, as frames of at most FRAME_ROWS rows."""
+    """Samples, a multiple of WIDTH bytes, as frames of at most FRAME_ROWS rows. What is cleared reads as zero, so zeros
+    are drawn as the transparent CLEAR, unless that is a sample too."""
     height = len(samples) // WIDTH
     palette = bytes(v for c in range(256) for v in (c, c, c))
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(height, FRAME_ROWS), 0xF7, 0, 0), palette]
+    through = CLEAR not in samples
     for top in range(0, height, FRAME_ROWS):
         part = samples[top * WIDTH : (top + FRAME_ROWS) * WIDTH]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay, 0) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08" + _blocks(lzw_encode(part)))
+        rows = len(part) // WIDTH
+        if through:
+            part = part.replace(b"\0", bytes([CLEAR]))
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 2 << 2 | through, delay, CLEAR if through else 0) + b"\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, rows, 0) + b"\x08" + _blocks(lzw_encode(part)))
     return b"".join([*out, b";"])
 
 
@@ -185,9 +194,16 @@ def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
         at += 1 + n
 
 
-def decode_gif(data: bytes, compose: bool = True) -> Iterator[dict]:
-    """Frames as shown: index samples and palette of the frame itself, the composed picture (RGBA; None on demand),
-    start and delay in 1/100 s."""
+def decode_gif(data: bytes) -> Iterator[dict]:
+    """Frames as shown: index samples and palette of the frame itself, its height, the composed picture (RGBA, valid until
+    the next frame is asked for), start and delay in 1/100 s. Broken data raise ValueError."""
+    try:
+        yield from _frames(data)
+    except (struct.error, IndexError) as e:
+        raise ValueError(f"cut off: {e}") from None
+
+
+def _frames(data: bytes) -> Iterator[dict]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack("<HHB", data[6:11])
@@ -195,9 +211,9 @@ def decode_gif(data: bytes, compose: bool = True) -> Iterator[dict]:
     if flags & 0x80:
         n = 2 << (flags & 7)
         shared, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
-    canvas = np.zeros((height, width, 4) if compose else (0, 0, 4), np.uint8)
+    canvas = np.zeros((height, width, 4), np.uint8)
     disposal, delay, clear_index, clock = 0, 0, -1, 0
-    while at < len(data) and data[at] != 0x3B:
+    while data[at] != 0x3B:
         if data[at] == 0x21:
             label = data[at + 1]
             body, at = _read_blocks(data, at + 2)
@@ -224,16 +240,17 @@ def decode_gif(data: bytes, compose: bool = True) -> Iterator[dict]:
             rows = np.empty_like(samples)
             rows[order] = samples
             samples = rows
-        if not compose:
-            yield {"samples": samples, "palette": palette, "picture": None, "start": clock, "delay": delay}
-            clock += delay
-            continue
         before = canvas.copy() if disposal == 3 else None
         window = canvas[top : top + h, left : left + w]
         shown = samples[: window.shape[0], : window.shape[1]]
-        drawn = shown != clear_index
-        window[drawn] = np.concatenate([palette, np.full((len(palette), 1), 255, np.uint8)], 1)[np.minimum(shown, len(palette) - 1)][drawn]
-        yield {"samples": samples, "palette": palette, "picture": canvas.copy(), "start": clock, "delay": delay}
+        colours = np.full((256, 4), 255, np.uint8)
+        colours[: len(palette), :3] = palette
+        colours[len(palette) :, :3] = palette[-1]
+        if clear_index < 0:
+            window[:] = colours[shown]
+        else:
+            np.copyto(window, colours[shown], where=(shown != clear_index)[..., None])
+        yield {"samples": samples, "palette": palette, "rows": h, "picture": canvas, "start": clock, "delay": delay}
         clock += delay
         if disposal == 2:
             window[:] = 0
@@ -242,17 +259,11 @@ def decode_gif(data: bytes, compose: bool = True) -> Iterator[dict]:
         disposal, delay, clear_index = 0, 0, -1
 
 
-def histogram(picture: np.ndarray) -> list[int]:
+def histogram(picture: np.ndarray) -> np.ndarray:
     """64 counts: pixels that show by the two upper bits of red, green and blue."""
-    rgb = picture[picture[..., 3] > 0][:, :3].astype(np.int64) >> 6
-    return np.bincount(rgb @ [16, 4, 1], minlength=64).tolist()
-
-
-def palette_histogram(samples: np.ndarray, palette: np.ndarray) -> np.ndarray:
-    """The same counts for a frame that shows all its samples."""
-    counts = np.bincount(samples.ravel(), minlength=len(palette))
-    bins = (palette.astype(np.int64) >> 6) @ [16, 4, 1]
-    return np.bincount(bins, weights=counts[: len(bins)], minlength=64).astype(np.int64)
+    red, green, blue, alpha = (picture[..., k] for k in range(4))
+    bins = (red >> 6 << 4 | green >> 6 << 2 | blue >> 6)[alpha > 0]
+    return np.bincount(bins, minlength=64)
 
 
 def frames(media: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
@@ -266,8 +277,8 @@ def frames(media: DataFrame, id_column: str = "doc_id", media_column: str = "med
             out = []
             for key, data in zip(rows.iloc[:, 0], rows.iloc[:, 1]):
                 try:
-                    shown = [(k, f["start"], f["delay"], f["picture"].shape[1], f["picture"].shape[0], histogram(f["picture"])) for k, f in enumerate(decode_gif(data or b""))]
-                except (ValueError, struct.error, IndexError):
+                    shown = [(k, f["start"], f["delay"], f["picture"].shape[1], f["picture"].shape[0], histogram(f["picture"]).tolist()) for k, f in enumerate(decode_gif(data or b""))]
+                except ValueError:
                     shown = []
                 out += [(key, *f) for f in shown] or [(key, None, None, None, None, None, None)]
             table = pd.DataFrame(out, columns=names)
@@ -291,21 +302,34 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Digest columns of stored media, all computed from the media bytes and what decoding them gives."""
+    """Digest columns of stored media, all computed from the media bytes and the pictures they show. The payload is the
+    red of a picture's rows as far as the frame reaches, frame after frame; colours: the frames' histograms together;
+    feature: those of its bins that greys fall in, dark to bright."""
     kind = stored.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = (
+        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+        "media_sha256 string, feature string, n_frames long, duration_cs long, colours array<long>"
+    )
+
+    def digests(data: bytes | None) -> tuple:
+        payload, colours, count, end = [], np.zeros(64, np.int64), 0, 0
+        try:
+            for f in decode_gif(data or b""):
+                payload.append(f["picture"][: f["rows"], :, 0].tobytes())
+                colours += histogram(f["picture"])
+                count, end = count + 1, f["start"] + f["delay"]
+        except ValueError:
+            return (None,) * 9
+        whole = b"".join(payload)
+        feature = ",".join(map(str, colours[[0, 21, 42, 63]].tolist()))
+        return len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, count, end, colours.tolist()
+
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for key, n, data in zip(rows["doc_id"], rows["n_bytes"], rows["media"]):
-                payload, counts = [], np.zeros(64, np.int64)
-                for f in decode_gif(data, compose=False):
-                    payload.append(f["samples"].tobytes())
-                    counts += palette_histogram(f["samples"], f["palette"])
-                payload = b"".join(payload)
-                feature = ",".join(map(str, counts[[0, 21, 42, 63]].tolist()))  # of greys only these are not 0
-                out.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            out = [(key, n, *digests(data)) for key, n, data in zip(rows["doc_id"], rows["n_bytes"], rows["media"])]
+            table = pd.DataFrame(out, columns=names)
+            yield table.astype(dict.fromkeys(["payload_bytes", "tail_crc32", "media_bytes", "n_frames", "duration_cs"], "Int64"))
 
     return stored.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)
