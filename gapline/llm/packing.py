@@ -4,7 +4,8 @@ Lengths lie between 1 and the capacity, so the corpus is summed up in a histogra
 The plan is made on it: combinations of one, two or three lengths that exactly fill a gap are consumed as often
 as their counts allow, and what is left is packed best-fit, longest first. A plan row puts a run of ranks of
 one length into consecutive sequences. Pieces get their rank in their length from salted counts and a prefix
-sum over the salts, so no length, however frequent, is gathered in one task.
+sum over the salts; a length gets as many salts as its count asks for, so no length, however frequent, is gathered in
+one task.
 
 Defined cases: a null or empty text is one piece, the end id alone; a text of over `capacity` ids is cut into
 pieces of `capacity` ids, of which the first may be shorter; repeated rows and null ids are packed like others;
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 
 from gapline.llm.common import materialize, single_thread
 
-CAPACITY, END_ID, SALTS = 2048, 0, 256
+CAPACITY, END_ID, CELL_ROWS, MOST_SENT = 2048, 0, 200_000, 1_000_000
 
 
 class Encoder:
     """Ids of the byte-level vocabulary. Two libraries read the same vocabulary: the rank file's reader is
-    several times as fast; texts with characters whose classes the libraries may see differently go to the other."""
+    several times as fast; texts with characters whose classes the libraries may see differently, or with one of the
+    vocabulary's special tokens, go to the other."""
 
     def __init__(self, json_path: str, ranks_path: str):
         single_thread()
@@ -42,11 +44,12 @@ class Encoder:
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.plain = regex.compile(r"[\x00-\x7f\xa1-ɏ‐-‧€]*")
         self.slow = Tokenizer.from_file(json_path)
-        self.slow.encode_special_tokens = True
+        special = [regex.escape(token.content) for token in self.slow.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(special) if special else r"(?!)")
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if self.plain.fullmatch(text):
+        if self.plain.fullmatch(text) and not self.special.search(text):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.slow.encode(text, add_special_tokens=False).ids
@@ -172,20 +175,24 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Every piece with sequence_id and offset. What the driver sees is the histogram: at most `capacity` counts."""
-    cut = materialize(pieces(docs, capacity), "pieces").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))
-    )
+    cut = materialize(pieces(docs, capacity), "pieces")
+    histogram = {r[0]: r[1] for r in cut.groupBy("length").agg(F.count("*")).collect()}
+    salts = [(length, -(-n // CELL_ROWS)) for length, n in histogram.items()]
+    cells_in_all = sum(n for _, n in salts)
+    salts = docs.sparkSession.createDataFrame(salts, "length long, salts long")
+    cut = cut.join(F.broadcast(salts), "length")  # capacity rows at most
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     cells = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = materialize(cells.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "length-cells")
-    histogram = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("n")).collect()}
     plan: dict[int, tuple[np.ndarray, ...]] = {}
     for length, *row in make_plan(histogram, capacity):
         plan.setdefault(length, []).append(row)
     plan = {k: tuple(np.array(x) for x in zip(*sorted(v))) for k, v in plan.items()}
     held = docs.sparkSession.sparkContext.broadcast(plan)
 
-    ranked = cut.join(F.broadcast(cells.select("length", "salt", "base")), ["length", "salt"])  # capacity x SALTS rows at most
+    cells = cells.select("length", "salt", "base")
+    ranked = cut.join(F.broadcast(cells) if cells_in_all <= MOST_SENT else cells, ["length", "salt"])
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = ranked.withColumn("rank", F.col("base") + F.row_number().over(within) - 1).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "rank"

@@ -43,8 +43,7 @@ def test_exact_triples_are_found():
 
 def test_documents(spark):
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder.encode_special_tokens = True
-    texts = ["", None, "hello world", "hello world", "né ☃ 漢字　x <|endoftext|>  \n\n y", "word " * 5000, "x" * 9000]
+    texts = ["", None, "hello world", "hello world", "né ☃ 漢字　x <|endoftext|>  \n\n y", "word " * 5000, "x" * 9000, "a <|endoftext|> b", "<|endoftext|>"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "a", 2)], "doc_id long, text string, length int")
     rows = packing.pack(docs).collect()
     for i, text in enumerate(texts):
@@ -58,3 +57,26 @@ def test_documents(spark):
     for parts in by.values():
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:])) and sum(p[1] for p in parts) <= 2048
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_both_encoders_agree():
+    """Where the fast encoder is used it gives the ids of the other one."""
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(6)
+    alphabet = [chr(c) for c in range(128)] + list("\xa1\xadéàßøñÿĀŐſƏǅɏ‐–—‘’“”•…‧€") + [" ", "  ", "\n", " \n ", "\r\n", "\t", "'s", "'LL", "the ", " 12", "<|endoftext|>"]
+    fast = 0
+    for _ in range(8000):
+        text = "".join(rng.choice(alphabet, int(rng.integers(0, 30))))
+        fast += bool(encoder.plain.fullmatch(text)) and "<|endoftext|>" not in text
+        assert encoder.encode(text).tolist() == [*slow.encode(text, add_special_tokens=False).ids, 0], repr(text)
+    assert fast > 4000
+
+
+def test_frequent_lengths_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_ROWS", 7)
+    docs = spark.createDataFrame([(i, "a b c") for i in range(60)] + [(i, "d") for i in range(5)], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    assert len(rows) == 65 and {r["sequence_id"] for r in rows} == {0}
+    spans = sorted((r["offset"], r["length"]) for r in rows)
+    assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
