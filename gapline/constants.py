@@ -81,6 +81,8 @@ ALIASES = {
     "scikit": "scikit learn", "scikitlearn": "scikit learn", "sklearn": "scikit learn", "spark": "apache spark",
     "tensor flow": "tensorflow", "torch": "pytorch", "ts": "typescript", "vue": "vue.js",
 }
+#: The same with plurals folded in what they stand for.
+ALIASES_FOLDED = ALIASES | {"aws": "amazon web service"}
 GENERIC_TERMS = [
     "a", "an", "the", "and", "or", "we", "you", "us", "our", "your", "etc", "ability", "background", "bonus",
     "business", "candidate", "check", "client", "company", "customer", "degree", "domain", "education", "engineer",
@@ -105,15 +107,25 @@ NUMBER_WORDS = {
     "twenty": 20, "fifteen": 15, "twelve": 12, "eleven": 11, "ten": 10, "nine": 9, "eight": 8, "seven": 7, "six": 6,
     "five": 5, "four": 4, "three": 3, "two": 2, "one": 1,
 }
-MONTHS = [
-    "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december",
-    "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sept", "sep", "oct", "nov", "dec",
-]
-OPEN_ENDS = ["present", "current", "till date", "to date", "ongoing", "onwards"]
-SCHOOLING = [
-    "grade", "grades", "class", "classes", "standard", "semester", "semesters", "percentile", "percentage", "cgpa",
-    "gpa", "marks", "matriculation",
-]
+
+#: Patterns of tokens and of durations, in lower case. White space is Unicode's.
+TOKEN_PATTERN = r"[A-Za-z0-9]+(?:[+#.\-][A-Za-z0-9]+)*[+#]*|[^\sA-Za-z0-9]"
+DATE_RANGE_PATTERN = (
+    r"\b(?:19|20)\d{2}\b"
+    r"|\b(?:january|february|march|april|june|july|august|september|october|"
+    r"november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec)\b"
+    r"|\b(?:present|current|till date|to date|ongoing|onwards)\b"
+)
+THOUSANDS_PATTERN = r"\d{1,3}(?:,\d{3})+(?![\d,])"
+NUMBER_PATTERN = r"\d{1,3}(?:,\d{3})+(?![\d,])|\d+(?:[.,]\d{1,2}(?!\d))?|[.,]\d{1,2}(?!\d)"
+ORDINAL_SUFFIX_PATTERN = r"\s*(?:st|nd|rd|th)\b"
+SCHOOLING_PATTERN = (
+    r"\b(?:grade|grades|class|classes|standard|semester|semesters|percentile|"
+    r"percentage|cgpa|gpa|marks|matriculation)\b"
+)
+NEGATIVE_PATTERN = r"(?<!\d)-(?=[\d.,])"
+MONTH_UNIT_PATTERN = r"(\d{1,3}(?:,\d{3})+(?![\d,])|\d+(?:[.,]\d{1,2}(?!\d))?|[.,]\d{1,2}(?!\d))\s*(?:months?|mos?)\b"
+
 MOST_YEARS = 60
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e"
 IN_WORD = "+#.-'&/"
@@ -215,6 +227,7 @@ HINT_THIN = (
 )
 HINT_NO_REQUIREMENT = "Please paste the full posting, including the skills, tools and qualifications it asks for."
 HINT_EMPTY = "Please paste the text and try again."
+#: A fixed text: what it tells to call is the interface of the service whose messages these are.
 HINT_NO_TEXT = (
     "Nothing is necessarily wrong with the resume itself. Pass resume_text to extraction_problem and run the analysis "
     "again."

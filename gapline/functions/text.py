@@ -14,7 +14,15 @@ from gapline import constants as C
 #: Inside brackets.
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE, ALNUM, HIDDEN = f"[{SPACES}]", r"[\p{L}\p{N}]", r"[\p{Cf}\p{Cc}]"
-TOKEN = rf"[A-Za-z0-9]+(?:[+#.\-][A-Za-z0-9]+)*[+#]*|[^{SPACES}A-Za-z0-9]"
+TOKEN = C.TOKEN_PATTERN.replace(r"\s", SPACES)
+#: Where a run of visible characters begins; such a run with a letter or digit; one that is an ordinary written word:
+#: short, with an ASCII letter, of letters, digits and in-word marks between its first and its last letter or digit.
+CHUNK = f"(?<![^{SPACES}])"
+READABLE_CHUNK = rf"{CHUNK}[^{SPACES}\p{{L}}\p{{N}}]*+{ALNUM}"
+WORD_CHUNK = (
+    rf"{CHUNK}[^{SPACES}\p{{L}}\p{{N}}]*+(?=[^{SPACES}A-Za-z]*+[A-Za-z])"
+    rf"{ALNUM}(?:[\p{{L}}\p{{N}}+#.\-'&/]{{0,{C.MOST_WORD_CHARS - 2}}}{ALNUM})?[^{SPACES}\p{{L}}\p{{N}}]*+(?![^{SPACES}])"
+)
 
 
 def bind(col: Column, use) -> Column:
@@ -85,14 +93,14 @@ def collapse_acronym(word: Column) -> Column:
     return F.when(word.rlike(r"^[a-z0-9](\.[a-z0-9]){2,}$"), F.replace(word, F.lit("."), F.lit(""))).otherwise(word)
 
 
-def _clean_word(word: Column) -> Column:
+def clean_word(word: Column) -> Column:
     bare = F.nullif(F.regexp_replace(word, r"^\.+|\.+$", ""), F.lit(""))
     return bind(F.coalesce(bare, word), collapse_acronym)
 
 
 def normalize(col: Column) -> Column:
     flat = F.trim(F.regexp_replace(F.lower(col), "[^a-z0-9+#.]+", " "))
-    return F.array_join(F.transform(F.filter(F.split(flat, " "), lambda w: w != ""), _clean_word), " ")
+    return F.array_join(F.transform(F.filter(F.split(flat, " "), lambda w: w != ""), clean_word), " ")
 
 
 def fold_plural(word: Column) -> Column:
@@ -110,25 +118,6 @@ def fold_words(col: Column) -> Column:
     return F.array_join(F.transform(F.split(col, " "), fold_plural), " ")
 
 
-def _py_normalize(term: str) -> str:
-    """The same on a constant, for the alias table; its values have no dots at word ends and no acronyms."""
-    kept = "".join(c if c.isascii() and (c.islower() or c.isdigit()) or c in "+#." else " " for c in term.lower())
-    return " ".join(kept.split())
-
-
-def _py_fold(word: str) -> str:
-    if word in C.UNFOLDED or not (word.isascii() and word.isalpha()) or len(word) <= 3:
-        return word
-    for end, cut, add in (("ies", 3, "y"), ("sses", 2, ""), ("shes", 2, ""), ("ches", 2, ""), ("xes", 2, "")):
-        if word.endswith(end):
-            return word[:-cut] + add
-    return word[:-1] if word.endswith("s") and not word.endswith(("ss", "us")) else word
-
-
-ALIAS_NORMAL = {k: _py_normalize(v) for k, v in C.ALIASES.items()}
-ALIAS_FOLDED = {k: " ".join(map(_py_fold, v.split())) for k, v in ALIAS_NORMAL.items()}
-
-
 def _look_up(col: Column, table: dict[str, str]) -> Column:
     literal = F.expr(f"map({', '.join(sql_text(x) for pair in table.items() for x in pair)})")
     return bind(col, lambda c: F.coalesce(F.try_element_at(literal, c), c))
@@ -136,7 +125,7 @@ def _look_up(col: Column, table: dict[str, str]) -> Column:
 
 def canonical(col: Column) -> Column:
     """The key on which spans are compared: aliases are looked up before and after plurals are folded."""
-    return _look_up(fold_words(_look_up(normalize(col), ALIAS_NORMAL)), ALIAS_FOLDED)
+    return _look_up(fold_words(_look_up(normalize(col), C.ALIASES)), C.ALIASES_FOLDED)
 
 
 def is_generic(canon: Column) -> Column:

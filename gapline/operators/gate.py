@@ -19,14 +19,14 @@ def finding(reason: Column, hint: str) -> Column:
     return F.struct(reason.alias("reason"), F.lit(hint).alias("hint"))
 
 
-def counts(text: Column) -> tuple[Column, Column]:
-    """Ordinary words, and chunks that hold a letter or digit."""
-    return F.size(T.words(text)), F.size(F.filter(T.chunks(text), lambda c: c.rlike(T.ALNUM)))
+def counts(text: Column) -> Column:
+    """struct(words, chunks): ordinary words, and chunks that hold a letter or digit."""
+    return F.struct(F.regexp_count(text, F.lit(T.WORD_CHUNK)).alias("words"), F.regexp_count(text, F.lit(T.READABLE_CHUNK)).alias("chunks"))
 
 
-def unreadable(text: Column, side: str) -> Column:
-    """Why a text cannot be read, or null; null for a text that was not supplied."""
-    words, chunks = counts(text)
+def unreadable(text: Column, side: str, counted: Column) -> Column:
+    """Why a text cannot be read, or null; null for a text that was not supplied. counted: what `counts` gives."""
+    words, chunks = counted["words"], counted["chunks"]
     a, b, c, d = C.UNREADABLE
     garbled = F.concat(F.lit(a + side + b), words.cast("string"), F.lit(c), chunks.cast("string"), F.lit(d))
     return (
@@ -47,26 +47,27 @@ def extraction_ok(n_terms: Column) -> Column:
     return F.coalesce(n_terms, F.lit(0)) >= 1
 
 
-def jd_problem(text: Column, n_terms: Column) -> Column:
+def jd_problem(text: Column, n_terms: Column, counted: Column) -> Column:
     nothing = F.when(~extraction_ok(n_terms), finding(F.lit(C.NO_REQUIREMENT), C.HINT_NO_REQUIREMENT))
-    return F.coalesce(unreadable(text, "job description"), nothing)
+    return F.coalesce(unreadable(text, "job description", counted), nothing)
 
 
-def resume_problem(text: Column, n_terms: Column) -> Column:
-    words, _ = counts(text)
+def resume_problem(text: Column, n_terms: Column, counted: Column) -> Column:
+    words = counted["words"]
     thin = F.concat(F.lit(C.THIN_RESUME[0]), words.cast("string"), F.lit(C.THIN_RESUME[1]))
     nothing = (
         F.when(extraction_ok(n_terms), F.lit(None).cast(FINDING))
         .when(text.isNull(), finding(F.lit(C.NO_RESUME_TEXT), C.HINT_NO_TEXT))
         .when(words < C.PROSE_WORDS, finding(thin, C.HINT_THIN))
     )
-    return F.coalesce(unreadable(text, "resume"), nothing)
+    return F.coalesce(unreadable(text, "resume", counted), nothing)
 
 
 def problems(docs: DataFrame, spans: DataFrame, problem, terms: DataFrame | None = None) -> DataFrame:
     """(doc_key, problem): each document's finding, once a document."""
-    joined = docs.select("doc_key", "text").join(recognised_counts(spans, terms), "doc_key", "left")
-    return joined.select("doc_key", problem(F.col("text"), F.col("n_terms")).alias("problem"))
+    counted = docs.select("doc_key", "text", counts(F.col("text")).alias("counted"))
+    joined = counted.join(recognised_counts(spans, terms), "doc_key", "left")
+    return joined.select("doc_key", problem(F.col("text"), F.col("n_terms"), F.col("counted")).alias("problem"))
 
 
 def verdict(jd: Column, resume: Column) -> Column:

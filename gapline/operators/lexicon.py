@@ -50,10 +50,11 @@ def readable_words(span: Column) -> Column:
     return F.filter(T.chunks(span), lambda w: w.rlike(T.ALNUM))
 
 
-def first_parts(words: Column) -> Column:
-    """For each word, its first normalized part as it is (f) and in the singular (g)."""
-    first = F.transform(words, lambda w: F.get(F.split(T.normalize(w), " "), 0))
-    return F.transform(first, lambda f: F.struct(f.alias("f"), T.fold_plural(f).alias("g")))
+def may_begin(starts: set[str]) -> str:
+    """SQL: a quick test of a word x as it is written, true of all that can begin a term and of few others: its first
+    three characters, unless one of them parts words or acronyms. Plurals differ in them only if the term is short."""
+    written = {w[:3] for s in starts for w in (s, s + "es", s[:-1] + "ies")}
+    return f"substring(lower(x), 1, 3) IN ({', '.join(map(T.sql_text, sorted(written)))}) OR x rlike '^[A-Za-z0-9+#]{{0,2}}[^A-Za-z0-9+#]'"
 
 
 def named_windows(rows: DataFrame, key: str, words: Column, terms: tuple[str, ...] | None = None) -> DataFrame:
@@ -62,16 +63,17 @@ def named_windows(rows: DataFrame, key: str, words: Column, terms: tuple[str, ..
     spark = rows.sparkSession
     terms = terms or tuple(t for t, *_ in known_terms(spark))
     width = max(len(t.split(" ")) for t in terms)
-    starts = tuple({t.split(" ")[0] for t in terms} | {a.split(" ")[0] for a in T.ALIAS_NORMAL})
-    own = rows.select(F.col(key).alias("__key"), words.alias("w")).withColumn("f", first_parts(F.col("w")))
-    # words that can begin a term, and those that normalize to nothing, which take part in windows; Spark tests the
-    # list with a hash set
-    listed = ", ".join(map(T.sql_text, starts))
-    places = F.expr(f"filter(transform(f, (z, i) -> if(z.f = '' OR z.f IN ({listed}) OR z.g IN ({listed}), i, null)), i -> i IS NOT NULL)")
-    written = F.transform(F.filter("w", lambda w: w.rlike("^[A-Za-z0-9]$")), F.lower)
-    own = own.select("__key", "w", written.alias("single"), F.explode(places).alias("i"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(width), F.size("w") - F.col("i")))
-    windows = own.select("__key", "single", "i", F.slice("w", F.col("i") + 1, F.lit(width)).alias("w"), F.explode(sizes).alias("k"))
+    starts = {t.split(" ")[0] for t in terms} | {a.split(" ")[0] for a in C.ALIASES}
+    own = rows.select(F.col(key).alias("__key"), words.alias("w"))
+    written = F.array_distinct(F.transform(F.filter("w", lambda w: w.rlike("^[A-Za-z0-9]$")), F.lower))
+    spots = F.expr(f"filter(transform(w, (x, i) -> if({may_begin(starts)}, named_struct('i', i, 'w', slice(w, i + 1, {width})), null)), z -> z IS NOT NULL)")
+    # from here on rows hold a few words each: the word's first normalized part, as it is and in the singular, decides;
+    # words that normalize to nothing take part in windows
+    own = own.select("__key", written.alias("single"), F.inline(spots))
+    first = T.clean_word(F.regexp_extract(F.lower(F.get("w", 0)), "[a-z0-9+#.]+", 0))
+    listed = ", ".join(map(T.sql_text, sorted(starts)))
+    own = own.withColumn("f", first).withColumn("g", T.fold_plural(F.col("f"))).filter(F.expr(f"f = '' OR f IN ({listed}) OR g IN ({listed})"))
+    windows = own.select("__key", "single", "i", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k"))
     windows = windows.select("__key", "single", "i", "k", T.canonical(F.array_join(F.slice("w", F.lit(1), F.col("k")), " ")).alias("term"))
     vocabulary = spark.createDataFrame([(t,) for t in terms], "term string")
     hits = windows.join(F.broadcast(vocabulary), "term")  # a constant

@@ -92,6 +92,6 @@ def sequential_split(samples: DataFrame, order: str, train: float = C.SPLIT[0],
 
 
 def hashed_split(samples: DataFrame, order: str, share: float = 0.1) -> DataFrame:
-    """Adds `part`: a fixed pseudo-random share of the keys is validation, the rest train."""
-    cut = F.pmod(F.crc32(F.col(order).cast("string").cast("binary")), F.lit(10_000)) < int(share * 10_000)
+    """Adds `part`: a fixed pseudo-random share of the keys, by their MD5, is validation, the rest train."""
+    cut = F.conv(F.substring(F.md5(F.col(order).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10_000 < round(share * 10_000)
     return samples.withColumn("part", F.when(cut, "validation").otherwise("train"))

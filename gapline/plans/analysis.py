@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from gapline.operators.lexicon import recognised
 from gapline.operators.matching import find_missing, find_notes
 from gapline.operators.sequence import clean_spans, group_words
 from gapline.plans.labellers import lexicon_labeller
+from gapline.session import materialize
 
 Labeller = Callable[[DataFrame], DataFrame]
 
@@ -27,9 +27,9 @@ def extract_spans(docs: DataFrame, labeller: Labeller = lexicon_labeller) -> Dat
 
 
 def all_terms(*spans: DataFrame) -> DataFrame:
-    """What the distinct spans of all sides name, kept so that gate, gaps and notes scan each span once in all."""
+    """What the distinct spans of all sides name: a table, so that gate, gaps and notes scan each span once in all."""
     every = reduce(DataFrame.union, [s.select("span") for s in spans])
-    return recognised(every).persist(StorageLevel.DISK_ONLY)
+    return materialize(recognised(every), "terms")
 
 
 def analyze_spans(pairs: DataFrame, jd_docs: DataFrame, jd_spans: DataFrame, resume_docs: DataFrame, resume_spans: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def analyze_spans(pairs: DataFrame, jd_docs: DataFrame, jd_spans: DataFrame, res
 
 def analyze(pairs: DataFrame, docs: DataFrame, labeller: Labeller = lexicon_labeller) -> DataFrame:
     """pairs: (pair_id, jd_key, resume_key); docs: (doc_key, text) of both sides."""
-    spans = extract_spans(docs, labeller)
+    spans = materialize(extract_spans(docs, labeller), "spans")  # labelled once, though both sides read them
     return analyze_spans(pairs, docs, spans, docs, spans)
 
 

@@ -26,12 +26,16 @@ TYPES = ["TECHNICALSKILL", "TOOLS", "SOFTSKILL", "QUALIFICATION", "DESIGNATION",
 SHAPE = {"word": "word", "before": "before", "after": "after", "form": "form", "end": "end"}
 
 
+def raw_vocabulary() -> list[tuple[str, str, int]]:
+    """(raw term, type, rank) of all constants."""
+    extra = {"TECHNICALSKILL": C.EXTRA_SKILLS, "QUALIFICATION": C.DEGREES + C.FIELDS}
+    return [(t, k, i) for i, k in enumerate(TYPES) for t in [*C.VOCABULARY[k], *extra.get(k, [])]]
+
+
 @cache
 def vocabulary(spark: SparkSession) -> tuple[tuple[str, str], ...]:
     """(canonical term, type) of all constants."""
-    extra = {"TECHNICALSKILL": C.EXTRA_SKILLS, "QUALIFICATION": C.DEGREES + C.FIELDS}
-    raw = [(t, k, i) for i, k in enumerate(TYPES) for t in [*C.VOCABULARY[k], *extra.get(k, [])]]
-    rows = spark.createDataFrame(raw, "raw string, type string, rank int").select(T.canonical(F.col("raw")).alias("term"), "type", "rank")
+    rows = spark.createDataFrame(raw_vocabulary(), "raw string, type string, rank int").select(T.canonical(F.col("raw")).alias("term"), "type", "rank")
     return tuple(sorted(map(tuple, rows.groupBy("term").agg(F.min_by("type", "rank").alias("type")).collect())))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from gapline import constants as C
-from gapline.functions.text import ALIAS_FOLDED, ALIAS_NORMAL
 from gapline.operators.lexicon import QUALIFICATION_SOURCES, SKILL_SOURCES
 from gapline.plans.inputs import SPANS_SQL, quoted, values
 
@@ -55,8 +54,8 @@ def folded(x: str) -> str:
 def canonical(name: str, source: str, raw: str = "raw") -> str:
     """CTEs that end in `name`(raw, canon) for the distinct values of a column."""
     return f"""{name}_0 AS (SELECT DISTINCT {raw} AS raw FROM {source}), {name}_1 AS (SELECT raw, {normalize('raw')} AS t FROM {name}_0),
-{name}_2 AS (SELECT raw, {folded('coalesce(v, t)')} AS t FROM {name}_1 LEFT JOIN {values(ALIAS_NORMAL.items(), f'{name}_a(k, v)')} ON t = k),
-{name} AS (SELECT raw, coalesce(v, t) AS canon FROM {name}_2 LEFT JOIN {values(ALIAS_FOLDED.items(), f'{name}_b(k, v)')} ON t = k)"""
+{name}_2 AS (SELECT raw, {folded('coalesce(v, t)')} AS t FROM {name}_1 LEFT JOIN {values(C.ALIASES.items(), f'{name}_a(k, v)')} ON t = k),
+{name} AS (SELECT raw, coalesce(v, t) AS canon FROM {name}_2 LEFT JOIN {values(C.ALIASES_FOLDED.items(), f'{name}_b(k, v)')} ON t = k)"""
 
 
 SOURCES = [(t, True) for t in SKILL_SOURCES] + [(t, False) for t in QUALIFICATION_SOURCES]
@@ -64,19 +63,20 @@ LEXICON = f"""raw_terms AS (SELECT t AS raw FROM {values([(t,) for t, _ in SOURC
 lex AS (SELECT DISTINCT canon AS term FROM lex_c WHERE canon <> '')"""
 
 
-def recognised(name: str, source: str, key: str = "span", words: str = "") -> str:
+def recognised(name: str, source: str, key: str = "span", words: str = "", lex: str = "lex") -> str:
     """CTEs that end in `name`(key, i, k, term): the windows that the scan consumes, for distinct keys of `source`.
-    words: the list of words, if not those of the key itself. Windows begin at words that can begin a term."""
+    words: the list of words, if not those of the key itself; lex: where the terms are. Windows begin at words that can
+    begin a term."""
     rows = f"(SELECT DISTINCT {key} FROM {source} WHERE {key} IS NOT NULL)" if not words else source
     words = words or f"list_filter({chunks(key)}, lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))"
     first = f"split_part({normalize('word')}, ' ', 1)"
     return f"""{name}_w AS (SELECT {key}, {words} AS w FROM {rows}),
-{name}_s AS (SELECT split_part(term, ' ', 1) AS s FROM lex UNION SELECT * FROM {values([(a.split(' ')[0],) for a in ALIAS_NORMAL], f'{name}_v(s)')}),
+{name}_s AS (SELECT split_part(term, ' ', 1) AS s FROM {lex} UNION SELECT * FROM {values([(a.split(' ')[0],) for a in C.ALIASES], f'{name}_v(s)')}),
 {name}_d AS (SELECT word FROM (SELECT word, {first} AS f FROM (SELECT DISTINCT unnest(w) AS word FROM {name}_w)) WHERE f = '' OR f IN (SELECT s FROM {name}_s) OR {fold('f')} IN (SELECT s FROM {name}_s)),
 {name}_i AS (SELECT {key}, w, i FROM (SELECT {key}, w, unnest(w) AS word, unnest(range(len(w)))::INT AS i FROM {name}_w) JOIN {name}_d USING (word)),
 {name}_k AS (SELECT {key}, w, i, k::INT AS k, array_to_string(w[i + 1 : i + k], ' ') AS raw FROM {name}_i, range(1, 7) AS r(k) WHERE i + k <= len(w)),
 {canonical(f'{name}_c', f'{name}_k')},
-{name}_h AS (SELECT {key}, i, k, canon AS term FROM {name}_k JOIN {name}_c USING (raw) JOIN lex ON canon = term
+{name}_h AS (SELECT {key}, i, k, canon AS term FROM {name}_k JOIN {name}_c USING (raw) JOIN {lex} ON canon = term
   WHERE length(canon) > 1 OR list_contains(list_transform(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z0-9]$')), lambda x: lower(x)), canon)),
 {name}_b AS (SELECT {key}, i, max(k) AS k, max_by(term, k) AS term FROM {name}_h GROUP BY {key}, i),
 {name} AS (WITH RECURSIVE f AS (
@@ -98,12 +98,11 @@ def number(x: str) -> str:
 def years(name: str, source: str, raw: str = "span") -> str:
     """CTEs that end in `name`(raw, years); for spans without malformed numbers."""
     words = " ".join(f"WHEN regexp_matches(s, '\\b{w}\\b') THEN {float(n)}" for w, n in C.NUMBER_WORDS.items())
-    period = rf"\b(?:19|20)\d{{2}}\b|\b(?:{'|'.join(C.MONTHS)})\b|\b(?:{'|'.join(C.OPEN_ENDS)})\b"
     return f"""{name}_0 AS (SELECT DISTINCT {raw} AS raw, {strip(f'lower({raw})')} AS s FROM {source}),
 {name}_1 AS (SELECT raw, s, nullif(regexp_extract(s, '{MONTH}', 1), '') AS m,
   nullif(regexp_extract(regexp_replace(regexp_replace(s, '{MONTH}', ' '), '(?:{NUM})\\s*(?:st|nd|rd|th)\\b', ' ', 'g'), '({NUM})', 1), '') AS y FROM {name}_0),
 {name}_2 AS (SELECT raw, s, CASE WHEN m IS NULL THEN NULL ELSE {number('m')} / 12 END AS m, CASE WHEN y IS NULL THEN NULL ELSE {number('y')} END AS y FROM {name}_1),
-{name} AS (SELECT raw, CASE WHEN s = '' OR regexp_matches(s, '{period}') OR regexp_matches(s, '\\b(?:{'|'.join(C.SCHOOLING)})\\b') OR regexp_matches(s, '(^|[^0-9])-[0-9.,]') THEN NULL
+{name} AS (SELECT raw, CASE WHEN s = '' OR regexp_matches(s, '{C.DATE_RANGE_PATTERN}') OR regexp_matches(s, '{C.SCHOOLING_PATTERN}') OR regexp_matches(s, '(^|[^0-9])-[0-9.,]') THEN NULL
   WHEN m IS NOT NULL OR y IS NOT NULL THEN CASE WHEN coalesce(m, 0) + coalesce(y, 0) > 0 AND coalesce(m, 0) + coalesce(y, 0) <= {C.MOST_YEARS} THEN coalesce(m, 0) + coalesce(y, 0) END
   ELSE CASE {words} END END AS years FROM {name}_2)"""
 
@@ -115,8 +114,12 @@ def levels(name: str, canon: str) -> str:
 
 
 SKILLS = listed(C.SKILL_CATEGORIES)
-#: Everything about spans that gaps, notes and gate are made of.
-FACTS = f"""WITH {SPANS_SQL}, {LEXICON}, every_span AS (SELECT span FROM jd_spans UNION SELECT span FROM resume_spans), {recognised('rec', 'every_span')},
+
+
+def facts(spans: str) -> str:
+    """Everything about spans that gaps, notes and gate are made of; `spans`: CTEs that end in jd_spans, resume_spans,
+    pairs, jd_docs and resume_docs."""
+    return f"""WITH {spans}, {LEXICON}, every_span AS (SELECT span FROM jd_spans UNION SELECT span FROM resume_spans), {recognised('rec', 'every_span')},
 {canonical('canon', 'every_span', 'span')}, {levels('level', 'canon')}, {years('years', 'every_span')},
 best AS (SELECT span, arg_max(term, (len(string_split(term, ' ')), length(term))) AS best FROM rec GROUP BY span),
 held_terms AS (SELECT DISTINCT doc_key AS resume_key, term FROM resume_spans JOIN rec USING (span)),
@@ -134,6 +137,9 @@ experience_gaps AS (SELECT pair_id, category, ord, span FROM pairs JOIN jd_spans
 gaps AS (SELECT * FROM skill_gaps UNION ALL SELECT * FROM degree_gaps UNION ALL SELECT * FROM experience_gaps)"""
 
 
+FACTS = facts(SPANS_SQL)
+
+
 def generic(c: str) -> str:
     return f"(NOT regexp_matches({c}, '[\\p{{L}}\\p{{N}}]') OR {c} IN ({listed(C.GENERIC_TERMS)}))"
 

@@ -14,8 +14,8 @@ from gapline.operators import compose, gate, lexicon, matching, metrics, sequenc
 from gapline.plans import analysis
 from gapline.plans import oracle as O
 from gapline.plans.inputs import Inputs, values
-from gapline.plans.labellers import lexicon_labeller, vocabulary
-from gapline.session import ship_package
+from gapline.plans.labellers import raw_vocabulary
+from gapline.session import fresh_path, ship_package
 from gapline.sources import conll, datagen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,8 +216,8 @@ def readability(spark, sf_dir):
     text = F.when(F.col("doc_id") % 6 == 0, F.concat(F.md5(F.col("text").cast("binary")), F.lit(" "), F.md5(F.col("lang").cast("binary")), F.lit(" x"))).when(F.col("doc_id") % 6 == 1, F.lit("")).otherwise(F.col("text"))
     rows = docs.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("key"), text.alias("text"))
     rows = rows.unionByName(read(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("key"), F.col("html").alias("text")))
-    n_words, n_chunks = gate.counts(F.col("text"))
-    return rows.select("kind", "key", n_words.alias("words"), n_chunks.alias("chunks"), gate.unreadable(F.col("text"), "resume")["reason"].alias("reason"))
+    rows = rows.withColumn("counted", gate.counts(F.col("text")))
+    return rows.select("kind", "key", "counted.words", "counted.chunks", gate.unreadable(F.col("text"), "resume", F.col("counted"))["reason"].alias("reason"))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,10 +230,14 @@ def gate_verdict(spark, sf_dir):
     return judged(spark, sf_dir).select("pair_id", "problem")
 
 
-ANALYSIS = f"""{O.FACTS}, {O.NOTES}, {O.GATE}, found AS (SELECT pair_id, string_agg(category || ':' || span, '|' ORDER BY ord, category, span) AS missing, count(*) AS n FROM gaps GROUP BY 1),
+def analysis_sql(facts: str) -> str:
+    return f"""{facts}, {O.NOTES}, {O.GATE}, found AS (SELECT pair_id, string_agg(category || ':' || span, '|' ORDER BY ord, category, span) AS missing, count(*) AS n FROM gaps GROUP BY 1),
 analysis AS (SELECT pair_id, problem, CASE WHEN problem IS NULL THEN coalesce(missing, '') END AS missing, CASE WHEN problem IS NULL THEN notes END AS notes, jd_key, resume_key FROM gate JOIN notes USING (pair_id) LEFT JOIN found USING (pair_id))"""
 
 
+ANALYSIS = analysis_sql(O.FACTS)
+
+
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = Inputs(spark, sf_dir)
     return analysis.analyze_spans(made.pairs, made.jd_docs, made.jd_spans, made.resume_docs, made.resume_spans)
@@ -318,31 +322,33 @@ def report_blocks(spark, sf_dir):
 # --- sequences ------------------------------------------------------------------------------------------------
 
 BUDGET = 60
-LENGTHS = f"len_w AS (SELECT doc_id, {O.tokens('text')} AS w FROM documents), len_n AS (SELECT doc_id, len(w) AS n, list_transform(w, lambda x: ((length(x) + 3) // 4)::BIGINT) AS l FROM len_w)"
-PACK = f"greatest(len(list_filter(p, lambda v: v - p[%s + 1] <= {BUDGET})) - 1, least(%s + 1, n))"
-
-
-def pack(x: str) -> str:
-    return PACK % (x, x)
-
-
-PLAN = f"""{LENGTHS}, prefix AS (SELECT doc_id, n, list_transform(range(n + 1), lambda i: coalesce(list_sum(l[1 : i]), 0)::BIGINT) AS p FROM len_n WHERE n > 0 AND n <= 2000),
-plan AS (WITH RECURSIVE r AS (
-  SELECT doc_id, n, p, 0::BIGINT AS win, 0::BIGINT AS a, {pack('0')}::BIGINT AS b FROM prefix
-  UNION ALL
-  SELECT doc_id, n, p, win + 1, b - o, {pack('(b - o)')}::BIGINT FROM (
-    SELECT *, list_filter(list_transform([0, 1, 2, 3, 4, 5, 6], lambda h: least({C.OVERLAP_WORDS}, (b - a) // 2) // (1 << h)::BIGINT), lambda o: o = 0 OR {pack('(b - o)')} > b)[1] AS o FROM r WHERE b < n) WHERE o IS NOT NULL)
-  SELECT doc_id, win, a, b FROM r)"""
+LENGTHS = f"len_w AS (SELECT doc_id, {O.tokens('text')} AS w FROM documents), len_n AS (SELECT doc_id, len(w) AS n, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[\\p{{Cf}}\\p{{Cc}}]+$') THEN 0 ELSE (length(x) + 3) // 4 END::BIGINT) AS l FROM len_w)"
+#: From window to window by doubling: j<k> leads 2 ** k windows on, r<k> are the first 2 ** k windows.
+LEVELS = 16
+JUMPS = "j0 AS MATERIALIZED (SELECT doc_id, a, nxt FROM step), r0 AS MATERIALIZED (SELECT doc_id, 0 AS win, 0::BIGINT AS a FROM size WHERE n > 0), " + ", ".join(
+    f"r{k + 1} AS MATERIALIZED (SELECT * FROM r{k} UNION ALL SELECT r.doc_id, win + {1 << k}, nxt FROM r{k} r JOIN j{k} j USING (doc_id, a)), "
+    f"j{k + 1} AS MATERIALIZED (SELECT x.doc_id, x.a, y.nxt FROM j{k} x JOIN j{k} y ON x.doc_id = y.doc_id AND x.nxt = y.a)"
+    for k in range(LEVELS)
+)
+#: win(doc_id, a, e): the window that begins at word a ends before e; step: where the next one begins. A window's end is the last
+#: word whose prefix sum is within the budget, one word at least; the overlap is halved while its window would end no later.
+PLAN = f"""{LENGTHS}, words AS (SELECT doc_id, unnest(range(n + 1)) AS i, unnest(list_prepend(0::BIGINT, l)) AS l FROM len_n WHERE n > 0),
+prefix AS (SELECT doc_id, i, sum(l) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS p FROM words),
+last AS (SELECT doc_id, p, max(i) AS i FROM prefix GROUP BY doc_id, p),
+fill AS MATERIALIZED (SELECT s.doc_id, s.i AS a, greatest(s.i + 1, l.i) AS e FROM (SELECT doc_id, i, p + {BUDGET} AS p FROM prefix) s ASOF JOIN last l ON s.doc_id = l.doc_id AND s.p >= l.p),
+size AS (SELECT doc_id, n FROM len_n), win AS MATERIALIZED (SELECT doc_id, a, least(e, n) AS e, n FROM fill JOIN size USING (doc_id) WHERE a < n),
+tried AS (SELECT doc_id, a, e, h, least({C.OVERLAP_WORDS}, (e - a) // 2) // (1 << h)::BIGINT AS o FROM win, range(7) AS r(h) WHERE e < n),
+step AS MATERIALIZED (SELECT t.doc_id, t.a, t.e - max(t.o) AS nxt FROM tried t JOIN fill f ON f.doc_id = t.doc_id AND f.a = t.e - t.o WHERE t.o = 0 OR f.e > t.e GROUP BY t.doc_id, t.a, t.e),
+{JUMPS}, plan AS (SELECT doc_id, r.win, a, e FROM r{LEVELS} r JOIN win USING (doc_id, a))"""
 
 
 def token_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), T.tokenize(F.col("text")).alias("w"))
-    return rows.select("doc_key", F.transform("w", lambda w: F.ceil(F.char_length(w) / 4).cast("int")).alias("lengths"))
+    return rows.select("doc_key", sequence.subword_lengths(F.col("w")).alias("lengths"))
 
 
-@query()
+@query(f"WITH {PLAN} SELECT doc_id AS doc_key, win::INT AS win, a::INT AS start, e::INT AS \"end\" FROM plan")
 def window_plan(spark, sf_dir):
-    """Tested against the definition in tests; the recursive SQL is too slow on long documents."""
     plans = token_docs(spark, sf_dir).withColumn("windows", sequence.plan_windows(F.col("lengths"), BUDGET))
     return sequence.window_rows(plans)
 
@@ -428,10 +434,10 @@ def argmax_scores(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", sequence.argmax(F.col("embedding")).alias("best"))
 
 
-@query(f"""WITH {LENGTHS}, e AS (SELECT doc_id, list_reduce(list_prepend([]::INT[], list_transform(range(least(n, 40)), lambda i: CASE WHEN l[i + 1] > 0 THEN list_concat([(i % 13)::INT], list_resize([]::INT[], l[i + 1] - 1, {C.IGNORED_LABEL})) ELSE []::INT[] END)), lambda x, y: list_concat(x, y)) AS f FROM len_n)
+@query(f"""WITH {LENGTHS}, e AS (SELECT doc_id, flatten(list_transform(range(n), lambda i: CASE WHEN l[i + 1] > 0 THEN list_concat([(i % 13)::INT], list_resize([]::INT[], l[i + 1] - 1, {C.IGNORED_LABEL})) ELSE []::INT[] END)) AS f FROM len_n)
   SELECT doc_id, array_to_string(list_resize(list_concat(list_concat([{C.IGNORED_LABEL}]::INT[], f[1 : 62]), [{C.IGNORED_LABEL}]::INT[]), 64, {C.IGNORED_LABEL}), ',') AS labels FROM e""")
 def align_labels(spark, sf_dir):
-    rows = token_docs(spark, sf_dir).select("doc_key", F.slice("lengths", 1, 40).alias("lengths"))
+    rows = token_docs(spark, sf_dir)
     labels = F.transform("lengths", lambda _, i: (i % 13).cast("int"))
     aligned = sequence.align_labels(labels, F.col("lengths"), 64)
     return rows.select(F.col("doc_key").alias("doc_id"), F.array_join(F.transform(aligned, lambda x: x.cast("string")), ",").alias("labels"))
@@ -537,11 +543,101 @@ def frequent_unknown_tags(spark, sf_dir):
     return conll.frequent_unknown_tags(conll.diagnostics(lines))
 
 
+# --- files, splits, rules -------------------------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["conll_round_trip"])
+def conll_files(spark, sf_dir):
+    """Samples written as files in the shared folder and read back."""
+    path = fresh_path(spark, "conll")
+    conll.write_conll(datagen.generate(spark, N_SAMPLES), path)
+    back = conll.load_conll(spark, f"{path}/*.txt")
+    names = F.array(*map(F.lit, C.LABELS))
+    joined = F.array_join(F.zip_with("words", "labels", lambda w, i: F.concat(w, F.lit(" "), F.get(names, i))), "\n")
+    return back.groupBy(F.md5(joined.cast("binary")).alias("sample_md5"), F.size("words").alias("n_words")).agg(F.count("*").alias("n_samples"))
+
+
+@query("SELECT o_orderkey, CASE WHEN ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 10000 < 1000 THEN 'validation' ELSE 'train' END AS part FROM orders")
+def hashed_split(spark, sf_dir):
+    return metrics.hashed_split(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(f"WITH {SAMPLES} SELECT count(*) AS samples, sum(len(t))::BIGINT AS tokens FROM samples")
+def corpus_totals(spark, sf_dir):
+    return datagen.totals(datagen.generate(spark, N_SAMPLES))
+
+
+@query(f"""WITH {SAMPLES}, g AS (SELECT id, [{O.listed(C.LABELS)}] AS names, list_filter(list_transform(t, lambda x, i: {{'l': split_part(x, ' ', 2), 'i': i - 1}}), lambda z: (id + z.i) % 5 <> 0) AS z FROM samples)
+  SELECT id, array_to_string(list_transform(z, lambda x: x.l), ' ') AS gold, array_to_string(list_transform(z, lambda x: names[(list_position(names, x.l) - 1 + x.i) % {len(C.LABELS)} + 1]), ' ') AS predicted FROM g""")
+def label_sequences(spark, sf_dir):
+    """Every fifth label is ignored; predictions are the labels moved on by their place."""
+    rows = datagen.generate(spark, N_SAMPLES)
+    labels = F.transform("labels", lambda x, i: F.when((F.col("id") + i) % 5 == 0, C.IGNORED_LABEL).otherwise(x))
+    guesses = F.transform("labels", lambda x, i: ((x + i) % len(C.LABELS)).cast("int"))
+    rows = rows.select("id", labels.alias("labels"), guesses.alias("guesses"))
+    gold, predicted = metrics.to_label_sequences(F.col("labels"), F.col("guesses"))
+    return rows.select("id", F.array_join(gold, " ").alias("gold"), F.array_join(predicted, " ").alias("predicted"))
+
+
+@query(f"WITH {O.SPANS_SQL}, c AS (SELECT CASE doc_key % 10 WHEN 0 THEN 'hobby' WHEN 1 THEN 'language' ELSE category END AS category FROM jd_spans) SELECT category, count(*) AS n FROM c WHERE category NOT IN ({O.listed(C.CATEGORIES)}) GROUP BY category")
+def unknown_categories(spark, sf_dir):
+    k = F.col("doc_key") % 10
+    spans = Inputs(spark, sf_dir).jd_spans.withColumn("category", F.when(k == 0, "hobby").when(k == 1, "language").otherwise(F.col("category")))
+    return matching.unknown_categories(spans)
+
+
+@query(f"""WITH {O.SPANS_SQL}, b AS (SELECT doc_key, string_agg('  ' || label || ':' || chr(10) || items, chr(10) ORDER BY n) AS body FROM (SELECT doc_key, category, string_agg('    - ' || span, chr(10) ORDER BY ord, span) AS items FROM jd_spans GROUP BY 1, 2) JOIN {REPORT_ORDER} USING (category) GROUP BY 1)
+  SELECT doc_key, md5('=== Job description ===' || chr(10) || body) AS block_md5 FROM b""")
+def entity_blocks(spark, sf_dir):
+    rows = compose.grouped(Inputs(spark, sf_dir).jd_spans, "doc_key")
+    return rows.select("doc_key", F.md5(compose.entities_block("Job description", F.col("items")).cast("binary")).alias("block_md5"))
+
+
+@query(f"""{ANALYSIS}, l AS ({label_lines(C.MAIL_LABELS, 'gaps', 'pair_id', '  • ')}), made AS (SELECT pair_id, problem, CASE WHEN pair_id % 3 = 0 THEN 'Draft for ' || pair_id END AS generated FROM analysis)
+  SELECT pair_id, CASE WHEN problem IS NULL THEN md5(coalesce(generated, {MAIL_HEAD} || coalesce({said(C.MAIL['gaps'])} || chr(10) || chr(10) || lines || chr(10) || chr(10) || {said(C.MAIL['advice'])}, {said(C.MAIL['none'])}) || {MAIL_TAIL})) END AS feedback_md5,
+  CASE WHEN problem IS NULL AND generated IS NULL THEN 1 ELSE 0 END AS n_notices, pair_id % 2 = 0 AND NOT pair_id % 5 = 0 AND problem IS NULL AS downloadable FROM made LEFT JOIN l USING (pair_id)""")
+def feedback_rules(spark, sf_dir):
+    """Generated texts where there are some, else the template; what may leave."""
+    key = F.col("pair_id")
+    generated = F.when(key % 3 == 0, F.concat(F.lit("Draft for "), key.cast("string")))
+    rows = analysis.write_feedback(analysed(spark, sf_dir), generated)
+    may_leave = analysis.downloadable(key % 2 == 0, key % 5 == 0, F.col("problem"))
+    return rows.select("pair_id", F.md5(F.col("feedback").cast("binary")).alias("feedback_md5"), F.size("notices").alias("n_notices"), may_leave.alias("downloadable"))
+
+
 # --- whole texts to spans -------------------------------------------------------------------------------------
 
 
-@query()
+#: Spans of the generated samples' texts, in which no dot is flush with a word: each window of a term is an entity of the
+#: term's type, without words of punctuation at its ends; of a document's spans equal but for case the first stays.
+EXTRACTED = f"""{SAMPLES}, voc_raw AS (SELECT * FROM {values(raw_vocabulary(), 'vr(raw, type, rank)')}), {O.canonical('voc_c', 'voc_raw')},
+voc AS (SELECT canon AS term, arg_min(type, rank) AS type FROM voc_raw JOIN voc_c USING (raw) GROUP BY canon),
+docs AS (SELECT id AS doc_key, array_to_string(list_transform(t, lambda x: split_part(x, ' ', 1)), ' ') AS text FROM samples),
+toks AS (SELECT doc_key, {O.tokens('text')} AS all_w FROM docs), {O.recognised('hit', 'toks', 'doc_key', 'all_w', 'voc')},
+hit_words AS (SELECT doc_key, lower(type) AS category, i AS ord, all_w[i + 1 : i + k] AS w FROM hit JOIN toks USING (doc_key) JOIN voc USING (term)),
+hit_marks AS (SELECT *, list_transform(w, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS marks FROM hit_words),
+hit_spans AS (SELECT doc_key, category, ord, array_to_string(w[list_position(marks, true) : len(w) - list_position(list_reverse(marks), true) + 1], ' ') AS span FROM hit_marks),
+spans AS (SELECT doc_key, category, ord, span FROM (SELECT *, row_number() OVER (PARTITION BY doc_key, category, lower(span) ORDER BY ord) AS n FROM hit_spans) WHERE n = 1)"""
+
+
+def sample_texts(spark: SparkSession) -> DataFrame:
+    return datagen.generate(spark, N_SAMPLES).select(F.col("id").alias("doc_key"), F.array_join("words", " ").alias("text"))
+
+
+@query(f"WITH {EXTRACTED} SELECT doc_key, category, ord, span FROM spans")
 def extract_spans(spark, sf_dir):
-    """Generated sentences through the lexicon labeller; tested against the generator's own labels."""
-    made = datagen.generate(spark, N_SAMPLES).select(F.col("id").alias("doc_key"), F.array_join("words", " ").alias("text"))
-    return analysis.extract_spans(made)
+    """Generated sentences through the lexicon labeller."""
+    return analysis.extract_spans(sample_texts(spark))
+
+
+SIDES = f"""{EXTRACTED}, jd_spans AS (SELECT * FROM spans), resume_spans AS (SELECT * FROM spans), jd_docs AS (SELECT * FROM docs), resume_docs AS (SELECT * FROM docs),
+pairs AS (SELECT doc_key AS pair_id, doc_key AS jd_key, (doc_key * 7 + 1) % {N_SAMPLES} AS resume_key FROM docs)"""
+
+
+@query(f"{analysis_sql(O.facts(SIDES))} SELECT pair_id, problem, missing, array_to_string(notes, ' / ') AS notes FROM analysis")
+def analyze_texts(spark, sf_dir):
+    """Texts of both sides through labeller, gate, gaps and notes."""
+    docs = sample_texts(spark)
+    pairs = docs.select(F.col("doc_key").alias("pair_id"), F.col("doc_key").alias("jd_key"), ((F.col("doc_key") * 7 + 1) % N_SAMPLES).alias("resume_key"))
+    items = F.array_join(F.transform("missing", lambda x: F.concat(x["category"], F.lit(":"), x["span"])), "|")
+    return analysis.analyze(pairs, docs).select("pair_id", "problem", items.alias("missing"), F.array_join("notes", " / ").alias("notes"))
