@@ -1,6 +1,11 @@
 """Corpus cleaning: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+
+Defined cases, for all stages: a null text is an empty one, except that it stays null; documents without a text are one
+group of near copies, of which one stays; an id may be null or repeat: rows are told apart by their texts, and rows that
+repeat both id and text fall to one in the near-copy stage; texts of any length are read whole; extra columns pass
+through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapline.llm import decontaminate, linededup, packing, simhash, toxicity
-from gapline.llm.common import materialize, table
+from gapline.llm.common import discard, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*done)  # the table before is read no more
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

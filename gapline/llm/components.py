@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import materialize
+from gapline.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,8 +41,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == before:
             break
-        before = now
-        current = materialize(_star(_star(current, True), False), "links")
+        before, last = now, current
+        current = materialize(_star(_star(last, True), False), "links")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = current.select(F.col("b").alias("node")).distinct()

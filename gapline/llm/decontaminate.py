@@ -5,27 +5,31 @@ of known words that are long enough to hold a test phrase (anything else cannot
 builds suffix array, Burrows-Wheeler transform, wavelet matrix and sampled suffix positions. All test phrases
 are searched backward together; occurrences are located through the samples and merged into removal spans.
 
-The benchmark goes to the tasks in blocks of at most `block_bytes` of text (checked), one pass over the rows
-for each block; passes add to the spans found before, so no shuffle is needed.
+The benchmark goes to the tasks in blocks of at most about `block_bytes` of text (checked), one pass over the texts for
+each block. With one block nothing is shuffled. With more, each pass writes a table of the distinct texts that it hits
+(two hashes, spans, items), and these tables are joined to the rows: driver and tasks hold one block at a time, and a
+task runs one Python worker, however large the benchmark.
 
 Defined cases: a null text, in either table, has no words; a document without words is clean; benchmark items
 without words never match; items of fewer words than a window are one window; rows repeated stay repeated;
-a null item_id counts as the empty string.
+a null item_id counts as the empty string; texts of any length are searched whole, each within one shard; an empty
+table gives no rows, an empty benchmark clean ones; columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import ALNUM_WORDS, chunks_by_bytes, encode
+from gapline.llm.common import ALNUM_WORDS, chunks_by_bytes, encode, materialize
 
-WINDOW, SAMPLE, SHARD_BYTES, BLOCK_BYTES = 13, 32, 8_000_000, 8_000_000
+WINDOW, SAMPLE, SHARD_BYTES, BLOCK_BYTES = 13, 32, 8_000_000, 4_000_000
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -109,23 +113,36 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items."""
+    """The windows of a block of benchmark items: right-aligned rows of words, and the items of each. Equal windows are
+    one row (or, if others with the same hash lie between them, more than one, which changes nothing)."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in text.translate(ALNUM_WORDS).split()]
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                found.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
-        for row, w in zip(self.rows, found):
-            row[window - len(w) :] = w
+        self.names = [item for item, _ in items]
+        words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in text.translate(ALNUM_WORDS).split()] for _, text in items]
+        counts = np.array([len(w) for w in words], np.int64)
+        sizes = np.minimum(counts, window)
+        times = np.where(counts > 0, counts - sizes + 1, 0)
+        flat = np.concatenate([np.zeros(window, np.int32), *(np.array(w, np.int32) for w in words)])
+        owner = np.repeat(np.arange(len(words)), times)
+        end = np.repeat(window + np.cumsum(counts) - counts + sizes, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        rows = np.lib.stride_tricks.sliding_window_view(flat, window)[end - window].copy()
+        lengths = sizes[owner]
+        rows[np.arange(window) < window - lengths[:, None]] = 0
+        mixed = np.zeros(len(rows), np.uint64)
+        for k in range(window):
+            mixed = (mixed ^ rows[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        order = np.argsort(mixed, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])) if len(rows) else np.zeros(0, np.int64)
+        self.rows, self.lengths = rows[first], lengths[order][first]
+        self.owners, self.begin = owner[order], np.append(first, len(rows))
         self.symbols = len(self.vocabulary) + 2
-        self.shortest = int(self.lengths.min()) if len(found) else 0
+        self.shortest = int(self.lengths.min()) if len(first) else 0
+
+    def items(self, row: int) -> list[str]:
+        return [self.names[k] for k in self.owners[self.begin[row] : self.begin[row + 1]]]
 
 
 def find_spans(texts: list[bytes], phrases: Phrases) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
@@ -166,7 +183,7 @@ def find_spans(texts: list[bytes], phrases: Phrases) -> tuple[list[int], list[li
         spans[d].append((a - int(starts[d]), b - int(starts[d])))
     owner = np.searchsorted(starts, at, "right") - 1
     for d, w in np.unique(np.stack([owner, which]), axis=1).T.tolist() if len(at) else []:
-        items[d].update(phrases.items[w])
+        items[d].update(phrases.items(w))
     return counts, spans, items
 
 
@@ -191,32 +208,64 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> It
 
 
 SPANS = "array<struct<begin:int,end:int>>"
+EXTRA = {"n_words": "long", "spans": SPANS, "items": "array<string>"}
+
+
+def searched(texts: DataFrame, block: list[tuple[str, bytes]], window: int, shard_bytes: int, only_hits: bool = False) -> DataFrame:
+    """Adds n_words, spans (of word places, merged) and items (sorted) to rows with a text, which goes if only rows
+    with spans are asked for."""
+    held = texts.sparkSession.sparkContext.broadcast((block, window))  # about a block's bytes
+    kept = [f for f in texts.schema if not (only_hits and f.name == "text")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phrases = Phrases(*held.value)
+        for rows in batches:
+            found = [encode(t) for t in rows["text"]]
+            counts, spans, items = [], [], []
+            for part in chunks_by_bytes([len(t) for t in found], shard_bytes):
+                for whole, some in zip((counts, spans, items), find_spans(found[part], phrases)):
+                    whole += some
+            out = rows.assign(n_words=counts, spans=[as_structs(merge_spans(s)) for s in spans], items=[sorted(x) for x in items])
+            yield out[out["spans"].map(len) > 0].drop(columns="text") if only_hits else out
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{k} {v}" for k, v in EXTRA.items()])
+    return texts.mapInPandas(run, schema)
+
+
+def as_structs(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"begin": a, "end": b} for a, b in spans]
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """The spans and items of all passes merged for each text; __spans and __items hold a list a pass."""
+    kept = [f for f in rows.schema if not f.name.startswith("__")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in batches:
+            counts = [len(encode(t).translate(ALNUM_WORDS).split()) for t in found["text"]]
+            spans = [as_structs(merge_spans(*([(x["begin"], x["end"]) for x in p] for p in (passes if passes is not None else ())))) for passes in found["__spans"]]
+            items = [sorted({x for p in (passes if passes is not None else ()) for x in p}) for passes in found["__items"]]
+            yield found[[f.name for f in kept]].assign(n_words=counts, spans=spans, items=items)
+
+    return rows.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{k} {v}" for k, v in EXTRA.items()]))
 
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Adds n_words, spans (of word places, merged) and items (sorted) to all columns of `docs`."""
-    extra = {"n_words": "long", "spans": SPANS, "items": "array<string>"}
-    kept = [c for c in docs.columns if c not in extra]
-    out = docs.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<string>")})
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema[: len(kept)]] + [f"{k} {v}" for k, v in extra.items()])
-    for block in benchmark_blocks(benchmark, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast((block, window))  # at most about block_bytes
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            phrases = Phrases(*held.value)
-            for rows in batches:
-                texts = [encode(t) for t in rows["text"]]
-                counts, spans, items = [], [], []
-                for part in chunks_by_bytes([len(t) for t in texts], shard_bytes):
-                    for whole, found in zip((counts, spans, items), find_spans(texts[part], phrases)):
-                        whole += found
-                before = [[(x["begin"], x["end"]) for x in s] if s is not None else [] for s in rows["spans"]]
-                known = [set(x) if x is not None else set() for x in rows["items"]]
-                merged = [[{"begin": a, "end": b} for a, b in merge_spans(s, t)] for s, t in zip(before, spans)]
-                yield rows.assign(n_words=counts, spans=merged, items=[sorted(a | b) for a, b in zip(known, items)])
-
-        out = out.mapInPandas(run, schema)
-    return out
+    own = docs.select(*[c for c in docs.columns if c not in EXTRA])
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    first, more = next(blocks), next(blocks, None)
+    if more is None:
+        return searched(own, first, window, shard_bytes)
+    keys = [F.xxhash64("text").alias("__a"), F.xxhash64(F.lit(1), "text").alias("__b")]
+    texts, passes, block = own.select("text", *keys), [], first
+    while block is not None:
+        hits = searched(texts, block, window, shard_bytes, only_hits=True).drop("n_words").dropDuplicates(["__a", "__b"])
+        passes.append(materialize(hits, "benchmark-hits"))
+        block, more = more, next(blocks, None)
+    # a row a pass and text
+    found = reduce(DataFrame.unionByName, passes).groupBy("__a", "__b").agg(F.collect_list("spans").alias("__spans"), F.collect_list("items").alias("__items"))
+    return together(own.select("*", *keys).join(found, ["__a", "__b"], "left"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -47,13 +47,13 @@ from pyspark.sql import functions as F
 from gapline.llm.common import LOWER_ASCII, chunks_by_bytes, crc_bucket, encode, materialize
 
 ORDERS = (1, 2, 3, 4, 6)
-BLOCK_BYTES, PIECE_BYTES, LEAST_SLOT_BITS, MOST_SLOT_BITS, PIECE = 16_000_000, 32_000_000, 12, 23, 1 << 16
+BLOCK_BYTES, PIECE_BYTES, LEAST_SLOT_BITS, MOST_SLOT_BITS, PIECE = 16_000_000, 32_000_000, 12, 22, 1 << 16
 END, EMPTY = b"", b" \x00"
 ODD_GAP = re.compile(rb"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
 BLANKS = b" \t\n\r\x0b\x0c"
 ADDED, RATE, STEPS, GATES, LEVELS = 0.1, 0.1, 24, 2 * 8, 12
 CACHE_SHARE, CACHE_WORDS = 0.5, 100
-MERGERS, WORDS_AT_ONCE = 64, 400_000
+MERGERS, WORDS_AT_ONCE = 64, 250_000
 BLANK_ID, END_ID = 0, 1  # in every block's dictionary
 #: Counts from 0 to 255 as stored: exact up to 127, then in steps of some 9 per cent.
 STORED = np.concatenate([np.arange(128), np.round(128 * 1.09 ** np.arange(128))]).astype(np.float32)

@@ -2,19 +2,20 @@
 
 A text is cut into what lies between finds and the finds themselves. A find that its kind's check confirms is
 permuted by a keyed Feistel network within its format: cards keep their length and their Luhn digit, phone numbers
-their country code and valid area codes, dates are valid days between 1900 and 2099, IPv4 addresses and
-identity numbers stay such, letters and digits of mail names and secrets stay letters and digits. Separators stay
-where they are, and the value alone (without separators, in lower case for mail) is permuted: equal values get
+their country code and, if ten digits follow it, valid area codes, dates are valid days between 1900 and 2099, IPv4
+addresses and identity numbers stay such, letters and digits of mail names and secrets stay letters and digits. Secrets
+are values of a named field, in either kind of quotes or, if they mix letters and digits, without, and signed tokens of
+three dotted parts; they and mail names may have any length. Separators stay where they are, and the value alone (without separators, in lower case for mail) is permuted: equal values get
 equal pseudonyms in all documents however written. With the key, ``undo=True`` gives the values back (but
 for dates written month first whose pseudonym also reads day first).
 
 The network is additive on a pair (l, r) of Z_a x Z_b, with a * b the number of values of the format, so it is a
 permutation of exactly these; for letters and digits the halves are character by character. The round function is
-SHA-256 of key, kind, round and the other half.
+SHA-256 of key, kind, round and the other half. Who has the key can undo it, so it has no default.
 
 Defined cases: null stays null, an empty text empty, finds that fail their check are kept as written; a number
-that belongs to a longer one is no find; repeated rows get the same result; other columns are kept, those
-named like the added ones are replaced.
+that belongs to a longer one is no find; texts of any length are read whole; repeated rows get the same result; an
+empty table gives no rows; other columns are kept, those named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -23,19 +24,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "gapline"
+#: What stands before a secret: a field's name and a quote, the fixed begin of a signed token, or both.
+FIELD = r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*+[=:]\s*+)"
+TOKEN = r"eyJ"
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+NATIONAL = r"(?:\+?\d{1,3}[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
 #: Kinds in the order in which they are looked for at a place.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": r"(?i:(?:token|secret|password|api[_-]?key)\s{0,3}[=:]\s{0,3}\")[A-Za-z0-9_+/=-]{8,200}\"",
+    "email": r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![\w-])",
+    "secret": rf"(?:{FIELD}(?:\"[^\"\s]{{8,}}+\"|'[^'\s]{{8,}}+'|(?=[\w+/=.~-]*?\d)(?=[\w+/=.~-]*?[A-Za-z])[\w+/=.~-]{{8,}}+)|(?<![\w.-]){TOKEN}[\w-]++\.[\w-]++\.[\w-]++)",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![./-]?\d)",
     "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "phone": rf"(?<![\w+])(?:{NATIONAL}|\+\d(?:[ .()-]{{0,2}}\d){{7,14}})(?!\d)",
     "card": r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![ -]?\d)",
 }
 KINDS = list(PATTERNS)
 EPOCH, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days: up to 2099-12-31
+QUOTE = "[\"']?"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -100,8 +107,8 @@ def luhn(digits: str, doubled_last: bool) -> str:
 def pseudonym(net: Network) -> str:
     """SQL: struct (kind, text) for a find m; the kind is null where the check fails."""
     # cards: all digits but the last are permuted, the last one is worked out
-    head = bind("h", "substring(g, 1, char_length(g) - 1)", bind("w", "char_length(h)", f"lpad(cast({net.pair('card', 'cast(h AS bigint)', 'power(10, w div 2)', 'power(10, w - w div 2)')} AS string), w, '0')"))
-    card = bind("g", DIGITS, f"if({luhn('g', False)} % 10 = 0, {refill('m', bind('q', head, f'concat(q, cast(pmod(-({luhn('q', True)}), 10) AS string))'))}, null)")
+    front = bind("h", "substring(g, 1, char_length(g) - 1)", bind("w", "char_length(h)", f"lpad(cast({net.pair('card', 'cast(h AS bigint)', 'power(10, w div 2)', 'power(10, w - w div 2)')} AS string), w, '0')"))
+    card = bind("g", DIGITS, f"if({luhn('g', False)} % 10 = 0, {refill('m', bind('q', front, f'concat(q, cast(pmod(-({luhn('q', True)}), 10) AS string))'))}, null)")
     # phones: 800 x 800 x 10000 numbers have valid area and exchange codes; the other 360000 x 10000 are permuted among themselves
     ten, area, exchange = (f"cast(substring(g, {x}) AS bigint)" for x in ("-10", "-10, 3", "-7, 3"))
     valid = f"({area} >= 200 AND {exchange} >= 200)"
@@ -110,7 +117,11 @@ def pseudonym(net: Network) -> str:
     other = f"if({area} < 200, {area} * 1000 + {exchange}, 200000 + ({area} - 200) * 200 + {exchange}) * 10000 + {ten} % 10000"
     other_back = "if(v < 2000000000, v, ((v - 2000000000) div 2000000 + 200) * 10000000 + (v - 2000000000) % 2000000)"
     number = f"if({valid}, {bind('v', net.pair('phone', rank, '80000', '80000'), back)}, {bind('v', net.pair('phone other', other, '60000', '60000'), other_back)})"
-    phone = bind("g", DIGITS, refill("m", f"concat(substring(g, 1, char_length(g) - 10), lpad(cast({number} AS string), 10, '0'))"))
+    ten_last = f"concat(substring(g, 1, char_length(g) - 10), lpad(cast({number} AS string), 10, '0'))"
+    # written otherwise: what follows the country code; if that is ten digits, the same permutation
+    wide = f"lpad(cast({net.pair('phone of other length', "cast(substring(g, c + 1) AS bigint)", 'power(10, w div 2)', 'power(10, w - w div 2)')} AS string), w, '0')"
+    abroad = bind("c", f"char_length(regexp_extract(g, '^(?:{COUNTRY.replace(chr(92), chr(92) * 2)})', 0))", bind("w", "char_length(g) - c", f"if(w = 10, {ten_last}, concat(substring(g, 1, c), {wide}))"))
+    phone = bind("g", DIGITS, refill("m", f"if(m rlike {literal('^(?:' + NATIONAL + ')$')}, {ten_last}, {abroad})"))
     # identity numbers: 898 areas (no 666) x 99 groups x 9999 serials
     area, group, serial = ("cast(substring(m, %d, %d) AS bigint)" % x for x in ((1, 3), (5, 2), (8, 4)))
     good = f"{area} BETWEEN 1 AND 899 AND {area} <> 666 AND {group} > 0 AND {serial} > 0"
@@ -133,8 +144,10 @@ def pseudonym(net: Network) -> str:
     image = f"date_add(date'{EPOCH}', cast({net.pair('date', f"datediff(t, date'{EPOCH}')", str(DAYS[0]), str(DAYS[1]))} AS int))"
     date = bind("g", parts, bind("t", day, f"if(t BETWEEN date'{EPOCH}' AND date'2099-12-31', {bind('v', image, written)}, null)"))
     email = f"concat({net.characters('email', "lower(substring_index(m, '@', 1))")}, '@', substring_index(m, '@', -1))"
-    body = "regexp_extract(m, '\"([^\"]+)\"', 1)"
-    secret = f"concat(substring_index(m, '\"', 1), '\"', {net.characters('secret', body)}, '\"')"
+    head = f"regexp_extract(m, {literal('^(?:' + FIELD + QUOTE + ')?(?:' + TOKEN + ')?')}, 0)"
+    tail = f"regexp_extract(m, {literal(QUOTE + '$')}, 0)"
+    body = "substring(m, char_length(a) + 1, char_length(m) - char_length(a) - char_length(b))"
+    secret = bind("a", head, bind("b", tail, f"concat(a, {net.characters('secret', body)}, b)"))
     made = {"email": email, "secret": secret, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
     kind = "CASE " + " ".join(f"WHEN m rlike {literal('^(?:' + strip_edges(PATTERNS[k]) + ')$')} THEN '{k}'" for k in KINDS) + " END"
     cases = "CASE k " + " ".join(f"WHEN '{k}' THEN {made[k]}" for k in KINDS) + " END"
@@ -148,8 +161,10 @@ def strip_edges(pattern: str) -> str:
     return pattern[: pattern.rindex("(?!")] if pattern.endswith(")") and "(?!" in pattern else pattern
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, undo: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     """All columns of `docs`, `text` with pseudonyms, and n_<kind> for each kind: how many finds were replaced."""
+    if not key:
+        raise ValueError("a key is needed")
     net = Network(key, undo)
     counts = [f"n_{k}" for k in KINDS]
     kept = [c for c in docs.columns if c not in counts]

@@ -5,6 +5,9 @@ whose code words are the anchors. Fingerprints at most 3 bits apart differ in at
 blocks, so within that block the second lies within 1 + 1 = 2 bits of the first one's anchor. Each
 fingerprint goes to its own anchor and is replicated to every anchor within 2 bits (16 at most), and
 fingerprints are compared anchor by anchor. Only distinct fingerprints take part: copies of a text cost nothing.
+An anchor of more than ``MOST_MEMBERS`` fingerprints, such as a template's variants that agree in one block, is dealt out
+again by the bits that are still open: they are cut into four parts, of which two fingerprints at most 3 bits apart share
+one, and so on until the groups are small. No link is lost, and no task holds more than one such group.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other;
 a null doc_id keeps its row, counts for linking, and is never a component's id unless all ids in it are null;
@@ -14,6 +17,7 @@ repeated rows stay repeated.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from gapline.llm.common import LOWER_ASCII, chunks_by_bytes, encode, materialize
 from gapline.llm.components import connected_components
 
-SHINGLE, THRESHOLD, BLOCK = 3, 3, 31
+SHINGLE, THRESHOLD, BLOCK, MOST_MEMBERS = 3, 3, 31, 4096
 BLOCK_MASK = (1 << BLOCK) - 1
 #: XOR of the places (1 to 31) of the set bits, a byte of the block at a time: the syndrome of the Hamming code.
 _SYNDROME = np.zeros((4, 256), np.int64)
@@ -105,46 +109,89 @@ def _forest(fp: np.ndarray, home: np.ndarray, threshold: int) -> list[tuple[int,
     return list(zip(fp[moved].tolist(), fp[label[moved]].tolist()))
 
 
-def compare_sorted(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
-    """Links from rows sorted by anchor; an anchor's rows are held together, those of others pass by."""
-    carry: list[pd.DataFrame] = []
+COMPARED = "a long, b long, home boolean, open long, again boolean"
+
 
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        anchor, fp, home = (rows[c].to_numpy() for c in ("anchor", "fp", "home"))
-        cut = np.flatnonzero(np.diff(anchor)) + 1
-        start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(anchor)]])
+def compare_sorted(batches: Iterator[pd.DataFrame], threshold: int, most: int) -> Iterator[pd.DataFrame]:
+    """Links (a, b) from rows (key, fp, home, open) sorted by key; those of keys with more than `most` rows and open bits
+    come back as they are, as (a: key, b: fp, home, open) with `again`. At most `most` rows and a batch are held."""
+    carry: list[pd.DataFrame] = []
+    passing = None  # a key whose rows go by
+
+    def back(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"a": rows["key"], "b": rows["fp"], "home": rows["home"], "open": rows["open"], "again": True})
+
+    def settle(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        key, fp, home, unsettled = (rows[c].to_numpy() for c in ("key", "fp", "home", "open"))
+        cut = np.flatnonzero(np.diff(key)) + 1
+        start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+        large = (end - start > most) & (unsettled[start] != 0)
+        if large.any():
+            yield back(rows[np.repeat(large, end - start)])
         homes = np.add.reduceat(home.astype(np.int64), start)
-        found = [x for i in np.flatnonzero((end - start > 1) & (homes > 0)) for x in _forest(fp[start[i] : end[i]], home[start[i] : end[i]], threshold)]
-        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+        small = np.flatnonzero((end - start > 1) & (homes > 0) & ~large)
+        found = [x for i in small for x in _forest(fp[start[i] : end[i]], home[start[i] : end[i]], threshold)]
+        links = pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+        yield links.assign(home=False, open=0, again=False)
 
     for rows in batches:
-        if len(rows):
-            last = rows["anchor"].to_numpy()
-            inside = int(np.searchsorted(last, last[-1]))  # where the last anchor's rows begin
-            if inside == 0 and carry and carry[-1]["anchor"].iloc[-1] == last[-1]:
-                carry.append(rows)
-                continue
+        if passing is not None and len(rows):
+            n = int(np.searchsorted(rows["key"].to_numpy(), passing, "right"))
+            if n:
+                yield back(rows.iloc[:n])
+            rows = rows.iloc[n:]
+        if not len(rows):
+            continue
+        keys, passing = rows["key"].to_numpy(), None
+        inside = int(np.searchsorted(keys, keys[-1]))  # where the last key's rows begin
+        if inside == 0 and carry and carry[-1]["key"].iloc[-1] == keys[-1]:
+            carry.append(rows)
+        else:
             whole = pd.concat([*carry, rows.iloc[:inside]])
             if len(whole):
-                yield links(whole)
+                yield from settle(whole)
             carry = [rows.iloc[inside:]]
+        if sum(map(len, carry)) > most and carry[0]["open"].iloc[0] != 0:
+            yield back(pd.concat(carry))
+            carry, passing = [], keys[-1]
     if carry:
-        yield links(pd.concat(carry))
+        yield from settle(pd.concat(carry))
 
 
-def near_pairs(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def deal_again(rows: pd.DataFrame, parts: int = THRESHOLD + 1) -> Iterator[pd.DataFrame]:
+    """Each row under each part of its open bits, which are then settled."""
+    for mask in rows["open"].unique().tolist():
+        some = rows[rows["open"] == mask]
+        places = [k for k in range(64) if mask >> k & 1]
+        for number, part in enumerate(np.array_split(places, parts)):
+            if len(part):
+                own = np.array([sum(1 << int(k) for k in part)], np.uint64).view(np.int64)[0]
+                mixed = some["key"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number + 1)
+                mixed = (mixed ^ (some["fp"].to_numpy() & own).view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+                yield pd.DataFrame({"key": (mixed ^ mixed >> np.uint64(32)).view(np.int64), "fp": some["fp"], "home": some["home"], "open": mask & ~int(own)})
+
+
+def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, most: int = MOST_MEMBERS) -> DataFrame:
     """Links (a, b) between distinct fingerprints whose components equal those of all pairs within `threshold` bits."""
     if not 0 <= threshold <= 3:
         raise ValueError("the code covers thresholds up to 3")
+    others = [np.array([~(BLOCK_MASK << BLOCK * block) & (1 << 64) - 1], np.uint64).view(np.int64)[0] for block in (0, 1)]
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             a, fp, home = anchors(rows["fp"].to_numpy())
-            yield pd.DataFrame({"anchor": a, "fp": fp, "home": home})
-
-    spread_out = prints.select("fp").distinct().mapInPandas(spread, "anchor long, fp long, home boolean")
-    by_anchor = spread_out.repartition("anchor").sortWithinPartitions("anchor")
-    return by_anchor.mapInPandas(lambda batches: compare_sorted(batches, threshold), "a long, b long")
+            yield pd.DataFrame({"key": a, "fp": fp, "home": home, "open": np.where(a >> BLOCK, others[1], others[0])})
+
+    kind, found = "key long, fp long, home boolean, open long", []
+    rows = prints.select("fp").distinct().mapInPandas(spread, kind)
+    while True:
+        by_key = rows.repartition("key").sortWithinPartitions("key")
+        compared = materialize(by_key.mapInPandas(lambda batches: compare_sorted(batches, threshold, most), COMPARED), "near-links")
+        found.append(compared.filter("not again").select("a", "b"))
+        large = compared.filter("again").select(F.col("a").alias("key"), F.col("b").alias("fp"), "home", "open")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        rows = large.mapInPandas(lambda batches: (out for part in batches for out in deal_again(part)), kind)
 
 
 def components_of(prints: DataFrame, first: Column, threshold: int) -> DataFrame:

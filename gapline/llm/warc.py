@@ -11,7 +11,8 @@ the candidates that the chain reaches; all others lie inside payloads and are pu
 only where a payload holds the magic.
 
 Defined cases: a null html is the empty payload; a null page_id is written as such and comes after all others;
-rows with the smallest page_id of their payload are all responses, however often they repeat; an archive whose
+rows with the smallest page_id of their payload are all responses, however often they repeat, and then have one record
+id; payloads of any length are whole; an archive whose
 chain breaks gives the records before the break; an empty table or folder gives no rows; other columns are ignored.
 """
 
@@ -29,6 +30,7 @@ from gapline.llm.common import fresh_path, materialize
 
 MAGIC, CLOSE, RECORDS_A_FILE = "WARC/1.1\r\n", "\r\n\r\n", 20_000
 NO_ID = "null"
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -57,9 +59,11 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
         F.lit(MAGIC),
         line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", urn(page)),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        F.when(again, line("WARC-Refers-To", urn(F.col("first").cast("string")))).otherwise(F.lit("")),
+        F.when(again, F.concat(line("WARC-Refers-To", urn(F.col("first").cast("string"))), line("WARC-Profile", F.lit(REVISIT_PROFILE)))).otherwise(F.lit("")),
+        line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(again, F.lit(0)).otherwise(F.col("bytes")).cast("string")),
         F.lit("\r\n"),
     )

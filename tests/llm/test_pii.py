@@ -125,6 +125,31 @@ def test_formats_links_and_keys(spark):
     assert pii.pseudonymize(one, "other").first()["text"] != row["text"]
 
 
+def test_long_and_otherwise_written_finds(spark):
+    long, jwt = "aB3" * 70, "eyJhbGciOi.eyJzdWIiOjF9.Sfl_Kx-wRJ"
+    finds = [
+        ("secret", f'token = "{long}"'), ("secret", f"password: '{long}'"), ("secret", f"api_key={long}"), ("secret", f"token={jwt}"), ("secret", jwt),
+        ("secret", "'secret': 'p.w!d?1234'"), ("email", "n" * 80 + "@mail.com"), ("email", "josé.b@mail.com"), ("phone", "+44 20 7946 0958"),
+        ("phone", "+44 2079 460958"), ("phone", "+33 1 23 45 67 89"), ("phone", "+442079460958"), ("phone", "+352 621 123 456"),
+    ]
+    plain = ["token: something", "the secret = plainword", "password", "a@b", "+12", "v1.2.3"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([f for _, f in finds] + plain)], "doc_id int, text string")
+    out = pii.pseudonymize(docs, KEY)
+    rows = {r["doc_id"]: r for r in out.collect()}
+    for i, (kind, text) in enumerate(finds):
+        new = rows[i]["text"]
+        assert rows[i][f"n_{kind}"] == 1 and new != text, text
+        shape = lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", x)))
+        assert shape(new) == shape(text)
+    assert [rows[len(finds) + i]["text"] for i in range(len(plain))] == plain
+    value = lambda i: re.sub(r"""^.*?[=:]\s*|["']""", "", rows[i]["text"])
+    assert value(0) == value(1) == value(2) and value(3) == value(4)  # one value, however written
+    digits = lambda i: re.sub("[^0-9]", "", rows[i]["text"])
+    assert digits(8) == digits(9) == digits(11) and digits(8)[:2] == "44" and digits(10)[:2] == "33" and digits(12)[:3] == "352"
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymize(out.select("doc_id", "text"), KEY, undo=True).collect()}
+    assert [back[i] for i in range(len(finds))] == [f for _, f in finds]
+
+
 def test_a_network_is_a_permutation(spark):
     net = pii.Network(KEY)
     got = spark.range(7 * 11).select(F.expr(net.pair("t", "id", "7", "11")).alias("v"), "id")

@@ -69,3 +69,28 @@ def test_stages(spark, tmp_path):
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert max(fill.values()) <= 2048 and len(fill) <= 1.05 * sum(fill.values()) / 2048 + 1
     assert sorted(map(str, (tuple(r)[:5] for r in corpus_pipeline.run(spark, folder).collect()))) == sorted(map(str, (tuple(r)[:5] for r in pieces)))
+
+
+def test_repeated_ids_nulls_and_extra_columns(spark, tmp_path):
+    folder = f"file:{tmp_path}"
+    write(spark, folder)
+    rng = random.Random(5)
+    a, b, c = (" ".join("".join(rng.choice(("ka", "lo", "mi", "ru", "te", "so", "na")) for _ in range(3)) for _ in range(90)) for _ in range(3))
+    rows = [(1001, a), (1001, b), (1000, a), (None, c), (None, None), (1002, ""), (1003, c)]  # none of them has a label
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 9, False) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, spans int, n_removed boolean")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "spans", "n_removed"], name
+    kept = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    # a stays once, under its first id; b stays though its id repeats; c stays under the id it has; one row has no text
+    assert sorted(kept, key=str) == sorted([(1000, a), (1001, b), (1003, c), (1002, "")], key=str)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert sorted(r["doc_id"] for r in packed) == [1000, 1001, 1002, 1003]
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = f"file:{tmp_path}"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0

@@ -72,3 +72,31 @@ def test_keep_first_keeps_a_row_of_each_component(spark):
     got = simhash.keep_first(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int"))
     assert got.columns == ["doc_id", "text", "n"]
     assert sorted(map(str, (tuple(r)[:2] for r in got.collect()))) == sorted(map(str, [(None, a), (None, b), (3, c), (5, d), (5, e), (4, f)]))
+
+
+def test_a_hot_anchor_is_dealt_out_again(spark):
+    """Thousands of fingerprints that agree in one block: groups stay small, and all links are found."""
+    rng = np.random.default_rng(9)
+    fixed = int(rng.integers(0, 2**31))
+    fp = [fixed | int(x) << 31 for x in rng.integers(0, 2**33, 1500)]
+    fp += [x ^ sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for x, k in zip(fp[:400], rng.integers(1, 6, 400))]
+    fp = sorted(set(fp))
+    table = spark.createDataFrame([(int(np.array([x], np.uint64).view(np.int64)[0]),) for x in fp], "fp long")
+    parts = {}
+    for most in (10, 40, 10_000):
+        links = simhash.near_pairs(table, most=most)
+        parts[most] = dict(map(tuple, connected_components(links).collect()))
+    assert parts[10] == parts[40] == parts[10_000]
+    values = np.array(fp, np.uint64)
+    label = np.arange(len(fp))
+    for i in range(len(fp)):
+        near = np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 3)
+        joined = np.unique(label[near])
+        label[np.isin(label, joined)] = joined[0]
+    signed = values.view(np.int64)
+    want = {}
+    for k in np.unique(label):
+        group = signed[label == k].tolist()
+        if len(group) > 1:
+            want |= dict.fromkeys(group, min(group))
+    assert parts[10] == want
