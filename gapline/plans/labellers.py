@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gapline import constants as C
 from gapline.functions import text as T
+from gapline.operators import sequence
 from gapline.operators.lexicon import named_windows
 from gapline.operators.metrics import class_weights
 from gapline.operators.sequence import tokens
@@ -107,3 +108,21 @@ def classifier_labeller(model: PipelineModel):
         return found.select("doc_key", "pos", "word", "glued", F.get(names, F.col("prediction").cast("int")).alias("label"))
 
     return label
+
+
+def windowed(labeller, budget: int = C.MOST_SUBWORDS - C.SPECIAL_SUBWORDS, most_overlap: int = C.OVERLAP_WORDS):
+    """A labeller that sees no more than `budget` subwords at once: each document goes to `labeller` window by window,
+    and each word takes its label from the one window that owns it. Windows without any subword are left out."""
+
+    def label(docs: DataFrame) -> DataFrame:
+        words = docs.select("doc_key", T.tokenize(F.col("text")).alias("words")).withColumn("lengths", sequence.subword_lengths(F.col("words")))
+        plans = words.withColumn("windows", sequence.plan_windows(F.col("lengths"), budget, most_overlap))
+        cut = plans.select("doc_key", "words", "lengths", F.posexplode("windows").alias("win", "w"))
+        part = lambda c: F.slice(c, F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))
+        cut = cut.select(F.struct("doc_key", "win", "w.start", "w.end").alias("doc_key"), F.array_join(part("words"), " ").alias("text"), F.exists(part("lengths"), lambda n: n > 0).alias("some"))
+        found = labeller(cut.filter("some").select("doc_key", "text")).filter("label <> 'O'")
+        found = found.select("doc_key.doc_key", "doc_key.win", (F.col("doc_key.start") + F.col("pos")).alias("pos"), "label")
+        merged = sequence.merge_labels(sequence.window_rows(plans), found)
+        return tokens(docs).join(merged, ["doc_key", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+
+    return label

@@ -14,7 +14,7 @@ from gapline.operators import compose, gate, lexicon, matching, metrics, sequenc
 from gapline.plans import analysis
 from gapline.plans import oracle as O
 from gapline.plans.inputs import Inputs, values
-from gapline.plans.labellers import raw_vocabulary
+from gapline.plans.labellers import lexicon_labeller, raw_vocabulary, windowed
 from gapline.session import fresh_path, ship_package
 from gapline.sources import conll, datagen
 
@@ -630,6 +630,12 @@ def extract_spans(spark, sf_dir):
     return analysis.extract_spans(sample_texts(spark))
 
 
+@query(f"WITH {EXTRACTED} SELECT doc_key, category, ord, span FROM spans")
+def windowed_spans(spark, sf_dir):
+    """The same window by window: words whose labels come from a window in whose middle they are."""
+    return analysis.extract_spans(sample_texts(spark), windowed(lexicon_labeller, BUDGET))
+
+
 SIDES = f"""{EXTRACTED}, jd_spans AS (SELECT * FROM spans), resume_spans AS (SELECT * FROM spans), jd_docs AS (SELECT * FROM docs), resume_docs AS (SELECT * FROM docs),
 pairs AS (SELECT doc_key AS pair_id, doc_key AS jd_key, (doc_key * 7 + 1) % {N_SAMPLES} AS resume_key FROM docs)"""
 
