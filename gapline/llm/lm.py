@@ -19,7 +19,9 @@ counts of all *other* training rows: its own words and pairs are taken off. ``ba
 Tasks turn their rows into blocks of about ``BLOCK_BYTES``, a row each: word ids of all its texts and a dictionary. Units
 and pairs of words are counted by hash range, in as many pieces as the corpus's size asks for (``PIECE_BYTES`` of text
 each): a block sends each piece its units or its pairs' hashes, packed and sorted, and gets counts back in the same order.
-Nothing that grows with the corpus is broadcast, and no more rows move than there are blocks and pieces to them. A pair's
+Nothing that grows with the corpus is broadcast, and no more rows move than there are blocks and pieces to them. With more
+than ``MOST_BLOCKS`` blocks, each of which may hold the most frequent words, a piece is summed in parts of so many first,
+and the sums of its parts go back to them. A pair's
 hash is so long that one in a million is taken for another. Only the spelling predictors have tables of bounded size: they
 grow with the distinct units up to 2 ** ``MOST_SLOT_BITS`` slots for each order, one byte a count.
 
@@ -53,7 +55,7 @@ ODD_GAP = re.compile(rb"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
 BLANKS = b" \t\n\r\x0b\x0c"
 ADDED, RATE, STEPS, GATES, LEVELS = 0.1, 0.1, 24, 2 * 8, 12
 CACHE_SHARE, CACHE_WORDS = 0.5, 100
-MERGERS, WORDS_AT_ONCE = 64, 250_000
+MERGERS, WORDS_AT_ONCE, MOST_BLOCKS = 64, 250_000, 4096
 BLANK_ID, END_ID = 0, 1  # in every block's dictionary
 #: Counts from 0 to 255 as stored: exact up to 127, then in steps of some 9 per cent.
 STORED = np.concatenate([np.arange(128), np.round(128 * 1.09 ** np.arange(128))]).astype(np.float32)
@@ -176,8 +178,8 @@ def unit_requests(cut: DataFrame) -> DataFrame:
     return cut.select("block", "units", "sizes", "trained", "by_piece").mapInPandas(run, "piece int, block long, units binary, sizes binary, trained binary")
 
 
-def sum_units(rows: pd.DataFrame) -> pd.DataFrame:
-    """A piece's distinct units with their counts (block null), and for each block which of them its own are."""
+def sum_units(rows: pd.DataFrame, *, kind: type = np.uint32) -> pd.DataFrame:
+    """A piece's distinct units with their counts (block below 0), and for each block which of them its own are."""
     known: dict[bytes, int] = {}
     found = []
     for r in rows.itertuples():
@@ -185,7 +187,7 @@ def sum_units(rows: pd.DataFrame) -> pd.DataFrame:
         found.append(np.fromiter((known.setdefault(u, len(known)) for u in units), np.int32, len(units)))
     n = np.zeros(len(known), np.int64)
     for at, data in zip(found, rows["trained"]):
-        n[at] += grow(data, np.uint32)
+        n[at] += grow(data, kind)
     units, piece = list(known), rows["piece"].iloc[0]
     word = np.array([is_word(u) for u in units])
     gap = ~word & np.array([u != EMPTY for u in units])
@@ -199,6 +201,25 @@ def sum_units(rows: pd.DataFrame) -> pd.DataFrame:
 UNITS = "piece int, block long, units binary, sizes binary, numbers binary, distinct long, tokens long, vocabulary long, gaps long"
 
 
+def units_by_name(rows: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
+    """As ``unit_answers``, from the units themselves."""
+    if not len(rows):
+        return pd.DataFrame(columns=["in_block", "piece", "n", "spelled"])
+    known = {u: k for k, u in enumerate(grow_units(scored["units"].iloc[0], scored["sizes"].iloc[0]))}
+    places = [np.array([known[u] for u in grow_units(r.units, r.sizes)], np.int32) for r in rows.itertuples()]
+    return unit_answers(rows.assign(numbers=[shrink(x) for x in places]), scored)
+
+
+def in_parts(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows of blocks with the part of their piece that they fall in."""
+    return rows.withColumn("part", F.pmod("block", F.lit(parts)))
+
+
+def to_parts(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows of pieces for each part."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+
 def is_word(unit: bytes) -> bool:
     """Words and the end, not gaps and the marks of empty words."""
     return not unit or unit[0] not in BLANKS
@@ -226,14 +247,38 @@ def pair_requests(cut: DataFrame, pieces: Pieces) -> DataFrame:
     return cut.select(*columns).mapInPandas(run, "piece int, block long, keys binary, times binary")
 
 
-def sum_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """How often the pairs of a piece occur in all training rows: for each block, in the order of its pairs."""
-    keys = [np.cumsum(grow(x, np.uint64), dtype=np.uint64) for x in rows["keys"]]
+def grow_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(grow(data, np.uint64), dtype=np.uint64)
+
+
+def total_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of a piece, how often they occur, and where each row's keys stand among them."""
+    keys = [grow_keys(x) for x in rows["keys"]]
     known = np.sort(np.concatenate(keys))
     known = known[np.concatenate([[True], known[1:] != known[:-1]])]
     total, places = np.zeros(len(known), np.uint32), [np.searchsorted(known, k).astype(np.int32) for k in keys]
     for at, times in zip(places, rows["times"]):
         total[at] += grow(times, np.uint32)
+    return known, total, places
+
+
+def merged_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a piece, or of a part of it, as one."""
+    known, total, _ = total_pairs(rows)
+    return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "keys": [shrink(np.diff(known, prepend=np.uint64(0)))], "times": [shrink(total)]})
+
+
+def pairs_by_key(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    """As ``sum_pairs``, from the sums of the whole piece."""
+    if not len(rows):
+        return pd.DataFrame(columns=["in_block", "piece", "pairs"])
+    known, total = grow_keys(totals["keys"].iloc[0]), grow(totals["times"].iloc[0], np.uint32)
+    return pd.DataFrame({"in_block": rows["block"], "piece": rows["piece"], "pairs": [shrink(total[np.searchsorted(known, grow_keys(x))]) for x in rows["keys"]]})
+
+
+def sum_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """How often the pairs of a piece occur in all training rows: for each block, in the order of its pairs."""
+    _, total, places = total_pairs(rows)
     return pd.DataFrame({"in_block": rows["block"], "piece": rows["piece"], "pairs": [shrink(total[at]) for at in places]})
 
 
@@ -665,15 +710,33 @@ def mark(docs: DataFrame, modulus: int, remainder: int) -> Marked:
     pieces = Pieces.of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     cut = docs.select("doc_id", "text", (crc_bucket(F.col("doc_id"), modulus) == remainder).alias("__held"))
     cut = materialize(blocks(cut, "__held", pieces), "lm-blocks")
-    units = materialize(unit_requests(cut).groupBy("piece").applyInPandas(sum_units, UNITS), "lm-units")
-    whole = units.filter("block < 0")
+    parts = 1 + cut.count() // MOST_BLOCKS
+    asked = unit_requests(cut)
+    if parts > 1:
+        asked = materialize(in_parts(asked, parts), "lm-asked")
+        found = asked.groupBy("piece", "part").applyInPandas(lambda _, rows: sum_units(rows), UNITS).filter("block < 0")
+        asked_again = found.select("piece", "block", "units", "sizes", F.col("numbers").alias("trained"))
+        units = materialize(asked_again.groupBy("piece").applyInPandas(lambda rows: sum_units(rows, kind=np.int64), UNITS).filter("units is not null"), "lm-units")
+    else:
+        units = materialize(asked.groupBy("piece").applyInPandas(sum_units, UNITS), "lm-units")
+    whole = units.filter("units is not null")
     facts = whole.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "tokens", "vocabulary", "gaps")]).first()
     tokens, vocabulary, gaps = facts["tokens"], facts["vocabulary"], facts["gaps"]
     scored = materialize(spelling_scores(whole, facts["distinct"]), "lm-spelled")
     share = best_share(scored, tokens)
-    by_unit = units.filter("block >= 0").select("piece", "block", "numbers").groupBy("piece")
-    answers = by_unit.cogroup(scored.select("piece", "numbers", "spelled").groupBy("piece")).applyInPandas(unit_answers, "in_block long, piece int, n binary, spelled binary")
-    pairs = pair_requests(cut, pieces).groupBy("piece").applyInPandas(sum_pairs, "in_block long, piece int, pairs binary")
+    kinds = "in_block long, piece int, n binary, spelled binary", "in_block long, piece int, pairs binary"
+    wanted = pair_requests(cut, pieces)
+    if parts > 1:
+        answers = asked.groupBy("piece", "part").cogroup(to_parts(scored, parts).groupBy("piece", "part")).applyInPandas(units_by_name, kinds[0])
+        wanted = materialize(in_parts(wanted, parts), "lm-wanted")
+        schema = "piece int, keys binary, times binary"
+        totals = wanted.groupBy("piece", "part").applyInPandas(lambda _, rows: merged_pairs(rows), schema)
+        totals = materialize(totals.groupBy("piece").applyInPandas(merged_pairs, schema), "lm-pairs")
+        pairs = wanted.groupBy("piece", "part").cogroup(to_parts(totals, parts).groupBy("piece", "part")).applyInPandas(pairs_by_key, kinds[1])
+    else:
+        by_unit = units.filter("block >= 0").select("piece", "block", "numbers").groupBy("piece")
+        answers = by_unit.cogroup(scored.select("piece", "numbers", "spelled").groupBy("piece")).applyInPandas(unit_answers, kinds[0])
+        pairs = wanted.groupBy("piece").applyInPandas(sum_pairs, kinds[1])
     answers = answers.unionByName(pairs, allowMissingColumns=True)
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -192,6 +192,16 @@ def test_score_rests_on_the_mixers(spark):
     assert sum(r["score"] for r in scores) > 0.8 * random
 
 
+def test_many_blocks_are_summed_in_parts(spark, monkeypatch):
+    """Blocks of a few texts, summed piece by piece or in parts of pieces first: the same counts come back."""
+    docs = spark.createDataFrame(corpus(60), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 400)
+    rows = lambda: sorted(map(str, (tuple(r) for r in lm.mark(docs, 7, 2).marked.drop("coded").collect())))
+    whole = rows()
+    monkeypatch.setattr(lm, "MOST_BLOCKS", 5)
+    assert rows() == whole
+
+
 def test_without_training_rows(spark):
     held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
     got = lm.score_documents(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
