@@ -53,15 +53,9 @@ def tokenize(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(f"({TOKEN})"), 1)
 
 
-def gaps_before(col: Column) -> Column:
-    """For each token, the white space in front of it."""
-    return F.regexp_extract_all(col, F.lit(f"({SPACE}*)({TOKEN})"), 1)
-
-
 def dot_glue(col: Column) -> Column:
     """For each token: is it a dot that stands right before the next token?"""
-    words, gaps = tokenize(col), gaps_before(col)
-    return F.transform(words, lambda w, i: (w == ".") & F.coalesce(F.get(gaps, i + 1) == "", F.lit(False)))
+    return F.transform(F.regexp_extract_all(col, F.lit(rf"(\.(?=[^{SPACES}]))|{TOKEN}"), 1), lambda dot: dot == ".")
 
 
 def collapse_whitespace(col: Column) -> Column:
