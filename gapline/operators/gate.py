@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gapline import constants as C
 from gapline.functions import text as T
-from gapline.operators.lexicon import span_terms
+from gapline.operators.lexicon import recognised_in, span_terms
 
 FINDING = "struct<reason:string,hint:string>"
 
@@ -81,6 +81,7 @@ def verdict(jd: Column, resume: Column) -> Column:
 
 def gate(pairs: DataFrame, jd_docs: DataFrame, jd_spans: DataFrame, resume_docs: DataFrame, resume_spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(pair_id, jd_key, resume_key, problem)."""
+    terms = recognised_in(jd_spans, resume_spans) if terms is None else terms
     left = problems(jd_docs, jd_spans, jd_problem, terms).select(F.col("doc_key").alias("jd_key"), F.col("problem").alias("p"))
     right = problems(resume_docs, resume_spans, resume_problem, terms).select(F.col("doc_key").alias("resume_key"), F.col("problem").alias("q"))
     joined = pairs.join(left, "jd_key", "left").join(right, "resume_key", "left")

@@ -7,7 +7,7 @@ fold over the starts of a span drops those inside an earlier window. Each distin
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +94,11 @@ def recognised(spans: DataFrame) -> DataFrame:
     return found.select("span", terms.alias("terms")).withColumn("best", F.array_min(F.transform("terms", rank))["t"])
 
 
+def recognised_in(*spans: DataFrame) -> DataFrame:
+    """What `recognised` gives for the spans of all sides: each distinct span is scanned once in all."""
+    return recognised(reduce(DataFrame.union, [s.select("span") for s in spans]))
+
+
 def span_terms(spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Adds `terms` (empty where none is named) and `best` to spans. terms: what `recognised` gives, if at hand."""
     found = recognised(spans) if terms is None else terms

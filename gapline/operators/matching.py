@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gapline import constants as C
 from gapline.functions import text as T
 from gapline.functions.years import degree_level, parse_years
-from gapline.operators.lexicon import span_terms
+from gapline.operators.lexicon import recognised_in, span_terms
 
 GAP = ["pair_id", "category", "ord", "span"]
 
@@ -30,6 +30,7 @@ def document_terms(spans: DataFrame, terms: DataFrame | None = None) -> DataFram
 def skill_gaps(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """An item of a skill category is a gap if it is the first in its category to name a term that the candidate
     never names."""
+    terms = recognised_in(jd, resume) if terms is None else terms
     wanted = span_terms(of(jd, *C.SKILL_CATEGORIES), terms).select(F.col("doc_key").alias("jd_key"), "category", "ord", "span", F.explode("terms").alias("term"))
     held = document_terms(resume, terms).withColumnRenamed("doc_key", "resume_key")
     missing = pairs.join(wanted, "jd_key").join(held, ["resume_key", "term"], "left_anti")
@@ -100,6 +101,7 @@ def _facts(spans: DataFrame, terms: DataFrame | None) -> DataFrame:
 
 def find_notes(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(pair_id, notes): what the comparison left out, in a fixed order; an empty array if nothing."""
+    terms = recognised_in(jd, resume) if terms is None else terms
     left = _facts(jd, terms).select(F.col("doc_key").alias("jd_key"), *[F.col(c).alias(f"j_{c}") for c in ("unverified", "unrankable", "ranked", "durations", "n_years")])
     right = _facts(resume, terms).select(F.col("doc_key").alias("resume_key"), *[F.col(c).alias(f"r_{c}") for c in ("ranked", "durations", "n_years")])
     both = pairs.join(left, "jd_key", "left").join(right, "resume_key", "left")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from gapline.functions import text as T
 from gapline.operators import compose
 from gapline.operators.gate import gate
-from gapline.operators.lexicon import recognised
+from gapline.operators.lexicon import recognised_in
 from gapline.operators.matching import find_missing, find_notes
 from gapline.operators.sequence import clean_spans, group_words
 from gapline.plans.labellers import lexicon_labeller
@@ -28,8 +27,7 @@ def extract_spans(docs: DataFrame, labeller: Labeller = lexicon_labeller) -> Dat
 
 def all_terms(*spans: DataFrame) -> DataFrame:
     """What the distinct spans of all sides name: a table, so that gate, gaps and notes scan each span once in all."""
-    every = reduce(DataFrame.union, [s.select("span") for s in spans])
-    return materialize(recognised(every), "terms")
+    return materialize(recognised_in(*spans), "terms")
 
 
 def analyze_spans(pairs: DataFrame, jd_docs: DataFrame, jd_spans: DataFrame, resume_docs: DataFrame, resume_spans: DataFrame) -> DataFrame:
