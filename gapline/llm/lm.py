@@ -26,7 +26,8 @@ hash is so long that one in a million is taken for another. Only the spelling pr
 grow with the distinct units up to 2 ** ``MOST_SLOT_BITS`` slots for each order, one byte a count.
 
 Defined cases: null is the empty text, which is one end; a null doc_id counts as empty for the choice of training
-rows; repeated rows are scored alike and count each time; a text of more than a block is a block of its own; without
+rows; repeated rows are scored alike and count each time; a text of more than a block is a block of its own; what tasks
+learn is averaged by what each has read, so scores differ a little with the number of tasks, counts do not; without
 training rows all counts are 0 and words are spelled; an empty table gives no rows; columns other than doc_id and text
 are not read.
 """
