@@ -47,7 +47,8 @@ def lexicon_labeller(docs: DataFrame) -> DataFrame:
     types = docs.sparkSession.createDataFrame(list(known), "term string, type string")
     marks = hits.select("doc_key", F.explode("hits").alias("h")).select("doc_key", "h.*").join(F.broadcast(types), "term")  # a constant
     # a dot written flush before the first word belongs to the entity: .NET
-    dots = tokens(docs).filter("glued").select("doc_key", (F.col("pos") + 1).alias("i"), F.lit(1).alias("dot"))
+    flush = F.array_compact(F.transform(T.dot_glue(F.col("text")), lambda glued, i: F.when(glued, i + 1)))
+    dots = docs.select("doc_key", F.explode(flush).alias("i"), F.lit(1).alias("dot"))
     marks = marks.join(dots, ["doc_key", "i"], "left").withColumn("i", F.col("i") - F.coalesce("dot", F.lit(0)))
     places = F.explode(F.sequence(F.col("i"), F.col("i") + F.col("k") + F.coalesce("dot", F.lit(0)) - 1))
     marks = marks.select("doc_key", "i", "type", places.alias("pos"))
