@@ -50,11 +50,24 @@ def readable_words(span: Column) -> Column:
     return F.filter(T.chunks(span), lambda w: w.rlike(T.ALNUM))
 
 
+def written(part: str) -> set[str]:
+    """The first three characters of a term's part as it may be written; plurals differ in them only if it is short."""
+    return {w[:3] for w in (part, part + "es", part[:-1] + "ies")}
+
+
 def may_begin(starts: set[str]) -> str:
     """SQL: a quick test of a word x as it is written, true of all that can begin a term and of few others: its first
-    three characters, unless one of them parts words or acronyms. Plurals differ in them only if the term is short."""
-    written = {w[:3] for s in starts for w in (s, s + "es", s[:-1] + "ies")}
-    return f"substring(lower(x), 1, 3) IN ({', '.join(map(T.sql_text, sorted(written)))}) OR x rlike '^[A-Za-z0-9+#]{{0,2}}[^A-Za-z0-9+#]'"
+    three characters, unless one of them parts words or acronyms."""
+    written_so = set().union(*map(written, starts))
+    return f"substring(lower(x), 1, 3) IN ({', '.join(map(T.sql_text, sorted(written_so)))}) OR x rlike '^[A-Za-z0-9+#]{{0,2}}[^A-Za-z0-9+#]'"
+
+
+def may_be(terms: list[str]) -> str:
+    """SQL: the same of a window's lower-cased parts n: it has one part, or its first two are written as a term's are, or
+    a dot is in them."""
+    pairs = {f"{a} {b}" for t in terms if " " in t for a in written(t.split(" ")[0]) for b in written(t.split(" ")[1])}
+    two = "concat_ws(' ', substring(split_part(n, ' ', 1), 1, 3), substring(split_part(n, ' ', 2), 1, 3))"
+    return f"instr(n, ' ') = 0 OR {two} IN ({', '.join(map(T.sql_text, sorted(pairs | {' '})))}) OR instr(substring_index(n, ' ', 2), '.') > 0"
 
 
 def named_windows(rows: DataFrame, key: str, words: Column, terms: tuple[str, ...] | None = None) -> DataFrame:
@@ -74,7 +87,9 @@ def named_windows(rows: DataFrame, key: str, words: Column, terms: tuple[str, ..
     listed = ", ".join(map(T.sql_text, sorted(starts)))
     own = own.withColumn("f", first).withColumn("g", T.fold_plural(F.col("f"))).filter(F.expr(f"f = '' OR f IN ({listed}) OR g IN ({listed})"))
     windows = own.select("__key", "single", "i", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k"))
-    windows = windows.select("__key", "single", "i", "k", T.canonical(F.array_join(F.slice("w", F.lit(1), F.col("k")), " ")).alias("term"))
+    windows = windows.select("__key", "single", "i", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("raw"))
+    windows = windows.withColumn("n", F.trim(F.regexp_replace(F.lower("raw"), "[^a-z0-9+#.]+", " "))).filter(F.expr(may_be([*terms, *C.ALIASES])))
+    windows = windows.select("__key", "single", "i", "k", T.canonical(F.col("raw")).alias("term"))
     vocabulary = spark.createDataFrame([(t,) for t in terms], "term string")
     hits = windows.join(F.broadcast(vocabulary), "term")  # a constant
     hits = hits.filter((F.char_length("term") > 1) | F.array_contains("single", F.col("term")))
