@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import decontaminate, fim, gif, linededup, lm, packing, pii, simhash, toxicity, urlfilter, warc
+from gapline.llm import decontaminate, exactdedup, fim, gif, linededup, lm, packing, pii, simhash, toxicity, urlfilter, warc
 from gapline.llm.common import crc_bucket, materialize, table
 
 
@@ -126,6 +126,18 @@ FROM p
 """
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -138,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gif_media": op9_gif_media,
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op4_warc": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op11_fill_in_middle": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op4_warc": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op12_exact_dedup": OP12_SQL}
