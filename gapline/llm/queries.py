@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.llm import decontaminate, exactdedup, fim, gif, linededup, lm, packing, pii, simhash, toxicity, urlfilter, warc
+from gapline.llm import decontaminate, exactdedup, fim, gif, linededup, lm, packing, pii, simhash, toxicity, turnrepair, urlfilter, warc
 from gapline.llm.common import crc_bucket, materialize, table
 
 
@@ -138,6 +138,50 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turnrepair.with_all(turnrepair.repair(turnrepair.damage(turns)), turns)
+
+
+def _add(x: str, cost: str, edit: str) -> str:
+    """SQL of an element of ten digits and an audit, ~ if there is none."""
+    return f"CASE WHEN {x} = '~' THEN '~' ELSE lpad((left({x}, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({x}, 11) || '{edit}' END"
+
+
+_CLOSED = f"""SELECT cid, i, s0, s1, c2, least(s3, {_add('c2', '2', 'I')}) AS c3 FROM (SELECT cid, i, s0, s1, s3, least(s2, {_add('least(s0, s1, s3)', '2', 'I')}) AS c2 FROM {{source}})"""
+OP13_SQL = rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS codes FROM conversations),
+coded AS (SELECT raw.*, xor(list_reduce(list_prepend(4294967295::BIGINT, codes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM raw, tab),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, range(2) AS r(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
+ids AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+ranked AS (SELECT cid, turn, role, text, left(role, 1) AS r, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged JOIN ids ON damaged.conv_id IS NOT DISTINCT FROM ids.conv_id),
+judged AS (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS seen, regexp_matches(text, '[.!?][ 	-
+]*$') AS ended, lag(r) OVER (PARTITION BY cid ORDER BY i) || r AS two FROM ranked),
+turns AS (SELECT *, blank OR seen AS bad, CASE WHEN NOT blank AND NOT seen AND NOT ended THEN 1 ELSE 0 END AS cutoff FROM judged),
+counts AS (SELECT cid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank)::BIGINT AS blank, count_if(seen AND NOT blank)::BIGINT AS duplicate, sum(cutoff)::BIGINT AS truncated,
+  count_if(two NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM turns GROUP BY cid),
+steps AS (
+  SELECT cid, 0::BIGINT AS i, '0000000000' AS s0, '~' AS s1, '~' AS s2, '~' AS s3 FROM counts
+  UNION ALL
+  SELECT c.cid, t.i, {_add('s0', '3', 'D')},
+    least({_add('s1', '3', 'D')}, CASE WHEN NOT bad AND r = 's' THEN {_add('s0', 'cutoff', 'K')} ELSE '~' END),
+    least({_add('c2', '3', 'D')}, CASE WHEN bad THEN '~' WHEN r = 'u' THEN {_add('least(s0, s1, c3)', 'cutoff', 'K')} ELSE {_add('least(s0, s1, c3)', '2 + cutoff', 'R')} END),
+    least({_add('c3', '3', 'D')}, CASE WHEN bad THEN '~' WHEN r = 'a' THEN {_add('c2', 'cutoff', 'K')} ELSE {_add('c2', '2 + cutoff', 'R')} END)
+  FROM ({_CLOSED.format(source='steps')}) c JOIN turns t ON t.cid = c.cid AND t.i = c.i + 1),
+ends AS (SELECT cid, least(s0, c3) AS e FROM ({_CLOSED.format(source='(SELECT steps.* FROM steps JOIN counts ON steps.cid = counts.cid AND i = n)')})),
+edits AS (SELECT cid, unnest(range(1, length(e) - 9)) AS p, unnest(string_split(substr(e, 11), '')) AS edit, e FROM ends WHERE length(e) > 10),
+placed AS (SELECT cid, p, edit, count_if(edit <> 'I') OVER w AS i, count_if(edit <> 'D') OVER w AS o, count_if(edit <> 'D') OVER (PARTITION BY cid) % 2 AS system FROM edits WINDOW w AS (PARTITION BY cid ORDER BY p)),
+lines AS (SELECT placed.cid, string_agg(CASE edit WHEN 'K' THEN role || ':' || text ELSE CASE WHEN (o - 1 - system) % 2 = 0 THEN 'user:' ELSE 'assistant:' END || CASE edit WHEN 'R' THEN text ELSE '' END END, chr(10) ORDER BY p) AS body
+  FROM placed LEFT JOIN turns ON turns.cid = placed.cid AND turns.i = placed.i AND edit <> 'I' WHERE edit <> 'D' GROUP BY placed.cid)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(left(e, 10)::BIGINT, 0) AS cost, coalesce(substr(e, 11), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (cid) LEFT JOIN ends USING (cid) LEFT JOIN lines USING (cid)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -151,6 +195,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op4_warc": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op12_exact_dedup": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": OP1_SQL,
+    "op4_warc": OP4_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_exact_dedup": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
+}
