@@ -53,6 +53,11 @@ def tokenize(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(f"({TOKEN})"), 1)
 
 
+def word_tokens(col: Column) -> Column:
+    """The tokens that hold an ASCII letter or digit."""
+    return F.regexp_extract_all(col, F.lit(TOKEN.split("|")[0]), F.lit(0))
+
+
 def dot_glue(col: Column) -> Column:
     """For each token: is it a dot that stands right before the next token?"""
     return F.transform(F.regexp_extract_all(col, F.lit(rf"(\.(?=[^{SPACES}]))|{TOKEN}"), 1), lambda dot: dot == ".")

@@ -1,8 +1,9 @@
 """The lexicon of known terms, and which of them a span or a document names.
 
-A scan takes, at each word not yet consumed, the longest window of words whose canonical key is known. In Spark: only
-words that can begin a term start windows, windows join the lexicon, the longest one of each start is kept, and a
-fold over the starts of a span drops those inside an earlier window. Each distinct span is scanned once.
+A scan takes, at each word not yet consumed, the longest window of words whose canonical key is known. In Spark: one
+regular expression, compiled from the first words of all terms, finds the words that can begin one, with their windows;
+windows join the lexicon, the longest one of each start is kept, and a fold over the starts of a span drops those inside
+an earlier window. Each distinct span is scanned once.
 """
 
 from __future__ import annotations
@@ -51,21 +52,47 @@ def readable_words(span: Column) -> Column:
 
 
 def written(part: str) -> set[str]:
-    """The first three characters of a term's part as it may be written; plurals differ in them only if it is short."""
-    return {w[:3] for w in (part, part + "es", part[:-1] + "ies")}
-
-
-def may_begin(starts: set[str]) -> str:
-    """SQL: a quick test of a word x as it is written, true of all that can begin a term and of few others: its first
-    three characters, unless one of them parts words or acronyms."""
-    written_so = set().union(*map(written, starts))
-    return f"substring(lower(x), 1, 3) IN ({', '.join(map(T.sql_text, sorted(written_so)))}) OR x rlike '^[A-Za-z0-9+#]{{0,2}}[^A-Za-z0-9+#]'"
+    """A term's part, and the plurals that fold to it."""
+    plurals = {part + "s", part + "es"} | ({part[:-1] + "ies"} if part.endswith("y") else set())
+    return {part} | {p for p in plurals if len(p) > 3}
+
+
+def alternation(tails: dict[str, str]) -> str:
+    """A regular expression of all words, each with what has to follow it. It branches character by character, so that a
+    text is tried along one path."""
+    rest: dict[str, dict[str, str]] = {}
+    for word, tail in tails.items():
+        if word:
+            rest.setdefault(word[0], {})[word[1:]] = tail
+    branches = [("\\" if not c.isalnum() else "") + c + alternation(ends) for c, ends in sorted(rest.items())]
+    branches += [tails[""]] if "" in tails else []
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
+def candidates(terms: tuple[str, ...], width: int) -> str:
+    """A regular expression over lower-cased words, each after a line end: it finds each word's line end, and its group is
+    the window of up to `width` words if the word can begin a term, else empty.
+
+    A word can if the first run of term characters in it is the first part of a term or alias, or a plural of one; where
+    it begins longer terms only, the next run has to be a second part. Runs with dots, which may be acronyms, and words
+    without such a run, which leave no trace in a key, are looked at later."""
+    ends, gap, dotted = "(?![a-z0-9+#.])", "[^a-z0-9+#.]++", r"[a-z0-9+#]*+\."
+    second: dict[str, set[str]] = {}
+    alone = set()
+    for first, *then in (t.split(" ") for t in [*terms, *C.ALIASES]):
+        for w in written(first):
+            second.setdefault(w, set()).update(written(then[0]) if then else [])
+            alone |= set() if then else {w}
+    longer = {w: f"{ends}{gap}(?:{alternation(dict.fromkeys(then, ends))}|{dotted})" for w, then in second.items() if w not in alone}
+    begin = rf"[^a-z0-9+#.\n]*+(?:{alternation(dict.fromkeys(alone, ends) | longer)}|{dotted}|(?![^\n]))"
+    return rf"\n(?:(?={begin})(?=([^\n]*(?:\n[^\n]*){{0,{width - 1}}})))?"
 
 
 def may_be(terms: list[str]) -> str:
-    """SQL: the same of a window's lower-cased parts n: it has one part, or its first two are written as a term's are, or
-    a dot is in them."""
-    pairs = {f"{a} {b}" for t in terms if " " in t for a in written(t.split(" ")[0]) for b in written(t.split(" ")[1])}
+    """SQL: a quick test of a window's lower-cased parts n: it has one part, or its first two are written as a term's are,
+    or a dot is in them."""
+    begin = lambda part: {w[:3] for w in (part, part + "es", part[:-1] + "ies")}
+    pairs = {f"{a} {b}" for t in terms if " " in t for a in begin(t.split(" ")[0]) for b in begin(t.split(" ")[1])}
     two = "concat_ws(' ', substring(split_part(n, ' ', 1), 1, 3), substring(split_part(n, ' ', 2), 1, 3))"
     return f"instr(n, ' ') = 0 OR {two} IN ({', '.join(map(T.sql_text, sorted(pairs | {' '})))}) OR instr(substring_index(n, ' ', 2), '.') > 0"
 
@@ -77,18 +104,22 @@ def named_windows(rows: DataFrame, key: str, words: Column, terms: tuple[str, ..
     terms = terms or tuple(t for t, *_ in known_terms(spark))
     width = max(len(t.split(" ")) for t in terms)
     starts = {t.split(" ")[0] for t in terms} | {a.split(" ")[0] for a in C.ALIASES}
-    own = rows.select(F.col(key).alias("__key"), words.alias("w"))
-    written = F.array_distinct(F.transform(F.filter("w", lambda w: w.rlike("^[A-Za-z0-9]$")), F.lower))
-    spots = F.expr(f"filter(transform(w, (x, i) -> if({may_begin(starts)}, named_struct('i', i, 'w', slice(w, i + 1, {width})), null)), z -> z IS NOT NULL)")
-    # from here on rows hold a few words each: the word's first normalized part, as it is and in the singular, decides;
-    # words that normalize to nothing take part in windows
-    own = own.select("__key", written.alias("single"), F.inline(spots))
-    first = T.clean_word(F.regexp_extract(F.lower(F.get("w", 0)), "[a-z0-9+#.]+", 0))
+    # one pass of one expression over the words, a line each: a string for each word, empty but for candidates
+    lines = rows.select(F.col(key).alias("__key"), F.concat(F.lit("\n"), F.array_join(words, "\n")).alias("s"))
+    single = F.array_distinct(F.regexp_extract_all("s", F.lit(r"(?<=\n)[A-Za-z0-9](?![^\n])"), F.lit(0)))
+    marked = F.regexp_extract_all(F.lower("s"), F.lit(candidates(terms, width)), F.lit(1))
+    own = lines.select("__key", F.transform(single, F.lower).alias("single"), marked.alias("m"))
+    spots = F.expr("filter(transform(m, (x, i) -> if(x = '', null, named_struct('i', i, 'x', x))), z -> z IS NOT NULL)")
+    own = own.select("__key", "single", F.inline(spots))
+    # candidates are dealt by document once, before their keys are worked out: all that follows stays in its partition
+    own = own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "__key").withColumn("w", F.split("x", "\n"))
+    # from here on rows hold a few words each: the word's first normalized part, as it is and in the singular, decides
+    first = T.clean_word(F.regexp_extract(F.get("w", 0), "[a-z0-9+#.]+", 0))
     listed = ", ".join(map(T.sql_text, sorted(starts)))
     own = own.withColumn("f", first).withColumn("g", T.fold_plural(F.col("f"))).filter(F.expr(f"f = '' OR f IN ({listed}) OR g IN ({listed})"))
     windows = own.select("__key", "single", "i", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k"))
     windows = windows.select("__key", "single", "i", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("raw"))
-    windows = windows.withColumn("n", F.trim(F.regexp_replace(F.lower("raw"), "[^a-z0-9+#.]+", " "))).filter(F.expr(may_be([*terms, *C.ALIASES])))
+    windows = windows.withColumn("n", F.trim(F.regexp_replace("raw", "[^a-z0-9+#.]+", " "))).filter(F.expr(may_be([*terms, *C.ALIASES])))
     windows = windows.select("__key", "single", "i", "k", T.canonical(F.col("raw")).alias("term"))
     vocabulary = spark.createDataFrame([(t,) for t in terms], "term string")
     hits = windows.join(F.broadcast(vocabulary), "term")  # a constant

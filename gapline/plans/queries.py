@@ -36,10 +36,8 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, spread over the cluster's cores: a file of one row group is a single task otherwise."""
     ship_package(spark)
-    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return found.repartition(spark.sparkContext.defaultParallelism) if found.rdd.getNumPartitions() == 1 else found
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 STOPWORDS = [w for w in C.GENERIC_TERMS if " " not in w]
@@ -144,7 +142,7 @@ DOCUMENT_WORDS = f"list_filter({O.tokens('text')}, lambda w: regexp_matches(w, '
 @query(f"WITH {O.LEXICON}, {O.recognised('rec', 'documents', 'doc_id', DOCUMENT_WORDS)} SELECT doc_id, count(*) AS n_hits, count(DISTINCT term) AS n_terms, string_agg(DISTINCT term, '|' ORDER BY term) AS terms FROM rec GROUP BY doc_id")
 def lexicon_hits_documents(spark, sf_dir):
     rows = read(spark, sf_dir, "documents")
-    words = F.filter(T.tokenize(F.col("text")), lambda w: w.rlike("[a-zA-Z0-9]"))
+    words = T.word_tokens(F.col("text"))
     hits = lexicon.named_windows(rows, "doc_id", words)
     terms = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["term"])))
     return hits.select("doc_id", F.size("hits").cast("long").alias("n_hits"), F.size(terms).cast("long").alias("n_terms"), F.array_join(terms, "|").alias("terms"))

@@ -1,4 +1,5 @@
 import json
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -69,16 +70,29 @@ def test_windowed_labels_are_those_of_the_whole(spark):
     assert rows(labellers.windowed(labellers.lexicon_labeller, 60)(docs)) == whole and len(whole) > 500
 
 
-def test_quick_test_of_words_misses_none(spark):
-    """All words whose first normalized part can begin a term pass the quick test."""
-    starts = {"ty", "ml", "c++", "c#", "node.js", "data", "aws", "r", "class", "policy"}
-    words = ["ties", "Ties", "ML", "mls", "C++", "c#x", "Node.js", "node.js,", "DATA-base", "a.w.s", "A.W.S.", "R", "r.", "(data)", "classes", "policies", "\u212aafka", "…", "d\u200bata", "dat", "x"]
-    rows = spark.createDataFrame([(w,) for w in words], "x string")
-    first = T.clean_word(F.regexp_extract(F.lower("x"), "[a-z0-9+#.]+", 0))
-    rows = rows.withColumn("f", first).withColumn("quick", F.expr(lexicon.may_begin(starts)))
-    exact = (F.col("f") == "") | F.col("f").isin(*starts) | T.fold_plural(F.col("f")).isin(*starts)
-    got = rows.withColumn("exact", exact).collect()
-    assert [r["x"] for r in got if r["exact"] and not r["quick"]] == [] and {r["x"] for r in got if not r["quick"]} >= {"x"}
+def test_candidate_search_misses_no_term(spark):
+    """Every window whose key is a term begins at a word that the alternation finds, and its window is long enough."""
+    terms = ("ty", "machine learning", "c++", "c#", "node.js", "data", "amazon web service", "r", "class", "policy", "a b testing", "ci cd", "net core")
+    words = ["ties", "Ties", "ML", "mls", "C++", "c#x", "Node.js", "node.js,", "DATA-base", "a.w.s", "A.W.S.", "R", "r.", "(data)", "classes", "policies", "\u212aafka", "…", "d\u200bata",
+             "dat", "x", "Machine", "Learnings", "(", "ci", "/", "CD", "ci/cd", "A/B", "a", "b", "testing", "amazon", "web", "services", ".NET", "core", "learning"]
+    draw = random.Random(2)
+    texts = [[draw.choice(words) for _ in range(draw.randrange(12))] for _ in range(150)] + [["machine", "(", ")", "learning"], []]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, w array<string>")
+    hits = lexicon.named_windows(rows, "k", F.col("w"), terms)
+    got = {(r["k"], h["i"], h["k"], h["term"]) for r in hits.collect() for h in r["hits"]}
+    windows = [(k, i, n, " ".join(t[i : i + n])) for k, t in enumerate(texts) for i in range(len(t)) for n in (1, 2, 3) if i + n <= len(t)]
+    keys = spark.createDataFrame(windows, "k int, i int, n int, raw string").withColumn("term", T.canonical(F.col("raw"))).filter(F.col("term").isin(*terms)).collect()
+    longest = {}
+    for r in keys:
+        single = {w.lower() for w in texts[r["k"]] if len(w) == 1}
+        if len(r["term"]) > 1 or r["term"] in single:
+            longest[r["k"], r["i"]] = max(longest.get((r["k"], r["i"]), (0, "")), (r["n"], r["term"]))
+    want, free = set(), {}
+    for (k, i), (n, term) in sorted(longest.items()):
+        if i >= free.get(k, 0):
+            want.add((k, i, n, term))
+            free[k] = i + n
+    assert got == want and len(want) > 200
 
 
 def test_word_counts_follow_the_definition(spark):
