@@ -3,6 +3,9 @@
 Spans are rows (doc_key, category, ord, span); ord orders a document's spans. Pairs are rows (pair_id, jd_key,
 resume_key). Gaps are rows (pair_id, category, ord, span) with the posting's own words. A document or span
 that is null has no terms; pairs without spans on either side have no gaps.
+
+Each document is reduced once to a row; pairs are joined once a side, and what is missing is a difference of arrays
+within the pair's row. A key that very many pairs share is split by a salt.
 """
 
 from __future__ import annotations
@@ -14,60 +17,136 @@ from gapline import constants as C
 from gapline.functions import text as T
 from gapline.functions.years import degree_level, parse_years
 from gapline.operators.lexicon import recognised_in, span_terms
+from gapline.session import materialize
+
 
-GAP = ["pair_id", "category", "ord", "span"]
+
+SKILL, DEGREE, EXPERIENCE = "skill", "degree", "experience"
+ITEMS = "array<struct<category:string,ord:int,span:string>>"
+#: Keys with this many pairs or more, and a thousandth of all at least, are split: there are at most 2000 of them.
+POPULAR, SHARE, MOST_SALTS = 10_000, 1000, 256
 
 
 def of(spans: DataFrame, *categories: str) -> DataFrame:
     return spans.filter(F.col("category").isin(*categories))
 
 
-def document_terms(spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_key, term): what a document names, in whichever category."""
-    return span_terms(spans, terms).select("doc_key", F.explode("terms").alias("term")).distinct()
+def highest_degree(resume: DataFrame) -> DataFrame:
+    """(doc_key, held): the highest rank among a document's qualifications; null if none has one."""
+    return of(resume, "qualification").groupBy("doc_key").agg(F.max(degree_level(F.col("span"))).alias("held"))
+
+
+def profiles(spans: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """A row a document (doc_key, items): each span with its terms, degree rank, years and whether it is boilerplate, by
+    ord. terms: what `recognised` gives; None if no rule asks for terms."""
+    none = F.array().cast("array<string>")
+    rows = spans.withColumns({"terms": none, "best": F.lit(None).cast("string")}) if terms is None else span_terms(spans, terms)
+    degree, years = F.col("category") == "qualification", F.col("category") == "yearofexperience"
+    facts = {
+        "level": F.when(degree, degree_level(F.col("span"))),
+        "years": F.when(years, parse_years(F.col("span"))),
+        "generic": F.when((degree & F.col("level").isNull()) | (F.size("terms") == 0), T.is_generic(T.canonical(F.col("span")))),
+    }
+    item = F.struct(F.col("ord").cast("int").alias("ord"), "category", "span", "terms", "best", "level", "years", "generic")
+    for name, fact in facts.items():
+        rows = rows.withColumn(name, fact)
+    return rows.groupBy("doc_key").agg(F.array_sort(F.collect_list(item)).alias("items"))  # of one document
+
+
+def _first_of(items: str, *keys: str) -> str:
+    """SQL: of a sorted array the first item of each run of equal keys."""
+    changes = " OR ".join(f"a[i - 1].{k} <> x.{k}" for k in keys)
+    return f"get(transform(array({items}), a -> filter(a, (x, i) -> i = 0 OR {changes})), 0)"
+
+
+_SKILLS = f"category IN ({', '.join(map(T.sql_text, C.SKILL_CATEGORIES))})"
+_PLAIN = "named_struct('category', x.category, 'ord', x.ord, 'span', x.span)"
+
+
+def asked(items: str = "items") -> dict[str, Column]:
+    """What a posting asks for. skills: of each category and term the first item that names it; degrees: of each rank the
+    first; durations: all that state years."""
+    named = f"flatten(transform(filter({items}, x -> x.{_SKILLS}), x -> transform(x.terms, t -> named_struct('category', x.category, 'term', t, 'ord', x.ord, 'span', x.span))))"
+    ranked = f"transform(filter({items}, x -> x.category = 'qualification' AND x.level IS NOT NULL), x -> named_struct('level', x.level, 'ord', x.ord, 'span', x.span, 'category', x.category))"
+    return {
+        "skills": F.expr(_first_of(f"array_sort({named})", "category", "term")),
+        "degrees": F.expr(_first_of(f"array_sort({ranked})", "level")),
+        "spans_of_years": F.expr(f"filter({items}, x -> x.category = 'yearofexperience' AND x.years IS NOT NULL)"),
+    }
+
+
+def held(items: str = "items") -> dict[str, Column]:
+    """What a candidate has: terms of whichever category, the highest rank, the longest duration."""
+    return {
+        "held_terms": F.expr(f"array_sort(array_distinct(flatten(transform({items}, x -> x.terms))))"),
+        "held_level": F.expr(f"array_max(transform(filter({items}, x -> x.category = 'qualification'), x -> x.level))"),
+        "held_years": F.expr(f"array_max(transform(filter({items}, x -> x.category = 'yearofexperience'), x -> x.years))"),
+    }
+
+
+def gap_items(kinds: tuple[str, ...]) -> Column:
+    """The gaps of one pair, from both sides' columns: an array of (category, ord, span)."""
+    parts = {
+        SKILL: f"array_distinct(transform(filter(skills, x -> NOT array_contains(coalesce(held_terms, array()), x.term)), x -> {_PLAIN}))",
+        DEGREE: f"transform(filter(degrees, x -> x.level > held_level), x -> {_PLAIN})",
+        EXPERIENCE: f"transform(filter(spans_of_years, x -> x.years > held_years), x -> {_PLAIN})",
+    }
+    return F.expr(f"concat({', '.join(f'cast({parts[k]} AS {ITEMS})' for k in kinds)})")
+
+
+def popular_keys(pairs: DataFrame) -> DataFrame:
+    """(side, key, salts): the keys that very many pairs share; a stored table, as both sides of both joins read it."""
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("string").alias("key")) for c in ("jd_key", "resume_key")]))
+    counts = pairs.select(sides.alias("s")).groupBy("s.side", "s.key").agg(F.count("*").alias("n"))
+    total = pairs.agg(F.count("*").alias("total"))
+    often = counts.filter(F.col("n") >= POPULAR).join(F.broadcast(total), F.col("n") * SHARE >= F.col("total"))  # one row
+    return materialize(often.select("side", "key", F.least(F.lit(MOST_SALTS), F.ceil(F.col("n") / POPULAR)).cast("int").alias("salts")), "popular-keys")
+
+
+def with_side(pairs: DataFrame, side: DataFrame, key: str, popular: DataFrame) -> DataFrame:
+    """Pairs with a side's columns, null where the side has no such document. A popular key's pairs are dealt by a salt,
+    and its document goes to each of them."""
+    split = F.broadcast(popular.filter(F.col("side") == key).select(F.col("key").alias("__key"), "salts"))
+    names = [c for c in side.columns if c != "doc_key"]
+    same = F.col(key).cast("string") == F.col("__key")
+    salted = pairs.join(split, same, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("pair_id"), F.col("salts")), F.lit(0))).select(*pairs.columns, "__salt")
+    copies = side.withColumnRenamed("doc_key", key).join(split, same, "left")
+    copies = copies.select(key, *names, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("__salt"))
+    return salted.join(copies, [key, "__salt"], "left").select(*pairs.columns, *names)
+
+
+def gaps_of(pairs: DataFrame, jd: DataFrame, resume: DataFrame, kinds: tuple[str, ...], terms: DataFrame | None = None) -> DataFrame:
+    """Gaps of some kinds in one pass: each document is a row, and pairs are joined once a side."""
+    if SKILL in kinds:
+        terms = recognised_in(jd, resume) if terms is None else terms
+    else:
+        terms = None
+    popular = popular_keys(pairs)
+    left = profiles(jd, terms).select("doc_key", *[v.alias(k) for k, v in asked().items()])
+    right = profiles(resume, terms).select("doc_key", *[v.alias(k) for k, v in held().items()])
+    both = with_side(with_side(pairs.select("pair_id", "jd_key", "resume_key"), left, "jd_key", popular), right, "resume_key", popular)
+    return both.select("pair_id", F.inline(gap_items(kinds)))
 
 
 def skill_gaps(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """An item of a skill category is a gap if it is the first in its category to name a term that the candidate
     never names."""
-    terms = recognised_in(jd, resume) if terms is None else terms
-    wanted = span_terms(of(jd, *C.SKILL_CATEGORIES), terms).select(F.col("doc_key").alias("jd_key"), "category", "ord", "span", F.explode("terms").alias("term"))
-    held = document_terms(resume, terms).withColumnRenamed("doc_key", "resume_key")
-    missing = pairs.join(wanted, "jd_key").join(held, ["resume_key", "term"], "left_anti")
-    first = missing.groupBy("pair_id", "category", "term").agg(F.min(F.struct("ord", "span")).alias("item"))
-    return first.select("pair_id", "category", "item.ord", "item.span").distinct()
-
-
-def highest_degree(resume: DataFrame) -> DataFrame:
-    """(doc_key, held): the highest rank among a document's qualifications; null if none has one."""
-    return of(resume, "qualification").groupBy("doc_key").agg(F.max(degree_level(F.col("span"))).alias("held"))
+    return gaps_of(pairs, jd, resume, (SKILL,), terms)
 
 
 def degree_gaps(pairs: DataFrame, jd: DataFrame, resume: DataFrame) -> DataFrame:
     """Of each rank above the candidate's highest one, the first item that asks for it."""
-    wanted = of(jd, "qualification").withColumn("level", degree_level(F.col("span"))).filter("level is not null")
-    held = highest_degree(resume).filter("held is not null").withColumnRenamed("doc_key", "resume_key")
-    above = pairs.join(held, "resume_key").join(wanted.withColumnRenamed("doc_key", "jd_key"), "jd_key").filter("level > held")
-    first = above.groupBy("pair_id", "category", "level").agg(F.min(F.struct("ord", "span")).alias("item"))
-    return first.select("pair_id", "category", "item.ord", "item.span")
-
-
-def stated_years(spans: DataFrame) -> DataFrame:
-    return of(spans, "yearofexperience").withColumn("years", parse_years(F.col("span")))
+    return gaps_of(pairs, jd, resume, (DEGREE,))
 
 
 def experience_gaps(pairs: DataFrame, jd: DataFrame, resume: DataFrame) -> DataFrame:
     """All durations above the longest one that the candidate states; none if either side states none."""
-    held = stated_years(resume).groupBy("doc_key").agg(F.max("years").alias("held")).filter("held is not null")
-    wanted = stated_years(jd).filter("years is not null").withColumnRenamed("doc_key", "jd_key")
-    above = pairs.join(held.withColumnRenamed("doc_key", "resume_key"), "resume_key").join(wanted, "jd_key")
-    return above.filter("years > held").select(*GAP)
+    return gaps_of(pairs, jd, resume, (EXPERIENCE,))
 
 
 def find_missing(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """All gaps. Categories outside the label scheme and job titles are left out."""
-    found = skill_gaps(pairs, jd, resume, terms).unionByName(degree_gaps(pairs, jd, resume))
-    return found.unionByName(experience_gaps(pairs, jd, resume))
+    return gaps_of(pairs, jd, resume, (SKILL, DEGREE, EXPERIENCE), terms)
 
 
 def unknown_categories(spans: DataFrame) -> DataFrame:
@@ -75,36 +154,24 @@ def unknown_categories(spans: DataFrame) -> DataFrame:
     return spans.filter(~F.col("category").isin(*C.CATEGORIES)).groupBy("category").agg(F.count("*").alias("n"))
 
 
-def _listed(condition: Column) -> Column:
-    """The spans that meet a condition, by ord."""
-    kept = F.collect_list(F.when(condition, F.struct("ord", "span")))  # of one document
-    return F.transform(F.array_sort(kept), lambda x: x["span"])
-
-
 def note(parts: tuple[str, str], spans: Column) -> Column:
     return F.concat(F.lit(parts[0]), T.quote_spans(spans), F.lit(parts[1]))
 
 
-def _facts(spans: DataFrame, terms: DataFrame | None) -> DataFrame:
-    """One row a document, with the lists that its notes name."""
-    years, level = parse_years(F.col("span")), degree_level(F.col("span"))
-    rows = span_terms(spans, terms).withColumns({"years": years, "level": level, "generic": T.is_generic(T.canonical(F.col("span")))})
-    skill, qualification, experience = F.col("category").isin(*C.SKILL_CATEGORIES), F.col("category") == "qualification", F.col("category") == "yearofexperience"
-    return rows.groupBy("doc_key").agg(
-        _listed(skill & (F.size("terms") == 0) & ~F.col("generic")).alias("unverified"),
-        _listed(qualification & F.col("level").isNull() & ~F.col("generic")).alias("unrankable"),
-        _listed(qualification & F.col("level").isNotNull()).alias("ranked"),
-        _listed(experience).alias("durations"),
-        F.count(F.when(experience, F.col("years"))).alias("n_years"),
-    )
+def noted(items: str = "items") -> dict[str, Column]:
+    """The lists that a document's notes name, by ord."""
+    listed = lambda test: F.expr(f"transform(filter({items}, x -> {test}), x -> x.span)")
+    return {
+        "unverified": listed(f"x.{_SKILLS} AND size(x.terms) = 0 AND NOT x.generic"),
+        "unrankable": listed("x.category = 'qualification' AND x.level IS NULL AND NOT x.generic"),
+        "ranked": listed("x.category = 'qualification' AND x.level IS NOT NULL"),
+        "durations": listed("x.category = 'yearofexperience'"),
+        "n_years": F.expr(f"size(filter({items}, x -> x.years IS NOT NULL))"),
+    }
 
 
-def find_notes(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(pair_id, notes): what the comparison left out, in a fixed order; an empty array if nothing."""
-    terms = recognised_in(jd, resume) if terms is None else terms
-    left = _facts(jd, terms).select(F.col("doc_key").alias("jd_key"), *[F.col(c).alias(f"j_{c}") for c in ("unverified", "unrankable", "ranked", "durations", "n_years")])
-    right = _facts(resume, terms).select(F.col("doc_key").alias("resume_key"), *[F.col(c).alias(f"r_{c}") for c in ("ranked", "durations", "n_years")])
-    both = pairs.join(left, "jd_key", "left").join(right, "resume_key", "left")
+def notes_of_pair() -> Column:
+    """A pair's notes from both sides' columns j_* and r_*."""
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     number = lambda c: F.coalesce(F.col(c), F.lit(0))
     experience = (
@@ -120,7 +187,25 @@ def find_notes(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFr
         F.when((size("j_ranked") > 0) & (size("r_ranked") == 0), note(C.NOTE_NO_DEGREE, F.col("j_ranked"))),
         experience,
     )
-    return both.select("pair_id", F.array_compact(notes).alias("notes"))
+    return F.array_compact(notes)
+
+
+def sides(jd: DataFrame, resume: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row a document of either side with all that gaps, notes and the gate need: what it asks for or has, the lists of
+    its notes (j_*, r_*) and its recognised terms (j_n_terms, r_n_terms)."""
+    compared = ", ".join(map(T.sql_text, C.COMPARABLE))
+    n_terms = F.expr(f"size(array_distinct(transform(filter(items, x -> x.category IN ({compared}) AND x.best IS NOT NULL), x -> x.best)))")
+    marked = lambda mark: [v.alias(f"{mark}_{k}") for k, v in (noted() | {"n_terms": n_terms}).items()]
+    left = profiles(jd, terms).select("doc_key", *[v.alias(k) for k, v in asked().items()], *marked("j"))
+    return left, profiles(resume, terms).select("doc_key", *[v.alias(k) for k, v in held().items()], *marked("r"))
+
+
+def find_notes(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(pair_id, notes): what the comparison left out, in a fixed order; an empty array if nothing."""
+    left, right = sides(jd, resume, recognised_in(jd, resume) if terms is None else terms)
+    popular = popular_keys(pairs)
+    both = with_side(with_side(pairs.select("pair_id", "jd_key", "resume_key"), left, "jd_key", popular), right, "resume_key", popular)
+    return both.select("pair_id", notes_of_pair().alias("notes"))
 
 
 def stale_results(results: DataFrame, documents: DataFrame) -> DataFrame:

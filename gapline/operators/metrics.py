@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gapline import constants as C
 from gapline.operators.sequence import label_runs
+from gapline.session import materialize
 
 
 def label_dimension(df: DataFrame) -> DataFrame:
@@ -43,28 +44,42 @@ def scores(true: Column, predicted: Column, both: Column) -> dict[str, Column]:
     return {"precision": p, "recall": r, "f1": ratio(2 * p * r, p + r)}
 
 
-def entity_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(category, n_true, n_predicted, n_both): entities are equal if document, category and both ends are."""
+def matched(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Entities of either side (category, g, p): equal if document, category and both ends are."""
     keys = ["doc_key", "category", "start", "end"]
-    joined = entities(gold).withColumn("g", F.lit(1)).join(entities(predicted).withColumn("p", F.lit(1)), keys, "full")
-    return joined.groupBy("category").agg(F.count("g").alias("n_true"), F.count("p").alias("n_predicted"), F.count(F.col("g") + F.col("p")).alias("n_both"))
+    return entities(gold).withColumn("g", F.lit(1)).join(entities(predicted).withColumn("p", F.lit(1)), keys, "full")
+
+
+COUNTS = {"n_true": "count(g)", "n_predicted": "count(p)", "n_both": "count(g + p)"}
+
+
+def entity_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(category, n_true, n_predicted, n_both)."""
+    return matched(gold, predicted).groupBy("category").agg(*[F.expr(v).alias(k) for k, v in COUNTS.items()])
 
 
 def entity_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row (precision, recall, f1) over all entities."""
-    sums = entity_counts(gold, predicted).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_true", "n_predicted", "n_both")])
-    return sums.select(*[v.alias(k) for k, v in scores(F.col("n_true"), F.col("n_predicted"), F.col("n_both")).items()])
+    sums = matched(gold, predicted).agg(*[F.expr(v).alias(k) for k, v in COUNTS.items()])
+    return sums.select(*[v.alias(k) for k, v in scores(*map(F.col, COUNTS)).items()])
 
 
 def entity_report(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(name, precision, recall, f1, support) by category, and micro, macro and weighted averages."""
-    counts = entity_counts(gold, predicted)
-    s = scores(F.col("n_true"), F.col("n_predicted"), F.col("n_both"))
-    by = counts.select(F.col("category").alias("name"), *[v.alias(k) for k, v in s.items()], F.col("n_true").alias("support"))
-    micro = counts.agg(*[F.sum(c).alias(c) for c in ("n_true", "n_predicted", "n_both")]).select(F.lit("micro avg").alias("name"), *[v.alias(k) for k, v in s.items()], F.col("n_true").alias("support"))
-    macro = by.agg(*[F.avg(k).alias(k) for k in s], F.sum("support").alias("support")).withColumn("name", F.lit("macro avg"))
-    weighted = by.agg(*[ratio(F.sum(F.col(k) * F.col("support")), F.sum("support")).alias(k) for k in s], F.sum("support").alias("support")).withColumn("name", F.lit("weighted avg"))
-    return by.unionByName(micro).unionByName(macro).unionByName(weighted)
+    """(name, precision, recall, f1, support) by category, and micro, macro and weighted averages.
+
+    One rollup counts the categories and all entities; the averages are made of its few rows, a category each."""
+    rolled = matched(gold, predicted).rollup("category").agg(F.grouping("category").alias("is_all"), *[F.expr(v).alias(k) for k, v in COUNTS.items()])
+    s = scores(*map(F.col, COUNTS))
+    row = F.struct(F.col("category").alias("name"), *[v.alias(k) for k, v in s.items()], F.col("n_true").alias("support"))
+    kind = "struct<name:string,precision:double,recall:double,f1:double,support:bigint>"
+    empty = F.struct(F.lit(None).cast("string").alias("name"), *[F.lit(0.0).alias(k) for k in s], F.lit(0).cast("bigint").alias("support"))
+    lists = rolled.agg(F.collect_list(F.when(F.col("is_all") == 0, row)).alias("by"), F.coalesce(F.max(F.when(F.col("is_all") == 1, row)), empty).alias("every"))
+    sums = lambda value: f"aggregate(by, 0D, (a, x) -> a + {value})"
+    macro = ", ".join(f"'{k}', if(size(by) = 0, 0D, {sums(f'x.{k}')} / size(by))" for k in s)
+    weighted = ", ".join(f"'{k}', if(every.support = 0, 0D, {sums(f'x.{k} * x.support')} / every.support)" for k in s)
+    micro = ", ".join(f"'{k}', every.{k}" for k in s)
+    averages = [f"cast(named_struct('name', '{name} avg', {values}, 'support', every.support) AS {kind})" for name, values in (("micro", micro), ("macro", macro), ("weighted", weighted))]
+    return lists.select(F.expr(f"inline(concat(by, array({', '.join(averages)})))"))
 
 
 def max_length(lengths: DataFrame, col: str = "n", most: int = C.MOST_SUBWORDS) -> DataFrame:
@@ -75,20 +90,21 @@ def max_length(lengths: DataFrame, col: str = "n", most: int = C.MOST_SUBWORDS)
 def sequential_split(samples: DataFrame, order: str, train: float = C.SPLIT[0], validation: float = C.SPLIT[1]) -> DataFrame:
     """Adds `part`: the first share is train, the next validation, the rest test; `order` is unique.
 
-    The place of a row is counted by range partition first, so that no task sees all rows."""
+    The place of a row is its place in a range partition after the rows of the partitions before, so that no task sees
+    all rows."""
     if not 0 <= train <= 1 or not 0 <= validation <= 1 - train:
         raise ValueError("shares are not within 0 and 1")
-    ranged = samples.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min(order).alias("__first"))
-    before = Window.orderBy("__part")  # a row a partition
-    counts = counts.withColumn("__base", F.sum("__n").over(before) - F.col("__n")).withColumn("__total", F.sum("__n").over(Window.partitionBy()))
-    edges = counts.select(F.col("__first"), F.col("__base"), F.col("__total"), F.lead("__first").over(before).alias("__next"))
-    placed = samples.join(F.broadcast(edges), (F.col(order) >= F.col("__first")) & (F.col("__next").isNull() | (F.col(order) < F.col("__next"))))
-    place = F.col("__base") + F.row_number().over(Window.partitionBy("__base").orderBy(order)) - 1
+    # range partitions are stored with each row's place in its partition, and the counts of those before are joined by number
+    ranged = samples.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    ranged = materialize(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")), "ranges")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))  # a row a partition
+    before = Window.orderBy("__part")
+    counts = counts.select("__part", "__first", (F.sum("__n").over(before) - F.col("__n")).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
+    placed = ranged.join(F.broadcast(counts), "__part").withColumn("__place", F.col("__base") + F.col("__at") - F.col("__first"))
     a = F.floor(F.col("__total") * train)
     b = a + F.floor(F.col("__total") * validation)
     part = F.when(F.col("__place") < a, "train").when(F.col("__place") < b, "validation").otherwise("test")
-    return placed.withColumn("__place", place).withColumn("part", part).select(*samples.columns, "part")
+    return placed.select(*samples.columns, part.alias("part"))
 
 
 def hashed_split(samples: DataFrame, order: str, share: float = 0.1) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from gapline.functions import text as T
 from gapline.operators import compose
-from gapline.operators.gate import gate
+from gapline.operators.gate import gate, jd_problem, resume_problem, verdict, with_problem
 from gapline.operators.lexicon import recognised_in
-from gapline.operators.matching import find_missing, find_notes
+from gapline.operators.matching import DEGREE, EXPERIENCE, ITEMS, SKILL, gap_items, notes_of_pair, popular_keys, sides, with_side
 from gapline.operators.sequence import clean_spans, group_words
 from gapline.plans.labellers import lexicon_labeller
 from gapline.session import materialize
@@ -32,20 +32,17 @@ def all_terms(*spans: DataFrame) -> DataFrame:
 
 def analyze_spans(pairs: DataFrame, jd_docs: DataFrame, jd_spans: DataFrame, resume_docs: DataFrame, resume_spans: DataFrame) -> DataFrame:
     """(pair_id, problem, missing, notes). Pairs that the gate refuses are not compared: null missing and notes,
-    where pairs without gaps have an empty array."""
-    terms = all_terms(jd_spans, resume_spans)
-    judged = gate(pairs, jd_docs, jd_spans, resume_docs, resume_spans, terms)
-    passed = judged.filter("problem is null").select("pair_id", "jd_key", "resume_key")
-    missing = compose.grouped(find_missing(passed, jd_spans, resume_spans, terms), "pair_id").withColumnRenamed("items", "missing")
-    notes = find_notes(passed, jd_spans, resume_spans, terms)
-    joined = judged.join(missing, "pair_id", "left").join(notes, "pair_id", "left")
-    none = F.array().cast("array<struct<ord:int,category:string,span:string>>")
+    where pairs without gaps have an empty array. Findings, gaps and notes come from one row a document of each side."""
+    left, right = sides(jd_spans, resume_spans, all_terms(jd_spans, resume_spans))
+    left = with_problem(jd_docs, left, jd_problem, "j")
+    right = with_problem(resume_docs, right, resume_problem, "r")
+    popular = popular_keys(pairs)
+    both = with_side(with_side(pairs.select("pair_id", "jd_key", "resume_key"), left, "jd_key", popular), right, "resume_key", popular)
+    judged = both.withColumn("problem", verdict(F.col("j_problem"), F.col("r_problem")))
+    gaps = F.expr("transform(missing, x -> named_struct('ord', x.ord, 'category', x.category, 'span', x.span))")
+    judged = judged.withColumn("missing", F.coalesce(gap_items((SKILL, DEGREE, EXPERIENCE)), F.array().cast(ITEMS))).withColumn("missing", F.array_sort(gaps))
     open_pair = F.col("problem").isNull()
-    return joined.select(
-        "pair_id", "jd_key", "resume_key", "problem",
-        F.when(open_pair, F.coalesce("missing", none)).alias("missing"),
-        F.when(open_pair, F.coalesce("notes", F.array().cast("array<string>"))).alias("notes"),
-    )
+    return judged.select("pair_id", "jd_key", "resume_key", "problem", F.when(open_pair, F.col("missing")).alias("missing"), F.when(open_pair, notes_of_pair()).alias("notes"))
 
 
 def analyze(pairs: DataFrame, docs: DataFrame, labeller: Labeller = lexicon_labeller) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gapline import constants as C
 from gapline.operators.lexicon import SKILL_SOURCES
+from gapline.session import materialize, ship_package
 
 VARIANTS = ["Amazon Web Services", "a.w.s", "K8s", "ML", "NLP", "torch", "node", "CI/CD pipelines", "python", "DOCKER", "REST API", "Golang", "Postgres", "sklearn", "production ML systems", "C++ 11"]
 
@@ -72,11 +73,15 @@ SPANS_SQL = SPANS_TEMPLATE.format(**{t: t for t in TABLES})
 
 
 class Inputs:
-    """The made tables of one folder as DataFrames."""
+    """The made tables of one folder as DataFrames. Each is written to the shared folder when it is first asked for, so
+    that what reads it several times reads the tables below it once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        ship_package(spark)
+        self.spark, self.made = spark, {}
         self.tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.sql(f"WITH {SPANS_TEMPLATE} SELECT * FROM {name}", **self.tables)
+        if name not in self.made:
+            self.made[name] = materialize(self.spark.sql(f"WITH {SPANS_TEMPLATE} SELECT * FROM {name}", **self.tables), name)
+        return self.made[name]

@@ -1,28 +1,48 @@
-"""CoNLL files: `token TAG` lines, samples between blank lines. Reading gives samples and diagnostics.
+"""CoNLL files: `token TAG` lines, samples between blank lines. Reading gives samples, counters and diagnostics.
 
-Strict reading fails on the first bad line's message; lenient reading skips malformed lines, takes unknown tags as O
-and keeps hidden characters inside a field. Hidden characters at a field's ends always go and are reported.
-Files that are not UTF-8 fail in both ways. An empty file gives no samples.
+Files are read by Spark's text reader in byte ranges, so one large file is many tasks. A line's place is its split (path,
+begin of the byte range) and its place there; numbers of lines and of samples are prefix sums of two levels, within a
+split and over a file's splits. One pass reads and parses the text and gathers the counters on the way.
+
+Strict reading fails with the first bad line; lenient reading skips malformed lines, takes unknown tags as O and keeps
+hidden characters inside a field. Hidden characters at a field's ends, byte-order marks among them, always go and are
+reported. Lines that are not UTF-8 fail in both ways. An empty file gives no samples.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gapline import constants as C
 from gapline.functions import text as T
+from gapline.session import materialize
 
 FATAL = ("malformed", "interior", "unknown_tag")
+SPLIT = ["path", "block"]
+
+
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, at, line): block is the begin of the line's byte range, `at` rises by one from line to line of it."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    line = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.raise_error(F.concat("path", F.lit(": not valid UTF-8"))).cast("string"))
+    return rows.select(*SPLIT, "at", line.alias("line"))
+
+
+def split_starts(rows: DataFrame, **sums: Column) -> DataFrame:
+    """(path, block, first, lines, ...): a row a split, with its first `at` and what the file's splits before it sum to."""
+    totals = rows.groupBy(*SPLIT).agg(F.min("at").alias("first"), F.count("*").alias("lines"), *[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()])
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    return totals.select(*SPLIT, "first", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("lines", *sums)])
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line), line_no from 1. A file is decoded whole, as the byte-order mark and the text's
-    validity are the file's; its lines are rows from then on."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.col("content").cast("string")
-    checked = F.when(F.is_valid_utf8(text), F.regexp_replace(text, r"^\x{feff}", "")).otherwise(F.raise_error(F.concat("path", F.lit(": not valid UTF-8"))).cast("string"))
-    return files.select("path", F.posexplode(F.split(checked, "\r\n|\r|\n")).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_no"), "line")
+    """(path, block, line_no, line), line_no from 1."""
+    rows = split_lines(spark, path)
+    numbered = rows.join(split_starts(rows), SPLIT)
+    return numbered.select(*SPLIT, (F.col("lines") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def scan(lines: DataFrame) -> DataFrame:
@@ -39,7 +59,8 @@ def scan(lines: DataFrame) -> DataFrame:
         .when(F.col("inner").isNotNull(), F.when(tag.isin(*C.LABELS), "interior").otherwise("interior,unknown_tag"))
         .when(~tag.isin(*C.LABELS), "unknown_tag")
     )
-    return rows.select("path", "line_no", "line", F.get("parts", 0).alias("token"), tag.alias("tag"), kind.alias("kind"), "edge", F.size("parts").alias("n_fields"), F.col("inner")["interior"].alias("interior"))
+    held = F.size(F.filter("f", lambda f: f["s"]["interior"].isNotNull()))
+    return rows.select(*lines.columns, F.get("parts", 0).alias("token"), tag.alias("tag"), kind.alias("kind"), "edge", F.size("parts").alias("n_fields"), F.col("inner")["interior"].alias("interior"), held.alias("n_interior"))
 
 
 def diagnostics(lines: DataFrame) -> DataFrame:
@@ -72,22 +93,79 @@ def label_id(tag: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, C.LABELS)), tag) - 1, F.lit(-1)).cast("int")
 
 
+#: Counters of a reading pass, over rows of `scan`.
+COUNTERS = {
+    "lines": F.count,
+    "edge_lines": lambda one: F.count(F.when(F.col("edge"), one)),
+    "malformed_lines": lambda one: F.count(F.when(F.col("kind") == "malformed", one)),
+    "interior_fields": lambda one: F.coalesce(F.sum(F.when(F.col("kind").startswith("interior"), F.col("n_interior"))), F.lit(0)),
+    "unknown_tags": lambda one: F.count(F.when(F.col("kind").endswith("unknown_tag"), one)),
+    "words": lambda one: F.count(F.when(_is_word(), one)),
+    "entity_words": lambda one: F.count(F.when(_is_word() & (label_id(F.col("tag")) > 0), one)),
+}
+
+
+def _is_word() -> Column:
+    return F.col("kind").isNull() | ~F.col("kind").isin("blank", "malformed")
+
+
+def counters() -> list[Column]:
+    return [count(F.lit(1)).alias(name) for name, count in COUNTERS.items()]
+
+
+def verdict(found: dict[str, int]) -> str | None:
+    """What a summary says of a file as a whole: `all_malformed` and `empty` have no sample, `all_o` no entity."""
+    if not found["words"]:
+        return "all_malformed" if found["malformed_lines"] else "empty"
+    return None if found["entity_words"] else "all_o"
+
+
+def parse(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, dict[str, int]]:
+    """Parsed lines as a stored table, and their counters, gathered by the pass that writes it."""
+    seen = Observation("conll")
+    rows = scan(split_lines(spark, path)).observe(seen, *counters())
+    stored = materialize(rows.drop("n_interior"), "conll-lines")
+    found = seen.get
+    if strict and found["malformed_lines"] + found["interior_fields"] + found["unknown_tags"]:
+        raise ValueError(first_bad(stored))
+    return stored, found
+
+
+def first_bad(stored: DataFrame) -> str:
+    bad = stored.filter("kind is not null and kind <> 'blank'").orderBy(*SPLIT, "at").limit(1)  # one line
+    row = bad.join(split_starts(stored), SPLIT).select("path", (F.col("lines") + F.col("at") - F.col("first") + 1).alias("line_no"), "kind", "line").first()
+    return f"{row['path']}:{row['line_no']}: {row['kind']} in line {row['line']}"
+
+
+def numbered_samples(rows: DataFrame, order: str) -> DataFrame:
+    """Adds `sample`, the blank lines of the file before a line: those of its split before it, and those of earlier splits."""
+    blank = F.when(F.col("kind") == "blank", 1).otherwise(0)
+    inside = F.sum(blank).over(Window.partitionBy(*SPLIT).orderBy(order))
+    base = split_starts(rows.withColumnRenamed(order, "at"), blanks=blank).select(*SPLIT, "blanks")
+    return rows.withColumn("__inside", inside).join(base, SPLIT).withColumn("sample", F.col("__inside") + F.col("blanks"))
+
+
+def group_samples(rows: DataFrame, order: str) -> DataFrame:
+    """(path, sample, words, labels) of parsed lines; only samples with words."""
+    kept = numbered_samples(rows, order).filter(_is_word())
+    place = F.struct("block", F.col(order).alias("at"), "token", F.greatest(label_id(F.col("tag")), F.lit(0)).alias("label"))
+    return kept.groupBy("path", "sample").agg(F.array_sort(F.collect_list(place)).alias("t")).select(  # of one sample
+        "path", "sample", F.transform("t", lambda t: t["token"]).alias("words"), F.transform("t", lambda t: t["label"]).alias("labels")
+    )
+
+
 def samples_of(lines: DataFrame, strict: bool = True) -> DataFrame:
-    """(path, sample, words, labels): sample counts a file's blank lines; only samples with words."""
-    rows = scan(lines)
+    """(path, sample, words, labels) of lines (path, line_no, line), as they are at hand; block: of a split, if known."""
+    rows = scan(lines if "block" in lines.columns else lines.withColumn("block", F.lit(0)))
     if strict:
         message = F.concat("path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), "kind", F.lit(" in line "), "line")
         rows = rows.withColumn("kind", F.when(F.col("kind") != "blank", F.raise_error(message).cast("string")).otherwise(F.col("kind")))
-    blank = F.sum((F.coalesce("kind", F.lit("")) == "blank").cast("int")).over(Window.partitionBy("path").orderBy("line_no"))
-    kept = rows.withColumn("sample", blank).filter("kind is null or kind not in ('blank', 'malformed')")
-    one = F.array_sort(F.collect_list(F.struct("line_no", "token", F.greatest(label_id(F.col("tag")), F.lit(0)).alias("label"))))  # of one sample
-    return kept.groupBy("path", "sample").agg(one.alias("t")).select(
-        "path", "sample", F.transform("t", lambda t: t["token"]).alias("words"), F.transform("t", lambda t: t["label"]).alias("labels")
-    )
+    return group_samples(rows, "line_no")
 
 
 def load_conll(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    return samples_of(read_lines(spark, path), strict)
+    """(path, sample, words, labels); sample counts a file's blank lines."""
+    return group_samples(parse(spark, path, strict)[0], "at")
 
 
 def sample_text(words: Column, tags: Column) -> Column:

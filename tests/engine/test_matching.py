@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gapline.operators import compose, gate, matching
 from gapline.plans import analysis
@@ -117,3 +118,14 @@ def test_whole_texts(spark):
     assert {x["span"] for x in result[2]["missing"]} == {"PhD in Physics", "6 years"} and "PhD in Physics" in result[2]["feedback"]
     assert result[3]["problem"] and result[3]["feedback"] is None and result[3]["missing"] is None
     assert '"missing":null' in analysis.to_json(analysis.analyze(pairs, docs)).filter("pair_id = 3").first()["json"]
+
+
+def test_popular_keys_are_split(spark, monkeypatch):
+    """A posting for which very many applied is joined under several salts, and nothing is lost or doubled."""
+    monkeypatch.setattr(matching, "POPULAR", 50)
+    jd = spark.createDataFrame([(1, "tools", 0, "Docker"), (1, "technicalskill", 1, "Python"), (2, "tools", 0, "Git")], "doc_key int, category string, ord int, span string")
+    resume = spark.createDataFrame([(k, "tools", 0, "Docker" if k % 2 else "Jira") for k in range(400)], "doc_key int, category string, ord int, span string")
+    pairs = spark.range(400).select(F.col("id").alias("pair_id"), F.when(F.col("id") < 390, 1).otherwise(2).alias("jd_key"), F.col("id").cast("int").alias("resume_key"))
+    assert [tuple(r) for r in matching.popular_keys(pairs).collect()] == [("jd_key", "1", 8)]
+    got = {(r["pair_id"], r["span"]) for r in matching.find_missing(pairs, jd, resume).collect()}
+    assert got == {(i, "Python") for i in range(390)} | {(i, "Docker") for i in range(0, 390, 2)} | {(i, "Git") for i in range(390, 400)}

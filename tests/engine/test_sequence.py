@@ -76,6 +76,59 @@ def test_conll_files_round_trip(spark, tmp_path):
     assert key(back) == key(made)
 
 
+def test_conll_in_many_splits(spark, tmp_path):
+    """Byte ranges of a few bytes cut lines and samples everywhere, and numbers of lines and samples stay those of the file."""
+    draw = random.Random(4)
+    ends = ["\n", "\r\n", "\r"]
+    parts = [draw.choice(["w\u00e9%d O", "x%d B-TOOLS", "y%d I-TOOLS", "", "  ", "z%d\u00ad O"]) for _ in range(400)]
+    lines = [p % i if "%d" in p else p for i, p in enumerate(parts)]
+    # a lone line end after a carriage return would join it
+    text = "\ufeff" + "".join(x + draw.choice(ends if i + 1 == len(lines) or lines[i + 1] else ends[:2]) for i, x in enumerate(lines))
+    (tmp_path / "big.txt").write_bytes(text.encode())
+    (tmp_path / "two.txt").write_bytes(b"a O\n\nb B-TOOLS")
+    want, sample = {}, 0
+    for x in lines:
+        if not x.strip():
+            sample += 1
+        else:
+            word, tag = x.replace("\u00ad", "").split()
+            want.setdefault(sample, []).append((word, C.LABELS.index(tag)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        path = f"file:{tmp_path}/*.txt"
+        assert conll.split_lines(spark, path).rdd.getNumPartitions() > 50
+        found, counts = conll.parse(spark, path)
+        rows = conll.group_samples(found, "at").collect()
+        numbered = conll.read_lines(spark, path).filter("path like '%big.txt'").orderBy("line_no").collect()
+        lazy = conll.samples_of(conll.read_lines(spark, path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    big = {r["sample"]: list(zip(r["words"], r["labels"])) for r in rows if r["path"].endswith("big.txt")}
+    assert big == want and [r["words"] for r in rows if r["path"].endswith("two.txt")] in ([["a"], ["b"]], [["b"], ["a"]])
+    assert [r["line_no"] for r in numbered] == list(range(1, len(lines) + 1))
+    key = lambda made: sorted((r["path"], r["sample"], r["words"], r["labels"]) for r in made)
+    assert key(lazy) == key(rows)
+    assert counts["words"] == sum(map(len, want.values())) + 2 and counts["edge_lines"] >= sum("\u00ad" in x for x in lines)
+    assert conll.verdict(counts) is None
+
+
+def test_conll_counters_and_verdicts(spark, tmp_path):
+    def of(data):
+        path = tmp_path / f"{abs(hash(data))}.txt"
+        path.write_bytes(data.encode())
+        return conll.parse(spark, f"file:{path}", strict=False)[1]
+
+    found = of("a O x\nb\u00adc B-HOBBY\n\u200bd O\ne\u200df O\n\ng B-TOOLS\n")
+    assert found == {"lines": 6, "edge_lines": 1, "malformed_lines": 1, "interior_fields": 2, "unknown_tags": 1, "words": 4, "entity_words": 1}
+    assert conll.verdict(of("a O\nb O\n")) == "all_o" and conll.verdict(of("a\nb c d\n")) == "all_malformed"
+    assert conll.verdict(of("\n \n")) == "empty" and conll.verdict(of("")) == "empty"
+    (tmp_path / "bad.txt").write_text("a O\n\nb O\nc B-HOBBY\nd\n")
+    with pytest.raises(ValueError, match="bad.txt:4: unknown_tag in line c B-HOBBY"):
+        conll.load_conll(spark, f"file:{tmp_path}/bad.txt")
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "a").write_text("hé\n")
     assert texts.read_texts(spark, f"file:{tmp_path}/a").first()["text"] == "hé\n"
@@ -100,6 +153,10 @@ def test_metrics(spark):
     assert (row["precision"], row["recall"]) == (pytest.approx(2 / 3), pytest.approx(2 / 3))
     report = {r["name"]: r for r in metrics.entity_report(gold, guess).collect()}
     assert report["softskill"]["f1"] == 0 and report["tools"]["recall"] == 1 and report["weighted avg"]["support"] == 3
+    both = metrics.entity_report(gold, guess)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") <= 8 and plan.count("Expand") >= 1
+    assert {r["name"]: r["support"] for r in metrics.entity_report(gold.limit(0), guess.limit(0)).collect()} == {"micro avg": 0, "macro avg": 0, "weighted avg": 0}
     none = metrics.entity_scores(gold.limit(0), guess.limit(0)).first()
     assert none["f1"] == 0
     samples = spark.createDataFrame([([0, 0, 0, 1],)], "labels array<int>")
