@@ -277,3 +277,9 @@ VOCABULARY = {
     "TECHNICALSKILL": TECHNICAL_SKILLS, "TOOLS": TOOLS, "SOFTSKILL": SOFT_SKILLS, "DESIGNATION": DESIGNATIONS,
     "YEAROFEXPERIENCE": DURATIONS, "QUALIFICATION": QUALIFICATIONS,
 }
+
+#: What a draft says whose settings have changed, around role, company, recruiter and writer.
+SETTINGS_CHANGED = (
+    "This draft was written with the earlier settings (role: ", ", company: ", ", recruiter: ", ", writer: ",
+    "). Run the analysis again to apply the current ones.",
+)

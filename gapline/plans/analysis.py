@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapline import constants as C
 from gapline.functions import text as T
 from gapline.operators import compose
 from gapline.operators.gate import gate, jd_problem, resume_problem, verdict, with_problem
@@ -66,6 +67,16 @@ def write_feedback(result: DataFrame, generated: Column | None = None, company:
     )
 
 
+def with_settings_notice(drafts: DataFrame, current: Column) -> DataFrame:
+    """Adds settings_changed and settings_notice to drafts with `settings`, a struct (role, company, recruiter, mode):
+    whether the current ones are others, and what to say of it then."""
+    changed = ~F.col("settings").eqNullSafe(current)
+    said = lambda name: F.coalesce(F.col(f"settings.{name}"), F.lit(""))
+    role, company, recruiter, mode, end = map(F.lit, C.SETTINGS_CHANGED)
+    notice = F.concat(role, said("role"), company, said("company"), recruiter, said("recruiter"), mode, said("mode"), end)
+    return drafts.withColumn("settings_changed", changed).withColumn("settings_notice", F.when(changed, notice))
+
+
 def downloadable(reviewed: Column, stale: Column, problem: Column) -> Column:
     """A draft may leave once it is reviewed, belongs to the texts at hand, and was not refused."""
     return reviewed & ~stale & problem.isNull()

@@ -13,7 +13,7 @@ from gapline.functions import years as Y
 from gapline.operators import compose, gate, lexicon, matching, metrics, sequence
 from gapline.plans import analysis
 from gapline.plans import oracle as O
-from gapline.plans.inputs import Inputs, values
+from gapline.plans.inputs import Inputs, quoted, values
 from gapline.plans.labellers import lexicon_labeller, raw_vocabulary, windowed
 from gapline.session import fresh_path, ship_package
 from gapline.sources import conll, datagen
@@ -443,10 +443,9 @@ def align_labels(spark, sf_dir):
 
 # --- samples and metrics --------------------------------------------------------------------------------------
 
-N_SAMPLES = 5000
 TEMPLATES = values(datagen.template_table(), "tt(template, seg, literal, type, n, size)")
 VOCAB = values(datagen.vocabulary_table(), "vt(type, idx, value)")
-SAMPLES = f"""s0 AS (SELECT i AS id, i + {C.DATAGEN_SEED} AS x FROM range({N_SAMPLES}) AS r(i)), s1 AS (SELECT id, x, unnest(range(CASE WHEN (x * 37) % 100 < {C.MULTI_SHARE} THEN 2 + x % 2 ELSE 1 END)) AS sentence FROM s0),
+SAMPLES = f"""s0 AS (SELECT c_custkey AS id, c_custkey + {C.DATAGEN_SEED} AS x FROM customer), s1 AS (SELECT id, x, unnest(range(CASE WHEN (x * 37) % 100 < {C.MULTI_SHARE} THEN 2 + x % 2 ELSE 1 END)) AS sentence FROM s0),
 s2 AS (SELECT s1.*, tt.* FROM s1 JOIN {TEMPLATES} ON template = (x * 7 + sentence * 11) % {len(C.TEMPLATES)}),
 s3 AS (SELECT *, unnest(range(n)) AS j FROM s2 WHERE type IS NOT NULL),
 s4 AS (SELECT s3.*, value FROM s3 JOIN {VOCAB} ON vt.type = s3.type AND vt.idx = (x * 31 + sentence * 17 + seg * 13 + j * (1 + x % greatest((size - 1) // 2, 1))) % size),
@@ -455,21 +454,33 @@ s5 AS (SELECT id, sentence, seg, j, list_concat(CASE WHEN j = 0 THEN [] WHEN n =
   UNION ALL SELECT id, sentence, seg, 0, list_transform({O.tokens('literal')}, lambda w: w || ' O') FROM s2 WHERE literal IS NOT NULL),
 samples AS (SELECT id, flatten(list(t ORDER BY sentence, seg, j)) AS t FROM s5 GROUP BY id)"""
 NAMES = values(list(enumerate(C.LABELS)), "nm(label_id, label)")
+#: Labelled samples made of the turns of conversations: a word's label is worked out from its place.
+TURNS = f"""samples AS (SELECT id, t FROM (SELECT conv_id * 100 + turn AS id, list_transform({O.tokens('text')}, lambda w, i: w || ' ' ||
+  CASE WHEN ((i - 1) * (i - 1) + conv_id * 100 + turn) % 17 < {len(C.LABELS)} THEN [{O.listed(C.LABELS)}][((i - 1) * (i - 1) + conv_id * 100 + turn) % 17 + 1] ELSE 'O' END) AS t FROM conversations) WHERE len(t) > 0)"""
+
+
+def turn_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, words, labels): `TURNS`."""
+    rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.tokenize(F.col("text")).alias("words"))
+    k = lambda i: (i.cast("long") * i + F.col("id")) % 17
+    labels = F.transform("words", lambda _, i: F.when(k(i) < len(C.LABELS), k(i)).otherwise(0).cast("int"))
+    return rows.filter(F.size("words") > 0).select("id", "words", labels.alias("labels"))
 
 
 @query(f"WITH {SAMPLES} SELECT id, len(t) AS n_tokens, array_to_string(t, chr(10)) AS lines FROM samples")
 def datagen_samples(spark, sf_dir):
     names = F.array(*map(F.lit, C.LABELS))
-    rows = datagen.generate(spark, N_SAMPLES)
+    """A sample for each customer's number."""
+    rows = datagen.generate_for(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
     lines = F.array_join(F.zip_with("words", "labels", lambda w, i: F.concat(w, F.lit(" "), F.get(names, i))), "\n")
     return rows.select("id", F.size("words").alias("n_tokens"), lines.alias("lines"))
 
 
-@query(f"""WITH {SAMPLES}, lines AS (SELECT md5(array_to_string(t, chr(10))) AS sample_md5, len(t) AS n FROM samples) SELECT sample_md5, n AS n_words, count(*) AS n_samples FROM lines GROUP BY 1, 2""")
+@query(f"""WITH {TURNS}, lines AS (SELECT md5(array_to_string(t, chr(10))) AS sample_md5, len(t) AS n FROM samples) SELECT sample_md5, n AS n_words, count(*) AS n_samples FROM lines GROUP BY 1, 2""")
 def conll_round_trip(spark, sf_dir):
     """Samples as lines, read as a file's lines are."""
     names = F.array(*map(F.lit, C.LABELS))
-    made = datagen.generate(spark, N_SAMPLES)
+    made = turn_samples(spark, sf_dir)
     text = conll.sample_text(F.col("words"), F.transform("labels", lambda i: F.get(names, i)))
     lines = made.select(F.col("id").cast("string").alias("path"), F.posexplode(F.split(F.concat(F.lit("\n"), text, F.lit("\n")), "\n")).alias("at", "line"))
     back = conll.samples_of(lines.select("path", (F.col("at") + 1).alias("line_no"), "line"))
@@ -477,10 +488,10 @@ def conll_round_trip(spark, sf_dir):
     return back.groupBy(F.md5(joined.cast("binary")).alias("sample_md5"), F.size("words").alias("n_words")).agg(F.count("*").alias("n_samples"))
 
 
-@query(f"""WITH {SAMPLES}, c AS (SELECT label, count(*) AS n FROM (SELECT split_part(unnest(t), ' ', 2) AS label FROM samples) GROUP BY 1)
+@query(f"""WITH {TURNS}, c AS (SELECT label, count(*) AS n FROM (SELECT split_part(unnest(t), ' ', 2) AS label FROM samples) GROUP BY 1)
   SELECT label_id, round(coalesce((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 1.0), 9) AS weight FROM {NAMES} LEFT JOIN c USING (label)""")
 def class_weights(spark, sf_dir):
-    return metrics.class_weights(datagen.generate(spark, N_SAMPLES)).select("label_id", F.round("weight", 9).alias("weight"))
+    return metrics.class_weights(turn_samples(spark, sf_dir)).select("label_id", F.round("weight", 9).alias("weight"))
 
 
 GOLD = f"""gold AS (SELECT id AS doc_key, unnest(range(len(t))) AS pos, split_part(unnest(t), ' ', 2) AS label FROM samples),
@@ -492,14 +503,14 @@ def ends(name: str, src: str) -> str:
     return f"{runs}, {name} AS (SELECT doc_key, category, min(pos) AS s, max(pos) AS e FROM {name}2 GROUP BY doc_key, category, run)"
 
 
-COUNTS = f"""WITH {SAMPLES}, {GOLD}, {ends('ge', 'gold')}, {ends('pe', 'guess')}, counts AS (SELECT coalesce(ge.category, pe.category) AS name, count(ge.s) AS t, count(pe.s) AS p, count(ge.s + pe.s) AS b
+COUNTS = f"""WITH {TURNS}, {GOLD}, {ends('ge', 'gold')}, {ends('pe', 'guess')}, counts AS (SELECT coalesce(ge.category, pe.category) AS name, count(ge.s) AS t, count(pe.s) AS p, count(ge.s + pe.s) AS b
   FROM ge FULL JOIN pe ON ge.doc_key = pe.doc_key AND ge.category = pe.category AND ge.s = pe.s AND ge.e = pe.e GROUP BY 1)"""
 PRF = "coalesce(b / nullif(p, 0), 0) AS precision, coalesce(b / nullif(t, 0), 0) AS recall, coalesce(2.0 * b / nullif(p + t, 0), 0) AS f1"
 
 
-def gold_and_guess(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+def gold_and_guess(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     names = F.array(*map(F.lit, C.LABELS))
-    rows = datagen.generate(spark, N_SAMPLES).select(F.col("id").alias("doc_key"), F.posexplode("labels").alias("pos", "l"))
+    rows = turn_samples(spark, sf_dir).select(F.col("id").alias("doc_key"), F.posexplode("labels").alias("pos", "l"))
     gold = rows.select("doc_key", "pos", F.get(names, F.col("l")).alias("label"))
     x, p = F.col("doc_key"), F.col("pos")
     wrong = F.when((x + p) % 9 == 0, "O").when((x * 3 + p) % 11 == 0, "B-TOOLS").otherwise(F.col("label"))
@@ -512,7 +523,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @query(f"{COUNTS}, a AS (SELECT sum(t) AS t, sum(p) AS p, sum(b) AS b FROM counts) SELECT round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM (SELECT {PRF} FROM a)")
 def entity_prf(spark, sf_dir):
-    return rounded(metrics.entity_scores(*gold_and_guess(spark)))
+    return rounded(metrics.entity_scores(*gold_and_guess(spark, sf_dir)))
 
 
 @query(f"""{COUNTS}, s AS (SELECT name, {PRF}, t AS support FROM counts), a AS (SELECT sum(t) AS t, sum(p) AS p, sum(b) AS b FROM counts),
@@ -520,7 +531,7 @@ def entity_prf(spark, sf_dir):
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM s)
   SELECT name, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support::BIGINT AS support FROM u""")
 def entity_report(spark, sf_dir):
-    return rounded(metrics.entity_report(*gold_and_guess(spark)))
+    return rounded(metrics.entity_report(*gold_and_guess(spark, sf_dir)))
 
 
 @query(f"WITH {LENGTHS} SELECT least({C.MOST_SUBWORDS}, floor(quantile_cont(n, 0.95)))::INT AS max_len FROM len_n")
@@ -548,7 +559,7 @@ def frequent_unknown_tags(spark, sf_dir):
 def conll_files(spark, sf_dir):
     """Samples written as files in the shared folder and read back."""
     path = fresh_path(spark, "conll")
-    conll.write_conll(datagen.generate(spark, N_SAMPLES), path)
+    conll.write_conll(turn_samples(spark, sf_dir), path)
     back = conll.load_conll(spark, f"{path}/*.txt")
     names = F.array(*map(F.lit, C.LABELS))
     joined = F.array_join(F.zip_with("words", "labels", lambda w, i: F.concat(w, F.lit(" "), F.get(names, i))), "\n")
@@ -560,16 +571,16 @@ def hashed_split(spark, sf_dir):
     return metrics.hashed_split(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query(f"WITH {SAMPLES} SELECT count(*) AS samples, sum(len(t))::BIGINT AS tokens FROM samples")
+@query(f"WITH {TURNS} SELECT count(*) AS samples, sum(len(t))::BIGINT AS tokens FROM samples")
 def corpus_totals(spark, sf_dir):
-    return datagen.totals(datagen.generate(spark, N_SAMPLES))
+    return datagen.totals(turn_samples(spark, sf_dir))
 
 
-@query(f"""WITH {SAMPLES}, g AS (SELECT id, [{O.listed(C.LABELS)}] AS names, list_filter(list_transform(t, lambda x, i: {{'l': split_part(x, ' ', 2), 'i': i - 1}}), lambda z: (id + z.i) % 5 <> 0) AS z FROM samples)
+@query(f"""WITH {TURNS}, g AS (SELECT id, [{O.listed(C.LABELS)}] AS names, list_filter(list_transform(t, lambda x, i: {{'l': split_part(x, ' ', 2), 'i': i - 1}}), lambda z: (id + z.i) % 5 <> 0) AS z FROM samples)
   SELECT id, array_to_string(list_transform(z, lambda x: x.l), ' ') AS gold, array_to_string(list_transform(z, lambda x: names[(list_position(names, x.l) - 1 + x.i) % {len(C.LABELS)} + 1]), ' ') AS predicted FROM g""")
 def label_sequences(spark, sf_dir):
     """Every fifth label is ignored; predictions are the labels moved on by their place."""
-    rows = datagen.generate(spark, N_SAMPLES)
+    rows = turn_samples(spark, sf_dir)
     labels = F.transform("labels", lambda x, i: F.when((F.col("id") + i) % 5 == 0, C.IGNORED_LABEL).otherwise(x))
     guesses = F.transform("labels", lambda x, i: ((x + i) % len(C.LABELS)).cast("int"))
     rows = rows.select("id", labels.alias("labels"), guesses.alias("guesses"))
@@ -577,6 +588,32 @@ def label_sequences(spark, sf_dir):
     return rows.select("id", F.array_join(gold, " ").alias("gold"), F.array_join(predicted, " ").alias("predicted"))
 
 
+#: Every thirty-first word's line is spoilt in one of four ways.
+SPOILT = f"""WITH {TURNS}, w AS (SELECT split_part(x, ' ', 2) AS tag, ((i - 1) * 3 + id) % 31 AS k FROM (SELECT id, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS i FROM samples)),
+c AS (SELECT count(*) + (SELECT count(*) FROM samples) AS lines, count_if(k = 2)::BIGINT AS edge_lines, count_if(k = 0)::BIGINT AS malformed_lines, count_if(k = 3)::BIGINT AS interior_fields,
+  count_if(k = 1)::BIGINT AS unknown_tags, count_if(k > 0)::BIGINT AS words, count_if(k > 1 AND tag <> 'O')::BIGINT AS entity_words FROM w)"""
+
+
+@query(f"{SPOILT} SELECT *, CASE WHEN words = 0 THEN CASE WHEN malformed_lines > 0 THEN 'all_malformed' ELSE 'empty' END WHEN entity_words = 0 THEN 'all_o' END AS verdict FROM c")
+def conll_summary(spark, sf_dir):
+    """Spoilt files read leniently: what the reading pass counts on its way, and what it says of the files."""
+    names = F.array(*map(F.lit, C.LABELS))
+    line = lambda w, tag, k: (
+        F.when(k == 0, F.concat(w, F.lit(" O more")))
+        .when(k == 1, F.concat(w, F.lit(" B-HOBBY")))
+        .when(k == 2, F.concat(w, F.lit("\u00ad "), tag))
+        .when(k == 3, F.concat(F.lit("x\u200b"), w, F.lit(" "), tag))
+        .otherwise(F.concat(w, F.lit(" "), tag))
+    )
+    pairs = F.arrays_zip(F.col("words").alias("w"), F.col("labels").alias("l"))
+    lines = F.transform(pairs, lambda z, i: line(z["w"], F.get(names, z["l"]), (i * 3 + F.col("id")) % 31))
+    path = fresh_path(spark, "conll")
+    turn_samples(spark, sf_dir).select(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value")).write.text(path)
+    found = conll.parse(spark, f"{path}/*.txt", strict=False)[1]
+    schema = ", ".join(f"{c} long" for c in conll.COUNTERS)
+    return spark.createDataFrame([(*[found[c] for c in conll.COUNTERS], conll.verdict(found))], f"{schema}, verdict string")
+
+
 @query(f"WITH {O.SPANS_SQL}, c AS (SELECT CASE doc_key % 10 WHEN 0 THEN 'hobby' WHEN 1 THEN 'language' ELSE category END AS category FROM jd_spans) SELECT category, count(*) AS n FROM c WHERE category NOT IN ({O.listed(C.CATEGORIES)}) GROUP BY category")
 def unknown_categories(spark, sf_dir):
     k = F.col("doc_key") % 10
@@ -603,14 +640,38 @@ def feedback_rules(spark, sf_dir):
     return rows.select("pair_id", F.md5(F.col("feedback").cast("binary")).alias("feedback_md5"), F.size("notices").alias("n_notices"), may_leave.alias("downloadable"))
 
 
+DRIFT = [quoted(x) for x in C.SETTINGS_CHANGED]
+
+
+@query(f"""SELECT c_custkey AS pair_id, changed AS settings_changed, CASE WHEN changed THEN {DRIFT[0]} || role || {DRIFT[1]} || company || {DRIFT[2]} || recruiter || {DRIFT[3]} || mode || {DRIFT[4]} END AS message
+  FROM (SELECT *, NOT (role = now_role AND company = now_company AND recruiter = now_recruiter AND mode = now_mode) AS changed FROM (
+  SELECT c_custkey, c_mktsegment AS role, n_name AS company, c_name AS recruiter, 'Template' AS mode, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'Analyst' END AS now_role,
+    CASE WHEN c_custkey % 3 = 0 THEN 'Elsewhere' ELSE n_name END AS now_company, c_name AS now_recruiter, CASE WHEN c_custkey % 5 = 0 THEN 'Model' ELSE 'Template' END AS now_mode FROM customer JOIN nation ON c_nationkey = n_nationkey))""")
+def settings_drift(spark, sf_dir):
+    """Drafts whose settings are no longer the current ones."""
+    people = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 rows
+    k = F.col("c_custkey")
+    then = F.struct(F.col("c_mktsegment").alias("role"), F.col("n_name").alias("company"), F.col("c_name").alias("recruiter"), F.lit("Template").alias("mode"))
+    now = F.struct(
+        F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise("Analyst").alias("role"), F.when(k % 3 == 0, "Elsewhere").otherwise(F.col("n_name")).alias("company"),
+        F.col("c_name").alias("recruiter"), F.when(k % 5 == 0, "Model").otherwise("Template").alias("mode"),
+    )
+    drafts = people.select(k.alias("pair_id"), then.alias("settings"), now.alias("current"))
+    rows = analysis.with_settings_notice(drafts, F.col("current"))
+    return rows.select("pair_id", "settings_changed", F.col("settings_notice").alias("message"))
+
+
 # --- whole texts to spans -------------------------------------------------------------------------------------
 
 
-#: Spans of the generated samples' texts, in which no dot is flush with a word: each window of a term is an entity of the
-#: term's type, without words of punctuation at its ends; of a document's spans equal but for case the first stays.
-EXTRACTED = f"""{SAMPLES}, voc_raw AS (SELECT * FROM {values(raw_vocabulary(), 'vr(raw, type, rank)')}), {O.canonical('voc_c', 'voc_raw')},
+#: Postings and candidates as texts, of the spans that the tables give; no dot is flush with a word in them. Even keys are
+#: postings, odd ones candidates.
+WRITTEN = f"""SELECT doc_key * 2 AS doc_key, string_agg(replace(span, '.NET', 'NET'), ' ; ' ORDER BY ord, category, span) AS text FROM jd_spans GROUP BY 1
+  UNION ALL SELECT doc_key * 2 + 1, string_agg(replace(span, '.NET', 'NET'), ' ; ' ORDER BY ord, category, span) FROM resume_spans GROUP BY 1"""
+#: Their spans: each window of a term is an entity of the term's type, without words of punctuation at its ends; of a
+#: document's spans equal but for case the first stays.
+EXTRACTED = f"""docs AS (WITH {O.SPANS_SQL} {WRITTEN}), voc_raw AS (SELECT * FROM {values(raw_vocabulary(), 'vr(raw, type, rank)')}), {O.canonical('voc_c', 'voc_raw')},
 voc AS (SELECT canon AS term, arg_min(type, rank) AS type FROM voc_raw JOIN voc_c USING (raw) GROUP BY canon),
-docs AS (SELECT id AS doc_key, array_to_string(list_transform(t, lambda x: split_part(x, ' ', 1)), ' ') AS text FROM samples),
 toks AS (SELECT doc_key, {O.tokens('text')} AS all_w FROM docs), {O.recognised('hit', 'toks', 'doc_key', 'all_w', 'voc')},
 hit_words AS (SELECT doc_key, lower(type) AS category, i AS ord, all_w[i + 1 : i + k] AS w FROM hit JOIN toks USING (doc_key) JOIN voc USING (term)),
 hit_marks AS (SELECT *, list_transform(w, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS marks FROM hit_words),
@@ -618,30 +679,34 @@ hit_spans AS (SELECT doc_key, category, ord, array_to_string(w[list_position(mar
 spans AS (SELECT doc_key, category, ord, span FROM (SELECT *, row_number() OVER (PARTITION BY doc_key, category, lower(span) ORDER BY ord) AS n FROM hit_spans) WHERE n = 1)"""
 
 
-def sample_texts(spark: SparkSession) -> DataFrame:
-    return datagen.generate(spark, N_SAMPLES).select(F.col("id").alias("doc_key"), F.array_join("words", " ").alias("text"))
+def written_texts(made: Inputs) -> DataFrame:
+    """(doc_key, text): `WRITTEN`."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "category", "span"))), lambda x: F.replace(x["span"], F.lit(".NET"), F.lit("NET")))  # of one document
+    text = lambda spans, odd: spans.groupBy((F.col("doc_key") * 2 + odd).cast("long").alias("doc_key")).agg(F.array_join(listed, " ; ").alias("text"))
+    return text(made.jd_spans, 0).unionByName(text(made.resume_spans, 1))
 
 
 @query(f"WITH {EXTRACTED} SELECT doc_key, category, ord, span FROM spans")
 def extract_spans(spark, sf_dir):
-    """Generated sentences through the lexicon labeller."""
-    return analysis.extract_spans(sample_texts(spark))
+    """Texts of both sides through the lexicon labeller."""
+    return analysis.extract_spans(written_texts(Inputs(spark, sf_dir)))
 
 
 @query(f"WITH {EXTRACTED} SELECT doc_key, category, ord, span FROM spans")
 def windowed_spans(spark, sf_dir):
     """The same window by window: words whose labels come from a window in whose middle they are."""
-    return analysis.extract_spans(sample_texts(spark), windowed(lexicon_labeller, BUDGET))
+    return analysis.extract_spans(written_texts(Inputs(spark, sf_dir)), windowed(lexicon_labeller, BUDGET))
 
 
 SIDES = f"""{EXTRACTED}, jd_spans AS (SELECT * FROM spans), resume_spans AS (SELECT * FROM spans), jd_docs AS (SELECT * FROM docs), resume_docs AS (SELECT * FROM docs),
-pairs AS (SELECT doc_key AS pair_id, doc_key AS jd_key, (doc_key * 7 + 1) % {N_SAMPLES} AS resume_key FROM docs)"""
+pairs AS (WITH {O.SPANS_SQL} SELECT pair_id, jd_key * 2 AS jd_key, resume_key * 2 + 1 AS resume_key FROM pairs)"""
 
 
 @query(f"{analysis_sql(O.facts(SIDES))} SELECT pair_id, problem, missing, array_to_string(notes, ' / ') AS notes FROM analysis")
 def analyze_texts(spark, sf_dir):
     """Texts of both sides through labeller, gate, gaps and notes."""
-    docs = sample_texts(spark)
-    pairs = docs.select(F.col("doc_key").alias("pair_id"), F.col("doc_key").alias("jd_key"), ((F.col("doc_key") * 7 + 1) % N_SAMPLES).alias("resume_key"))
+    made = Inputs(spark, sf_dir)
+    docs = written_texts(made)
+    pairs = made.pairs.select("pair_id", (F.col("jd_key") * 2).cast("long").alias("jd_key"), (F.col("resume_key") * 2 + 1).cast("long").alias("resume_key"))
     items = F.array_join(F.transform("missing", lambda x: F.concat(x["category"], F.lit(":"), x["span"])), "|")
     return analysis.analyze(pairs, docs).select("pair_id", "problem", items.alias("missing"), F.array_join("notes", " / ").alias("notes"))

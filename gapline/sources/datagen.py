@@ -25,19 +25,25 @@ def vocabulary_table() -> list[tuple[str, int, str]]:
     return [(k, i, v) for k, values in C.VOCABULARY.items() for i, v in enumerate(values)]
 
 
-def sentences(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """(id, sentence, template): one sentence, or two or three for MULTI_SHARE per cent of the samples."""
+def sentences(ids: DataFrame, seed: int) -> DataFrame:
+    """(id, sentence, template) of rows (id): one sentence, or two or three for MULTI_SHARE per cent of the samples."""
     x = F.col("id") + seed
     many = F.when((x * 37) % 100 < C.MULTI_SHARE, 2 + x % 2).otherwise(1)
-    rows = spark.range(n).withColumn("sentence", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
+    rows = ids.withColumn("sentence", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
     return rows.withColumn("template", ((x * 7 + F.col("sentence") * 11) % len(C.TEMPLATES)).cast("int"))
 
 
 def generate(spark: SparkSession, n: int = C.DATAGEN_SAMPLES, seed: int = C.DATAGEN_SEED) -> DataFrame:
-    """(id, words, labels)."""
+    """(id, words, labels) of the numbers below n."""
+    return generate_for(spark.range(n), seed)
+
+
+def generate_for(ids: DataFrame, seed: int = C.DATAGEN_SEED) -> DataFrame:
+    """(id, words, labels): a sample for each number of the rows (id)."""
+    spark = ids.sparkSession
     templates = spark.createDataFrame(template_table(), "template int, seg int, literal string, type string, n int, size int")
     values = spark.createDataFrame(vocabulary_table(), "type string, at long, value string")
-    segments = sentences(spark, n, seed).join(F.broadcast(templates), "template")  # both tables are constants
+    segments = sentences(ids, seed).join(F.broadcast(templates), "template")  # both tables are constants
     x = F.col("id") + seed
     step = 1 + x % F.greatest(F.floor((F.col("size") - 1) / 2), F.lit(1))  # below half the size: no value twice
     at = (x * 31 + F.col("sentence") * 17 + F.col("seg") * 13 + F.col("j") * step) % F.col("size")
