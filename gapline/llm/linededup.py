@@ -38,6 +38,8 @@ from gapline.llm.components import connected_components
 THRESHOLD, LEAST_CHARS, SMALL = 1, 20, 16
 #: Line hashes that are sent to all tasks at most (16 bytes each); beyond that they are joined by shuffle.
 MOST_SENT = 1_000_000
+#: Lines with so many places are hot if they are a thousandth of all repeated places too.
+LEAST_HOT, MOST_HOT = 1000, 1000
 
 
 def banded_distance(x: str, y: str, threshold: int) -> Column:
@@ -105,10 +107,12 @@ def first_buckets(lines: DataFrame) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold two lines at least, one of them in role R; one row a line and role."""
+    """Rows of buckets that hold two lines at least, one of them in role R; one row a line and role. Copies of a line go
+    before the buckets are counted and joined, in each task before they are sent."""
+    rows = rows.distinct()
     counts = rows.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.min("longer").alias("none_short"))
     counts = counts.filter("lo < hi and not none_short").select("key")
-    return rows.join(counts, "key").distinct()
+    return rows.join(counts, "key")
 
 
 def line_id(a: str = "a", b: str = "b") -> Column:
@@ -154,10 +158,24 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, small: int = SMALL
     seen = lines.select("a", "b", place.alias("place"))
     firsts = seen.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).withColumn("line_id", line_id())
     classes = firsts.join(parts, "line_id", "left").filter("n > 1 or component is not null")
-    classes = materialize(classes.select("a", "b", "first", F.coalesce("component", "line_id").alias("component")), "line-classes")
+    classes = materialize(classes.select("a", "b", "first", "n", F.coalesce("component", "line_id").alias("component")), "line-classes")
+    return later_lines(seen, classes)
+
+
+def later_lines(seen: DataFrame, classes: DataFrame, least_hot: int = LEAST_HOT) -> DataFrame:
+    """Places (doc_id, th, line_no) of seen (a, b, place) that are not the first of their line's class.
+
+    Lines that make up a thousandth of all such places or more, at most MOST_HOT of them, meet their places by broadcast;
+    the places of the others are joined by shuffle, over which those of hot lines are spread."""
     heads = classes.groupBy("component").agg(F.min("first").alias("head"))
-    again = seen.join(classes.join(heads, "component").select("a", "b", "head"), ["a", "b"])
-    return again.filter("place <> head").select("place.doc_id", "place.th", "place.line_no")
+    owned = classes.join(heads, "component").select("a", "b", "n", "head")
+    hot_from = max(least_hot, (classes.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    hot = owned.filter(F.col("n") >= hot_from).select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("head").alias("__hot"))
+    cold = owned.filter(F.col("n") < hot_from).select(F.col("a").alias("__x"), F.col("b").alias("__y"), F.col("head").alias("__cold"))
+    rows = seen.join(F.broadcast(hot), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left")
+    spread = F.when(F.col("__hot").isNull(), F.col("a")).otherwise(F.xxhash64("place"))
+    rows = rows.withColumn("__by", spread).join(cold, (F.col("__by") == F.col("__x")) & (F.col("b") == F.col("__y")), "left")
+    return rows.filter(F.col("place") > F.coalesce("__hot", "__cold")).select("place.doc_id", "place.th", "place.line_no")
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, small: int = SMALL, short: bool = False) -> DataFrame:

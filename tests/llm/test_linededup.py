@@ -97,3 +97,15 @@ def test_equal_short_lines_go(spark):
     assert got == {1: (f"Yes.\n\n{long}", 1), 2: ("", 2), 3: ("Yes\n  \nNo.", 1), 4: ("Les.", 0), None: (" ", 1), 5: ("\n", 0)}
     left = corpus_pipeline.drop_repeated_lines(spark, docs, "")
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4, 5]
+
+
+def test_a_hot_line_is_one_row_of_a_bucket(spark):
+    """A footer of 20,000 documents and a variant of it: copies go before buckets are joined, and all but the first go."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same footer of all documents\nown line number "), F.format_string("%06d", F.col("id") * 37 + 11), F.lit(" with more words "), F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(20_000, "the same footer of all documentz")], "doc_id long, text string"))
+    rows = linededup.shared(linededup.first_buckets(linededup.line_rows(docs)))
+    assert rows.groupBy("key").count().agg(F.max("count")).first()[0] <= 4
+    got = linededup.dedup_lines(docs)
+    assert got.agg(F.sum("n_removed")).first()[0] == 20_000 and got.filter("doc_id = 0").first()["n_removed"] == 0
