@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from gapline.llm.common import encode
 
 WIDTH, UNIT, FRAME_ROWS, DELAY, CLEAR = 64, 64, 256, 10, 255
+#: Pictures of more pixels are refused as broken: a header could else ask for any memory.
+MOST_PIXELS = 1 << 24
 MOST_CODES = 4096
 
 
@@ -211,6 +213,8 @@ def _frames(data: bytes) -> Iterator[dict]:
     if flags & 0x80:
         n = 2 << (flags & 7)
         shared, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a canvas of {width} x {height}")
     canvas = np.zeros((height, width, 4), np.uint8)
     disposal, delay, clear_index, clock = 0, 0, -1, 0
     while data[at] != 0x3B:
@@ -224,6 +228,8 @@ def _frames(data: bytes) -> Iterator[dict]:
         if data[at] != 0x2C:
             raise ValueError(f"block {data[at]:#x}")
         left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+        if w * h > MOST_PIXELS:
+            raise ValueError(f"a frame of {w} x {h}")
         at, palette = at + 10, shared
         if flags & 0x80:
             n = 2 << (flags & 7)

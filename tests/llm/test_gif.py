@@ -177,3 +177,9 @@ def test_columns(spark):
     read = {r["doc_id"]: r for r in gif.read_back(broken).collect()}
     assert read[3]["payload_bytes"] == 64 and all(read[i]["payload_bytes"] is None and read[i]["colours"] is None for i in (1, 2, 4))
     assert gif.read_back(stored.limit(0)).count() == 0
+
+
+def test_a_huge_canvas_is_refused():
+    data = b"GIF89a" + (65535).to_bytes(2, "little") * 2 + b"\x00\x00\x00;"
+    with pytest.raises(ValueError, match="canvas"):
+        list(gif.decode_gif(data))
