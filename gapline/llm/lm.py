@@ -407,6 +407,10 @@ class Model:
 
 
 def quantize(counts: np.ndarray) -> np.ndarray:
+    """Stored forms of counts; of pairs (zeros, ones) beyond the largest both are scaled down, so that their ratio stays."""
+    if counts.ndim == 2:
+        largest = counts.max(axis=1, keepdims=True, initial=1)
+        counts = np.where(largest > STORED[-1], counts * (float(STORED[-1]) / largest), counts)
     return np.clip(np.searchsorted(STORED, counts, "right") - 1, 0, 255).astype(np.uint8)
 
 
@@ -434,14 +438,14 @@ def fit_spelling(units: DataFrame, distinct: int) -> tuple[int, DataFrame]:
             if piece.any():
                 yield pd.DataFrame({"piece": [at // PIECE], "data": [zlib.compress(piece.tobytes(), 1)]})
 
-    def summed(rows: pd.DataFrame) -> np.ndarray:
-        return sum(np.frombuffer(zlib.decompress(d), np.int32).reshape(-1, 2).astype(np.int64) for d in rows["data"])
+    def summed(rows: pd.DataFrame, kind: type) -> np.ndarray:
+        return sum(np.frombuffer(zlib.decompress(d), kind).reshape(-1, 2).astype(np.int64) for d in rows["data"])
 
     def add_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"piece": [key[0]], "data": [zlib.compress(np.minimum(summed(rows), 2**31 - 1).astype(np.int32).tobytes(), 1)]})
+        return pd.DataFrame({"piece": [key[0]], "data": [zlib.compress(summed(rows, np.int32).tobytes(), 1)]})
 
     def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"piece": [key[0]], "data": [zlib.compress(quantize(summed(rows)).tobytes(), 1)]})
+        return pd.DataFrame({"piece": [key[0]], "data": [zlib.compress(quantize(summed(rows, np.int64)).tobytes(), 1)]})
 
     kind = "piece int, data binary"
     partial = units.mapInPandas(count, kind).withColumn("part", F.spark_partition_id() % MERGERS)

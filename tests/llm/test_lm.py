@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from gapline.llm import lm
 
@@ -207,3 +208,10 @@ def test_without_training_rows(spark):
     got = lm.score_documents(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
     assert len(got) == len(held) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in got)
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_counts_keep_their_ratio():
+    pairs = np.array([[8_000_000, 500_000_000], [500_000_000, 8_000_000], [3, 5], [2**40, 2**40]])
+    zeros, ones = lm.STORED[lm.quantize(pairs)].T
+    assert ones[0] / zeros[0] == pytest.approx(62.5, rel=0.1) and zeros[1] / ones[1] == pytest.approx(62.5, rel=0.1)
+    assert (zeros[2], ones[2]) == (3, 5) and zeros[3] == ones[3] == lm.STORED[-1]
