@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
         print(*datagen.totals(made).first(), sep=" samples, ", end=" tokens\n")
     else:
         samples = conll.load_conll(spark, asked.files).select(F.concat_ws(":", "path", F.col("sample").cast("string")).alias("doc_key"), "words", "labels")
-        labellers.save_classifier(labellers.train_token_classifier(samples), asked.out)
+        labellers.save_classifier(labellers.train_token_classifier(samples)[0], asked.out)
     return 0
 
 

@@ -14,8 +14,8 @@ from gapline.operators import compose, gate, lexicon, matching, metrics, sequenc
 from gapline.plans import analysis
 from gapline.plans import oracle as O
 from gapline.plans.inputs import Inputs, quoted, values
-from gapline.plans.labellers import lexicon_labeller, raw_vocabulary, windowed
-from gapline.session import fresh_path, ship_package
+from gapline.plans.labellers import classifier_labeller, labelled_samples, lexicon_labeller, raw_vocabulary, train_token_classifier, windowed
+from gapline.session import fresh_path, materialize, ship_package
 from gapline.sources import conll, datagen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -710,3 +710,18 @@ def analyze_texts(spark, sf_dir):
     pairs = made.pairs.select("pair_id", (F.col("jd_key") * 2).cast("long").alias("jd_key"), (F.col("resume_key") * 2 + 1).cast("long").alias("resume_key"))
     items = F.array_join(F.transform("missing", lambda x: F.concat(x["category"], F.lit(":"), x["span"])), "|")
     return analysis.analyze(pairs, docs).select("pair_id", "problem", items.alias("missing"), F.array_join("notes", " / ").alias("notes"))
+
+
+@query()
+def classifier_report(spark, sf_dir):
+    """A token classifier learns what the lexicon labeller says of both sides' texts; its entities on the texts it has not
+    seen, by category."""
+    docs = written_texts(Inputs(spark, sf_dir))
+    samples = materialize(labelled_samples(docs), "samples")
+    held = F.pmod(F.crc32(F.col("doc_key").cast("string").cast("binary")), F.lit(7)) == 0
+    model, _ = train_token_classifier(samples.filter(~held), grid=(0.001,), features=1 << 12, stride=4, max_train_rows=4000)
+    unseen = samples.filter(held)
+    names = F.array(*map(F.lit, C.LABELS))
+    gold = unseen.select("doc_key", F.posexplode("labels").alias("pos", "l")).select("doc_key", "pos", F.get(names, F.col("l")).alias("label"))
+    guess = classifier_labeller(model)(unseen.select("doc_key", F.array_join("words", " ").alias("text")))
+    return rounded(metrics.entity_report(gold, guess.select("doc_key", "pos", "label")))
