@@ -18,10 +18,11 @@ counts of all *other* training rows: its own words and pairs are taken off. ``ba
 
 Tasks turn their rows into blocks of about ``BLOCK_BYTES``, a row each: word ids of all its texts and a dictionary. Units
 and pairs of words are counted by hash range, in as many pieces as the corpus's size asks for (``PIECE_BYTES`` of text
-each): a block sends each piece its units or its pairs' hashes, packed and sorted, and gets counts back in the same order.
-Nothing that grows with the corpus is broadcast, and no more rows move than there are blocks and pieces to them. With more
-than ``MOST_BLOCKS`` blocks, each of which may hold the most frequent words, a piece is summed in parts of so many first,
-and the sums of its parts go back to them. A pair's
+each): a block sends its units and its pairs' hashes, packed and sorted, and gets counts back in the same order.
+Nothing that grows with the corpus is broadcast. With more than 2 ** ``FAN_BITS`` blocks or pieces they are sent in steps:
+each step cuts what a node holds by a few more bits of the hash and merges the same cut of as many nodes, so that a node
+stays as large as a block, and the most frequent words, which each block holds, become one before they go on; counts go
+back through the same nodes. Rows are as many as blocks, times at most 2 ** ``FAN_BITS``, times the steps. A pair's
 hash is so long that one in a million is taken for another. Only the spelling predictors have tables of bounded size: they
 grow with the distinct units up to 2 ** ``MOST_SLOT_BITS`` slots for each order, one byte a count.
 
@@ -37,6 +38,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -47,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.common import LOWER_ASCII, chunks_by_bytes, crc_bucket, encode, materialize
+from gapline.llm.common import LOWER_ASCII, chunks_by_bytes, crc_bucket, discard, encode, materialize
 
 ORDERS = (1, 2, 3, 4, 6)
 BLOCK_BYTES, PIECE_BYTES, LEAST_SLOT_BITS, MOST_SLOT_BITS, PIECE = 16_000_000, 32_000_000, 12, 22, 1 << 16
@@ -56,7 +58,7 @@ ODD_GAP = re.compile(rb"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
 BLANKS = b" \t\n\r\x0b\x0c"
 ADDED, RATE, STEPS, GATES, LEVELS = 0.1, 0.1, 24, 2 * 8, 12
 CACHE_SHARE, CACHE_WORDS = 0.5, 100
-MERGERS, WORDS_AT_ONCE, MOST_BLOCKS = 64, 250_000, 4096
+MERGERS, WORDS_AT_ONCE, FAN_BITS = 64, 250_000, 10
 BLANK_ID, END_ID = 0, 1  # in every block's dictionary
 #: Counts from 0 to 255 as stored: exact up to 127, then in steps of some 9 per cent.
 STORED = np.concatenate([np.arange(128), np.round(128 * 1.09 ** np.arange(128))]).astype(np.float32)
@@ -165,22 +167,74 @@ def blocks(docs: DataFrame, held_out: str, pieces: Pieces) -> DataFrame:
     return docs.select("doc_id", "text", F.expr(held_out).alias("held")).mapInPandas(run, schema)
 
 
-def unit_requests(cut: DataFrame) -> DataFrame:
-    """(piece, block, units, sizes, trained): each block's dictionary by piece."""
+class Exchange(NamedTuple):
+    """The steps from blocks to pieces: after step k a node is a prefix of `piece_bits[k]` bits of the hash and a group
+    of blocks that share `group_bits[k]` bits. Each step hands a node's rows to at most 2 ** FAN_BITS nodes."""
+
+    piece_bits: tuple[int, ...]
+    group_bits: tuple[int, ...]
+
+    @classmethod
+    def of(cls, bits: int, n_blocks: int) -> Exchange:
+        all_groups = max(n_blocks - 1, 0).bit_length()
+        steps = max(1, -(-max(bits, all_groups) // FAN_BITS))
+        return cls(tuple(-(-bits * k // steps) for k in range(steps + 1)), tuple(all_groups * (steps - k) // steps for k in range(steps + 1)))
+
+    @property
+    def steps(self) -> int:
+        return len(self.piece_bits) - 1
+
+    def addressed(self, asked: DataFrame, step: int) -> DataFrame:
+        """Adds the group `grp` that a row goes to, from the block or the group that sends it."""
+        if step == 1:
+            sender = F.pmod(F.xxhash64("from_grp"), F.lit(1 << self.group_bits[0]))
+        else:
+            sender = F.col("from_grp")
+        return asked.withColumn("grp", F.shiftright(sender, self.group_bits[step - 1] - self.group_bits[step]))
+
+
+def pieces_of(units: list[bytes], bits: int) -> np.ndarray:
+    """The piece of each unit by the upper bits of its hash; blank and end are in the first."""
+    found = (hashes_of(units) >> np.uint64(64 - bits)).astype(np.int64)
+    found[[k for k, u in enumerate(units) if u == END or u == b" "]] = 0
+    return found
+
+
+SENT_UNITS = "piece int, from_piece int, from_grp long, units binary, sizes binary, trained binary"
+
+
+def unit_requests(cut: DataFrame, bits: int) -> DataFrame:
+    """Each block's dictionary by the upper `bits` bits of the piece; the sender is the block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples():
                 units, trained = grow_units(r.units, r.sizes), grow(r.trained, np.uint32)
-                ends = np.cumsum(grow(r.by_piece, np.int64)).tolist()
-                out = [(k, r.block, *shrink_units(units[a:b]), shrink(trained[a:b])) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
-                yield pd.DataFrame(out, columns=["piece", "block", "units", "sizes", "trained"])
+                ends = np.cumsum(grow(r.by_piece, np.int64).reshape(1 << bits, -1).sum(1)).tolist()
+                out = [(k, 0, r.block, *shrink_units(units[a:b]), shrink(trained[a:b])) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+                yield pd.DataFrame(out, columns=["piece", "from_piece", "from_grp", "units", "sizes", "trained"])
 
-    return cut.select("block", "units", "sizes", "trained", "by_piece").mapInPandas(run, "piece int, block long, units binary, sizes binary, trained binary")
+    return cut.select("block", "units", "sizes", "trained", "by_piece").mapInPandas(run, SENT_UNITS)
 
 
-def sum_units(rows: pd.DataFrame, *, kind: type = np.uint32) -> pd.DataFrame:
-    """A piece's distinct units with their counts (block below 0), and for each block which of them its own are."""
+def unit_requests_of_nodes(nodes: DataFrame, bits: int) -> DataFrame:
+    """As ``unit_requests``, for nodes, whose units are sorted by piece."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                units, n = grow_units(r.units, r.sizes), grow(r.numbers, np.int64)
+                piece = pieces_of(units, bits)
+                begin = np.flatnonzero(np.diff(piece, prepend=-1)).tolist()
+                out = [(piece[a], r.piece, r.grp, *shrink_units(units[a:b]), shrink(n[a:b])) for a, b in zip(begin, [*begin[1:], len(units)])]
+                yield pd.DataFrame(out, columns=["piece", "from_piece", "from_grp", "units", "sizes", "trained"])
+
+    return nodes.select("piece", "grp", "units", "sizes", "numbers").mapInPandas(run, SENT_UNITS)
+
+
+def sum_units(rows: pd.DataFrame, *, kind: type = np.uint32, sorted_by: int = 0) -> pd.DataFrame:
+    """A node's distinct units with their counts (no sender), and for each sender which of them its own are. The units
+    are sorted by so many bits of their piece, if the node is to send them on."""
     known: dict[bytes, int] = {}
     found = []
     for r in rows.itertuples():
@@ -189,36 +243,71 @@ def sum_units(rows: pd.DataFrame, *, kind: type = np.uint32) -> pd.DataFrame:
     n = np.zeros(len(known), np.int64)
     for at, data in zip(found, rows["trained"]):
         n[at] += grow(data, kind)
-    units, piece = list(known), rows["piece"].iloc[0]
+    units, piece, grp = list(known), rows["piece"].iloc[0], rows["grp"].iloc[0]
+    if sorted_by:
+        order = np.argsort(pieces_of(units, sorted_by), kind="stable")
+        place = np.empty(len(units), np.int32)
+        place[order] = np.arange(len(units), dtype=np.int32)
+        units, n, found = [units[k] for k in order.tolist()], n[order], [place[x] for x in found]
     word = np.array([is_word(u) for u in units])
     gap = ~word & np.array([u != EMPTY for u in units])
     facts = {"distinct": len(units), "tokens": int(n[word].sum()), "vocabulary": int((n[word] > 0).sum()), "gaps": int(n[gap].sum())}
     data, sizes = shrink_units(units)
-    whole = pd.DataFrame([{"piece": piece, "block": -1, "units": data, "sizes": sizes, "numbers": shrink(n), **facts}])
-    each = pd.DataFrame({"piece": piece, "block": rows["block"], "numbers": [shrink(x) for x in found]})
+    whole = pd.DataFrame([{"piece": piece, "grp": grp, "from_piece": -1, "from_grp": -1, "units": data, "sizes": sizes, "numbers": shrink(n), **facts}])
+    each = rows[["piece", "grp", "from_piece", "from_grp"]].assign(numbers=[shrink(x) for x in found])
     return pd.concat([whole, each.assign(units=None, sizes=None, **dict.fromkeys(facts, 0))], ignore_index=True)
 
 
-UNITS = "piece int, block long, units binary, sizes binary, numbers binary, distinct long, tokens long, vocabulary long, gaps long"
+UNITS = "piece int, grp long, from_piece int, from_grp long, units binary, sizes binary, numbers binary, distinct long, tokens long, vocabulary long, gaps long"
+UNIT_ANSWER = "to_piece int, to_grp long, piece int, n binary, spelled binary"
+PAIR_ANSWER = "to_piece int, to_grp long, piece int, pairs binary"
+
+
+def dealt(rows: pd.DataFrame, **columns: np.ndarray) -> pd.DataFrame:
+    """For each sender its own of a node's values, in the order in which it has asked."""
+    at = [grow(x, np.int32) for x in rows["numbers"]]
+    own = {"to_piece": rows["from_piece"], "to_grp": rows["from_grp"], "piece": rows["piece"]}
+    return pd.DataFrame(own | {name: [shrink(values[x]) for x in at] for name, values in columns.items()})
 
 
-def units_by_name(rows: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
-    """As ``unit_answers``, from the units themselves."""
-    if not len(rows):
-        return pd.DataFrame(columns=["in_block", "piece", "n", "spelled"])
-    known = {u: k for k, u in enumerate(grow_units(scored["units"].iloc[0], scored["sizes"].iloc[0]))}
-    places = [np.array([known[u] for u in grow_units(r.units, r.sizes)], np.int32) for r in rows.itertuples()]
-    return unit_answers(rows.assign(numbers=[shrink(x) for x in places]), scored)
+def joined(answers: pd.DataFrame, column: str, kind: type) -> np.ndarray:
+    """A node's or a block's values: those of its pieces, one after the other."""
+    return np.concatenate([grow(x, kind) for x in answers.sort_values("piece")[column] if x is not None])
 
 
-def in_parts(rows: DataFrame, parts: int) -> DataFrame:
-    """Rows of blocks with the part of their piece that they fall in."""
-    return rows.withColumn("part", F.pmod("block", F.lit(parts)))
+def handed_back(own: DataFrame, answers: DataFrame, kinds: dict[str, type], schema: str) -> DataFrame:
+    """Answers to a step's nodes as answers to those who asked them."""
 
+    def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        return dealt(rows, **{c: joined(found, c, kind) for c, kind in kinds.items()})
 
-def to_parts(rows: DataFrame, parts: int) -> DataFrame:
-    """Rows of pieces for each part."""
-    return rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    senders = own.filter("from_grp >= 0").select("piece", "grp", "from_piece", "from_grp", "numbers")
+    return senders.groupBy("piece", "grp").cogroup(answers.groupBy("to_piece", "to_grp")).applyInPandas(run, schema)
+
+
+def sent_units(cut: DataFrame, way: Exchange) -> list[DataFrame]:
+    """Step by step what the nodes hold, as ``sum_units``; the last step's nodes are the pieces."""
+    out, asked = [], unit_requests(cut, way.piece_bits[1])
+    for step in range(1, way.steps + 1):
+        onward = way.piece_bits[step + 1] if step < way.steps else 0
+        merge = partial(sum_units, kind=np.uint32 if step == 1 else np.int64, sorted_by=onward)
+        out.append(materialize(way.addressed(asked, step).groupBy("piece", "grp").applyInPandas(merge, UNITS), "lm-units"))
+        if onward:
+            asked = unit_requests_of_nodes(out[-1].filter("units is not null"), onward)
+    return out
+
+
+def pair_answers(cut: DataFrame, pieces: Pieces, way: Exchange) -> tuple[DataFrame, list[DataFrame]]:
+    """To each block how often its pairs occur in all training rows, in the order of its pairs; and tables on the way."""
+    held, asked = [], pair_requests(cut, pieces, way.piece_bits[1])
+    for step in range(1, way.steps):
+        merged = way.addressed(asked, step).groupBy("piece", "grp").applyInPandas(merged_pairs, PAIRS)
+        held.append(materialize(merged, "lm-pairs"))
+        asked = pair_requests_of_nodes(held[-1].filter("keys is not null"), pieces, way.piece_bits[step + 1])
+    answers = way.addressed(asked, way.steps).groupBy("piece", "grp").applyInPandas(sum_pairs, PAIR_ANSWER)
+    for own in reversed(held):
+        answers = handed_back(own, answers, {"pairs": np.int64}, PAIR_ANSWER)
+    return answers, held
 
 
 def is_word(unit: bytes) -> bool:
@@ -226,9 +315,19 @@ def is_word(unit: bytes) -> bool:
     return not unit or unit[0] not in BLANKS
 
 
-def pair_requests(cut: DataFrame, pieces: Pieces) -> DataFrame:
-    """(piece, block, keys, times): each block's pairs of words by piece, sorted, and how often they occur in training."""
-    edges = np.arange(1, 1 << pieces.bits, dtype=np.uint64) << np.uint64(pieces.key_bits - pieces.bits)
+SENT_PAIRS = "piece int, from_piece int, from_grp long, keys binary, times binary"
+
+
+def _pairs_by_piece(keys: np.ndarray, times: np.ndarray, bits: int, key_bits: int, sender: tuple[int, int]) -> pd.DataFrame:
+    """Sorted keys cut by their upper bits."""
+    cuts = np.flatnonzero(np.diff((keys >> np.uint64(key_bits - bits)).astype(np.int64), prepend=-1)).tolist()
+    piece = [int(keys[a]) >> key_bits - bits for a in cuts]
+    out = [(k, *sender, shrink(np.diff(keys[a:b], prepend=np.uint64(0))), shrink(times[a:b])) for k, a, b in zip(piece, cuts, [*cuts[1:], len(keys)])]
+    return pd.DataFrame(out, columns=["piece", "from_piece", "from_grp", "keys", "times"])
+
+
+def pair_requests(cut: DataFrame, pieces: Pieces, bits: int) -> DataFrame:
+    """Each block's pairs of words by the upper `bits` bits, sorted, and how often they occur in training."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -239,13 +338,22 @@ def pair_requests(cut: DataFrame, pieces: Pieces) -> DataFrame:
                 both = np.sort(pair_keys(hashes[before], hashes[tokens], pieces.key_bits) << np.uint64(1) | learned)
                 keys = both >> np.uint64(1)
                 begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                keys, times = keys[begin], np.add.reduceat(both & np.uint64(1), begin).astype(np.uint32)
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                out = [(k, r.block, shrink(np.diff(keys[a:b], prepend=np.uint64(0))), shrink(times[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                yield pd.DataFrame(out, columns=["piece", "block", "keys", "times"])
+                times = np.add.reduceat((both & np.uint64(1)).astype(np.int64), begin)
+                yield _pairs_by_piece(keys[begin], times, bits, pieces.key_bits, (0, r.block))
 
     columns = ["block", "held", "n_words", "words", "units", "sizes"]
-    return cut.select(*columns).mapInPandas(run, "piece int, block long, keys binary, times binary")
+    return cut.select(*columns).mapInPandas(run, SENT_PAIRS)
+
+
+def pair_requests_of_nodes(nodes: DataFrame, pieces: Pieces, bits: int) -> DataFrame:
+    """As ``pair_requests``, for nodes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                yield _pairs_by_piece(grow_keys(r.keys), grow(r.times, np.int64), bits, pieces.key_bits, (r.piece, r.grp))
+
+    return nodes.select("piece", "grp", "keys", "times").mapInPandas(run, SENT_PAIRS)
 
 
 def grow_keys(data: bytes) -> np.ndarray:
@@ -253,34 +361,32 @@ def grow_keys(data: bytes) -> np.ndarray:
 
 
 def total_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The distinct keys of a piece, how often they occur, and where each row's keys stand among them."""
+    """The distinct keys of a node, how often they occur, and where each row's keys stand among them."""
     keys = [grow_keys(x) for x in rows["keys"]]
     known = np.sort(np.concatenate(keys))
     known = known[np.concatenate([[True], known[1:] != known[:-1]])]
-    total, places = np.zeros(len(known), np.uint32), [np.searchsorted(known, k).astype(np.int32) for k in keys]
+    total, places = np.zeros(len(known), np.int64), [np.searchsorted(known, k).astype(np.int32) for k in keys]
     for at, times in zip(places, rows["times"]):
-        total[at] += grow(times, np.uint32)
+        total[at] += grow(times, np.int64)
     return known, total, places
 
 
-def merged_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a piece, or of a part of it, as one."""
-    known, total, _ = total_pairs(rows)
-    return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "keys": [shrink(np.diff(known, prepend=np.uint64(0)))], "times": [shrink(total)]})
+PAIRS = "piece int, grp long, from_piece int, from_grp long, keys binary, times binary, numbers binary"
 
 
-def pairs_by_key(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-    """As ``sum_pairs``, from the sums of the whole piece."""
-    if not len(rows):
-        return pd.DataFrame(columns=["in_block", "piece", "pairs"])
-    known, total = grow_keys(totals["keys"].iloc[0]), grow(totals["times"].iloc[0], np.uint32)
-    return pd.DataFrame({"in_block": rows["block"], "piece": rows["piece"], "pairs": [shrink(total[np.searchsorted(known, grow_keys(x))]) for x in rows["keys"]]})
+def merged_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """A node's distinct pairs with their counts (no sender), and for each sender which of them its own are."""
+    known, total, places = total_pairs(rows)
+    whole = rows[["piece", "grp"]].head(1).assign(from_piece=-1, from_grp=-1, keys=[shrink(np.diff(known, prepend=np.uint64(0)))], times=[shrink(total)], numbers=None)
+    each = rows[["piece", "grp", "from_piece", "from_grp"]].assign(keys=None, times=None, numbers=[shrink(x) for x in places])
+    return pd.concat([whole, each], ignore_index=True)
 
 
 def sum_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """How often the pairs of a piece occur in all training rows: for each block, in the order of its pairs."""
+    """How often the pairs of a piece occur in all training rows, for each sender."""
     _, total, places = total_pairs(rows)
-    return pd.DataFrame({"in_block": rows["block"], "piece": rows["piece"], "pairs": [shrink(total[at]) for at in places]})
+    own = {"to_piece": rows["from_piece"], "to_grp": rows["from_grp"], "piece": rows["piece"]}
+    return pd.DataFrame(own | {"pairs": [shrink(total[at]) for at in places]})
 
 
 def _spelled(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -448,9 +554,9 @@ def fit_spelling(units: DataFrame, distinct: int) -> tuple[int, DataFrame]:
         return pd.DataFrame({"piece": [key[0]], "data": [zlib.compress(quantize(summed(rows, np.int64)).tobytes(), 1)]})
 
     kind = "piece int, data binary"
-    partial = units.mapInPandas(count, kind).withColumn("part", F.spark_partition_id() % MERGERS)
-    partial = partial.groupBy("piece", "part").applyInPandas(add_up, kind)  # a tree: no group grows with all tasks
-    return bits, materialize(partial.groupBy("piece").applyInPandas(total, kind), "lm-counts")
+    sums = units.mapInPandas(count, kind).withColumn("part", F.spark_partition_id() % MERGERS)
+    sums = sums.groupBy("piece", "part").applyInPandas(add_up, kind)  # a tree: no group grows with all tasks
+    return bits, materialize(sums.groupBy("piece").applyInPandas(total, kind), "lm-counts")
 
 
 def load_counts(bits: int, pieces: list[tuple[int, bytes]]) -> np.ndarray:
@@ -514,12 +620,8 @@ def spelling_scores(units: DataFrame, distinct: int) -> DataFrame:
 
 
 def unit_answers(rows: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
-    """For each block its units' counts and spelling scores, in the order of its dictionary."""
-    if not len(rows):
-        return pd.DataFrame(columns=["in_block", "piece", "n", "spelled"])
-    n, spelled = grow(scored["numbers"].iloc[0], np.int64), grow(scored["spelled"].iloc[0], np.float32)
-    at = [grow(x, np.int32) for x in rows["numbers"]]
-    return pd.DataFrame({"in_block": rows["block"], "piece": rows["piece"], "n": [shrink(n[x]) for x in at], "spelled": [shrink(spelled[x]) for x in at]})
+    """For each sender its units' counts and spelling scores, in the order of its dictionary."""
+    return dealt(rows, n=grow(scored["numbers"].iloc[0], np.int64), spelled=grow(scored["spelled"].iloc[0], np.float32))
 
 
 def grouped(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -715,33 +817,18 @@ def mark(docs: DataFrame, modulus: int, remainder: int) -> Marked:
     pieces = Pieces.of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     cut = docs.select("doc_id", "text", (crc_bucket(F.col("doc_id"), modulus) == remainder).alias("__held"))
     cut = materialize(blocks(cut, "__held", pieces), "lm-blocks")
-    parts = 1 + cut.count() // MOST_BLOCKS
-    asked = unit_requests(cut)
-    if parts > 1:
-        asked = materialize(in_parts(asked, parts), "lm-asked")
-        found = asked.groupBy("piece", "part").applyInPandas(lambda _, rows: sum_units(rows), UNITS).filter("block < 0")
-        asked_again = found.select("piece", "block", "units", "sizes", F.col("numbers").alias("trained"))
-        units = materialize(asked_again.groupBy("piece").applyInPandas(lambda rows: sum_units(rows, kind=np.int64), UNITS).filter("units is not null"), "lm-units")
-    else:
-        units = materialize(asked.groupBy("piece").applyInPandas(sum_units, UNITS), "lm-units")
-    whole = units.filter("units is not null")
+    way = Exchange.of(pieces.bits, cut.count())
+    units = sent_units(cut, way)
+    whole = units[-1].filter("units is not null")
     facts = whole.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "tokens", "vocabulary", "gaps")]).first()
     tokens, vocabulary, gaps = facts["tokens"], facts["vocabulary"], facts["gaps"]
     scored = materialize(spelling_scores(whole, facts["distinct"]), "lm-spelled")
     share = best_share(scored, tokens)
-    kinds = "in_block long, piece int, n binary, spelled binary", "in_block long, piece int, pairs binary"
-    wanted = pair_requests(cut, pieces)
-    if parts > 1:
-        answers = asked.groupBy("piece", "part").cogroup(to_parts(scored, parts).groupBy("piece", "part")).applyInPandas(units_by_name, kinds[0])
-        wanted = materialize(in_parts(wanted, parts), "lm-wanted")
-        schema = "piece int, keys binary, times binary"
-        totals = wanted.groupBy("piece", "part").applyInPandas(lambda _, rows: merged_pairs(rows), schema)
-        totals = materialize(totals.groupBy("piece").applyInPandas(merged_pairs, schema), "lm-pairs")
-        pairs = wanted.groupBy("piece", "part").cogroup(to_parts(totals, parts).groupBy("piece", "part")).applyInPandas(pairs_by_key, kinds[1])
-    else:
-        by_unit = units.filter("block >= 0").select("piece", "block", "numbers").groupBy("piece")
-        answers = by_unit.cogroup(scored.select("piece", "numbers", "spelled").groupBy("piece")).applyInPandas(unit_answers, kinds[0])
-        pairs = wanted.groupBy("piece").applyInPandas(sum_pairs, kinds[1])
+    by_unit = units[-1].filter("from_grp >= 0").select("piece", "from_piece", "from_grp", "numbers").groupBy("piece")
+    answers = by_unit.cogroup(scored.select("piece", "numbers", "spelled").groupBy("piece")).applyInPandas(unit_answers, UNIT_ANSWER)
+    for own in reversed(units[:-1]):
+        answers = handed_back(own, answers, {"n": np.int64, "spelled": np.float32}, UNIT_ANSWER)
+    pairs, on_the_way = pair_answers(cut, pieces, way)
     answers = answers.unionByName(pairs, allowMissingColumns=True)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -749,9 +836,10 @@ def mark(docs: DataFrame, modulus: int, remainder: int) -> Marked:
 
     def look_up(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         """Of each text: its base score, what its words cost once their bits are known, gaps included, and marks."""
-        r, table = rows.iloc[0], table.sort_values("piece")
-        whole = lambda column, kind: np.concatenate([grow(x, kind) for x in table[column] if x is not None])
-        n, spelled, times = whole("n", np.int64), whole("spelled", np.float32).astype(float), whole("pairs", np.uint32).astype(np.int32)
+        r, times = rows.iloc[0], joined(table, "pairs", np.int64)
+        if times.max(initial=0) < 1 << 31:
+            times = times.astype(np.int32)  # half the memory
+        n, spelled = joined(table, "n", np.int64), joined(table, "spelled", np.float32).astype(float)
         base_cost = np.log10((n + 1) / (tokens + vocabulary + 1))
         gap_cost = log_sum(log_of(0.999 * n / max(gaps, 1)), log_of(0.001) + spelled)
         held, counts, n_others, n_blank = grow(r["held"], bool), *(grow(r[c], np.int64) for c in ("n_words", "n_others", "n_blank"))
@@ -786,8 +874,10 @@ def mark(docs: DataFrame, modulus: int, remainder: int) -> Marked:
         table = pd.concat(out, ignore_index=True)
         return table.assign(doc_id=list(r["doc_ids"]), held_out=held, n_bytes=grow(r["n_bytes"], np.int64))[[c.split()[0] for c in schema.split(", ")]]
 
-    marked = cut.drop("trained", "by_piece").groupBy("block").cogroup(answers.groupBy("in_block")).applyInPandas(look_up, schema)
-    return Marked(materialize(marked, "lm-marks"), tokens, gaps, scored, share)
+    marked = cut.drop("trained", "by_piece").groupBy("block").cogroup(answers.groupBy("to_grp")).applyInPandas(look_up, schema)
+    marked = materialize(marked, "lm-marks")
+    discard(cut, *units, *on_the_way)
+    return Marked(marked, tokens, gaps, scored, share)
 
 
 def finish(marked: DataFrame, tokens: int, follower: Follower) -> DataFrame:

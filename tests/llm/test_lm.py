@@ -193,14 +193,47 @@ def test_score_rests_on_the_mixers(spark):
     assert sum(r["score"] for r in scores) > 0.8 * random
 
 
-def test_many_blocks_are_summed_in_parts(spark, monkeypatch):
-    """Blocks of a few texts, summed piece by piece or in parts of pieces first: the same counts come back."""
+def marked_rows(docs):
+    return sorted(map(str, (tuple(r) for r in lm.mark(docs, 7, 2).marked.drop("coded").collect())))
+
+
+def test_many_blocks_are_merged_in_steps(spark, monkeypatch):
+    """Blocks of a few texts, sent to their pieces at once or in steps of two bits: the same counts come back."""
     docs = spark.createDataFrame(corpus(60), "doc_id long, text string").repartition(3)
     monkeypatch.setattr(lm, "BLOCK_BYTES", 400)
-    rows = lambda: sorted(map(str, (tuple(r) for r in lm.mark(docs, 7, 2).marked.drop("coded").collect())))
-    whole = rows()
-    monkeypatch.setattr(lm, "MOST_BLOCKS", 5)
-    assert rows() == whole
+    monkeypatch.setattr(lm, "PIECE_BYTES", 800)
+    whole = marked_rows(docs)
+    monkeypatch.setattr(lm, "FAN_BITS", 2)
+    assert marked_rows(docs) == whole
+
+
+def test_rows_grow_with_the_corpus(spark, monkeypatch):
+    """Twice the texts, twice the rows and one step more at most."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(lm, "PIECE_BYTES", 800)
+    monkeypatch.setattr(lm, "FAN_BITS", 2)
+
+    def sent(n):
+        rows = [(i, f"w{i} w{i % 7} v{i} u{i} x{i} y{i} z{i}") for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        pieces = lm.Pieces.of(sum(len(t) for _, t in rows))
+        cut = lm.blocks(docs, "false", pieces)
+        way = lm.Exchange.of(pieces.bits, cut.count())
+        units = [u.filter("from_grp >= 0").count() for u in lm.sent_units(cut, way)]
+        pairs = [u.filter("from_grp >= 0").count() for u in lm.pair_answers(cut, pieces, way)[1]]
+        return cut.count(), way.steps, max(units), max(pairs)
+
+    for n in (150, 300, 600):
+        blocks, steps, units, pairs = sent(n)
+        assert max(units, pairs) <= blocks * 2 ** (lm.FAN_BITS + 1) and steps <= blocks.bit_length()
+
+
+def test_steps_keep_their_width():
+    for bits, n in ((1, 1), (4, 40), (15, 62_500), (22, 6_000_000), (3, 100_000)):
+        way = lm.Exchange.of(bits, n)
+        assert way.piece_bits[-1] == bits and way.group_bits[-1] == 0
+        for x in (way.piece_bits, way.group_bits):
+            assert all(abs(a - b) <= lm.FAN_BITS for a, b in zip(x, x[1:]))
 
 
 def test_without_training_rows(spark):
