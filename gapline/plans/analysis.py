@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from gapline.operators.matching import DEGREE, EXPERIENCE, ITEMS, SKILL, gap_ite
 from gapline.operators.sequence import clean_spans, group_words
 from gapline.plans.labellers import lexicon_labeller
 from gapline.session import materialize
+from gapline.sources.http import request_feedback
 
 Labeller = Callable[[DataFrame], DataFrame]
 
@@ -67,6 +69,15 @@ def write_feedback(result: DataFrame, generated: Column | None = None, company:
     )
 
 
+def served_feedback(result: DataFrame, bodies: Column, url: str, **sender: Any) -> DataFrame:
+    """As ``write_feedback``, with the service's texts for the open pairs and `service_error` where it had none: these
+    get the template. The answers are stored, so that no request is made twice. sender: see ``request_feedback``."""
+    asked = result.filter("problem IS NULL").select("pair_id", bodies.alias("body"))
+    answers = materialize(request_feedback(asked, url, **sender), "feedback")
+    answers = answers.select("pair_id", F.col("feedback").alias("__generated"), F.col("error").alias("service_error"))
+    return write_feedback(result.join(answers, "pair_id", "left"), F.col("__generated")).drop("__generated")
+
+
 def with_settings_notice(drafts: DataFrame, current: Column) -> DataFrame:
     """Adds settings_changed and settings_notice to drafts with `settings`, a struct (role, company, recruiter, mode):
     whether the current ones are others, and what to say of it then."""

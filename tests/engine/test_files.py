@@ -1,7 +1,8 @@
 import json
 import random
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 
 from pyspark.sql import functions as F
 
@@ -61,6 +62,48 @@ def test_service(spark):
     assert not http.healthy(url, 1)
 
 
+class Moody(Service):
+    """Fails each body's first request and takes a while for every other."""
+
+    seen: dict = {}
+    open_now = most_open = 0
+    lock = threading.Lock()
+
+    def do_POST(self):
+        body = self.rfile.read(int(self.headers["Content-Length"]))
+        with Moody.lock:
+            Moody.seen[body] = Moody.seen.get(body, 0) + 1
+            first = Moody.seen[body] == 1
+            Moody.open_now += 1
+            Moody.most_open = max(Moody.most_open, Moody.open_now)
+        time.sleep(0.2)
+        with Moody.lock:
+            Moody.open_now -= 1
+        asked = json.loads(body)
+        self.send_response(400 if asked.get("bad") else 503 if first or asked.get("down") else 200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"feedback": f"for {asked.get('n')}"}).encode())
+
+
+def test_failing_and_slow_service(spark):
+    """Failures are asked again, refusals are not, requests overlap, and what fails for good gets the template."""
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Moody)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    rows = [(k, None, f'{{"n": {k}}}') for k in range(20)] + [(50, None, '{"bad": 1}'), (51, None, '{"down": 1}'), (52, "refused", '{"n": 52}')]
+    result = spark.createDataFrame(rows, "pair_id int, problem string, body string").coalesce(1)
+    result = result.withColumn("missing", F.lit(None).cast("array<struct<ord:int,category:string,span:string>>"))
+    out = {r["pair_id"]: r for r in analysis.served_feedback(result, F.col("body"), url, timeout=10, in_flight=6, attempts=3).collect()}
+    server.shutdown()
+    server.server_close()
+    assert all(out[k]["feedback"] == f"for {k}" and out[k]["service_error"] is None and not out[k]["notices"] for k in range(20))
+    assert "400" in out[50]["service_error"] and "503" in out[51]["service_error"]
+    assert all(out[k]["feedback"] and out[k]["notices"] for k in (50, 51)) and out[52]["feedback"] is None
+    times = {json.dumps(json.loads(b)): n for b, n in Moody.seen.items()}
+    assert times['{"bad": 1}'] == 1 and times['{"down": 1}'] == 3 and times['{"n": 3}'] == 2 and '{"n": 52}' not in times
+    assert 2 <= Moody.most_open <= 6
+
+
 def test_windowed_labels_are_those_of_the_whole(spark):
     docs = datagen.generate(spark, 60).select(F.col("id").alias("doc_key"), F.array_join("words", " ").alias("text"))
     docs = docs.groupBy(F.floor(F.col("doc_key") / 6).alias("doc_key")).agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))

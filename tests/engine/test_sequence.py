@@ -11,14 +11,33 @@ from gapline.sources import conll, datagen
 from gapline.sources import text as texts
 
 
-def test_windows_cover_and_fit():
+def planned(lengths, budget, most_overlap):
+    """Windows one after the other, by prefix sums."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    fill = lambda start: max(start + 1, int(np.searchsorted(total, total[start] + budget, "right")) - 1)
+    out, start = [], 0
+    while len(lengths) and (not out or out[-1][1] < len(lengths)):
+        end = min(fill(start), len(lengths))
+        overlap = min(most_overlap, (end - start) // 2)
+        while overlap and fill(end - overlap) <= end:
+            overlap //= 2
+        out.append((start, end))
+        start = end - overlap
+    return out
+
+
+def test_windows_cover_and_fit(spark):
     rng = random.Random(1)
-    for _ in range(60):
-        lengths = np.array([rng.choice([0, 1, 1, 2, 3, 30, 90]) for _ in range(rng.randint(0, 400))], np.int64)
-        plan = sequence._plan(lengths, 60, 64)
-        ends = [w["end"] for w in plan]
+    rows = [(k, [rng.choice([0, 1, 1, 2, 3, 30, 90]) for _ in range(rng.randint(0, 400))]) for k in range(120)] + [(200, [1] * 20_000)]
+    got = spark.createDataFrame(rows, "k int, l array<int>").select("k", sequence.plan_windows(F.col("l"), 60, 64).alias("w"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    plans = {r["k"]: [(w["start"], w["end"]) for w in r["w"]] for r in got.collect()}
+    for k, lengths in rows:
+        plan = plans[k]
+        assert plan == planned(lengths, 60, 64)
+        ends = [e for _, e in plan]
         assert ends == sorted(set(ends)) and (not len(lengths) or ends[-1] == len(lengths))
-        assert all(b["start"] <= a["end"] for a, b in zip(plan, plan[1:])) and all(w["end"] - w["start"] == 1 or lengths[w["start"] : w["end"]].sum() <= 60 for w in plan)
+        assert all(b[0] <= a[1] for a, b in zip(plan, plan[1:])) and all(e - s == 1 or sum(lengths[s:e]) <= 60 for s, e in plan)
 
 
 def test_plan_column(spark):
