@@ -6,6 +6,10 @@ the words that are not `O`; words that a window has no row for count as `O`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,37 +30,36 @@ def subword_lengths(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike(rf"^{T.HIDDEN}+$"), 0).otherwise(F.ceil(F.char_length(w) / 4)).cast("int"))
 
 
-def plan_windows(lengths: Column, budget: int = C.MOST_SUBWORDS - C.SPECIAL_SUBWORDS, most_overlap: int = C.OVERLAP_WORDS) -> Column:
-    """Overlapping windows of words within the subword budget; the overlap is halved while it gains no new word.
-
-    One fold over the words: `at` is the word at hand, `used` what the open window from `start` holds."""
+def _plan(lengths: np.ndarray, budget: int, most_overlap: int) -> list[dict[str, int]]:
+    n = len(lengths)
+    total = np.concatenate([[0], np.cumsum(lengths)])
 
-    def sized(end: Column, overlap: Column) -> Column:
-        """Subwords of the last words before `end` and the one there."""
-        return F.aggregate(F.slice(lengths, end - overlap + 1, overlap + 1), F.lit(0).cast("long"), lambda total, x: total + x)
+    def fill(start: int) -> int:
+        """The end of the window from `start`: as many words as the budget holds, one at least."""
+        return max(start + 1, int(np.searchsorted(total, total[start] + budget, "right")) - 1)
 
-    def state(at: Column, start: Column, used: Column, closed: Column) -> Column:
-        return F.struct(at.cast("int").alias("at"), start.cast("int").alias("start"), used.cast("long").alias("used"), closed.alias("closed"))
+    out, start = [], 0
+    while n:
+        end = min(fill(start), n)
+        out.append({"start": start, "end": end})
+        if end == n:
+            break
+        overlap = min(most_overlap, (end - start) // 2)
+        while overlap and fill(end - overlap) <= end:
+            overlap //= 2
+        start = end - overlap
+    return out
 
-    def window(start: Column, end: Column) -> Column:
-        return F.array(F.struct(start.alias("start"), end.alias("end")))
 
-    def close(s: Column) -> Column:
-        widest = F.least(F.lit(most_overlap), F.floor((s["at"] - s["start"]) / 2))
-        tried = F.transform(F.sequence(F.lit(0), F.lit(most_overlap.bit_length())), lambda k: F.floor(widest / F.pow(F.lit(2), k)).cast("int"))
-        gaining = F.filter(tried, lambda o: (o == 0) | (sized(s["at"], o) <= budget))
-        closed = F.concat(s["closed"], window(s["start"], s["at"]))
-        return F.transform(F.slice(gaining, 1, 1), lambda o: state(s["at"] + 1, s["at"] - o, sized(s["at"], o), closed))[0]
-
-    def step(s: Column, size: Column) -> Column:
-        fits = (s["at"] == s["start"]) | (s["used"] + size <= budget)
-        return F.when(fits, state(s["at"] + 1, s["start"], s["used"] + size, s["closed"])).otherwise(close(s))
+def plan_windows(lengths: Column, budget: int = C.MOST_SUBWORDS - C.SPECIAL_SUBWORDS, most_overlap: int = C.OVERLAP_WORDS) -> Column:
+    """Overlapping windows of words within the subword budget; the overlap is halved while it gains no new word."""
 
-    def finish(s: Column) -> Column:
-        return F.when(s["at"] > 0, F.concat(s["closed"], window(s["start"], s["at"]))).otherwise(s["closed"])
+    @F.pandas_udf(WINDOWS)
+    def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if x is None else _plan(np.asarray(x, np.int64), budget, most_overlap) for x in batch], dtype=object)
 
-    nothing = state(F.lit(0), F.lit(0), F.lit(0), F.array().cast(WINDOWS))
-    return F.aggregate(lengths, nothing, step, finish)
+    return plan(lengths)
 
 
 def window_rows(plans: DataFrame) -> DataFrame:
