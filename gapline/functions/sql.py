@@ -5,8 +5,9 @@
 
 Their bodies are SQL that Catalyst puts in place of each call; no Python runs. They give what the column functions of
 the same names give. A call of a SQL function cannot stand inside a lambda, so bodies are composed here as text. Null in,
-null out; `gapline_recognise` gives no rows for a null or empty span. It is meant for spans: a document's words are
-scanned faster by `operators.lexicon.named_windows`, as a table.
+null out; `gapline_recognise` gives no rows for a span that names no term, and `gapline_terms` an empty array. (Spark 4.1
+plans LEFT JOIN LATERAL over an exploded row as an inner one: to keep spans without a term, use `gapline_terms`.) Both are
+meant for spans: a document's words are scanned faster by `operators.lexicon.named_windows`, as a table.
 """
 
 from __future__ import annotations
@@ -110,6 +111,8 @@ def hits(x: str, terms: tuple[str, ...]) -> str:
 
 def register(spark: SparkSession) -> None:
     """Makes the functions known to this session."""
+    terms = tuple(t for t, *_ in lexicon.known_terms(spark))
+    named = f"array_sort(array_distinct(transform({hits(X, terms)}, t -> t.term)))"
     bodies = {
         "tokens": ("ARRAY<STRING>", f"regexp_extract_all({X}, {q(f'({T.TOKEN})')}, 1)"),
         "collapse": ("STRING", f"trim(regexp_replace({X}, {q(T.SPACE + '+')}, ' '))"),
@@ -119,10 +122,10 @@ def register(spark: SparkSession) -> None:
         "is_generic": ("BOOLEAN", generic(X)),
         "years": ("DOUBLE", years(X)),
         "degree": ("INT", degree(X)),
+        "terms": ("ARRAY<STRING>", f"if({X} IS NULL, null, coalesce({named}, array()))"),
     }
     for name, (kind, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION gapline_{name}({X} STRING) RETURNS {kind} RETURN {body}")
-    terms = tuple(t for t, *_ in lexicon.known_terms(spark))
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION gapline_recognise({X} STRING) RETURNS TABLE (i INT, k INT, term STRING) "
         f"RETURN SELECT h.i, h.k, h.term FROM (SELECT explode({hits(X, terms)}) AS h)"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gapline import constants as C
+from gapline.functions import sql
 from gapline.functions import text as T
 from gapline.functions import years as Y
 from gapline.operators import compose, gate, lexicon, matching, metrics, sequence
@@ -153,6 +154,41 @@ def parse_years(spark, sf_dir):
     return all_spans(Inputs(spark, sf_dir)).select("span", Y.parse_years(F.col("span")).alias("years"))
 
 
+# --- SQL only: the functions as a SQL user calls them -----------------------------------------------------------
+
+
+@query(f"""{O.FACTS} SELECT canon.raw AS span, canon.canon AS canon, {O.generic('canon.canon')} AS is_generic, years, level,
+  coalesce((SELECT string_agg(DISTINCT term, '|' ORDER BY term) FROM rec WHERE rec.span = canon.raw), '') AS terms
+  FROM canon JOIN years ON years.raw = canon.raw JOIN level ON level.raw = canon.raw""")
+def sql_span_facts(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql(
+        """SELECT span, gapline_canonical(span) AS canon, gapline_is_generic(gapline_canonical(span)) AS is_generic, gapline_years(span) AS years,
+          gapline_degree(span) AS level, array_join(gapline_terms(span), '|') AS terms FROM {spans}""",
+        spans=all_spans(Inputs(spark, sf_dir)),
+    )
+
+
+@query(f"{O.FACTS} SELECT term, count(*) AS n_spans, sum(k) AS n_words, count(*) FILTER (WHERE i = 0) AS n_first FROM rec GROUP BY term")
+def sql_term_counts(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql(
+        """SELECT term, count(*) AS n_spans, sum(k) AS n_words, count_if(i = 0) AS n_first FROM {spans}, LATERAL gapline_recognise(span) GROUP BY term""",
+        spans=all_spans(Inputs(spark, sf_dir)),
+    )
+
+
+@query(f"""SELECT lang, count(*) AS n_docs, sum(len({O.tokens('text')})) AS n_tokens,
+  sum(length(trim(regexp_replace(text, '[{O.SPACES}]+', ' ', 'g'), ' '))) AS n_chars FROM documents GROUP BY lang""")
+def sql_token_totals(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql(
+        """SELECT lang, count(*) AS n_docs, sum(size(gapline_tokens(text))) AS n_tokens, sum(char_length(gapline_collapse(text))) AS n_chars
+        FROM {documents} GROUP BY lang""",
+        documents=read(spark, sf_dir, "documents"),
+    )
+
+
 PERIODS = "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%B %Y to Present') WHEN 1 THEN strftime(o_orderdate, '%d days') ELSE strftime(o_orderdate, '%m to %d years') END AS span FROM orders"
 
 

@@ -38,6 +38,8 @@ def test_recognise(spark, rows):
     got = spark.sql("SELECT n, i, k, term FROM sql_spans, LATERAL gapline_recognise(span)").collect()
     expected = lexicon.named_windows(rows.filter("span is not null"), "n", lexicon.readable_words(F.col("span"))).select("n", F.inline("hits")).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and len(got) > 300
+    terms = {r.n: r.t for r in spark.sql("SELECT n, gapline_terms(span) AS t FROM sql_spans").collect()}
+    assert terms == {n: None if span is None else sorted({r.term for r in got if r.n == n}) for n, span in enumerate(SPANS)}
 
 
 def test_no_python_and_no_join(spark, rows):
