@@ -11,8 +11,8 @@ the candidates that the chain reaches; all others lie inside payloads and are pu
 only where a payload holds the magic.
 
 Defined cases: a null html is the empty payload; a null page_id is written as such and comes after all others;
-rows with the smallest page_id of their payload are all responses, however often they repeat, and then have one record
-id; payloads of any length are whole; an archive whose
+rows with the smallest page_id of their payload are all responses, however often they repeat; a record's id is made of
+page_id and payload digest, so that only rows equal in both share one; payloads of any length are whole; an archive whose
 chain breaks gives the records before the break; an empty table or folder gives no rows; other columns are ignored.
 """
 
@@ -54,7 +54,7 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     again = (F.col("bytes") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(NO_ID))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    urn = lambda x: F.concat(F.lit("<urn:page:"), x, F.lit(">"))
+    urn = lambda x: F.concat(F.lit("<urn:page:"), x, F.lit(":"), "digest", F.lit(">"))
     header = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
@@ -179,7 +179,7 @@ def header_field(name: str):
 def page_digests(found: DataFrame, kind: str = "long") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to), worked out from what was read. A revisit
     has its payload's length from the response that it names, checked by digest."""
-    ref = r"^<urn:page:(.*)>$"
+    ref = r"^<urn:page:(.*?)(?::[A-Z2-7]{32})?>$"
     rows = found.select(
         F.regexp_extract(header_field("WARC-Record-ID"), ref, 1).alias("id"),
         header_field("WARC-Type").alias("record_type"),

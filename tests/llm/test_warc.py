@@ -57,3 +57,13 @@ def test_broken_chain_and_empty(spark, tmp_path):
     assert sorted(r["body"] for r in found) == ["one", "two"]
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(empty).count() == 0
+
+
+def test_record_ids_of_repeated_pages(spark):
+    rows = [(1, "u", "a"), (1, "v", "b"), (2, "u", "a"), (2, "v", "b"), (None, "w", "c"), (3, "x", None)]
+    found = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    heads = [r["value"].split(CLOSE)[0].split("\r\n") for r in found.collect()]
+    field = lambda head, name: next((line.split(": ", 1)[1] for line in head if line.startswith(name)), None)
+    ids = [field(h, "WARC-Record-ID") for h in heads]
+    named = [field(h, "WARC-Refers-To") for h in heads]
+    assert len(set(ids)) == len(rows) and sum(n is not None for n in named) == 2 and {n for n in named if n} <= set(ids)
