@@ -67,28 +67,36 @@ def window_rows(plans: DataFrame) -> DataFrame:
     return plans.select("doc_key", F.posexplode("windows").alias("win", "w")).select("doc_key", "win", "w.start", "w.end")
 
 
-def seams(windows: DataFrame, labels: DataFrame, radius: int = C.SEAM_RADIUS) -> DataFrame:
-    """(doc_key, win, cut): where window `win` hands over to the next one: of the words near the middle of their
-    overlap that both call O the nearest (the left one of two), else the middle; cuts never go back."""
+def with_cuts(windows: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
+    """Windows (doc_key, win, start, end) with `named`, their words that are not O as an array of (pos, label), and `cut`,
+    null for a document's last window. A row is a window with its own words only. Both tables are dealt by document once
+    and never joined, so that no plan can send labels to the driver, however few rows it takes them for."""
+    marks = labels.filter("label <> 'O'").select("doc_key", "win", F.struct("pos", "label").alias("named"))
+    rows = windows.select("doc_key", "win", "start", "end").unionByName(marks, allowMissingColumns=True)
+    rows = rows.repartition("doc_key").groupBy("doc_key", "win").agg(F.max("start").alias("start"), F.max("end").alias("end"), F.collect_list("named").alias("named"))  # of one window
     own = Window.partitionBy("doc_key").orderBy("win")
-    both = windows.withColumn("lo", F.lead("start").over(own)).filter("lo is not null").select("doc_key", "win", "lo", F.col("end").alias("hi"))
+    both = rows.filter("start is not null").withColumn("lo", F.lead("start").over(own)).withColumn("then", F.lead("named").over(own)).withColumnRenamed("end", "hi")
     both = both.withColumn("mid", F.expr("(lo + hi) div 2").cast("int")).withColumn("r", F.least(F.lit(radius), F.expr("(hi - lo) div 4").cast("int")))
     inside = F.sequence(F.greatest("lo", F.col("mid") - F.col("r")), F.least(F.col("hi") - 1, F.col("mid") + F.col("r")))
-    near = both.filter("hi > lo").withColumn("pos", F.explode(inside))
-    taken = labels.filter("label <> 'O'").select("doc_key", "win", "pos")
-    taken = taken.unionByName(taken.withColumn("win", F.col("win") - 1)).distinct()
-    free = near.join(taken, ["doc_key", "win", "pos"], "left_anti")
-    best = free.groupBy("doc_key", "win").agg(F.min_by("pos", F.struct(F.abs(F.col("pos") - F.col("mid")), "pos")).alias("best"))
-    cuts = both.join(best, ["doc_key", "win"], "left").withColumn("cut", F.coalesce("best", "mid"))
-    return cuts.select("doc_key", "win", F.max("cut").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("cut"))
+    free = F.array_except(F.array_except(inside, F.col("named.pos")), F.col("then.pos"))
+    ranked = F.transform(free, lambda p: F.struct(F.abs(p - F.col("mid")).alias("far"), p.alias("pos")))
+    both = both.withColumn("cut", F.coalesce(F.when(F.col("hi") > F.col("lo"), F.array_min(ranked)["pos"]), "mid"))
+    last = F.max("cut").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return both.select("doc_key", "win", "start", F.col("hi").alias("end"), "named", F.when(F.col("lo").isNotNull(), last).alias("cut"))
+
+
+def seams(windows: DataFrame, labels: DataFrame, radius: int = C.SEAM_RADIUS) -> DataFrame:
+    """(doc_key, win, cut): where window `win` hands over to the next one: of the words near the middle of their
+    overlap that both call O the nearest (the left one of two), else the middle; cuts never go back."""
+    return with_cuts(windows, labels, radius).filter("cut is not null").select("doc_key", "win", "cut")
 
 
 def merge_labels(windows: DataFrame, labels: DataFrame, radius: int = C.SEAM_RADIUS) -> DataFrame:
     """(doc_key, pos, label): each word's label from the one window that owns it; words called O have no row."""
     own = Window.partitionBy("doc_key").orderBy("win")
-    owned = windows.join(seams(windows, labels, radius), ["doc_key", "win"], "left")
-    owned = owned.select("doc_key", "win", F.coalesce(F.lag("cut").over(own), "start").alias("lo"), F.coalesce("cut", "end").alias("hi"))
-    return labels.filter("label <> 'O'").join(owned, ["doc_key", "win"]).filter("pos >= lo and pos < hi").select("doc_key", "pos", "label")
+    owned = with_cuts(windows, labels, radius)
+    owned = owned.select("doc_key", F.coalesce(F.lag("cut").over(own), "start").alias("lo"), F.coalesce("cut", "end").alias("hi"), "named")
+    return owned.select("doc_key", "lo", "hi", F.inline("named")).filter("pos >= lo and pos < hi").select("doc_key", "pos", "label")
 
 
 def label_runs(labelled: DataFrame) -> DataFrame:
