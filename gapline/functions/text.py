@@ -94,7 +94,7 @@ def collapse_acronym(word: Column) -> Column:
 
 def clean_word(word: Column) -> Column:
     bare = F.nullif(F.regexp_replace(word, r"^\.+|\.+$", ""), F.lit(""))
-    return bind(F.coalesce(bare, word), collapse_acronym)
+    return F.when(F.instr(word, ".") == 0, word).otherwise(bind(F.coalesce(bare, word), collapse_acronym))
 
 
 def normalize(col: Column) -> Column:
@@ -123,8 +123,12 @@ def _look_up(col: Column, table: dict[str, str]) -> Column:
 
 
 def canonical(col: Column) -> Column:
-    """The key on which spans are compared: aliases are looked up before and after plurals are folded."""
-    return _look_up(fold_words(_look_up(normalize(col), C.ALIASES)), C.ALIASES_FOLDED)
+    """The key on which spans are compared: aliases are looked up before and after plurals are folded. A word without dots
+    that is no alias needs neither list nor look-up, and most are such words."""
+    whole = _look_up(fold_words(_look_up(normalize(col), C.ALIASES)), C.ALIASES_FOLDED)
+    low = F.lower(col)
+    plain = low.rlike(r"^[a-z0-9+#]+\z") & ~low.isin(*C.ALIASES)
+    return F.when(plain & ~fold_plural(low).isin(*C.ALIASES_FOLDED), fold_plural(low)).otherwise(whole)
 
 
 def is_generic(canon: Column) -> Column:

@@ -144,7 +144,7 @@ DOCUMENT_WORDS = f"list_filter({O.tokens('text')}, lambda w: regexp_matches(w, '
 def lexicon_hits_documents(spark, sf_dir):
     rows = read(spark, sf_dir, "documents")
     words = T.word_tokens(F.col("text"))
-    hits = lexicon.named_windows(rows, "doc_id", words)
+    hits = lexicon.named_windows(rows, "doc_id", words, texts=True)
     terms = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["term"])))
     return hits.select("doc_id", F.size("hits").cast("long").alias("n_hits"), F.size(terms).cast("long").alias("n_terms"), F.array_join(terms, "|").alias("terms"))
 
