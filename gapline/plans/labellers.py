@@ -12,7 +12,7 @@ from functools import cache
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import FeatureHasher
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gapline import constants as C
@@ -44,17 +44,32 @@ def vocabulary(spark: SparkSession) -> tuple[tuple[str, str], ...]:
 def lexicon_labeller(docs: DataFrame) -> DataFrame:
     """docs: (doc_key, text)."""
     known = vocabulary(docs.sparkSession)
-    hits = named_windows(docs, "doc_key", T.tokenize(F.col("text")), tuple(t for t, _ in known))
-    types = docs.sparkSession.createDataFrame(list(known), "term string, type string")
-    marks = hits.select("doc_key", F.explode("hits").alias("h")).select("doc_key", "h.*").join(F.broadcast(types), "term")  # a constant
-    # a dot written flush before the first word belongs to the entity: .NET
-    flush = F.array_compact(F.transform(T.dot_glue(F.col("text")), lambda glued, i: F.when(glued, i + 1)))
-    dots = docs.select("doc_key", F.explode(flush).alias("i"), F.lit(1).alias("dot"))
-    marks = marks.join(dots, ["doc_key", "i"], "left").withColumn("i", F.col("i") - F.coalesce("dot", F.lit(0)))
-    places = F.explode(F.sequence(F.col("i"), F.col("i") + F.col("k") + F.coalesce("dot", F.lit(0)) - 1))
-    marks = marks.select("doc_key", "i", "type", places.alias("pos"))
-    labels = marks.select("doc_key", "pos", F.concat(F.when(F.col("pos") == F.col("i"), F.lit("B-")).otherwise(F.lit("I-")), "type").alias("label"))
-    return tokens(docs).join(labels, ["doc_key", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+    hits = named_windows(docs, "doc_key", T.tokenize(F.col("text")), tuple(t for t, _ in known), texts=True)
+    named = docs.join(hits.hint("merge"), "doc_key", "left")  # the planner takes hits, which come of explosions, for few
+    zipped = F.arrays_zip(T.tokenize(F.col("text")).alias("word"), T.dot_glue(F.col("text")).alias("glued"))
+    rows = named.select("doc_key", "hits", zipped.alias("t")).withColumn("labels", hit_labels(known))
+    rows = rows.select("doc_key", F.posexplode(F.arrays_zip(F.col("t"), F.col("labels").alias("label"))).alias("pos", "z"))
+    return rows.select("doc_key", "pos", "z.t.word", "z.t.glued", "z.label")
+
+
+def hit_labels(known: tuple[tuple[str, str], ...]) -> Column:
+    """A document's labels from its `hits`, which are in order and do not overlap, and its words `t`: runs of O between the
+    runs of the hits. A dot written flush before a hit's first word belongs to it: .NET."""
+    types = F.expr(f"map({', '.join(T.sql_text(x) for pair in known for x in pair)})")
+    place = F.transform(
+        "hits",
+        lambda h: T.bind(
+            F.when(F.get(F.col("t.glued"), h["i"] - 1), 1).otherwise(0),
+            lambda dot: F.struct((h["i"] - dot).alias("i"), (h["i"] + h["k"]).alias("e"), F.try_element_at(types, h["term"]).alias("type")),
+        ),
+    )
+    repeated = lambda label, n: F.array_repeat(label, n.cast("int"))
+    run = lambda p, h, j: F.concat(
+        repeated(F.lit("O"), h["i"] - F.when(j > 0, F.get(p, j - 1)["e"]).otherwise(0)), F.array(F.concat(F.lit("B-"), h["type"])), repeated(F.concat(F.lit("I-"), h["type"]), h["e"] - h["i"] - 1)
+    )
+    rest = lambda p: repeated(F.lit("O"), F.size("t") - F.coalesce(F.get(p, F.size(p) - 1)["e"], F.lit(0)))
+    none = repeated(F.lit("O"), F.size("t"))
+    return F.when(F.size("hits") > 0, T.bind(place, lambda p: F.concat(F.flatten(F.transform(p, lambda h, j: run(p, h, j))), rest(p)))).otherwise(none)
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -140,7 +155,7 @@ def windowed(labeller, budget: int = C.MOST_SUBWORDS - C.SPECIAL_SUBWORDS, most_
         found = labeller(cut.filter("some").select("doc_key", "text")).filter("label <> 'O'")
         found = found.select("doc_key.doc_key", "doc_key.win", (F.col("doc_key.start") + F.col("pos")).alias("pos"), "label")
         merged = sequence.merge_labels(sequence.window_rows(plans), found)
-        return tokens(docs).join(merged, ["doc_key", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+        return tokens(docs).join(merged.hint("merge"), ["doc_key", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
 
     return label
 

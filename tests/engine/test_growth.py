@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from gapline.functions import text as T
 from gapline.operators import sequence
+from gapline.plans.labellers import lexicon_labeller, windowed
 
 
 def plan_of(df):
@@ -23,3 +25,24 @@ def test_labels_never_reach_the_driver(spark):
     assert "Broadcast" not in plan_of(sequence.merge_labels(win, labels))
     merged = sequence.merge_labels(win, labels).collect()
     assert len({(r["doc_key"], r["pos"]) for r in merged}) == len(merged) and {r["doc_key"] for r in merged} == set(range(50))
+
+
+def test_labelled_words_never_reach_the_driver(spark):
+    """What is broadcast is the vocabulary and its written forms: no join with words or their labels."""
+    docs = spark.createDataFrame([(i, "Senior .NET dev; machine learning, pythons (AWS) and a.w.s; C") for i in range(20)], "doc_key long, text string")
+    found = lexicon_labeller(docs)
+    wide = [x for x in plan_of(windowed(lexicon_labeller, 8)(docs)).splitlines() if "BroadcastHashJoin" in x and "pos" in x]
+    assert not wide and not [x for x in plan_of(found).splitlines() if "BroadcastHashJoin" in x and ("pos" in x or "doc_key" in x)]
+    rows = sorted((r["pos"], r["word"], r["label"]) for r in found.filter("doc_key = 7").collect())
+    assert [p for p, *_ in rows] == list(range(len(rows)))  # each word once
+    labels = {w: label for _, w, label in rows}
+    assert (labels["Senior"], labels["."], labels["NET"], labels["dev"]) == ("O", "B-TECHNICALSKILL", "I-TECHNICALSKILL", "O")
+    assert all(labels[w] != "O" for w in ("machine", "learning", "pythons", "AWS", "a.w.s"))
+
+
+def test_plain_words_have_the_same_key(spark):
+    """The short way of `canonical` gives what lists and look-ups give: a blank more sends a word the long way."""
+    words = ["python", "Pythons", "ML", "k8s", "aws", "c++", "c#", "boxes", "libraries", "js", "gas", "class", "x1s", "a.w.s", "node.js", "", "python\n", "İs"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    got = rows.select("w", T.canonical(F.col("w")).alias("a"), T.canonical(F.concat(F.lit(" "), "w")).alias("b")).collect()
+    assert [(r["w"], r["a"]) for r in got] == [(r["w"], r["b"]) for r in got]
