@@ -34,3 +34,20 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["score"] for r in toxicity.toxicity(docs, none).collect()] == [0.0]
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """A word of toxic texts whose ids come late by hash, so that a bounded choice of labelled rows does not hold it."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 1000, raising=False)  # several shards
+    rng = np.random.default_rng(3)
+    ids = [r[0] for r in spark.range(7000).selectExpr("id", "xxhash64(cast(id as string)) h").orderBy("h").collect()]
+    known = [i for i in ids if zlib.crc32(str(i).encode()) % 3 != 1]
+    early = {i for i in known if i % 2 == 0} - set([i for i in known if i % 2 == 0][1500:])
+    word = {i: "" if i % 2 else "vile" if i in early else "foul" for i in ids}
+    rows = [(i, " ".join([f"w{k}" for k in rng.integers(0, 300, 4)] + [word[i]]), "en") for i in ids]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in ids], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    held = [i for i in ids if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert {word[i] for i in held} == {"", "foul"}
+    assert sum(got[i] == 1 - i % 2 for i in held) >= 0.95 * len(held)
