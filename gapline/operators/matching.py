@@ -38,9 +38,11 @@ def highest_degree(resume: DataFrame) -> DataFrame:
 
 def profiles(spans: DataFrame, terms: DataFrame | None) -> DataFrame:
     """A row a document (doc_key, items): each span with its terms, degree rank, years and whether it is boilerplate, by
-    ord. terms: what `recognised` gives; None if no rule asks for terms."""
+    ord. What depends on a span and its category alone is worked out once for each distinct pair of them. terms: what
+    `recognised` gives; None if no rule asks for terms."""
     none = F.array().cast("array<string>")
-    rows = spans.withColumns({"terms": none, "best": F.lit(None).cast("string")}) if terms is None else span_terms(spans, terms)
+    kinds = spans.select("category", "span").distinct()
+    rows = kinds.withColumns({"terms": none, "best": F.lit(None).cast("string")}) if terms is None else span_terms(kinds, terms)
     degree, years = F.col("category") == "qualification", F.col("category") == "yearofexperience"
     facts = {
         "level": F.when(degree, degree_level(F.col("span"))),
@@ -50,7 +52,10 @@ def profiles(spans: DataFrame, terms: DataFrame | None) -> DataFrame:
     item = F.struct(F.col("ord").cast("int").alias("ord"), "category", "span", "terms", "best", "level", "years", "generic")
     for name, fact in facts.items():
         rows = rows.withColumn(name, fact)
-    return rows.groupBy("doc_key").agg(F.array_sort(F.collect_list(item)).alias("items"))  # of one document
+    known = rows.select(F.col("category").alias("__category"), F.col("span").alias("__span"), "terms", "best", *facts)
+    same = F.col("category").eqNullSafe(F.col("__category")) & F.col("span").eqNullSafe(F.col("__span"))
+    told = spans.join(known, same, "left").select("doc_key", item.alias("item"))
+    return told.groupBy("doc_key").agg(F.sort_array(F.collect_list("item")).alias("items"))  # of one document
 
 
 def _first_of(items: str, *keys: str) -> str:
@@ -94,6 +99,11 @@ def gap_items(kinds: tuple[str, ...]) -> Column:
     return F.expr(f"concat({', '.join(f'cast({parts[k]} AS {ITEMS})' for k in kinds)})")
 
 
+def in_order(items: Column) -> Column:
+    """Gaps as (ord, category, span), sorted."""
+    return F.sort_array(F.transform(items, lambda x: F.struct(x["ord"].alias("ord"), x["category"].alias("category"), x["span"].alias("span"))))
+
+
 def popular_keys(pairs: DataFrame) -> DataFrame:
     """(side, key, salts): the keys that very many pairs share; a stored table, as both sides of both joins read it."""
     sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("string").alias("key")) for c in ("jd_key", "resume_key")]))
@@ -155,12 +165,14 @@ def unknown_categories(spans: DataFrame) -> DataFrame:
 
 
 def note(parts: tuple[str, str], spans: Column) -> Column:
-    return F.concat(F.lit(parts[0]), T.quote_spans(spans), F.lit(parts[1]))
+    """spans: as `noted` lists them."""
+    return F.concat(F.lit(parts[0]), spans, F.lit(parts[1]))
 
 
 def noted(items: str = "items") -> dict[str, Column]:
-    """The lists that a document's notes name, by ord."""
-    listed = lambda test: F.expr(f"transform(filter({items}, x -> {test}), x -> x.span)")
+    """The lists that a document's notes name, by ord, as they are written there; null if there is none."""
+    spans = lambda test: F.expr(f"transform(filter({items}, x -> {test}), x -> x.span)")
+    listed = lambda test: T.bind(spans(test), lambda found: F.when(F.size(found) > 0, T.quote_spans(found)))
     return {
         "unverified": listed(f"x.{_SKILLS} AND size(x.terms) = 0 AND NOT x.generic"),
         "unrankable": listed("x.category = 'qualification' AND x.level IS NULL AND NOT x.generic"),
@@ -172,19 +184,19 @@ def noted(items: str = "items") -> dict[str, Column]:
 
 def notes_of_pair() -> Column:
     """A pair's notes from both sides' columns j_* and r_*."""
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    some = lambda c: F.col(c).isNotNull()
     number = lambda c: F.coalesce(F.col(c), F.lit(0))
     experience = (
-        F.when(size("j_durations") == 0, F.lit(None))
+        F.when(~some("j_durations"), F.lit(None))
         .when(number("j_n_years") == 0, note(C.NOTE_JD_YEARS, F.col("j_durations")))
         .when(number("r_n_years") > 0, F.lit(None))
-        .when(size("r_durations") > 0, note(C.NOTE_RESUME_YEARS, F.col("r_durations")))
+        .when(some("r_durations"), note(C.NOTE_RESUME_YEARS, F.col("r_durations")))
         .otherwise(note(C.NOTE_NO_YEARS, F.col("j_durations")))
     )
     notes = F.array(
-        F.when(size("j_unverified") > 0, note(C.NOTE_UNVERIFIED, F.col("j_unverified"))),
-        F.when(size("j_unrankable") > 0, note(C.NOTE_UNRANKABLE, F.col("j_unrankable"))),
-        F.when((size("j_ranked") > 0) & (size("r_ranked") == 0), note(C.NOTE_NO_DEGREE, F.col("j_ranked"))),
+        F.when(some("j_unverified"), note(C.NOTE_UNVERIFIED, F.col("j_unverified"))),
+        F.when(some("j_unrankable"), note(C.NOTE_UNRANKABLE, F.col("j_unrankable"))),
+        F.when(some("j_ranked") & ~some("r_ranked"), note(C.NOTE_NO_DEGREE, F.col("j_ranked"))),
         experience,
     )
     return F.array_compact(notes)

@@ -46,3 +46,18 @@ def test_plain_words_have_the_same_key(spark):
     rows = spark.createDataFrame([(w,) for w in words], "w string")
     got = rows.select("w", T.canonical(F.col("w")).alias("a"), T.canonical(F.concat(F.lit(" "), "w")).alias("b")).collect()
     assert [(r["w"], r["a"]) for r in got] == [(r["w"], r["b"]) for r in got]
+
+
+def test_facts_are_worked_out_once_for_each_distinct_span(spark):
+    """Years and ranks of spans stand below the join that brings them to the documents, over distinct spans; null spans and
+    categories keep their places."""
+    from gapline.operators import matching
+
+    spans = spark.createDataFrame([(i, "yearofexperience", i, "5 years") for i in range(4)] + [(9, None, 2, "Python"), (9, "tools", 1, None)], "doc_key long, category string, ord int, span string")
+    found = matching.profiles(spans, matching.recognised_in(spans))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    join = next(depth(x) for x in plan if "Join LeftOuter" in x and "<=>" in x)
+    assert all(depth(x) > join for x in plan if "bachelor" in x or "months" in x)
+    got = {r["doc_key"]: r["items"] for r in found.collect()}
+    assert [x["years"] for x in got[3]] == [5.0] and [(x["category"], x["span"], list(x["terms"])) for x in got[9]] == [("tools", None, []), (None, "Python", ["python"])]
