@@ -129,7 +129,9 @@ def align_labels(labels: Column, lengths: Column, size: int) -> Column:
     """Label ids for subwords: the word's id at its first subword, else the ignored id; special tokens at both ends,
     cut or padded to `size`."""
     ignored = F.lit(C.IGNORED_LABEL)
-    inner = F.flatten(F.transform(F.arrays_zip(labels.alias("l"), lengths.alias("n")), lambda z: F.when(z["n"] > 0, F.concat(F.array(z["l"]), F.array_repeat(ignored, z["n"] - 1))).otherwise(F.array().cast("array<int>"))))
+    # a word with subwords has one at least, so that no more than size - 2 of them can show; nor more subwords of one
+    some = F.filter(F.arrays_zip(labels.alias("l"), lengths.alias("n")), lambda z: z["n"] > 0)
+    inner = F.flatten(F.transform(F.slice(some, F.lit(1), F.lit(size - 2)), lambda z: F.concat(F.array(z["l"]), F.array_repeat(ignored, F.least(z["n"], F.lit(size)) - 1))))
     whole = F.concat(F.array(ignored), F.slice(inner, F.lit(1), F.lit(size - 2)), F.array(ignored))
     return F.concat(whole, F.array_repeat(ignored, F.greatest(F.lit(size) - F.size(whole), F.lit(0))))
 

@@ -61,3 +61,9 @@ def test_facts_are_worked_out_once_for_each_distinct_span(spark):
     assert all(depth(x) > join for x in plan if "bachelor" in x or "months" in x)
     got = {r["doc_key"]: r["items"] for r in found.collect()}
     assert [x["years"] for x in got[3]] == [5.0] and [(x["category"], x["span"], list(x["terms"])) for x in got[9]] == [("tools", None, []), (None, "Python", ["python"])]
+
+
+def test_aligned_labels_build_no_more_than_shows(spark):
+    """A word of more subwords than an array may have places, and many words after it."""
+    made = spark.range(1).select(sequence.align_labels(F.sequence(F.lit(1), F.lit(3)), F.array(F.lit(0), F.lit(2), F.lit(2147483640)), 8).alias("a")).first()
+    assert made["a"] == [-100, 2, -100, 3, -100, -100, -100, -100]
