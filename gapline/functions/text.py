@@ -6,6 +6,8 @@ any of categories L and N.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,14 +17,27 @@ from gapline import constants as C
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE, ALNUM, HIDDEN = f"[{SPACES}]", r"[\p{L}\p{N}]", r"[\p{Cf}\p{Cc}]"
 TOKEN = C.TOKEN_PATTERN.replace(r"\s", SPACES)
-#: Where a run of visible characters begins; such a run with a letter or digit; one that is an ordinary written word:
-#: short, with an ASCII letter, of letters, digits and in-word marks between its first and its last letter or digit.
-CHUNK = f"(?<![^{SPACES}])"
-READABLE_CHUNK = rf"{CHUNK}[^{SPACES}\p{{L}}\p{{N}}]*+{ALNUM}"
+
+
+def listed(pattern: str) -> str:
+    """The characters up to U+00FF that match, one by one for use inside brackets: Java looks such a class up in one table,
+    where it goes through ranges and categories by a call for each, which threads running side by side slow down."""
+    return "".join(f"\\x{c:02x}" for c in range(256) if re.match(pattern, chr(c)))
+
+
+#: Of characters up to U+00FF: letters and digits, visible ones, and visible ones that are not hidden (categories Cf, Cc).
+_ALNUMS, _VISIBLE = listed(r"[^\W_]"), listed(r"[^\t-\r\x1c-\x20\x85\xa0]")
+PLAIN = listed(r"[!-~\xa1-\xac\xae-\xff]")
+_PUNCTUATION = listed(r"[^\w\t-\r\x1c-\x20\x85\xa0]|_")
+#: For texts that `narrow` gives. What begins a readable chunk's letters and digits, to its end: one match a run of visible
+#: characters with a letter or digit. A chunk that is an ordinary written word: short, with an ASCII letter, of letters,
+#: digits and in-word marks between its first and its last letter or digit.
+READABLE_CHUNK = f"[{_ALNUMS}][{_VISIBLE}]*"
 WORD_CHUNK = (
-    rf"{CHUNK}[^{SPACES}\p{{L}}\p{{N}}]*+(?=[^{SPACES}A-Za-z]*+[A-Za-z])"
-    rf"{ALNUM}(?:[\p{{L}}\p{{N}}+#.\-'&/]{{0,{C.MOST_WORD_CHARS - 2}}}{ALNUM})?[^{SPACES}\p{{L}}\p{{N}}]*+(?![^{SPACES}])"
+    rf"(?<![{_VISIBLE}])[{_PUNCTUATION}]*+(?=[{listed(r'[^A-Za-z\t-\r\x1c-\x20\x85\xa0]')}]*+[{listed('[A-Za-z]')}])"
+    rf"[{_ALNUMS}](?:[{_ALNUMS}+#.\-'&/]{{0,{C.MOST_WORD_CHARS - 2}}}[{_ALNUMS}])?[{_PUNCTUATION}]*+(?![{_VISIBLE}])"
 )
+WIDE = r"\x{100}-\x{10ffff}"
 
 
 def bind(col: Column, use) -> Column:
@@ -43,6 +58,16 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def narrow(col: Column) -> Column:
+    """For counting by classes: of characters beyond U+00FF letters and digits become é, white space a blank, others ¬."""
+    wide = F.regexp_replace(F.regexp_replace(col, rf"[{WIDE}&&[\p{{L}}\p{{N}}]]", "é"), f"[{WIDE}&&[{SPACES}]]", " ")
+    return F.when(col.rlike(f"[{WIDE}]"), F.regexp_replace(wide, f"[{WIDE}]", "¬")).otherwise(col)
+
+
+def is_blank(col: Column) -> Column:
+    return ~col.rlike(f"[^{SPACES}]")
+
+
 def chunks(col: Column) -> Column:
     """What stands between white space."""
     return F.filter(F.split(col, f"{SPACE}+"), lambda w: w != "")

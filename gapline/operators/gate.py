@@ -21,7 +21,8 @@ def finding(reason: Column, hint: str) -> Column:
 
 def counts(text: Column) -> Column:
     """struct(words, chunks): ordinary words, and chunks that hold a letter or digit."""
-    return F.struct(F.regexp_count(text, F.lit(T.WORD_CHUNK)).alias("words"), F.regexp_count(text, F.lit(T.READABLE_CHUNK)).alias("chunks"))
+    count = lambda t: F.struct(F.regexp_count(t, F.lit(T.WORD_CHUNK)).alias("words"), F.regexp_count(t, F.lit(T.READABLE_CHUNK)).alias("chunks"))
+    return T.bind(T.narrow(text), count)
 
 
 def unreadable(text: Column, side: str, counted: Column) -> Column:
@@ -31,7 +32,7 @@ def unreadable(text: Column, side: str, counted: Column) -> Column:
     garbled = F.concat(F.lit(a + side + b), words.cast("string"), F.lit(c), chunks.cast("string"), F.lit(d))
     return (
         F.when(text.isNull(), F.lit(None).cast(FINDING))
-        .when(T.strip(text) == "", finding(F.lit(C.EMPTY_TEXT[0] + side + C.EMPTY_TEXT[1]), C.HINT_EMPTY))
+        .when(T.is_blank(text), finding(F.lit(C.EMPTY_TEXT[0] + side + C.EMPTY_TEXT[1]), C.HINT_EMPTY))
         .when((chunks > 0) & (words >= chunks * C.PROSE_RATIO), F.lit(None).cast(FINDING))
         .otherwise(finding(garbled, C.HINT_UNREADABLE))
     )

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from gapline.functions import text as T
 from gapline.functions import years as Y
+from gapline.operators import gate
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,20 @@ def test_words(apply):
 def test_file_name_and_fingerprint(spark):
     row = spark.range(1).select(T.fingerprint(F.lit("ab"), F.lit("c")).alias("x"), T.fingerprint(F.lit("a"), F.lit("bc")).alias("y"), T.draft_filename(F.lit(" Sr. Dev/Öps "), F.lit("0123456789")).alias("n"), T.draft_filename(F.lit("--"), F.lit("abcdefghi")).alias("m")).first()
     assert row["x"] != row["y"] and row["n"] == "feedback_sr-dev-öps_01234567.txt" and row["m"] == "feedback_role_abcdefgh.txt"
+
+
+def test_counts_of_words_look_classes_up(spark):
+    """Patterns of `counts` list their characters, as threads hinder each other in ranges and categories; texts with wider
+    characters count as chunk by chunk."""
+    assert not any(x in T.WORD_CHUNK + T.READABLE_CHUNK for x in ("\\p{", "x{", "a-z"))
+    ends = ["", "_", "\u201c", "\u00ac", "\u2014\u2014", "\U0001f600", "\u00ad", "\ufeff", "(", "'"]
+    cores = ["", "a", "caf\u00e9", "\u0434\u043e\u043c", "\u0434a", "\u4e2d", "x\u00b2", "\u216b", "a" * 20, "a" * 21, "\U00010400" * 19 + "z", "\U00010400" * 20 + "z", "rock'n'roll", "a_b", "a\u2019b", "C++", "7", "\u00aa", "AT&T/x"]
+    odd = [a + x + b for a in ends for x in cores for b in ends]
+    gaps = [" ", "\u2003", "\u0085", "\u3000\n", "\x1c", "\x00", "\u200b"]
+    texts = [*odd, *(g.join(odd[i : i + 9]) + g for i, g in zip(range(0, len(odd), 9), gaps * 99)), "\u3000 \u2028", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    want = F.struct(F.size(T.words(F.col("text"))), F.size(F.filter(T.chunks(F.col("text")), lambda c: c.rlike(T.ALNUM))))
+    blank = T.strip(F.col("text")) == ""
+    for row in rows.select("text", gate.counts(F.col("text")).alias("got"), want.alias("want"), T.is_blank(F.col("text")).alias("b"), blank.alias("blank")).collect():
+        assert row["text"] is None or tuple(row["got"]) == tuple(row["want"]), row
+        assert row["b"] == row["blank"], row
