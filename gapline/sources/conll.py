@@ -1,8 +1,10 @@
 """CoNLL files: `token TAG` lines, samples between blank lines. Reading gives samples, counters and diagnostics.
 
 Files are read by Spark's text reader in byte ranges, so one large file is many tasks. A line's place is its split (path,
-begin of the byte range) and its place there; numbers of lines and of samples are prefix sums of two levels, within a
-split and over a file's splits. One pass reads and parses the text and gathers the counters on the way.
+begin of the byte range) and its place there; numbers of lines are prefix sums of two levels, within a split and over a
+file's splits. One pass reads and parses the text, gathers the counters on the way and stores parts of samples: each task
+cuts its lines at blank ones as they come, so that lines are neither dealt nor sorted. Numbers of samples are prefix sums
+over runs of lines, and only samples that a run's end cuts are put together again.
 
 Strict reading fails with the first bad line; lenient reading skips malformed lines, takes unknown tags as O and keeps
 hidden characters inside a field. Hidden characters at a field's ends, byte-order marks among them, always go and are
@@ -11,6 +13,10 @@ reported. Lines that are not UTF-8 fail in both ways. An empty file gives no sam
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +26,9 @@ from gapline.session import materialize
 
 FATAL = ("malformed", "interior", "unknown_tag")
 SPLIT = ["path", "block"]
+RUN = [*SPLIT, "run"]
+PLAIN_LINE = rf"^[{T.PLAIN}]+ [{T.PLAIN}]+\z"
+PARTS = "path string, block long, run long, at long, blanks long, whole boolean, words array<string>, labels array<int>"
 
 
 def split_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -46,12 +55,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan(lines: DataFrame) -> DataFrame:
-    """Adds token, tag, kind (null for a good line, else blank or why it is bad) and edge (hidden characters went)."""
-    fields = F.transform(T.chunks(F.col("line")), lambda f: F.struct(f.alias("raw"), T.scan_invisible(f).alias("s")))
-    rows = lines.withColumn("f", fields)
+    """Adds token, tag, kind (null for a good line, else blank or why it is bad) and edge (hidden characters went). Most
+    lines are two plain fields and a blank between, or nothing, and need no look at each character."""
+    line, plain = F.col("line"), F.col("plain")
+    fields = F.transform(T.chunks(line), lambda f: F.struct(f.alias("raw"), T.scan_invisible(f).alias("s")))
+    rows = lines.withColumn("plain", line.rlike(PLAIN_LINE)).withColumn("f", F.when(~plain & (line != ""), fields))
     parts = F.transform(F.filter("f", lambda f: f["s"]["trimmed"] != ""), lambda f: f["s"]["trimmed"])
     inner = F.get(F.filter("f", lambda f: f["s"]["interior"].isNotNull()), 0)["s"]
-    rows = rows.withColumn("parts", parts).withColumn("edge", F.exists("f", lambda f: f["s"]["trimmed"] != f["raw"])).withColumn("inner", inner)
+    odd = F.col("f").isNotNull()
+    rows = rows.withColumn("parts", F.when(plain, F.split(line, " ")).when(odd, parts).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("edge", F.when(odd, F.exists("f", lambda f: f["s"]["trimmed"] != f["raw"])).otherwise(False)).withColumn("inner", F.when(odd, inner))
     tag = F.get("parts", 1)
     kind = (
         F.when(F.size("parts") == 0, "blank")
@@ -59,7 +72,7 @@ def scan(lines: DataFrame) -> DataFrame:
         .when(F.col("inner").isNotNull(), F.when(tag.isin(*C.LABELS), "interior").otherwise("interior,unknown_tag"))
         .when(~tag.isin(*C.LABELS), "unknown_tag")
     )
-    held = F.size(F.filter("f", lambda f: f["s"]["interior"].isNotNull()))
+    held = F.when(odd, F.size(F.filter("f", lambda f: f["s"]["interior"].isNotNull()))).otherwise(0)
     return rows.select(*lines.columns, F.get("parts", 0).alias("token"), tag.alias("tag"), kind.alias("kind"), "edge", F.size("parts").alias("n_fields"), F.col("inner")["interior"].alias("interior"), held.alias("n_interior"))
 
 
@@ -121,51 +134,80 @@ def verdict(found: dict[str, int]) -> str | None:
 
 
 def parse(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, dict[str, int]]:
-    """Parsed lines as a stored table, and their counters, gathered by the pass that writes it."""
+    """Parts of samples as a stored table, and the lines' counters, gathered by the pass that writes it."""
     seen = Observation("conll")
     rows = scan(split_lines(spark, path)).observe(seen, *counters())
-    stored = materialize(rows.drop("n_interior"), "conll-lines")
+    stored = materialize(parts_of(rows, "at"), "conll-parts")
     found = seen.get
     if strict and found["malformed_lines"] + found["interior_fields"] + found["unknown_tags"]:
-        raise ValueError(first_bad(stored))
+        raise ValueError(first_bad(spark, path))
     return stored, found
 
 
-def first_bad(stored: DataFrame) -> str:
-    bad = stored.filter("kind is not null and kind <> 'blank'").orderBy(*SPLIT, "at").limit(1)  # one line
-    row = bad.join(split_starts(stored), SPLIT).select("path", (F.col("lines") + F.col("at") - F.col("first") + 1).alias("line_no"), "kind", "line").first()
+def first_bad(spark: SparkSession, path: str) -> str:
+    """What is wrong with the first bad line; the files are read again for it."""
+    bad = scan(read_lines(spark, path)).filter("kind is not null and kind <> 'blank'")
+    row = bad.orderBy("path", "line_no").select("path", "line_no", "kind", "line").first()
     return f"{row['path']}:{row['line_no']}: {row['kind']} in line {row['line']}"
 
 
-def numbered_samples(rows: DataFrame, order: str) -> DataFrame:
-    """Adds `sample`, the blank lines of the file before a line: those of its split before it, and those of earlier splits."""
-    blank = F.when(F.col("kind") == "blank", 1).otherwise(0)
-    inside = F.sum(blank).over(Window.partitionBy(*SPLIT).orderBy(order))
-    base = split_starts(rows.withColumnRenamed(order, "at"), blanks=blank).select(*SPLIT, "blanks")
-    return rows.withColumn("__inside", inside).join(base, SPLIT).withColumn("sample", F.col("__inside") + F.col("blanks"))
-
-
-def group_samples(rows: DataFrame, order: str) -> DataFrame:
-    """(path, sample, words, labels) of parsed lines; only samples with words."""
-    kept = numbered_samples(rows, order).filter(_is_word())
-    place = F.struct("block", F.col(order).alias("at"), "token", F.greatest(label_id(F.col("tag")), F.lit(0)).alias("label"))
-    return kept.groupBy("path", "sample").agg(F.array_sort(F.collect_list(place)).alias("t")).select(  # of one sample
-        "path", "sample", F.transform("t", lambda t: t["token"]).alias("words"), F.transform("t", lambda t: t["label"]).alias("labels")
-    )
+def cut_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts each batch of lines (path, block, at, token, label, blank) into parts: a run is lines of one block whose places
+    rise by one, and a part begins with a run or a blank line. Label is null for lines without a word."""
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        path, block, at, token, label, blank = batch.columns
+        marks = path.dictionary_encode(null_encoding="encode").indices
+        steps = [np.diff(x.to_numpy(zero_copy_only=False)) for x in (marks, block, at)]
+        first = np.concatenate([[True], (steps[0] != 0) | (steps[1] != 0) | (steps[2] != 1)])
+        blank, word = blank.to_numpy(zero_copy_only=False), label.is_valid()
+        begin = np.flatnonzero(first | blank)
+        run = np.flatnonzero(first)[np.cumsum(first)[begin] - 1]
+        before = np.cumsum(blank)
+        closed = np.append((blank & ~first)[begin[1:]], False)  # by a blank line of the same run
+        ends = np.concatenate([[0], np.cumsum(word.to_numpy(zero_copy_only=False))])[np.append(begin, n)]
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x.filter(word)) for x in (token, label)]
+        made = [path.take(pa.array(begin)), block.take(pa.array(begin)), at.take(pa.array(run)), at.take(pa.array(begin)), pa.array(before[begin] - before[run] + blank[run]), pa.array(blank[begin] & closed), *lists]
+        yield pa.RecordBatch.from_arrays(made, ["path", "block", "run", "at", "blanks", "whole", "words", "labels"])
+
+
+def parts_of(rows: DataFrame, order: str) -> DataFrame:
+    """Parsed lines as parts of samples, `PARTS`: what stands between blank lines, cut where a run of lines ends (a batch, at
+    most). A part is told by its run and the blank lines of the run up to it; a whole one has its sample to itself. The lines
+    may come in any order, but those in a row make the longer runs."""
+    label = F.when(_is_word(), F.greatest(label_id(F.col("tag")), F.lit(0)))
+    blank = F.coalesce(F.col("kind") == "blank", F.lit(False))
+    lines = rows.select("path", F.col("block").cast("long").alias("block"), F.col(order).cast("long").alias("at"), "token", label.alias("label"), blank.alias("blank"))
+    return lines.mapInArrow(cut_parts, PARTS)
+
+
+def group_samples(parts: DataFrame, order: str = "at") -> DataFrame:
+    """(path, sample, words, labels) of stored parts; only samples with words. `sample` is the blank lines of the file before
+    it: those of its run, and those of earlier runs, of which there is a row each. Only cut samples are grouped."""
+    before = Window.partitionBy("path").orderBy("block", "run").rowsBetween(Window.unboundedPreceding, -1)  # a row a run
+    runs = parts.groupBy(*RUN).agg(F.max("blanks").alias("n")).select(*RUN, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows = parts.filter(F.size("words") > 0).join(runs, RUN).withColumn("sample", F.col("base") + F.col("blanks"))
+    place = F.struct("block", F.col(order).alias("at"), "words", "labels")
+    cut = rows.filter("not whole").groupBy("path", "sample").agg(F.array_sort(F.collect_list(place)).alias("t"))  # of one sample
+    joined = [F.flatten(F.transform("t", lambda t: t[c])).alias(c) for c in ("words", "labels")]  # noqa: B023
+    return rows.filter("whole").select("path", "sample", "words", "labels").union(cut.select("path", "sample", *joined))
 
 
 def samples_of(lines: DataFrame, strict: bool = True) -> DataFrame:
-    """(path, sample, words, labels) of lines (path, line_no, line), as they are at hand; block: of a split, if known."""
+    """(path, sample, words, labels) of lines (path, line_no, line), as they are at hand; block: of a split, if known. Their
+    parts are stored, as they are read more than once."""
     rows = scan(lines if "block" in lines.columns else lines.withColumn("block", F.lit(0)))
     if strict:
         message = F.concat("path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), "kind", F.lit(" in line "), "line")
         rows = rows.withColumn("kind", F.when(F.col("kind") != "blank", F.raise_error(message).cast("string")).otherwise(F.col("kind")))
-    return group_samples(rows, "line_no")
+    return group_samples(materialize(parts_of(rows, "line_no"), "conll-parts"))
 
 
 def load_conll(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(path, sample, words, labels); sample counts a file's blank lines."""
-    return group_samples(parse(spark, path, strict)[0], "at")
+    return group_samples(parse(spark, path, strict)[0])
 
 
 def sample_text(words: Column, tags: Column) -> Column:

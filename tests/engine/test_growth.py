@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gapline.functions import text as T
 from gapline.operators import sequence
 from gapline.plans.labellers import lexicon_labeller, windowed
+from gapline.sources import conll
 
 
 def plan_of(df):
@@ -67,3 +68,19 @@ def test_aligned_labels_build_no_more_than_shows(spark):
     """A word of more subwords than an array may have places, and many words after it."""
     made = spark.range(1).select(sequence.align_labels(F.sequence(F.lit(1), F.lit(3)), F.array(F.lit(0), F.lit(2), F.lit(2147483640)), 8).alias("a")).first()
     assert made["a"] == [-100, 2, -100, 3, -100, -100, -100, -100]
+
+
+def test_lines_of_files_are_never_dealt_or_sorted(spark, tmp_path):
+    """What is stored and grouped is parts of samples and not lines, however a batch cuts them."""
+    lines = "".join(f"w{i} O\n" + "\n" * (i % 40 == 0) for i in range(2000))
+    (tmp_path / "a.txt").write_text(lines + "\n \nlast B-TOOLS")
+    stored, counts = conll.parse(spark, f"file:{tmp_path}/a.txt")
+    want = conll.group_samples(stored, "at").collect()
+    assert counts["words"] == 2001 and stored.count() < 100 and len(want) == 52 and max(r["sample"] for r in want) == 52
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = conll.load_conll(spark, f"file:{tmp_path}/a.txt").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = lambda rows: sorted((r["sample"], r["words"], r["labels"]) for r in rows)
+    assert key(got) == key(want) and [w for r in sorted(want, key=lambda r: r["sample"]) for w in r["words"]] == [*(f"w{i}" for i in range(2000)), "last"]
