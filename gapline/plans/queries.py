@@ -516,9 +516,10 @@ def datagen_samples(spark, sf_dir):
 def conll_round_trip(spark, sf_dir):
     """Samples as lines, read as a file's lines are."""
     names = F.array(*map(F.lit, C.LABELS))
-    made = turn_samples(spark, sf_dir)
+    name = F.concat_ws(":", F.col("id").cast("string"), F.monotonically_increasing_id().cast("string"))  # ids may repeat or be null
+    made = turn_samples(spark, sf_dir).withColumn("path", name)
     text = conll.sample_text(F.col("words"), F.transform("labels", lambda i: F.get(names, i)))
-    lines = made.select(F.col("id").cast("string").alias("path"), F.posexplode(F.split(F.concat(F.lit("\n"), text, F.lit("\n")), "\n")).alias("at", "line"))
+    lines = made.select("path", F.posexplode(F.split(F.concat(F.lit("\n"), text, F.lit("\n")), "\n")).alias("at", "line"))
     back = conll.samples_of(lines.select("path", (F.col("at") + 1).alias("line_no"), "line"))
     joined = F.array_join(F.zip_with("words", "labels", lambda w, i: F.concat(w, F.lit(" "), F.get(names, i))), "\n")
     return back.groupBy(F.md5(joined.cast("binary")).alias("sample_md5"), F.size("words").alias("n_words")).agg(F.count("*").alias("n_samples"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gapline.functions import text as T
 from gapline.operators import sequence
 from gapline.plans.labellers import lexicon_labeller, windowed
+from gapline.plans.queries import QUERIES
 from gapline.sources import conll
 
 
@@ -84,3 +85,12 @@ def test_lines_of_files_are_never_dealt_or_sorted(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     key = lambda rows: sorted((r["sample"], r["words"], r["labels"]) for r in rows)
     assert key(got) == key(want) and [w for r in sorted(want, key=lambda r: r["sample"]) for w in r["words"]] == [*(f"w{i}" for i in range(2000)), "last"]
+
+
+def test_samples_of_turns_with_the_same_number(spark, tmp_path):
+    """Turns 0:100 and 1:0 have one number, and a turn may have none; each is a sample of its own."""
+    turns = [(0, 100, "One two."), (1, 0, "Three four five"), (None, 3, "six"), (2, None, "seven"), (3, 1, " "), (3, 2, None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"file:{tmp_path}/conversations.parquet")
+    for name in ("conll_round_trip", "conll_files"):
+        found = QUERIES[name](spark, f"file:{tmp_path}").collect()
+        assert sorted((r["n_words"], r["n_samples"]) for r in found) == [(1, 1), (1, 1), (3, 1), (3, 1)], name
