@@ -756,7 +756,7 @@ def classifier_report(spark, sf_dir):
     docs = written_texts(Inputs(spark, sf_dir))
     samples = materialize(labelled_samples(docs), "samples")
     held = F.pmod(F.crc32(F.col("doc_key").cast("string").cast("binary")), F.lit(7)) == 0
-    model, _ = train_token_classifier(samples.filter(~held), grid=(0.001,), features=1 << 12, stride=4, max_train_rows=4000)
+    model, _ = train_token_classifier(samples.filter(~held), grid=(0.001,), features=1 << 12, stride=4)
     unseen = samples.filter(held)
     names = F.array(*map(F.lit, C.LABELS))
     gold = unseen.select("doc_key", F.posexplode("labels").alias("pos", "l")).select("doc_key", "pos", F.get(names, F.col("l")).alias("label"))

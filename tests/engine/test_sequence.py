@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gapline import constants as C
@@ -183,3 +184,14 @@ def test_classifier_learns(spark, tmp_path):
     names = F.array(*map(F.lit, C.LABELS))
     joined = found.join(truth, ["doc_key", "pos"]).select((F.col("label") == F.get(names, F.col("l"))).cast("int").alias("ok"))
     assert joined.agg(F.avg("ok")).first()[0] > 0.9
+
+
+def test_classifier_learns_from_all_samples(spark):
+    """A word that only samples late in the order of the keys' hashes have is known; 20,000 were read at most."""
+    late = F.row_number().over(Window.orderBy(F.xxhash64(F.col("id").cast("string")), "id")) > 20_050
+    rows = spark.range(21_000).select(F.col("id").alias("doc_key"), late.alias("late"))
+    label = F.when(F.col("late"), C.LABELS.index("B-TOOLS")).otherwise(0)
+    samples = rows.select("doc_key", F.array(F.lit("uses"), F.when(F.col("late"), "Kafka").otherwise("paper")).alias("words"), F.array(F.lit(0), label).alias("labels"))
+    model, _ = labellers.train_token_classifier(samples, grid=(0.001,), features=1 << 8, most_steps=2)
+    told = labellers.classifier_labeller(model)(spark.createDataFrame([(1, "uses Kafka"), (2, "uses paper")], "doc_key long, text string"))
+    assert sorted((r["doc_key"], r["word"], r["label"]) for r in told.collect()) == [(1, "Kafka", "B-TOOLS"), (1, "uses", "O"), (2, "paper", "O"), (2, "uses", "O")]
