@@ -1,11 +1,14 @@
 """Token labels: word windows, seams between them, one label a word, and entities from labels.
 
 Tokens are rows (doc_key, pos, word, glued), pos from 0. Labels of windows are rows (doc_key, win, pos, label) of
-the words that are not `O`; words that a window has no row for count as `O`.
+the words that are not `O`; words that a window has no row for count as `O`. A labeller that works word by word inside a
+task needs no such rows: `words_of`, `merged` and `spans_of` say the same of one document.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,20 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_key", F.posexplode(zipped).alias("pos", "t")).select("doc_key", "pos", "t.word", "t.glued")
 
 
+_TOKEN, _FLUSH_DOT = re.compile(C.TOKEN_PATTERN), re.compile(rf"(\.(?=\S))|{C.TOKEN_PATTERN}")
+
+
+def words_of(text: str) -> tuple[list[str], list[bool]]:
+    """`tokens` of one text: its words, and which of them are glued."""
+    words = _TOKEN.findall(text)
+    return words, [dot != "" for dot in _FLUSH_DOT.findall(text)] if "." in words else [False] * len(words)
+
+
+def subwords(word: str) -> int:
+    """`subword_lengths` of one word of a text: hidden characters are words of their own."""
+    return 0 if len(word) == 1 and unicodedata.category(word) in ("Cf", "Cc") else (len(word) + 3) // 4
+
+
 def subword_lengths(words: Column) -> Column:
     """Stand-in for a tokenizer's counts: a subword for each four characters; none for hidden characters alone."""
     return F.transform(words, lambda w: F.when(w.rlike(rf"^{T.HIDDEN}+$"), 0).otherwise(F.ceil(F.char_length(w) / 4)).cast("int"))
@@ -32,6 +49,8 @@ def subword_lengths(words: Column) -> Column:
 
 def _plan(lengths: np.ndarray, budget: int, most_overlap: int) -> list[dict[str, int]]:
     n = len(lengths)
+    if n and int(lengths.sum()) <= budget:
+        return [{"start": 0, "end": n}]
     total = np.concatenate([[0], np.cumsum(lengths)])
 
     def fill(start: int) -> int:
@@ -99,6 +118,50 @@ def merge_labels(windows: DataFrame, labels: DataFrame, radius: int = C.SEAM_RAD
     return owned.select("doc_key", "lo", "hi", F.inline("named")).filter("pos >= lo and pos < hi").select("doc_key", "pos", "label")
 
 
+def merged(windows: list[dict[str, int]], labels: list[list[str]], radius: int = C.SEAM_RADIUS) -> list[str]:
+    """`merge_labels` of one document: its labels from those of its windows, in order."""
+    out: list[str] = []
+    for j, (win, said) in enumerate(zip(windows, labels)):
+        cut = hi = win["end"]
+        if j + 1 < len(windows):
+            lo, then = windows[j + 1]["start"], labels[j + 1]
+            cut = mid = (lo + hi) // 2
+            r = min(radius, (hi - lo) // 4)
+            if hi > lo:
+                free = [p for p in range(max(lo, mid - r), min(hi - 1, mid + r) + 1) if said[p - win["start"]] == then[p - lo] == "O"]
+                cut = min(free, key=lambda p: (abs(p - mid), p), default=mid)
+        out += said[len(out) - win["start"] : max(cut - win["start"], 0)]
+    return out
+
+
+def spans_of(words: list[str], glued: list[bool], labels: list[str]) -> list[tuple[str, int, str]]:
+    """(category, ord, span): `clean_spans` of `group_words` of one document."""
+    out, seen, i, n = [], set(), 0, len(words)
+    dots = True in glued
+    while i < n:
+        if labels[i] == "O":
+            i += 1
+            continue
+        first, kind = i, labels[i][2:]
+        i += 1
+        while i < n and labels[i][0] == "I" and labels[i][2:] == kind:
+            i += 1
+        # words of punctuation at either end go, but for dots flush before a word that stays
+        a, b = first, i - 1
+        while a <= b and not words[a][0].isalnum():
+            a += 1
+        while b > a and not words[b][0].isalnum():
+            b -= 1
+        while dots and first < a <= b and glued[a - 1]:
+            a -= 1
+        span = "".join(w if dot else w + " " for w, dot in zip(words[a : b + 1], glued[a : b + 1]))[:-1] if dots else " ".join(words[a : b + 1])
+        category = kind.lower()
+        if span and (category, span.lower()) not in seen:
+            seen.add((category, span.lower()))
+            out.append((category, first, span))
+    return out
+
+
 def label_runs(labelled: DataFrame) -> DataFrame:
     """Adds `category` and `run` to rows (doc_key, pos, label) that are not O: a run is an entity. A B label
     starts one, as does an I label whose type is not that of the word before."""

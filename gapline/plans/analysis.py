@@ -14,8 +14,8 @@ from gapline.operators import compose
 from gapline.operators.gate import gate, jd_problem, resume_problem, verdict, with_problem
 from gapline.operators.lexicon import recognised_in
 from gapline.operators.matching import DEGREE, EXPERIENCE, ITEMS, SKILL, gap_items, in_order, notes_of_pair, popular_keys, sides, with_side
-from gapline.operators.sequence import clean_spans, group_words
-from gapline.plans.labellers import lexicon_labeller
+from gapline.operators.sequence import clean_spans, group_words, spans_of
+from gapline.plans.labellers import in_tasks, lexicon_labeller
 from gapline.session import materialize
 from gapline.sources.http import request_feedback
 
@@ -24,6 +24,9 @@ Labeller = Callable[[DataFrame], DataFrame]
 
 def extract_spans(docs: DataFrame, labeller: Labeller = lexicon_labeller) -> DataFrame:
     """(doc_key, category, ord, span) of documents (doc_key, text)."""
+    if hasattr(labeller, "labels"):
+        found = in_tasks(F.col("text"), labeller.labels(docs.sparkSession), "category string, ord int, span string", spans_of)
+        return docs.select("doc_key", F.inline(found))
     ready = docs.select("doc_key", T.collapse_whitespace(F.col("text")).alias("text"))
     return clean_spans(group_words(labeller(ready)))
 

@@ -2,27 +2,35 @@
 
 `lexicon_labeller` needs no model: it marks the windows of words whose canonical key is in the vocabulary.
 `train_token_classifier` fits a classifier on labelled samples with pyspark.ml. Any function of the same shape, such
-as one around a transformer in mapInPandas, can stand in their place.
+as one around a transformer in mapInPandas, can stand in their place. What `of_texts` makes has `labels` besides: it
+labels the words of one text in a task, so that spans and samples are made of texts without a row a word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import FeatureHasher
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructType
 
 from gapline import constants as C
 from gapline.functions import text as T
 from gapline.operators import sequence
-from gapline.operators.lexicon import named_windows
+from gapline.operators.lexicon import Scan
 from gapline.operators.metrics import class_weights, entity_scores
 from gapline.operators.sequence import tokens
 from gapline.session import discard, materialize
 
+#: Called once a task: what labels the words of one text, of which some are glued.
+Labels = Callable[[], Callable[[list[str], list[bool]], list[str]]]
 #: A term of several types gets the first of them.
 TYPES = ["TECHNICALSKILL", "TOOLS", "SOFTSKILL", "QUALIFICATION", "DESIGNATION", "YEAROFEXPERIENCE"]
 SHAPE = {"word": "word", "before": "before", "after": "after", "form": "form", "end": "end"}
@@ -41,35 +49,59 @@ def vocabulary(spark: SparkSession) -> tuple[tuple[str, str], ...]:
     return tuple(sorted(map(tuple, rows.groupBy("term").agg(F.min_by("type", "rank").alias("type")).collect())))
 
 
-def lexicon_labeller(docs: DataFrame) -> DataFrame:
-    """docs: (doc_key, text)."""
-    known = vocabulary(docs.sparkSession)
-    hits = named_windows(docs, "doc_key", T.tokenize(F.col("text")), tuple(t for t, _ in known), texts=True)
-    named = docs.join(hits.hint("merge"), "doc_key", "left")  # the planner takes hits, which come of explosions, for few
-    zipped = F.arrays_zip(T.tokenize(F.col("text")).alias("word"), T.dot_glue(F.col("text")).alias("glued"))
-    rows = named.select("doc_key", "hits", zipped.alias("t")).withColumn("labels", hit_labels(known))
-    rows = rows.select("doc_key", F.posexplode(F.arrays_zip(F.col("t"), F.col("labels").alias("label"))).alias("pos", "z"))
-    return rows.select("doc_key", "pos", "z.t.word", "z.t.glued", "z.label")
-
-
-def hit_labels(known: tuple[tuple[str, str], ...]) -> Column:
-    """A document's labels from its `hits`, which are in order and do not overlap, and its words `t`: runs of O between the
-    runs of the hits. A dot written flush before a hit's first word belongs to it: .NET."""
-    types = F.expr(f"map({', '.join(T.sql_text(x) for pair in known for x in pair)})")
-    place = F.transform(
-        "hits",
-        lambda h: T.bind(
-            F.when(F.get(F.col("t.glued"), h["i"] - 1), 1).otherwise(0),
-            lambda dot: F.struct((h["i"] - dot).alias("i"), (h["i"] + h["k"]).alias("e"), F.try_element_at(types, h["term"]).alias("type")),
-        ),
-    )
-    repeated = lambda label, n: F.array_repeat(label, n.cast("int"))
-    run = lambda p, h, j: F.concat(
-        repeated(F.lit("O"), h["i"] - F.when(j > 0, F.get(p, j - 1)["e"]).otherwise(0)), F.array(F.concat(F.lit("B-"), h["type"])), repeated(F.concat(F.lit("I-"), h["type"]), h["e"] - h["i"] - 1)
-    )
-    rest = lambda p: repeated(F.lit("O"), F.size("t") - F.coalesce(F.get(p, F.size(p) - 1)["e"], F.lit(0)))
-    none = repeated(F.lit("O"), F.size("t"))
-    return F.when(F.size("hits") > 0, T.bind(place, lambda p: F.concat(F.flatten(F.transform(p, lambda h, j: run(p, h, j))), rest(p)))).otherwise(none)
+def in_tasks(text: Column, labels: Labels, result: str, rows: Callable[[list[str], list[bool], list[str]], list[tuple]]) -> Column:
+    """What `rows` makes of each text's words, whether they are glued, and their labels: an array of structs `result`."""
+    kinds = StructType.fromDDL(result)
+
+    @F.arrow_udf(ArrayType(kinds))
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        label = labels()
+        schema = to_arrow_schema(kinds)
+        for batch in batches:
+            found, ends = [], [0]
+            for text in batch.to_pylist():
+                if text:
+                    words, glued = sequence.words_of(text)
+                    found += rows(words, glued, label(words, glued))
+                ends.append(len(found))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*found) if found else [()] * len(schema), schema)]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(schema)))
+
+    return made(text)
+
+
+def of_texts(labels: Callable[[SparkSession], Labels]):
+    """A labeller of whole texts around what labels the words of one text in a task."""
+
+    def label(docs: DataFrame) -> DataFrame:
+        found = in_tasks(F.col("text"), labels(docs.sparkSession), "word string, glued boolean, label string", lambda words, glued, said: list(zip(words, glued, said)))
+        return docs.select("doc_key", F.posexplode(found).alias("pos", "z")).select("doc_key", "pos", "z.*")
+
+    label.labels = labels
+    return label
+
+
+def lexicon_labels(spark: SparkSession) -> Labels:
+    types = dict(vocabulary(spark))
+
+    def labels() -> Callable[[list[str], list[bool]], list[str]]:
+        scan = Scan(types)
+
+        def label(words: list[str], glued: list[bool]) -> list[str]:
+            out = ["O"] * len(words)
+            for i, k, kind in scan(words):
+                # a dot written flush before a hit's first word belongs to it: .NET
+                begin = i - 1 if i and glued[i - 1] else i
+                out[begin : i + k] = ["B-" + kind] + ["I-" + kind] * (i + k - begin - 1)
+            return out
+
+        return label
+
+    return labels
+
+
+#: docs: (doc_key, text).
+lexicon_labeller = of_texts(lexicon_labels)
 
 
 def _contexts(words: Column) -> Column:
@@ -158,11 +190,33 @@ def windowed(labeller, budget: int = C.MOST_SUBWORDS - C.SPECIAL_SUBWORDS, most_
         merged = sequence.merge_labels(sequence.window_rows(plans), found)
         return tokens(docs).join(merged.hint("merge"), ["doc_key", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
 
-    return label
+    def labels(spark: SparkSession) -> Labels:
+        of_window = labeller.labels(spark)
+
+        def by_window() -> Callable[[list[str], list[bool]], list[str]]:
+            whole = of_window()
+
+            def within(words: list[str], glued: list[bool]) -> list[str]:
+                lengths = [sequence.subwords(w) for w in words]
+                windows = sequence._plan(np.asarray(lengths, np.int64), budget, most_overlap)
+                parts = [(w["start"], w["end"]) for w in windows]
+                said = [whole(words[a:b], glued[a:b]) if any(lengths[a:b]) else ["O"] * (b - a) for a, b in parts]
+                return sequence.merged(windows, said)
+
+            return within
+
+        return by_window
+
+    return of_texts(labels) if hasattr(labeller, "labels") else label
 
 
 def labelled_samples(docs: DataFrame, labeller=lexicon_labeller) -> DataFrame:
     """(doc_key, words, labels) of documents (doc_key, text): what a labeller says, as samples to learn from."""
+    if hasattr(labeller, "labels"):
+        ids = {label: i for i, label in enumerate(C.LABELS)}
+        found = in_tasks(F.col("text"), labeller.labels(docs.sparkSession), "word string, label_id int", lambda words, glued, said: [(w, ids[x]) for w, x in zip(words, said)])
+        rows = docs.select("doc_key", found.alias("t")).filter(F.size("t") > 0)
+        return rows.select("doc_key", F.col("t.word").alias("words"), F.col("t.label_id").alias("labels"))
     ids = F.array(*map(F.lit, C.LABELS))
     token = F.struct("pos", "word", (F.array_position(ids, F.col("label")) - 1).cast("int").alias("label_id"))
     rows = labeller(docs).groupBy("doc_key").agg(F.array_sort(F.collect_list(token)).alias("t"))  # of one document

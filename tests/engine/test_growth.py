@@ -1,10 +1,14 @@
 """Plans whose tables grow far beyond what the planner takes them for."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from gapline.functions import text as T
-from gapline.operators import sequence
-from gapline.plans.labellers import lexicon_labeller, windowed
+from gapline.operators import lexicon, sequence
+from gapline.plans import analysis
+from gapline.plans.labellers import labelled_samples, lexicon_labeller, windowed
 from gapline.plans.queries import QUERIES
 from gapline.sources import conll
 
@@ -94,3 +98,51 @@ def test_samples_of_turns_with_the_same_number(spark, tmp_path):
     for name in ("conll_round_trip", "conll_files"):
         found = QUERIES[name](spark, f"file:{tmp_path}").collect()
         assert sorted((r["n_words"], r["n_samples"]) for r in found) == [(1, 1), (1, 1), (3, 1), (3, 1)], name
+
+
+def test_what_tasks_do_with_one_text_is_what_rows_give(spark):
+    """Words, lengths, owners of words in windows, and spans: each helper against its operator on rows."""
+    draw = random.Random(5)
+    pieces = ["Python", ".NET", "x.y", "C++", ";", "(", ".", "..", " ", "\u2003", "\n", "\u00ad", "\u200b", "é", "漢", "²", "½", "a-b", "K", "İ", "don't", "\U0001f600", "python", "Σ"]
+    texts = ["".join(draw.choice(pieces) + draw.choice(["", " "]) for _ in range(draw.randrange(60))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_key long, text string")
+    made = {i: sequence.words_of(t) for i, t in enumerate(texts)}
+    rows = [(i, p, w, g) for i, (words, glued) in made.items() for p, (w, g) in enumerate(zip(words, glued))]
+    assert sorted(map(tuple, sequence.tokens(docs).collect())) == rows and any(g for *_, g in rows)
+    lengths = docs.select("doc_key", sequence.subword_lengths(T.tokenize(F.col("text")))).collect()
+    assert {k: n for k, n in lengths} == {i: [sequence.subwords(w) for w in words] for i, (words, _) in made.items()}
+    kinds = ["O", "O", "B-TOOLS", "I-TOOLS", "I-TOOLS", "B-SOFTSKILL", "I-SOFTSKILL"]
+    said = {i: [draw.choice(kinds) for _ in words] for i, (words, _) in made.items()}
+    spans = sequence.clean_spans(sequence.group_words(spark.createDataFrame([(*r, said[r[0]][r[1]]) for r in rows], "doc_key long, pos int, word string, glued boolean, label string")))
+    want = sorted((i, *s) for i, (words, glued) in made.items() for s in sequence.spans_of(words, glued, said[i]))
+    assert sorted((r["doc_key"], r["category"], r["ord"], r["span"]) for r in spans.collect()) == want and len(want) > 300
+    plans = {i: sequence._plan(np.array([sequence.subwords(w) for w in words], np.int64), 9, 8) for i, (words, _) in made.items()}
+    by_window = {i: [[draw.choice(kinds) for _ in range(w["start"], w["end"])] for w in plan] for i, plan in plans.items()}
+    windows = spark.createDataFrame([(i, j, w["start"], w["end"]) for i, plan in plans.items() for j, w in enumerate(plan)], "doc_key long, win int, start int, end int")
+    labels = [(i, j, plans[i][j]["start"] + p, x) for i, parts in by_window.items() for j, part in enumerate(parts) for p, x in enumerate(part)]
+    merged = sequence.merge_labels(windows, spark.createDataFrame(labels, "doc_key long, win int, pos int, label string")).collect()
+    assert sorted(map(tuple, merged)) == sorted((i, p, x) for i, plan in plans.items() for p, x in enumerate(sequence.merged(plan, by_window[i])) if x != "O")
+    assert all(len(sequence.merged(plan, by_window[i])) == len(made[i][0]) for i, plan in plans.items())
+
+
+def test_no_word_becomes_a_row(spark):
+    """Spans of texts come from one step a document, window by window or not; and texts of rows give the same."""
+    docs = spark.createDataFrame([(i, "Senior dev of Python .NET; machine learning, pythons (AWS), a.w.s. C and Docker " * (i % 3)) for i in range(12)] + [(99, None)], "doc_key long, text string")
+    rows_only = lambda labeller: lambda d: labeller(d)
+    for labeller in (lexicon_labeller, windowed(lexicon_labeller, 8)):
+        found = analysis.extract_spans(docs, labeller)
+        assert "Exchange" not in plan_of(found) and "pos" not in plan_of(found)
+        got = sorted(map(tuple, found.collect()))
+        assert got == sorted(map(tuple, analysis.extract_spans(docs, rows_only(labeller)).collect()))
+        assert len(got) > 20 and (labeller is not lexicon_labeller or (1, "technicalskill", 4, ".NET") in got)
+    samples = labelled_samples(docs).collect()
+    assert sorted(map(str, samples)) == sorted(map(str, labelled_samples(docs, rows_only(lexicon_labeller)).collect()))
+
+
+def test_only_distinct_spans_are_scanned(spark):
+    spans = spark.createDataFrame([(1, "Python"), (2, "Python"), (3, None), (4, "none")], "k int, span string")
+    found = lexicon.recognised_in(spans, spans)
+    lines = plan_of(found).splitlines()
+    assert sum("ArrowEvalPython" in x for x in lines) == 1
+    assert next(i for i, x in enumerate(lines) if "ArrowEvalPython" in x) < next(i for i, x in enumerate(lines) if "Aggregate" in x)
+    assert [(r["span"], r["terms"]) for r in found.collect()] == [("Python", ["python"])]
