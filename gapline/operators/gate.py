@@ -71,13 +71,14 @@ def problems(docs: DataFrame, spans: DataFrame, problem, terms: DataFrame | None
     return joined.select("doc_key", problem(F.col("text"), F.col("n_terms"), F.col("counted")).alias("problem"))
 
 
-def with_problem(docs: DataFrame, facts: DataFrame, problem, mark: str) -> DataFrame:
-    """Documents' rows with `<mark>_problem`; facts: (doc_key, <mark>_n_terms, ...), of documents that have spans."""
+def with_problems(docs: DataFrame, facts: DataFrame, **problems) -> DataFrame:
+    """Documents' rows with `<mark>_problem` for each mark, without n_terms; facts: (doc_key, n_terms, ...), of documents
+    that have spans."""
     counted = docs.select("doc_key", "text", counts(F.col("text")).alias("__counted"))
     joined = counted.join(facts, "doc_key", "full")
     # spans of a document that is not there are compared, and there is no text to find fault with
-    found = F.when(F.col("__counted").isNotNull(), problem(F.col("text"), F.col(f"{mark}_n_terms"), F.col("__counted")))
-    return joined.select(*facts.columns, found.alias(f"{mark}_problem"))
+    found = [F.when(F.col("__counted").isNotNull(), p(F.col("text"), F.col("n_terms"), F.col("__counted"))).alias(f"{mark}_problem") for mark, p in problems.items()]
+    return joined.select(*[c for c in facts.columns if c != "n_terms"], *found)
 
 
 def verdict(jd: Column, resume: Column) -> Column:

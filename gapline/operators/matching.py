@@ -202,21 +202,34 @@ def notes_of_pair() -> Column:
     return F.array_compact(notes)
 
 
+def n_terms() -> Column:
+    """The number of recognised terms among a document's `items`, as the gate counts them."""
+    compared = ", ".join(map(T.sql_text, C.COMPARABLE))
+    return F.expr(f"size(array_distinct(transform(filter(items, x -> x.category IN ({compared}) AND x.best IS NOT NULL), x -> x.best)))")
+
+
+def asking() -> list[Column]:
+    """What a posting's row has, of its `items`: what it asks for and the lists of its notes (j_*)."""
+    return [v.alias(k) for k, v in (asked() | {f"j_{k}": v for k, v in noted().items()}).items()]
+
+
+def having() -> list[Column]:
+    """The same of a candidate's row: what it has and the lists of its notes (r_*)."""
+    return [v.alias(k) for k, v in (held() | {f"r_{k}": v for k, v in noted().items()}).items()]
+
+
 def sides(jd: DataFrame, resume: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A row a document of either side with all that gaps, notes and the gate need: what it asks for or has, the lists of
-    its notes (j_*, r_*) and its recognised terms (j_n_terms, r_n_terms)."""
-    compared = ", ".join(map(T.sql_text, C.COMPARABLE))
-    n_terms = F.expr(f"size(array_distinct(transform(filter(items, x -> x.category IN ({compared}) AND x.best IS NOT NULL), x -> x.best)))")
-    marked = lambda mark: [v.alias(f"{mark}_{k}") for k, v in (noted() | {"n_terms": n_terms}).items()]
-    left = profiles(jd, terms).select("doc_key", *[v.alias(k) for k, v in asked().items()], *marked("j"))
-    return left, profiles(resume, terms).select("doc_key", *[v.alias(k) for k, v in held().items()], *marked("r"))
+    its notes (j_*, r_*) and its recognised terms (n_terms)."""
+    left, right = profiles(jd, terms), profiles(resume, terms)
+    return left.select("doc_key", *asking(), n_terms().alias("n_terms")), right.select("doc_key", *having(), n_terms().alias("n_terms"))
 
 
 def find_notes(pairs: DataFrame, jd: DataFrame, resume: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(pair_id, notes): what the comparison left out, in a fixed order; an empty array if nothing."""
     left, right = sides(jd, resume, recognised_in(jd, resume) if terms is None else terms)
     popular = popular_keys(pairs)
-    both = with_side(with_side(pairs.select("pair_id", "jd_key", "resume_key"), left, "jd_key", popular), right, "resume_key", popular)
+    both = with_side(with_side(pairs.select("pair_id", "jd_key", "resume_key"), left.drop("n_terms"), "jd_key", popular), right.drop("n_terms"), "resume_key", popular)
     return both.select("pair_id", notes_of_pair().alias("notes"))
 
 

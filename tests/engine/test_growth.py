@@ -146,3 +146,22 @@ def test_only_distinct_spans_are_scanned(spark):
     assert sum("ArrowEvalPython" in x for x in lines) == 1
     assert next(i for i, x in enumerate(lines) if "ArrowEvalPython" in x) < next(i for i, x in enumerate(lines) if "Aggregate" in x)
     assert [(r["span"], r["terms"]) for r in found.collect()] == [("Python", ["python"])]
+
+
+def test_texts_of_an_analysis_are_made_once(spark):
+    """Labeller and both sides' gates read one table of the texts; the result is that of two sides apart."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(t):
+        made.add(1)
+        return t
+
+    rows = [("j", "Senior Software Engineer with 5 years of Python, PyTorch and K8s."), ("r", "Data Scientist, 6 years, Python and Kubernetes, torch."), ("x", "<#/@> x9$ " * 9), ("n", None)]
+    plain = spark.createDataFrame(rows, "doc_key string, text string")
+    docs = plain.select("doc_key", text("text").alias("text"))
+    pairs = spark.createDataFrame([(i * 5 + k, a, b) for i, a in enumerate("jrxng") for k, b in enumerate("jrxng")], "pair_id long, jd_key string, resume_key string")
+    got = sorted(map(str, analysis.analyze(pairs, docs).collect()))
+    assert made.value == len(rows)
+    spans = analysis.extract_spans(plain)
+    assert got == sorted(map(str, analysis.analyze_spans(pairs, plain, spans, plain, spans).collect())) and len(got) == 25
