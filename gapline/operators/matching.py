@@ -76,7 +76,7 @@ def asked(items: str = "items") -> dict[str, Column]:
     return {
         "skills": F.expr(_first_of(f"array_sort({named})", "category", "term")),
         "degrees": F.expr(_first_of(f"array_sort({ranked})", "level")),
-        "spans_of_years": F.expr(f"filter({items}, x -> x.category = 'yearofexperience' AND x.years IS NOT NULL)"),
+        "spans_of_years": F.expr(f"transform(filter({items}, x -> x.category = 'yearofexperience' AND x.years IS NOT NULL), x -> named_struct('category', x.category, 'ord', x.ord, 'span', x.span, 'years', x.years))"),
     }
 
 
