@@ -46,8 +46,13 @@ def scores(true: Column, predicted: Column, both: Column) -> dict[str, Column]:
 
 def matched(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Entities of either side (category, g, p): equal if document, category and both ends are."""
+    return paired(entities(gold), entities(predicted))
+
+
+def paired(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """The same of what `entities` gives."""
     keys = ["doc_key", "category", "start", "end"]
-    return entities(gold).withColumn("g", F.lit(1)).join(entities(predicted).withColumn("p", F.lit(1)), keys, "full")
+    return gold.withColumn("g", F.lit(1)).join(predicted.withColumn("p", F.lit(1)), keys, "full")
 
 
 COUNTS = {"n_true": "count(g)", "n_predicted": "count(p)", "n_both": "count(g + p)"}
@@ -60,7 +65,12 @@ def entity_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def entity_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row (precision, recall, f1) over all entities."""
-    sums = matched(gold, predicted).agg(*[F.expr(v).alias(k) for k, v in COUNTS.items()])
+    return pair_scores(matched(gold, predicted))
+
+
+def pair_scores(pairs: DataFrame) -> DataFrame:
+    """The same of what `paired` gives."""
+    sums = pairs.agg(*[F.expr(v).alias(k) for k, v in COUNTS.items()])
     return sums.select(*[v.alias(k) for k, v in scores(*map(F.col, COUNTS)).items()])
 
 

@@ -25,7 +25,7 @@ from gapline import constants as C
 from gapline.functions import text as T
 from gapline.operators import sequence
 from gapline.operators.lexicon import Scan
-from gapline.operators.metrics import class_weights, entity_scores
+from gapline.operators.metrics import class_weights, entities, pair_scores, paired
 from gapline.operators.sequence import tokens
 from gapline.session import discard, materialize
 
@@ -137,20 +137,20 @@ def train_token_classifier(
     test = materialize(hasher.transform(_features(rows.filter("held"))).select("doc_key", "pos", "label_id", "features"), "held")
     names = F.array(*map(F.lit, C.LABELS))
     named = lambda df, column: df.select("doc_key", "pos", F.get(names, F.col(column).cast("int")).alias("label"))
-    gold = named(test, "label_id")
+    gold = materialize(entities(named(test, "label_id")), "gold")  # each step reads them
     best, best_score, history = None, -1.0, []
     for strength in grid:
         top, waited = -1.0, 0
         for step in range(1, most_steps + 1):
             model = LogisticRegression(labelCol="label_id", weightCol="weight", regParam=strength, maxIter=step * stride, tol=0.0, family="multinomial").fit(fit)
-            score = entity_scores(gold, named(model.transform(test), "prediction")).first()["f1"]
+            score = pair_scores(paired(gold, entities(named(model.transform(test), "prediction")))).first()["f1"]
             history.append((strength, step * stride, score))
             if score > best_score:
                 best, best_score = model, score
             top, waited = (score, 0) if score > top else (top, waited + 1)
             if waited == patience:
                 break
-    discard(chosen, fit, test)
+    discard(chosen, fit, test, gold)
     return PipelineModel(stages=[hasher, best]), history
 
 
